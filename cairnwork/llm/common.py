@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnwork.sources.shipping import ship
+
 _own_dir: list[str] = []
 
 
@@ -76,4 +78,5 @@ def sha256_hex(data: bytes) -> str:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnwork.llm.common import as_bytes, load, store
+from cairnwork.llm.common import as_bytes, load, ship, store
 
 #: Bytes of distinct content that one task holds at a time.
 MEMORY_BYTES = 96 << 20
@@ -203,6 +203,7 @@ def resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("number"))
     members, _ = store(rows.mapInArrow(collapse, MEMBERS), "dedup-members")
     # Many splits hold a hot text; each sends it once.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from cairnwork.llm import exact_dedup
+from cairnwork.llm import exact_dedup, licences, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op5_license_scan": licences.op5_license_scan,
+    "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_quality": quality.op9_quality,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,

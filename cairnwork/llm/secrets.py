@@ -1,0 +1,248 @@
+r"""Secret scans with a recursive decoding worklist.
+
+Base kinds, found leftmost and without overlap in the whole text:
+  assign   (password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+), group 2 of 6+ characters
+  access   AKIA[A-Z0-9]+ of 20+ characters
+  hex      [0-9a-f]+ of 24+ characters
+
+Method: a worklist starts with the text. Each layer is scanned; then its URL escapes, Unicode and character
+escapes, base64 runs and compressed runs (gzip, zlib) are unwrapped into new layers, which join the worklist,
+until nothing new comes (a digest of each layer ends cycles). Every layer keeps, for each of its code points,
+the span of the original text that it came from, so that a find in any layer names its place in the text. Such a
+find is added as kind/layer, e.g. assign/base64; finds that no unwrapped code point belongs to are not repeated.
+
+Defined cases: null text counts as empty (no finds); an empty table gives no rows; repeated rows are scanned
+each; ids are passed through, null ones too. A run that doesn't decode to UTF-8 text is no layer. A compressed run
+is inflated by streaming up to INFLATED_BYTES, a guard against archives that swell without end.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import hashlib
+import re
+import zlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairnwork.llm.common import load, ship
+
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{24,}")
+#: One of these stands in every assign find, in lower case.
+ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
+INFLATED_BYTES = 64 << 20
+
+URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+CHAR_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+
+
+def scan(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind number) of the base finds."""
+    found = []
+    low = text.lower()
+    if any(w in low for w in ASSIGN_WORDS):
+        found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    if "AKIA" in text:
+        found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
+    return sorted(found, key=lambda x: (x[0], x[2]))
+
+
+def readable(data: bytes) -> str | None:
+    """Text whose characters are printable, or None."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+
+
+def inflate(data: bytes) -> bytes | None:
+    """The content of a gzip or zlib stream."""
+    if not (data[:2] == b"\x1f\x8b" or len(data) > 6 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
+        return None
+    try:
+        return zlib.decompressobj(wbits=47).decompress(data, INFLATED_BYTES)
+    except zlib.error:
+        return None
+
+
+class Layer:
+    """Text, and for each code point its span in the original (None: itself); made: which code points were unwrapped."""
+
+    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None, made: np.ndarray | None = None, name: str = "") -> None:
+        self.text, self.start, self.end, self.made, self.name = text, start, end, made, name
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
+
+
+def _escaped(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
+    """The whole layer with each escape replaced by what it stands for."""
+    parts, starts, ends, made, at = [], [], [], [], 0
+    base_start = layer.start if layer.start is not None else np.arange(len(layer.text))
+    base_end = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
+    base_made = layer.made if layer.made is not None else np.zeros(len(layer.text), bool)
+    for m in pattern.finditer(layer.text):
+        chars = decode(m)
+        if chars is None:
+            continue
+        a, b = m.span()
+        parts.append(layer.text[at:a])
+        starts.append(base_start[at:a])
+        ends.append(base_end[at:a])
+        made.append(base_made[at:a])
+        for c, x, y in chars:
+            parts.append(c)
+            starts.append(np.array([base_start[a + x : a + y].min()]))
+            ends.append(np.array([base_end[a + x : a + y].max()]))
+            made.append(np.array([True]))
+        at = b
+    if not parts:
+        return None
+    parts.append(layer.text[at:])
+    starts.append(base_start[at:])
+    ends.append(base_end[at:])
+    made.append(base_made[at:])
+    return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends), np.concatenate(made), f"{layer.name}/{name}")
+
+
+def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
+    """Code points of a run of %XX, each with its place in the run."""
+    try:
+        text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    out, at = [], 0
+    for c in text:
+        n = 3 * len(c.encode())
+        out.append((c, at, at + n))
+        at += n
+    return out
+
+
+def _character(m: re.Match) -> list[tuple[str, int, int]] | None:
+    code = int(m[6]) if m[6] else int(next(x for x in m.groups()[:5] if x), 16)
+    if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
+        return None
+    return [(chr(code), 0, m.end() - m.start())]
+
+
+def _unbase64(run: str) -> bytes | None:
+    body = run.rstrip("=")
+    if len(body) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+    except (binascii.Error, ValueError):
+        return None
+
+
+def unwrap(layer: Layer) -> Iterator[Layer]:
+    """The layers directly under a layer."""
+    text = layer.text
+    if "%" in text and (new := _escaped(layer, URL_ESCAPE, _percent, "url")):
+        yield new
+    if ("\\" in text or "&#" in text) and (new := _escaped(layer, CHAR_ESCAPE, _character, "unicode")):
+        yield new
+    for m in BASE64_RUN.finditer(text):
+        data = _unbase64(m[0])
+        if data is None:
+            continue
+        inflated = inflate(data)
+        inner = readable(inflated if inflated is not None else data)
+        if inner is None:
+            continue
+        a, b = layer.span(*m.span())
+        n = len(inner)
+        if inflated is None and layer.start is None:  # byte i of the content stands in characters 4i/3 ... of the run
+            sizes = np.array([len(c.encode()) for c in inner])
+            last = np.cumsum(sizes) - 1
+            start = m.start() + (last - sizes + 1) * 4 // 3
+            end = np.minimum(m.end(), m.start() + last * 4 // 3 + 2)
+        else:  # a compressed run, or one inside another layer, is one piece
+            start, end = np.full(n, a), np.full(n, b)
+        yield Layer(inner, start, end, np.ones(n, bool), f"{layer.name}/{'base64' if inflated is None else 'compressed'}")
+
+
+def finds(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]]]:
+    """Base finds; finds of the unwrapped layers as (start, end, kind/layer)."""
+    base = scan(text)
+    work, seen, more = [Layer(text)], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, set()
+    while work:
+        for new in unwrap(work.pop()):
+            key = hashlib.sha256(new.text.encode("utf-8", "surrogatepass") + new.start.astype(np.int64).tobytes()).digest()
+            if key in seen:
+                continue
+            seen.add(key)
+            more.update((*new.span(a, b), KINDS[k] + new.name) for a, b, k in scan(new.text) if new.made[a:b].any())
+            work.append(new)
+    return base, sorted(more, key=lambda x: (x[0], KINDS.index(x[2].split("/")[0]), x[1], x[2]))
+
+
+SCHEMA = "doc_id long, base array<struct<start:int,end:int,kind:string>>, more array<struct<start:int,end:int,kind:string>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+
+
+def _scan_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        base, more = [], []
+        for text in batch.column(1).to_pylist():
+            b, m = finds(text or "")
+            base.append([{"start": x, "end": y, "kind": KINDS[k]} for x, y, k in b])
+            more.append([{"start": x, "end": y, "kind": k} for x, y, k in m])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _SPANS), pa.array(more, _SPANS)], names=["doc_id", "base", "more"])
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, base and more (spans with start, end and kind; code points, end exclusive), a row per document."""
+    ship(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan_batches, SCHEMA)
+
+
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """The same columns; every span found in text_col, base or unwrapped, is replaced by mask. A null text stays null."""
+    ship(docs.sparkSession)
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(at).to_pylist():
+                if text:
+                    base, more = finds(text)
+                    spans, merged = sorted((a, b) for a, b, _ in [*base, *more]), []
+                    for a, b in spans:
+                        if merged and a <= merged[-1][1]:
+                            merged[-1][1] = max(b, merged[-1][1])
+                        else:
+                            merged.append([a, b])
+                    for a, b in reversed(merged):
+                        text = text[:a] + mask + text[b:]
+                out.append(text)
+            columns = [*batch.columns]
+            columns[at] = pa.array(out, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _joined(spans: F.Column) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(load(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    rank = lambda s: F.when(s["kind"].startswith("assign"), 0).when(s["kind"].startswith("access"), 1).otherwise(2)
+    ordered = F.transform(F.array_sort(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), F.length(s["kind"]).alias("depth"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(ordered).alias("spans"))
