@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from cairnwork.llm import exact_dedup, licences, quality, secrets
+from cairnwork.llm import exact_dedup, licences, packing, quality, secretscan, tokenstore
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op5_license_scan": licences.op5_license_scan,
-    "op8_secret_scan": secrets.op8_secret_scan,
+    "op8_secret_scan": secretscan.op8_secret_scan,
     "op9_quality": quality.op9_quality,
+    "op10_token_store": tokenstore.op10_token_store,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
