@@ -3,7 +3,8 @@
 Both tokenizers first cut a text at places that no token crosses, then encode each piece by itself. A cut before a
 space that stands before a character of a word is such a place, as is one at a line's end; and a run of letters and
 the punctuation after it never share a token. So the ids of a text are the ids of its pieces, one after another, and
-a bounded memo of pieces saves most of the work. Tests compare with encoding whole texts.
+a bounded memo of pieces saves most of the work. A piece that is one run of letters goes straight to the library's
+BPE model, any other through the whole tokenizer. Tests compare with encoding whole texts.
 """
 
 from __future__ import annotations
@@ -11,23 +12,53 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import pyarrow as pa
+#: Pieces in one of the memo's two generations: when the newer is full it becomes the older, which goes.
+MEMO_PIECES = 200_000
 
-#: Pieces that one Python worker remembers; beyond that it starts anew.
-MEMO_PIECES = 250_000
-#: Texts whose pieces are held at once.
-TEXTS = 128
-
-#: Text in which a cut at single spaces and single line ends would not do.
-UNEVEN = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 BEFORE_WORD = re.compile(r"(?= \S)")
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 PUNCTUATED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*|()]+)")
 WIDE = re.compile(r"[^\x00-\xff]")
+#: White space besides the space and the line end.
+OTHER_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+WIDE_SPACES = re.compile("[\x85\xa0  -     　]")
 RAW = "\x00"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself where it prints, else one from 256 on."""
+    out, spare = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
+        else:
+            out[b], spare = chr(spare), spare + 1
+    return out
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def byte_letters(text: str) -> str:
+    return text.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
+class Memo(dict):
+    """ids of pieces by key; what it lacks comes from the older generation or the encoder."""
+
+    def __init__(self, encoder: Encoder, older: dict) -> None:
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.encoder.learn(key, self)
+        self[key] = ids
+        return ids
+
+
 class Encoder:
     """ids of texts, as little-endian unsigned 32-bit integers."""
 
@@ -37,62 +68,76 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.memo = Memo(self, {})
 
     def cut(self, text: str) -> list[str]:
         """The memo's keys of a text's pieces."""
         raise NotImplementedError
 
-    def whole(self, key: str) -> str:
-        """The piece that a key stands for."""
+    def letters(self, key: str) -> str:
+        """What the model sees of a piece that is a run of letters."""
         raise NotImplementedError
 
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def whole(self, key: str) -> str:
+        """The piece that any key stands for."""
+        raise NotImplementedError
 
-    def _learn(self, keys: set[str]) -> None:
-        memo = self.memo
-        split = {k: m for k in keys if (m := PUNCTUATED.fullmatch(k))}
-        needed = {x for k, m in split.items() for x in (m[1], RAW + m[2]) if x not in memo} | {k for k in keys if k not in split and k not in memo}
-        needed = list(needed)
-        memo.update(zip(needed, self._library([self.whole(k) for k in needed]), strict=True))
-        for k, m in split.items():
-            memo[k] = memo[m[1]] + memo[RAW + m[2]]
+    def learn(self, key: str, memo: Memo) -> bytes:
+        if LETTERS.fullmatch(key):
+            return array("I", [t.id for t in self.model.tokenize(self.letters(key))]).tobytes()
+        if m := PUNCTUATED.fullmatch(key):
+            return memo[m[1]] + memo[RAW + m[2]]
+        return array("I", self.tokenizer.encode(self.whole(key), add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), TEXTS):
+        for text in texts:
             if len(self.memo) > MEMO_PIECES:
-                self.memo.clear()
-            cuts = [self.cut(t) if t else [] for t in texts[at : at + TEXTS]]
-            memo = self.memo
-            new = {k for keys in cuts for k in keys if k not in memo}
-            if new:
-                self._learn(new)
-            for keys in cuts:
-                yield b"".join([memo[k] for k in keys])
+                self.memo = Memo(self, dict(self.memo))
+            yield b"".join(map(self.memo.__getitem__, self.cut(text))) if text else b""
+
+
+def even(text: str) -> bool:
+    """Whether white space is single spaces and line ends alone, none of them at an end of the text."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in OTHER_SPACES) and (text.isascii() or not WIDE_SPACES.search(text))
 
 
 class ByteEncoder(Encoder):
     """Byte-level vocabularies: a piece takes the space before it along."""
 
     def cut(self, text: str) -> list[str]:
-        if UNEVEN.search(text):
+        if RAW in text or not even(text):
             return [RAW + x for x in BEFORE_WORD.split(text) if x]
         keys = text.replace("\n", " \n").split(" ")
         keys[0] = RAW + keys[0]
         return keys
 
+    def letters(self, key: str) -> str:
+        return byte_letters(" " + key)
+
     def whole(self, key: str) -> str:
         return key[1:] if key[0] == RAW else key if key[0] == "\n" else " " + key
 
+    def learn(self, key: str, memo: Memo) -> bytes:
+        if key[0] == "\n" and (m := PUNCTUATED.fullmatch(key, 1) or LETTERS.fullmatch(key, 1)):  # a line's first word
+            word = m[1] if m.re is PUNCTUATED else m[0]
+            first = array("I", [t.id for t in self.model.tokenize(byte_letters(word))]).tobytes()
+            return memo[RAW + "\n"] + first + (memo[RAW + m[2]] if m.re is PUNCTUATED else b"")
+        return super().learn(key, memo)
+
 
 class WordEncoder(Encoder):
     """Vocabularies that lower-case, drop white space and mark the ends of words."""
 
     def cut(self, text: str) -> list[str]:
-        if text.isascii() or not WIDE.search(text):
-            text = text.lower()
-        return [k for k in text.replace("\n", " ").split(" ") if k]
+        if RAW not in text and (text.isascii() or not WIDE.search(text)):
+            return [k for k in text.lower().replace("\n", " ").split(" ") if k]
+        return [RAW + k for k in text.replace("\n", " ").split(" ") if k]
+
+    def letters(self, key: str) -> str:
+        return byte_letters(key)
 
     def whole(self, key: str) -> str:
         return key[1:] if key[0] == RAW and len(key) > 1 else key
@@ -106,7 +151,3 @@ def encoder(path: str, kind: type[Encoder]) -> Encoder:
     if path not in _encoders:
         _encoders[path] = kind(path)
     return _encoders[path]
-
-
-def strings(column: pa.Array) -> Iterable[str | None]:
-    return column.to_pylist()
