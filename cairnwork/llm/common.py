@@ -62,6 +62,18 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def mark() -> int:
+    """Stands for the tables stored so far; see release()."""
+    return len(_stored)
+
+
+def release(spark: SparkSession, since: int, keep: str = "") -> None:
+    """Deletes the tables stored after mark() was taken, but for keep. Only when nothing lazy still reads them."""
+    for path in [p for p in _stored[since:] if p != keep]:
+        drop_path(spark, path)
+        _stored.remove(path)
+
+
 def text_or_empty(col: str) -> F.Column:
     return F.coalesce(F.col(col), F.lit(""))
 

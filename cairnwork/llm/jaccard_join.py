@@ -34,6 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.llm import textarrays as ta
@@ -169,18 +170,45 @@ def _sid() -> F.Column:
     return F.coalesce(F.col("doc_id"), -1 - F.abs(F.xxhash64("text") % (1 << 62)))
 
 
-def _nodes(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
+def _nodes(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, sid, n (set size) and key (node; null for an empty set) of every document."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch in batches:
-            sizes, keys, written = [], [], []
+            sizes, keys = [], []
             for items in shingle_sets(batch.column(2), n):
                 sizes.append(len(items))
                 keys.append(_key(items) if len(items) else None)
-                written.append(signatures(items, bands, rows).astype(np.int64) if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(written, pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "key", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "sid", "n", "key"])
+
+    return docs.select("doc_id", _sid().alias("sid"), "text").mapInArrow(run, "doc_id long, sid long, n long, key long")
+
+
+def _written(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
+    """signature and key, a row per signature; a set that comes again in one split writes nothing."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(percent), set()
+        for batch in batches:
+            out, keys, size = [], [], 0
+            for items in shingle_sets(batch.column(0), n):
+                if not len(items) or (key := _key(items)) in seen:
+                    continue
+                seen.add(key)
+                out.append(signatures(items, bands, rows))
+                keys.append(key)
+                size += len(out[-1])
+                if size > 100_000:
+                    yield _flat(out, keys)
+                    out, keys, size = [], [], 0
+            if out:
+                yield _flat(out, keys)
+
+    return docs.select("text").mapInArrow(run, "signature long, key long")
+
 
-    return docs.select("doc_id", _sid().alias("sid"), "text").mapInArrow(run, "doc_id long, sid long, n long, key long, signatures array<long>")
+def _flat(written: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(written).astype(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in written]))], names=["signature", "key"])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -314,13 +342,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found, _ = store(_nodes(docs, n, percent, docs.count() if rows is None else rows), "shingles")
+    found, _ = store(_nodes(docs, n), "shingles")
     filled = found.where("key IS NOT NULL")
     # copies inside a split are summed before the shuffle
-    classes, _ = store(filled.groupBy("key").agg(F.min("doc_id").alias("low"), F.min("sid").alias("sid"), F.first("signatures").alias("signatures")), "classes")
-    written = classes.select("key", F.explode("signatures").alias("signature"))
-    shared = written.groupBy("signature").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("signature", "low")
-    members, _ = store(written.join(shared, "signature"), "buckets")
+    classes, _ = store(filled.groupBy("key").agg(F.min("doc_id").alias("low"), F.min("sid").alias("sid")), "classes")
+    written = _written(docs, n, percent, docs.count() if rows is None else rows)
+    bucket = W.partitionBy("signature")
+    members = written.select("signature", "key", F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high")).where("low < high")
+    members, _ = store(members.select("signature", "key", "low").distinct(), "buckets")
     star = members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     wanted = members.select("key").distinct().join(classes.select("key", "sid"), "key")
     sets, _ = store(_sets(docs, wanted, n), "sets")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cairnwork.llm import exact_dedup, jaccard_join, licences, mainhtml, merkle, packing, quality, secretscan, tokenstore
+from cairnwork.llm import exact_dedup, jaccard_join, licences, mainhtml, merkle, packing, pieces, quality, secretscan, tokenstore
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_fingerprints": merkle.op4_fingerprints,
     "op5_license_scan": licences.op5_license_scan,
     "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
