@@ -1,4 +1,6 @@
 """All queries by name, with the SQL that states the same result."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cairnwork.plans import base, evaluation, profiling, scans, splitting  # noqa: F401 - each module registers its queries
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
