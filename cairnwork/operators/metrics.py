@@ -90,8 +90,20 @@ def auc_ovr_macro(scores: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def evaluate(predictions: DataFrame, by: list[str], domain: DataFrame | None = None) -> DataFrame:
-    """by and all scalar metrics of labels."""
-    return accuracy_f1(predictions, by, domain).join(mcc(predictions, by), by).join(cohen_kappa(predictions, by), by)
+    """by and all scalar metrics of labels, from one table of a row per class."""
+    c = counts(predictions, by)
+    wide = c.select(*by, F.explode(F.array(F.struct(F.col("truth").alias("class"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("c")), F.struct(F.col("pred").alias("class"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("c")))).alias("x")).select(*by, "x.*")
+    per = wide.groupBy(*by, "class").agg(*[F.sum(x).cast("double").alias(x) for x in "tpc"])
+    f1 = ratio(2 * F.col("c"), F.col("p") + F.col("t"))
+    sums = per.groupBy(*by).agg(F.sum("t").alias("s"), F.sum("c").alias("c"), F.sum(F.col("t") * F.col("p")).alias("pt"), F.sum(F.col("p") ** 2).alias("pp"), F.sum(F.col("t") ** 2).alias("tt"), F.sum(f1).alias("f1"), F.sum(f1 * F.col("t")).alias("wf1"), F.count("*").cast("double").alias("k"))
+    if domain is not None:  # absent classes count 0
+        sums = sums.crossJoin(domain.agg(F.countDistinct("idx").cast("double").alias("classes"))).drop("k").withColumnRenamed("classes", "k")
+    expected = F.col("pt") / F.col("s") ** 2
+    below = F.sqrt((F.col("s") ** 2 - F.col("pp")) * (F.col("s") ** 2 - F.col("tt")))
+    return sums.select(
+        *by, (F.col("c") / F.col("s")).alias("accuracy"), (F.col("f1") / F.col("k")).alias("macro_f1"), (F.col("wf1") / F.col("s")).alias("weighted_f1"),
+        ratio(F.col("c") * F.col("s") - F.col("pt"), below).alias("mcc"), ratio(F.col("c") / F.col("s") - expected, 1 - expected).alias("kappa"),
+    )
 
 
 def model_comparison(metrics: DataFrame, order: str = "place") -> DataFrame:

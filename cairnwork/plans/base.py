@@ -45,12 +45,16 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 SAMPLES = "samples AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS x FROM events)"
 
 
+#: Near the middle of the values; what is left of them has both signs.
+CENTRE = 250.0
+
+
 def centred(spark: SparkSession, d: str) -> DataFrame:
-    """samples less their series' mean, where a sign is needed."""
-    return samples(spark, d).withColumn("x", F.round(F.col("x") - F.avg("x").over(W.partitionBy("series_id")), 6))
+    """samples less CENTRE, where a sign is needed."""
+    return samples(spark, d).withColumn("x", F.col("x") - CENTRE)
 
 
-CENTRED = SAMPLES + ", centred AS (SELECT series_id, t, round(x - avg(x) OVER (PARTITION BY series_id), 6) AS x FROM samples)"
+CENTRED = SAMPLES + f", centred AS (SELECT series_id, t, x - {CENTRE}::DOUBLE AS x FROM samples)"
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:

@@ -51,7 +51,7 @@ def encode_label(spark, d):
     return files.encode_label(table(spark, d, "events").select("event_id", "event_type"), "event_type", EVENT_TYPES)
 
 
-@query("fix_length", f"WITH {SAMPLES}, g AS (SELECT DISTINCT series_id FROM samples) SELECT series_id, i::INT AS i, coalesce(x, 0) AS x FROM g CROSS JOIN range(64) r(i) LEFT JOIN samples s USING (series_id) WHERE false UNION ALL SELECT g.series_id, i::INT, coalesce(s.x, 0) FROM g CROSS JOIN range(64) r(i) LEFT JOIN samples s ON s.series_id = g.series_id AND s.t = i")
+@query("fix_length", f"WITH {SAMPLES}, g AS (SELECT DISTINCT series_id FROM samples) SELECT g.series_id, i::INT AS i, coalesce(s.x, 0) AS x FROM g CROSS JOIN range(64) r(i) LEFT JOIN samples s ON s.series_id = g.series_id AND s.t = i")
 def fix_length(spark, d):
     x = samples(spark, d).where("t < 64").groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("x"))  # 64 values a series
     return x.select("series_id", F.posexplode(A.fix_length(F.col("x"), 64)).alias("i", "x"))
