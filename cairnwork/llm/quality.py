@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         np.savez_compressed(out, table=table, bias=bias)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
-    made = texts.coalesce(1).mapInArrow(run, "model binary").collect()
+    made = texts.repartition(1).mapInArrow(run, "model binary").collect()
     if not made:  # a table without partitions
         return np.zeros(1 << BITS, np.float32), 0.0
     found = np.load(io.BytesIO(made[0][0]))

@@ -60,7 +60,7 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str, wid
         samples = sorted(x.tobytes() for b in batches for x in _ids(b.column("text").to_pylist(), path, end_id, width))
         yield pa.RecordBatch.from_arrays([pa.array([dictionary_of(samples)], pa.binary())], names=["dictionary"])
 
-    made = texts.coalesce(1).mapInArrow(run, "dictionary binary").collect()
+    made = texts.repartition(1).mapInArrow(run, "dictionary binary").collect()
     return bytes(made[0][0]) if made else b""
 
 
