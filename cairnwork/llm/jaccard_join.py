@@ -6,14 +6,14 @@ with fewer than n words the whole sequence as one; without words empty, and link
 elements, a and b being their sizes.
 
 Method: universe-partition pigeonhole. Sizes are divided into bands that grow by BAND_GROWTH. In band k two sets that
-link differ in at most H_k elements. A hash deals the universe to H_k + 1 segments, so that two such sets have at
-least one identical segment; each set writes a signature (a hash of segment number and segment content) per segment,
-in its own band and, if large enough for partners there, in the next. Allocation by cost: an empty segment matches
-every other empty one, so that where the expected number of such pairs (from the number of rows) costs more than
-more signatures would, empty segments get no signature (they count 0 instead of 1), and as many of SPARE chosen segments count 2:
-those also write the signatures of their one-deletion neighbourhood, so that one difference in them is found. The sum of
-counts stays H_k + 1. A set with more than SPARE empty segments writes the signatures of all its segments; two such
-sets find each other by identical segments, any other pair by the counts of the one that has fewer empty segments.
+link differ in at most H_k elements. A hash deals the universe to H_k + 1 + E segments, so that two such sets have at
+least 1 + E identical segments; each set writes a signature (a hash of segment number and segment content) per segment,
+in its own band and, if large enough for partners there, in the next. An empty segment would match every other empty
+one, so that empty segments get no signature (they count 0 instead of 1). S spare segments make up for them by
+counting 2: those also write the signatures of their one-deletion neighbourhood, so that one difference in
+them is found. What counts sum up to stays above H_k while a set has at most E + S empty segments; one that has more
+writes all its segments, and two such sets find each other by an identical segment, any other pair by the counts of the
+one with fewer empty ones. E and S are allocated per band by least expected cost, see allocate().
 
 Equal sets collapse to one node first. Signatures that several nodes write make buckets. Round 1 compares every member with
 its bucket's least node (as many pairs as members, so that a large group of near copies costs no square) and
@@ -29,6 +29,7 @@ repeated rows give a row each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -54,7 +55,8 @@ class Bands:
     def __init__(self, percent: int) -> None:
         self.percent = percent
         self.low: list[int] = [1]
-        self.segments: list[int] = []
+        self.segments: list[int] = []  # the least number: one more than sets may differ in
+        self.plans: dict[tuple[int, int], tuple[int, int]] = {}
 
     def _grow(self) -> None:
         k = len(self.segments)
@@ -82,6 +84,12 @@ class Bands:
             self._grow()
         return self.segments[k]
 
+    def plan(self, k: int, rows: int) -> tuple[int, int]:
+        """allocate() of a band, worked out once."""
+        if (k, rows) not in self.plans:
+            self.plans[k, rows] = allocate(self.low[k], self.count(k) - 1, rows)
+        return self.plans[k, rows]
+
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
@@ -108,21 +116,38 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def spares(low: int, segments: int, rows: int) -> int:
-    """Segments of a band that count 2 where they must: allocation by expected cost."""
-    mean = low / segments
-    empty = np.exp(-mean)
-    pairs = segments * empty * (rows / 20) * empty  # per set: its empty segments times the band's other sets with the same one empty
-    return min(SPARE, segments - 1) if PAIR_COST * pairs > SPARE * (mean + 1) else 0
+def allocate(low: int, differ: int, rows: int) -> tuple[int, int]:
+    """(segments, spare ones among them that count 2) of a band whose sets have low elements or more: the least expected cost.
+
+    Tried are up to 30 % segments more than differ + 1 (16 at least) and up to SPARE spare ones. A set can then leave out as many
+    empty segments as both numbers say together; sets that have more (a Poisson tail) write those too, and pairs of such
+    sets meet in them. Costs are signatures, and pairs at PAIR_COST each.
+    """
+    best = (math.inf, differ + 1, 0)
+    for extra in sorted({*range(17), *(differ * percent // 100 for percent in range(1, 31))}):
+        m = differ + 1 + extra
+        mean = low / m
+        empty = math.exp(-mean)
+        for spare in range(min(SPARE, m - 1) + 1):
+            expected = (m - spare) * empty
+            term = below = math.exp(-expected)
+            for k in range(1, extra + spare + 1):
+                term *= expected / k
+                below += term
+            tail = max(0.0, 1 - below)
+            pairs = tail * (expected + extra + spare) * tail * empty * rows / 20  # a twentieth of the rows in a band
+            best = min(best, (m + spare * mean + PAIR_COST * pairs, m, spare))
+    return best[1:]
 
 
 def signatures(items: np.ndarray, bands: Bands, rows: int) -> np.ndarray:
     """The signatures of a set (sorted hashes)."""
     out = []
     for k in bands.of(len(items)):
-        m = bands.count(k)
-        if m == 1:
+        differ = bands.count(k) - 1
+        if not differ:
             continue  # only equal sets link, and those are one node already
+        m, spare = bands.plan(k, rows)
         salt = np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
         moved = ta.mix(items + salt)  # every band deals the universe anew
         segment = ((moved >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
@@ -135,13 +160,12 @@ def signatures(items: np.ndarray, bands: Bands, rows: int) -> np.ndarray:
         size = np.diff(at)
         number = np.arange(m, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + salt + np.uint64(1)
         write = np.ones(m, bool)
-        spare = spares(bands.low[k], m, rows)
         if spare:
             last = np.arange(m - spare, m)
             out.extend(ta.mix((content[s] - weights[at[s] : at[s + 1]]) ^ ta.mix(np.full(size[s], number[s]))) for s in last)
-            free = np.flatnonzero(size[: m - spare] == 0)
-            if len(free) <= spare:
-                write[free] = False  # a partner has by this set's counts an equal segment that isn't empty, or a near spare one
+        free = np.flatnonzero(size[: m - spare] == 0)
+        if len(free) <= m - 1 - differ + spare:
+            write[free] = False  # a partner has by this set's counts an equal segment that isn't empty, or a near spare one
         out.append(ta.mix(content ^ ta.mix(number))[write])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 

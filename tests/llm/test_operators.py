@@ -218,8 +218,10 @@ def brute_components(rows, n, percent):
     return collections.Counter((rows[x][0], len(sets[x]), low[top(x)]) for x in range(len(rows)))
 
 
-@pytest.mark.parametrize(("n", "percent", "planned"), [(3, 90, None), (3, 90, 10**9), (2, 70, 10**9), (5, 80, None)])
+@pytest.mark.parametrize(("n", "percent", "planned"), [(3, 90, None), (3, 90, 10**9), (2, 70, 10**9), (5, 80, None), (3, 80, "spare")])
 def test_jaccard_join(spark, docs, rows, empty, n, percent, planned):
+    if planned == "spare":
+        return spare_segments_find_every_link()
     rng = np.random.default_rng(11)
     family = [f"w{k}" for k in range(60)]
     more = []
@@ -237,6 +239,22 @@ def test_jaccard_join(spark, docs, rows, empty, n, percent, planned):
         assert jaccard_join.jaccard_components(docs.select("doc_id", "text", "key", "sid")).count() == len(rows)
 
 
+def spare_segments_find_every_link():
+    """Any allocation gives two linked sets a signature in common."""
+    rng = np.random.default_rng(8)
+    for percent in (70, 80, 90):
+        for plan in ((0, 0), (0, 1), (0, 2), (1, 0), (3, 1), (6, 2)):
+            bands = jaccard_join.Bands(percent)
+            bands.plan = lambda k, rows, b=bands, p=plan: (b.count(k) + p[0], min(p[1], b.count(k) + p[0] - 1))
+            for _ in range(400):
+                a = np.unique(rng.integers(0, 2**63, int(rng.integers(2, 120)), dtype=np.uint64))
+                out = int(rng.integers(0, 8))
+                b = np.unique(np.concatenate([rng.permutation(a)[: max(1, len(a) - out)], rng.integers(0, 2**63, int(rng.integers(0, 5)), dtype=np.uint64)]))
+                shared = len(np.intersect1d(a, b))
+                if 100 * shared >= percent * (len(a) + len(b) - shared) and shared < max(len(a), len(b)):
+                    assert len(np.intersect1d(jaccard_join.signatures(a, bands, 1), jaccard_join.signatures(b, bands, 1))), (percent, plan, len(a), len(b))
+
+
 def test_large_buckets_go_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK", 8)
     rng = np.random.default_rng(5)
