@@ -39,8 +39,9 @@ def logsumexp(x: Column) -> Column:
 
 def softmax(x: Column) -> Column:
     """Stable: the maximum is subtracted first."""
-    whole = logsumexp(x)
-    return F.transform(x, lambda v: F.exp(v - whole))
+    raised = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
+    # the sum is bound once, as the one element of an array
+    return F.flatten(F.transform(F.array(F.struct(raised.alias("e"), total(raised).alias("s"))), lambda r: F.transform(r["e"], lambda v: v / r["s"])))
 
 
 def argmax(x: Column) -> Column:

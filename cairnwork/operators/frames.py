@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cairnwork.functions import arrays as A
 
-BY_FRAME = W.partitionBy("series_id").orderBy("frame")
+def by_frame():
+    return W.partitionBy("series_id").orderBy("frame")
 
 
 def frame_series(samples: DataFrame, length: int, hop: int) -> DataFrame:
@@ -49,7 +50,7 @@ def autocorrelation(x: Column, lags: range) -> Column:
 
 def mean_step_ratio(track: DataFrame, value: str, out: str) -> DataFrame:
     """series_id, out: mean |step| / mean of the values in order of frame; 0 for fewer than two."""
-    steps = track.withColumn("step", F.abs(F.col(value) - F.lag(value).over(BY_FRAME)))
+    steps = track.withColumn("step", F.abs(F.col(value) - F.lag(value).over(by_frame())))
     agg = steps.groupBy("series_id").agg(F.count(value).alias("n"), F.avg("step").alias("s"), F.avg(value).alias("m"))
     return agg.select("series_id", F.when((F.col("n") < 2) | (F.col("m") == 0), 0.0).otherwise(F.col("s") / F.col("m")).alias(out))
 
@@ -89,7 +90,7 @@ def f0_track(frames: DataFrame, rate: float, low: int, high: int, threshold: flo
 def f0_summary(frames: DataFrame, f0: DataFrame) -> DataFrame:
     """series_id, f0_mean, f0_std (population), f0_max, f0_min, f0_range, voiced, f0_slope (per voiced frame); zeros without voiced frames."""
     total = frames.groupBy("series_id").agg(F.count("*").alias("frames"))
-    numbered = f0.withColumn("k", (F.row_number().over(BY_FRAME) - 1).cast("double"))
+    numbered = f0.withColumn("k", (F.row_number().over(by_frame()) - 1).cast("double"))
     s = numbered.groupBy("series_id").agg(F.avg("f0").alias("f0_mean"), F.stddev_pop("f0").alias("f0_std"), F.max("f0").alias("f0_max"), F.min("f0").alias("f0_min"), F.count("*").alias("n"), F.regr_slope("f0", "k").alias("f0_slope"))
     names = ["f0_mean", "f0_std", "f0_max", "f0_min", "f0_slope"]
     full = total.join(s, "series_id", "left").fillna(0, ["n", *names])

@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 from cairnwork.functions.hashing import uniform
 
-BY_TIME = W.partitionBy("series_id").orderBy("t")
-BY_SERIES = W.partitionBy("series_id")
+def by_time():
+    return W.partitionBy("series_id").orderBy("t")
+
+
+def by_series():
+    return W.partitionBy("series_id")
 
 
 def normal(seed: int | str, *columns: str) -> Column:
@@ -31,13 +35,13 @@ def add_noise(x: Column, amplitude: float | Column, seed: int = 42) -> Column:
 def add_noise_snr(samples: DataFrame, snr_db: float, seed: int = 42) -> DataFrame:
     """samples with y = x + noise scaled to the signal's power less snr_db, per series."""
     noisy = samples.withColumn("noise", normal(seed, "series_id", "t"))
-    power, own = F.avg(F.col("x") * F.col("x")).over(BY_SERIES), F.avg(F.col("noise") * F.col("noise")).over(BY_SERIES)
+    power, own = F.avg(F.col("x") * F.col("x")).over(by_series()), F.avg(F.col("noise") * F.col("noise")).over(by_series())
     return noisy.withColumn("y", F.col("x") + F.col("noise") * F.sqrt(power / (own * 10 ** (snr_db / 10)))).drop("noise")
 
 
 def time_shift(x: Column, k: int) -> Column:
     """k > 0 delays, k < 0 advances; 0 comes in."""
-    return F.lag(x, k, 0.0).over(BY_TIME) if k >= 0 else F.lead(x, -k, 0.0).over(BY_TIME)
+    return F.lag(x, k, 0.0).over(by_time()) if k >= 0 else F.lead(x, -k, 0.0).over(by_time())
 
 
 def random_gain(x: Column, low: float = -6.0, high: float = 6.0, seed: int = 42) -> Column:
@@ -53,7 +57,7 @@ def fir_convolve(samples: DataFrame, impulse: list[float], wet: float) -> DataFr
     """series_id, t, x = (1 - wet) * x + wet * (x * h), cut to the series' length. The impulse is a literal: taps become lags."""
     out = F.lit(0.0)
     for k, h in enumerate(impulse):
-        out = out + h * F.lag("x", k, 0.0).over(BY_TIME)
+        out = out + h * F.lag("x", k, 0.0).over(by_time())
     return samples.withColumn("x", (1 - wet) * F.col("x") + wet * out)
 
 
