@@ -59,12 +59,15 @@ def split_then_augment(spark, d):
     return both.select("protocol", "test_rows", "leaked", F.round("leak_rate", 6).alias("leak_rate"))
 
 
-@query("add_noise")
+NOISE = "sqrt(-2 * ln(1 - {0})) * cos(2 * pi() * {1})".format(U32.format("'42a|' || series_id || '|' || t"), U32.format("'42b|' || series_id || '|' || t"))
+
+
+@query("add_noise", f"WITH {CENTRED} SELECT series_id, t, round(x + 0.005 * {NOISE}, 7) AS y FROM centred")
 def add_noise(spark, d):
-    return centred(spark, d).withColumn("y", transforms.add_noise(F.col("x"), 0.005))
+    return centred(spark, d).select("series_id", "t", F.round(transforms.add_noise(F.col("x"), 0.005), 7).alias("y"))
 
 
-@query("add_noise_snr")
+@query("add_noise_snr", f"WITH {CENTRED}, n AS (SELECT *, {NOISE} AS e FROM centred), y AS (SELECT *, e * sqrt(avg(x * x) OVER (PARTITION BY series_id) / (avg(e * e) OVER (PARTITION BY series_id) * 10)) AS s FROM n) SELECT series_id, round(10 * log10(avg(x * x) / avg(s * s)), 6) AS snr_db FROM y GROUP BY 1")
 def add_noise_snr(spark, d):
     """series_id and the ratio reached, in dB."""
     noisy = transforms.add_noise_snr(centred(spark, d), 10.0)

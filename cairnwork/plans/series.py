@@ -12,6 +12,7 @@ from cairnwork.operators import frames as fr
 from cairnwork.operators import spectral as sp
 from cairnwork.operators import transforms
 from cairnwork.plans.base import CENTRED, centred, query
+from cairnwork.plans.splitting import U32
 
 N, HOP, RATE, BANDS, CEPS, LOW = 16, 8, 16.0, 6, 4, 1.0
 LAGS = (2, 8)
@@ -290,9 +291,19 @@ def domain_vector_32(spark, d):
     return joined([whole, means, deltas]).select("series_id", F.concat(F.array(*scalars), "cepstrum", "deltas").alias("vector"))
 
 
-@query("spec_mask")
+def mask_sql() -> str:
+    out = []
+    for axis, size in (("band", BANDS), ("frame", 8)):
+        for m in range(2):
+            width = f"floor({U32.format(f"'42{axis}w{m}|' || series_id")} * 3)"
+            start = f"floor({U32.format(f"'42{axis}s{m}|' || series_id")} * greatest({size} - {width}, 1))"
+            out.append(f"({axis} >= {start} AND {axis} < {start} + {width})")
+    return " OR ".join(out)
+
+
+@query("spec_mask", f"WITH {DB} SELECT series_id, frame, band, {r(f'CASE WHEN {mask_sql()} THEN 0 ELSE db END')} AS db FROM db")
 def spec_mask(spark, d):
-    return transforms.spec_mask(bands_db(spark, d).select("series_id", "frame", F.posexplode("db").alias("band", "db")), BANDS, 8, 2, 2)
+    return rounded(transforms.spec_mask(bands_db(spark, d).select("series_id", "frame", F.posexplode("db").alias("band", "db")), BANDS, 8, 2, 2), "db")
 
 
 @query("band_normalize", f"WITH {DB}, t AS (SELECT band, avg(db) AS m, stddev_pop(db) AS s FROM db WHERE series_id % 5 <> 0 GROUP BY band) SELECT series_id, frame, band, {r('(db - m) / (s + 1e-8)', 4)} AS z FROM db JOIN t USING (band)")
