@@ -35,9 +35,9 @@ SHORT = 200
 
 
 def runs(text: F.Column) -> F.Column:
-    """Digests (32 bits) of the runs of up to four words, in order."""
+    """Digests (8 hexadecimal digits) of the runs of up to four words, in order."""
     found = F.regexp_extract_all(text, F.when(F.length(text) < SHORT, F.lit(r"[^ \n]+")).otherwise(F.lit(RUN)), F.lit(0))
-    return F.transform(found, lambda x: F.xxhash64(x).bitwiseAND(0xFFFFFFFF))
+    return F.transform(found, lambda x: F.substring(F.md5(x), 1, 8))
 
 
 def nodes(text: F.Column) -> F.Column:
@@ -49,7 +49,7 @@ def nodes(text: F.Column) -> F.Column:
 def fingerprint(sections: F.Column, digests: F.Column) -> F.Column:
     root = F.sha2(F.array_join(F.transform(sections, lambda s: s["node"]), ";"), 256)
     middle = F.array_join(F.transform(sections, lambda s: F.array_join(s["paragraphs"], ",")), ";")
-    return F.concat_ws("/", root, middle, F.array_join(F.transform(digests, lambda d: F.lpad(F.lower(F.hex(d)), 8, "0")), ""))
+    return F.concat_ws("/", root, middle, F.array_join(digests, ""))
 
 
 def likeness(a: F.Column, b: F.Column) -> F.Column:
@@ -112,3 +112,30 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), nodes(F.col("text")).alias("nodes"), runs(F.col("text")).alias("runs"), nodes(F.col("edited")).alias("edited_nodes"), runs(F.col("edited")).alias("edited_runs"), runs(F.col("next_text")).alias("next_runs"))
     return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("nodes"), F.col("runs")).alias("fingerprint"), fingerprint(F.col("edited_nodes"), F.col("edited_runs")).alias("edited_fingerprint"), likeness(F.col("runs"), F.col("edited_runs")).alias("near_edited"), likeness(F.col("runs"), F.col("next_runs")).alias("near_next"))
+
+
+def _runs_sql(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, CASE WHEN length({text}) < {SHORT} THEN '[^ \\n]+' ELSE '{RUN}' END), lambda x: substr(md5(x), 1, 8))"
+
+
+def _print_sql(text: str, runs_of: str) -> str:
+    nodes_of = f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: substr(sha256(p), 1, 16)))"
+    root = f"sha256(array_to_string(list_transform({nodes_of}, lambda s: sha256(array_to_string(s, ','))), ';'))"
+    return f"{root} || '/' || array_to_string(list_transform({nodes_of}, lambda s: array_to_string(s, ',')), ';') || '/' || coalesce(array_to_string({runs_of}, ''), '')"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    shared = f"len(list_intersect({a}, {b}))"
+    placed = f"len(list_filter(range(1, least(len({a}), len({b})) + 1), lambda i: {a}[i] = {b}[i]))"
+    return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 ELSE greatest(2.0::DOUBLE * {shared} / greatest(len(list_distinct({a})) + len(list_distinct({b})), 1), {placed} / greatest(len({a}), len({b}), 1)) END"
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text, length(text) AS n_chars FROM d),
+e AS (SELECT *, substr(text, 1, n_chars - n_chars // 2) || substr(next_text, 1, n_chars // 2) AS edited FROM n),
+r AS (SELECT *, {_runs_sql('text')} AS runs, {_runs_sql('edited')} AS edited_runs, {_runs_sql('next_text')} AS next_runs FROM e)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_print_sql('text', 'runs')} AS fingerprint, {_print_sql('edited', 'edited_runs')} AS edited_fingerprint,
+       {_likeness_sql('runs', 'edited_runs')} AS near_edited, {_likeness_sql('runs', 'next_runs')} AS near_next
+FROM r
+"""

@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op4_fingerprints": merkle.ORACLE_SQL,
+    "op6_ngram_jaccard": jaccard_join.ORACLE_SQL,
 }
