@@ -15,6 +15,9 @@ them is found. What counts sum up to stays above H_k while a set has at most E +
 writes all its segments, and two such sets find each other by an identical segment, any other pair by the counts of the
 one with fewer empty ones. E and S are allocated per band by least expected cost, see allocate().
 
+Sets that link share 1 + E identical segments less the empty ones at least; a node whose signatures are shared (with any other node)
+less often than that has no link in the band, and leaves before anything is compared.
+
 Equal sets collapse to one node first. Signatures that several nodes write make buckets. Round 1 compares every member with
 its bucket's least node (as many pairs as members, so that a large group of near copies costs no square) and
 joins what links. Round 2 compares, in buckets whose members are not all joined yet, pairs of different components.
@@ -43,6 +46,8 @@ from cairnwork.llm.common import load, ship, store
 
 BAND_GROWTH = 1.3
 SPARE = 2
+#: Percent of extra segments at least: linked sets then have so many identical segments more than one.
+LEAST_EXTRA = 15
 #: What a compared pair costs, in signatures.
 PAIR_COST = 5
 #: Nodes of one chunk of a large bucket.
@@ -119,12 +124,13 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 def allocate(low: int, differ: int, rows: int) -> tuple[int, int]:
     """(segments, spare ones among them that count 2) of a band whose sets have low elements or more: the least expected cost.
 
-    Tried are up to 30 % segments more than differ + 1 (16 at least) and up to SPARE spare ones. A set can then leave out as many
+    Tried are LEAST_EXTRA to 45 % segments more than differ + 1 (a range of 16 at least) and up to SPARE spare ones. A set can then leave out as many
     empty segments as both numbers say together; sets that have more (a Poisson tail) write those too, and pairs of such
     sets meet in them. Costs are signatures, and pairs at PAIR_COST each.
     """
     best = (math.inf, differ + 1, 0)
-    for extra in sorted({*range(17), *(differ * percent // 100 for percent in range(1, 31))}):
+    least = differ * LEAST_EXTRA // 100
+    for extra in sorted({*range(least, least + 17), *(differ * percent // 100 for percent in range(LEAST_EXTRA, 46))}):
         m = differ + 1 + extra
         mean = low / m
         empty = math.exp(-mean)
@@ -140,9 +146,12 @@ def allocate(low: int, differ: int, rows: int) -> tuple[int, int]:
     return best[1:]
 
 
-def signatures(items: np.ndarray, bands: Bands, rows: int) -> np.ndarray:
-    """The signatures of a set (sorted hashes)."""
-    out = []
+def signatures(items: np.ndarray, bands: Bands, rows: int) -> tuple[np.ndarray, list[int]]:
+    """The signatures of a set (sorted hashes), and how many of them at least a set that links shares, by parity of the band.
+
+    A signature's lowest bit is the parity of its band, as a set writes in a band and perhaps in the next one.
+    """
+    out, need = [], [0, 0]
     for k in bands.of(len(items)):
         differ = bands.count(k) - 1
         if not differ:
@@ -160,14 +169,18 @@ def signatures(items: np.ndarray, bands: Bands, rows: int) -> np.ndarray:
         size = np.diff(at)
         number = np.arange(m, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + salt + np.uint64(1)
         write = np.ones(m, bool)
+        made = []
         if spare:
             last = np.arange(m - spare, m)
-            out.extend(ta.mix((content[s] - weights[at[s] : at[s + 1]]) ^ ta.mix(np.full(size[s], number[s]))) for s in last)
+            made.extend(ta.mix((content[s] - weights[at[s] : at[s + 1]]) ^ ta.mix(np.full(size[s], number[s]))) for s in last)
         free = np.flatnonzero(size[: m - spare] == 0)
+        need[k & 1] = 1
         if len(free) <= m - 1 - differ + spare:
             write[free] = False  # a partner has by this set's counts an equal segment that isn't empty, or a near spare one
-        out.append(ta.mix(content ^ ta.mix(number))[write])
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            need[k & 1] = max(1, m - differ - len(free))  # of m - differ identical segments at least, all but the empty ones are written
+        made.append(ta.mix(content ^ ta.mix(number))[write])
+        out.append(np.unique(np.concatenate(made)) & ~np.uint64(1) | np.uint64(k & 1))
+    return (np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)), need
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
@@ -194,18 +207,21 @@ def _sid() -> F.Column:
     return F.coalesce(F.col("doc_id"), -1 - F.abs(F.xxhash64("text") % (1 << 62)))
 
 
-def _nodes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, sid, n (set size) and key (node; null for an empty set) of every document."""
+def _nodes(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
+    """doc_id, sid, n (set size), key (node; null for an empty set), need0 and need1 (see signatures()) of every document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, needs = [], [], ([], [])
             for items in shingle_sets(batch.column(2), n):
                 sizes.append(len(items))
                 keys.append(_key(items) if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "sid", "n", "key"])
+                for k, need in enumerate(signatures(items, bands, rows)[1] if len(items) else (0, 0)):
+                    needs[k].append(need)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(needs[0], pa.int32()), pa.array(needs[1], pa.int32())], names=["doc_id", "sid", "n", "key", "need0", "need1"])
 
-    return docs.select("doc_id", _sid().alias("sid"), "text").mapInArrow(run, "doc_id long, sid long, n long, key long")
+    return docs.select("doc_id", _sid().alias("sid"), "text").mapInArrow(run, "doc_id long, sid long, n long, key long, need0 int, need1 int")
 
 
 def _written(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
@@ -219,7 +235,7 @@ def _written(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
                 if not len(items) or (key := _key(items)) in seen:
                     continue
                 seen.add(key)
-                out.append(signatures(items, bands, rows))
+                out.append(signatures(items, bands, rows)[0])
                 keys.append(key)
                 size += len(out[-1])
                 if size > 100_000:
@@ -366,14 +382,21 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found, _ = store(_nodes(docs, n), "shingles")
+    rows = docs.count() if rows is None else rows
+    found, _ = store(_nodes(docs, n, percent, rows), "shingles")
     filled = found.where("key IS NOT NULL")
     # copies inside a split are summed before the shuffle
-    classes, _ = store(filled.groupBy("key").agg(F.min("doc_id").alias("low"), F.min("sid").alias("sid")), "classes")
-    written = _written(docs, n, percent, docs.count() if rows is None else rows)
+    classes, _ = store(filled.groupBy("key").agg(F.min("doc_id").alias("low"), F.min("sid").alias("sid"), F.min("need0").alias("need0"), F.min("need1").alias("need1")), "classes")
     bucket = W.partitionBy("signature")
-    members = written.select("signature", "key", F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high")).where("low < high")
-    members, _ = store(members.select("signature", "key", "low").distinct(), "buckets")
+    shared = _written(docs, n, percent, rows).select("signature", "key", F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high")).where("low < high")
+    shared, _ = store(shared.select("signature", "key").distinct(), "shared")
+    # nodes that share fewer signatures than a linked one does have no link in that band
+    parity = F.col("signature").bitwiseAND(1).alias("parity")
+    counted = shared.groupBy("key", parity).agg(F.count("*").alias("c")).join(classes.select("key", "need0", "need1"), "key")
+    likely = counted.where("c >= CASE parity WHEN 0 THEN need0 ELSE need1 END").select("key", "parity")
+    likely = shared.withColumn("parity", parity).join(likely, ["key", "parity"], "left_semi").select("signature", "key")
+    members = likely.select("signature", "key", F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high")).where("low < high")
+    members, _ = store(members.select("signature", "key", "low"), "buckets")
     star = members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     wanted = members.select("key").distinct().join(classes.select("key", "sid"), "key")
     sets, _ = store(_sets(docs, wanted, n), "sets")
