@@ -45,32 +45,38 @@ def per_class_report(predictions: DataFrame, by: list[str] = (), domain: DataFra
     return full.select(*key, precision.alias("precision"), recall.alias("recall"), ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"), "support")
 
 
-def accuracy_f1(predictions: DataFrame, by: list[str] = (), domain: DataFrame | None = None) -> DataFrame:
-    """by, accuracy, macro_f1, weighted_f1; macro over the domain, or over observed labels where it is None."""
-    report = per_class_report(predictions, by, domain).groupBy(*by).agg(F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))
-    accuracy = predictions.groupBy(*by).agg(F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("accuracy"))
-    joined = accuracy.join(report, list(by)) if by else accuracy.crossJoin(report)  # one row each
-    return joined.select(*by, "accuracy", "macro_f1", "weighted_f1")
+def _sums(predictions: DataFrame, by: list[str], domain: DataFrame | None) -> DataFrame:
+    """by, s (rows), c (right), pt, pp, tt (sums of products over classes), f1, wf1, seen (observed classes), k (classes to average over).
+
+    One pass: counts per (truth, pred), two rows of a count per class, then sums.
+    """
+    by = list(by)
+    zero = F.lit(0).cast("long")
+    right = F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)
+    two = F.array(F.struct(F.col("truth").alias("class"), F.col("n").alias("t"), zero.alias("p"), right.alias("c")), F.struct(F.col("pred").alias("class"), zero.alias("t"), F.col("n").alias("p"), zero.alias("c")))
+    per = counts(predictions, by).select(*by, F.explode(two).alias("x")).select(*by, "x.*").groupBy(*by, "class").agg(*[F.sum(x).cast("double").alias(x) for x in "tpc"])
+    f1 = ratio(2 * F.col("c"), F.col("p") + F.col("t"))
+    sums = per.groupBy(*by).agg(F.sum("t").alias("s"), F.sum("c").alias("c"), F.sum(F.col("t") * F.col("p")).alias("pt"), F.sum(F.col("p") ** 2).alias("pp"), F.sum(F.col("t") ** 2).alias("tt"), F.sum(f1).alias("f1"), F.sum(f1 * F.col("t")).alias("wf1"), F.count("*").cast("double").alias("seen"))
+    if domain is None:
+        return sums.withColumn("k", F.col("seen"))
+    return sums.crossJoin(domain.agg(F.countDistinct("idx").cast("double").alias("k")))  # one row; absent classes count 0
 
 
-def _marginals(predictions: DataFrame, by: list[str]) -> DataFrame:
-    """by, s (rows), c (right), pt (sum of p*t), pp, tt (sums of squares)."""
-    c = counts(predictions, by)
-    long = c.select(*by, F.col("truth").alias("class"), F.col("n").alias("t"), F.lit(0).alias("p"), F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("c"))
-    long = long.unionByName(c.select(*by, F.col("pred").alias("class"), F.lit(0).alias("t"), F.col("n").alias("p"), F.lit(0).alias("c")))
-    per = long.groupBy(*by, "class").agg(*[F.sum(x).cast("double").alias(x) for x in "tpc"])
-    return per.groupBy(*by).agg(F.sum("t").alias("s"), F.sum("c").alias("c"), F.sum(F.col("t") * F.col("p")).alias("pt"), F.sum(F.col("p") ** 2).alias("pp"), F.sum(F.col("t") ** 2).alias("tt"))
+def accuracy_f1(predictions: DataFrame, by: list[str] = (), domain: DataFrame | None = None) -> DataFrame:
+    """by, accuracy, macro_f1, observed_f1, weighted_f1; macro over the domain, observed over labels in truth or prediction."""
+    s = _sums(predictions, by, domain)
+    return s.select(*by, (F.col("c") / F.col("s")).alias("accuracy"), (F.col("f1") / F.col("k")).alias("macro_f1"), (F.col("f1") / F.col("seen")).alias("observed_f1"), (F.col("wf1") / F.col("s")).alias("weighted_f1"))
 
 
 def mcc(predictions: DataFrame, by: list[str] = ()) -> DataFrame:
     """Multiclass Matthews correlation, 0 where a side is constant."""
-    m = _marginals(predictions, list(by))
+    m = _sums(predictions, by, None)
     below = F.sqrt((F.col("s") ** 2 - F.col("pp")) * (F.col("s") ** 2 - F.col("tt")))
     return m.select(*by, ratio(F.col("c") * F.col("s") - F.col("pt"), below).alias("mcc"))
 
 
 def cohen_kappa(predictions: DataFrame, by: list[str] = ()) -> DataFrame:
-    m = _marginals(predictions, list(by))
+    m = _sums(predictions, by, None)
     expected = F.col("pt") / F.col("s") ** 2
     return m.select(*by, ratio(F.col("c") / F.col("s") - expected, 1 - expected).alias("kappa"))
 
@@ -90,17 +96,10 @@ def auc_ovr_macro(scores: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def evaluate(predictions: DataFrame, by: list[str], domain: DataFrame | None = None) -> DataFrame:
-    """by and all scalar metrics of labels, from one table of a row per class."""
-    c = counts(predictions, by)
-    wide = c.select(*by, F.explode(F.array(F.struct(F.col("truth").alias("class"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("c")), F.struct(F.col("pred").alias("class"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("c")))).alias("x")).select(*by, "x.*")
-    per = wide.groupBy(*by, "class").agg(*[F.sum(x).cast("double").alias(x) for x in "tpc"])
-    f1 = ratio(2 * F.col("c"), F.col("p") + F.col("t"))
-    sums = per.groupBy(*by).agg(F.sum("t").alias("s"), F.sum("c").alias("c"), F.sum(F.col("t") * F.col("p")).alias("pt"), F.sum(F.col("p") ** 2).alias("pp"), F.sum(F.col("t") ** 2).alias("tt"), F.sum(f1).alias("f1"), F.sum(f1 * F.col("t")).alias("wf1"), F.count("*").cast("double").alias("k"))
-    if domain is not None:  # absent classes count 0
-        sums = sums.crossJoin(domain.agg(F.countDistinct("idx").cast("double").alias("classes"))).drop("k").withColumnRenamed("classes", "k")
+    """by and all scalar metrics of labels, from one pass."""
     expected = F.col("pt") / F.col("s") ** 2
     below = F.sqrt((F.col("s") ** 2 - F.col("pp")) * (F.col("s") ** 2 - F.col("tt")))
-    return sums.select(
+    return _sums(predictions, by, domain).select(
         *by, (F.col("c") / F.col("s")).alias("accuracy"), (F.col("f1") / F.col("k")).alias("macro_f1"), (F.col("wf1") / F.col("s")).alias("weighted_f1"),
         ratio(F.col("c") * F.col("s") - F.col("pt"), below).alias("mcc"), ratio(F.col("c") / F.col("s") - expected, 1 - expected).alias("kappa"),
     )
