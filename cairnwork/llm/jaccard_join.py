@@ -146,20 +146,37 @@ def allocate(low: int, differ: int, rows: int) -> tuple[int, int]:
     return best[1:]
 
 
-def signatures(items: np.ndarray, bands: Bands, rows: int) -> tuple[np.ndarray, list[int]]:
-    """The signatures of a set (sorted hashes), and how many of them at least a set that links shares, by parity of the band.
+def _segments(items: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """Hashes that belong to band k alone, the segment of each, and the band's salt: every band deals the universe anew."""
+    salt = np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    moved = ta.mix(items + salt)
+    return moved, ((moved >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64), salt
+
+
+def needs(items: np.ndarray, bands: Bands, rows: int) -> list[int]:
+    """By parity of the band, how many of its signatures a set shares at least with one that links; 0 where it writes none."""
+    need = [0, 0]
+    for k in bands.of(len(items)):
+        if differ := bands.count(k) - 1:
+            m, spare = bands.plan(k, rows)
+            free = m - spare - int(np.count_nonzero(np.bincount(_segments(items, k, m)[1], minlength=m)[: m - spare]))
+            # of m - differ identical segments at least, all but the empty ones are written
+            need[k & 1] = max(1, m - differ - free) if free <= m - 1 - differ + spare else 1
+    return need
+
+
+def signatures(items: np.ndarray, bands: Bands, rows: int) -> np.ndarray:
+    """The signatures of a set (sorted hashes).
 
     A signature's lowest bit is the parity of its band, as a set writes in a band and perhaps in the next one.
     """
-    out, need = [], [0, 0]
+    out = []
     for k in bands.of(len(items)):
         differ = bands.count(k) - 1
         if not differ:
             continue  # only equal sets link, and those are one node already
         m, spare = bands.plan(k, rows)
-        salt = np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-        moved = ta.mix(items + salt)  # every band deals the universe anew
-        segment = ((moved >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        moved, segment, salt = _segments(items, k, m)
         order = np.argsort(segment, kind="stable")
         total = np.zeros(len(items) + 1, np.uint64)
         weights = ta.mix(moved[order])
@@ -174,13 +191,11 @@ def signatures(items: np.ndarray, bands: Bands, rows: int) -> tuple[np.ndarray,
             last = np.arange(m - spare, m)
             made.extend(ta.mix((content[s] - weights[at[s] : at[s + 1]]) ^ ta.mix(np.full(size[s], number[s]))) for s in last)
         free = np.flatnonzero(size[: m - spare] == 0)
-        need[k & 1] = 1
         if len(free) <= m - 1 - differ + spare:
             write[free] = False  # a partner has by this set's counts an equal segment that isn't empty, or a near spare one
-            need[k & 1] = max(1, m - differ - len(free))  # of m - differ identical segments at least, all but the empty ones are written
         made.append(ta.mix(content ^ ta.mix(number))[write])
         out.append(np.unique(np.concatenate(made)) & ~np.uint64(1) | np.uint64(k & 1))
-    return (np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)), need
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
@@ -208,18 +223,18 @@ def _sid() -> F.Column:
 
 
 def _nodes(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
-    """doc_id, sid, n (set size), key (node; null for an empty set), need0 and need1 (see signatures()) of every document."""
+    """doc_id, sid, n (set size), key (node; null for an empty set), need0 and need1 (see needs()) of every document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            sizes, keys, needs = [], [], ([], [])
+            sizes, keys, shares = [], [], ([], [])
             for items in shingle_sets(batch.column(2), n):
                 sizes.append(len(items))
                 keys.append(_key(items) if len(items) else None)
-                for k, need in enumerate(signatures(items, bands, rows)[1] if len(items) else (0, 0)):
-                    needs[k].append(need)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(needs[0], pa.int32()), pa.array(needs[1], pa.int32())], names=["doc_id", "sid", "n", "key", "need0", "need1"])
+                for k, need in enumerate(needs(items, bands, rows) if len(items) else (0, 0)):
+                    shares[k].append(need)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(shares[0], pa.int32()), pa.array(shares[1], pa.int32())], names=["doc_id", "sid", "n", "key", "need0", "need1"])
 
     return docs.select("doc_id", _sid().alias("sid"), "text").mapInArrow(run, "doc_id long, sid long, n long, key long, need0 int, need1 int")
 
@@ -235,7 +250,7 @@ def _written(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
                 if not len(items) or (key := _key(items)) in seen:
                     continue
                 seen.add(key)
-                out.append(signatures(items, bands, rows)[0])
+                out.append(signatures(items, bands, rows))
                 keys.append(key)
                 size += len(out[-1])
                 if size > 100_000:

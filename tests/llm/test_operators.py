@@ -252,7 +252,8 @@ def spare_segments_find_every_link():
                 b = np.unique(np.concatenate([rng.permutation(a)[: max(1, len(a) - out)], rng.integers(0, 2**63, int(rng.integers(0, 5)), dtype=np.uint64)]))
                 shared = len(np.intersect1d(a, b))
                 if 100 * shared >= percent * (len(a) + len(b) - shared) and shared < max(len(a), len(b)):
-                    (x, need), (y, other) = jaccard_join.signatures(a, bands, 1), jaccard_join.signatures(b, bands, 1)
+                    x, y = jaccard_join.signatures(a, bands, 1), jaccard_join.signatures(b, bands, 1)
+                    need, other = jaccard_join.needs(a, bands, 1), jaccard_join.needs(b, bands, 1)
                     both = np.intersect1d(x, y)
                     # in the band of the larger one
                     parity = max(bands.of(len(a))[0], bands.of(len(b))[0]) & 1
