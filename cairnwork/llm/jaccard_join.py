@@ -20,7 +20,8 @@ less often than that has no link in the band, and leaves before anything is comp
 
 Equal sets collapse to one node first. Signatures that several nodes write make buckets. Round 1 compares every member with
 its bucket's least node (as many pairs as members, so that a large group of near copies costs no square) and
-joins what links. Round 2 compares, in buckets whose members are not all joined yet, pairs of different components.
+joins what links. Rounds 2 and 3 compare members of different components, in buckets whose members are not all joined yet, and
+verify the nearest pairs that would join them, fewer than members; round 4 verifies all pairs still left between components.
 Buckets with the same members are compared once; a large bucket is cut to chunks and each pair of chunks is a unit of
 work of its own, so that no task holds a whole bucket. Pairs whose parity sketches differ in more bits than the sets may differ in
 elements are out (a bound, it loses no link); the others are verified on complete sets.
@@ -343,8 +344,28 @@ def _labelled(keys: DataFrame, labels: DataFrame) -> DataFrame:
     return keys.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket (signature, key) whose sketches allow a link."""
+def _forest(keys: np.ndarray, labels: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Of pairs (a, b) with distances d, those that connect members not yet connected, the nearest first: fewer than members."""
+    up = {int(x): int(x) for x in labels}
+    of = dict(zip(keys.tolist(), labels.tolist(), strict=True))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    chosen = []
+    for i in np.argsort(d, kind="stable").tolist():
+        x, y = top(of[int(a[i])]), top(of[int(b[i])])
+        if x != y:
+            up[x] = y
+            chosen.append(i)
+    return np.array(chosen, np.int64)
+
+
+def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of different components in one bucket (signature, key) whose sketches allow a link; forest: see _forest()."""
     members = _labelled(members, labels)
     buckets = members.groupBy("signature").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("digest"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
     once = buckets.groupBy("size", "low", "high", "digest").agg(F.min("signature").alias("signature")).select("signature", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
@@ -363,7 +384,7 @@ def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int
             width = min(map(len, sketches))
             bits = np.array([_folded(s, width) for s in sketches])
             apart = held[0][1] != held[0][2]  # pairs of two chunks; else within one
-            a, b = [], []
+            a, b, near = [], [], []
             for k in range(len(held) - 1):
                 rest = slice(k + 1, None)
                 fine = (labels[rest] != labels[k]) & (100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k]))
@@ -371,11 +392,17 @@ def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int
                     fine &= chunk[rest] != chunk[k]
                 at = np.flatnonzero(fine) + k + 1
                 if len(at):
-                    d = np.bitwise_count(bits[at] ^ bits[k]).sum(1)
-                    at = at[d.astype(np.int64) * (100 + percent) <= (100 - percent) * (sizes[at] + sizes[k])]
-                    a += [keys[k]] * len(at)
-                    b += keys[at].tolist()
+                    d = np.bitwise_count(bits[at] ^ bits[k]).sum(1).astype(np.int64)
+                    fine = d * (100 + percent) <= (100 - percent) * (sizes[at] + sizes[k])
+                    at = at[fine]
+                    a.append(np.full(len(at), keys[k]))
+                    b.append(keys[at])
+                    near.append(d[fine])
             if a:
+                a, b, near = np.concatenate(a), np.concatenate(b), np.concatenate(near)
+                if forest:
+                    chosen = _forest(keys, labels, a, b, near)
+                    a, b = a[chosen], b[chosen]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -390,6 +417,15 @@ def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int
     return units.select("signature", "i", "j", "chunk", "key", "label", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after further links (a, b) between nodes."""
+    more = _labelled(_labelled(links.withColumnRenamed("a", "key"), labels).select(F.col("label").alias("a"), F.col("b").alias("key")), labels).select("a", F.col("label").alias("b"))
+    tops = components(more)
+    moved = labels.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    single = tops.join(labels.select("node"), "node", "left_anti")  # nodes that nothing linked before
+    return store(moved.union(single.select("node", "label")), "labels")[0]
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", rows: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links), a row per document.
 
@@ -416,14 +452,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     wanted = members.select("key").distinct().join(classes.select("key", "sid"), "key")
     sets, _ = store(_sets(docs, wanted, n), "sets")
     links, _ = store(_verified(_near(star, sets, percent), sets, percent), "links")
-    first = components(links)
-    rest = _verified(_across(members.select("signature", "key"), sets, first, percent), sets, percent)
-    more = _labelled(_labelled(rest.withColumnRenamed("a", "key"), first).select(F.col("label").alias("a"), F.col("b").alias("key")), first).select("a", F.col("label").alias("b"))
-    second = components(more)
-    labels = first.join(second.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    # second joins components by their labels, first's labels; a label that links in round 2 alone is a node without a row in first
-    single = second.join(first.select("node"), "node", "left_anti")
-    labels, _ = store(labels.union(single.select("node", "label")), "labels")
+    labels = components(links)
+    # first the nearest pairs that would join a bucket's components, then all that are left between components
+    for forest in (True, True, False):
+        rest = _verified(_across(members.select("signature", "key"), sets, labels, percent, forest), sets, percent)
+        labels = _joined(labels, rest)
     labelled = _labelled(classes.select("key", "low"), labels)
     least = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
     of_class = labelled.join(least, "label").select("key", "component_id")
