@@ -31,9 +31,9 @@ from cairnwork.llm.common import load, ship
 
 BITS = 18
 DIMENSIONS = 8
-MAX_TRAIN = 6000
-#: Rows that training sees, repeats counted: few labelled rows get more epochs (8 to 80).
-SEEN = 40_000
+MAX_TRAIN = 4000
+#: Rows that training sees, repeats counted: few labelled rows get more epochs (6 to 80).
+SEEN = 28_000
 BATCH = 32
 RATE = 0.2
 FAMILIES = 4
@@ -112,7 +112,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> dict[str,
             weight.append(c / max(len(bucket), 1) / FAMILIES)
         idx, weight = np.concatenate(idx), np.concatenate(weight).astype(np.float32)
         rows.append((idx, weight))
-    epochs = min(80, max(8, -(-SEEN // len(rows))))
+    epochs = min(80, max(6, -(-SEEN // len(rows))))
     g_vectors, g_layer, g_bias = np.full(1 << BITS, 1e-6, np.float32), np.full_like(layer, 1e-6), np.full_like(bias, 1e-6)
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
