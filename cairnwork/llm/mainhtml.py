@@ -3,8 +3,9 @@
 Method: each text node belongs to the path of block tags from the root to it. Per path, text length and punctuation
 are summed and divided by its number of nodes; both ratios are smoothed over the paths in order of appearance,
 fused (length ratio times the logarithm of the punctuation ratio), and paths above THRESHOLD of the page's best are
-content. The content's nodes, and further nodes inside the deepest element that holds most of the content (headings,
-short lines), make the text. Elements that hold no article by their tag, role, class or id (fixed values below) have no paths.
+content. All of the content's nodes, and further nodes (headings, short lines) inside the deepest element that holds all
+of them, or the article or main element around that, make the text; where only the body holds all, further nodes inside
+its elements that hold some. Elements that hold no article by their tag, role, class or id (fixed values below) have no paths.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by line ends.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import math
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -34,6 +36,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video".split())
 NO_ARTICLE = frozenset("nav footer aside form menu dialog head button select option label fieldset".split())
+PAGE = ("body", "html")
 CLOSES_P = BLOCKS - {"body", "html", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}
 # Parts of class, id and role names of elements that hold no article.
 OTHER_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs comment comments commentary commentlist contentinfo cookie cookies consent copyright disqus dropdown feedback footer form gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended register related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets alert overlay toc".split())
@@ -149,19 +152,21 @@ def main_text(page: str) -> str:
     fused = {p: smooth(k, 0) * math.log(1.1 + smooth(k, 1)) * math.sqrt(stats[p][2]) for k, p in enumerate(paths)}
     best = max(fused.values())
     content = {p for p in paths if fused[p] >= THRESHOLD * best}
-    # the deepest element that holds most of the content's text
-    weight: dict[tuple, int] = {}
-    total = 0
-    for path, elements, text in found:
-        if path in content:
-            total += len(text)
-            for depth in range(1, len(elements)):
-                key = elements[:depth]
-                weight[key] = weight.get(key, 0) + len(text)
-    inside = max((k for k, w in weight.items() if 2 * w > total), key=len, default=())
-    names = next((path[: len(inside)] for path, elements, _ in found if elements[: len(inside)] == inside), ())
-    closed = bool(names) and names[-1].split(".")[0] not in ("body", "html")
-    return "\n".join(text for path, elements, text in found if (elements[: len(inside)] == inside if closed else path in content or path and re.match(r"h[1-6]\b", path[-1])))
+    # the deepest element that holds all of the content, widened to the article or main around it
+    holders = [(path[:-1], elements[:-1]) for path, elements, _ in found if path in content]
+    inside = tuple(os.path.commonprefix([elements for _, elements in holders]))
+    names = [n.split(".")[0] for n in holders[0][0][: len(inside)]]
+    depth = next((names.index(n) + 1 for n in ("article", "main") if n in names), len(inside))
+    inside = inside[:depth]
+    if names and names[depth - 1] not in PAGE:
+        return "\n".join(text for path, elements, text in found if path in content or elements[:depth] == inside)
+    parts = {part for path, elements in holders if (part := _part(path, elements))}
+    return "\n".join(text for path, elements, text in found if path in content or path and re.match(r"h[1-6]\b", path[-1]) or _part(path, elements) in parts)
+
+
+def _part(path: tuple[str, ...], elements: tuple[int, ...]) -> tuple[int, ...]:
+    """The outermost element below the body that a block stands in; empty for none."""
+    return next((elements[: k + 1] for k, n in enumerate(path) if n.split(".")[0] not in PAGE), ())
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

@@ -290,6 +290,20 @@ def test_html(spark, empty):
     assert mainhtml.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_html_keeps_every_container():
+    p = lambda c, n: " ".join([f"{c} words, and more of them."] * n)
+    pages = {
+        f"<body><article><p>{p('a', 8)}</p><blockquote><p>{p('b', 24)}</p></blockquote><p>{p('c', 8)}</p></article></body>": [p("a", 8), p("b", 24), p("c", 8)],
+        f"<body><article><div class='intro'><p>{p('a', 8)}</p></div><div class='body'><p>{p('b', 30)}</p><h2>Head</h2></div></article></body>": [p("a", 8), p("b", 30), "Head"],
+        f"<body><div class='intro'><p>{p('a', 8)}</p><p>short</p></div><div class='text'><p>{p('b', 20)}</p><h2>Head</h2><ul><li>one</ul></div></body>": [p("a", 8), "short", p("b", 20), "Head", "one"],
+        f"<main><section><p>{p('a', 9)}</p></section><section><h2>Two</h2><p>{p('b', 9)}</p><p>{p('c', 9)}</p></section></main>": [p("a", 9), "Two", p("b", 9), p("c", 9)],
+        f"<body><article><div class='lead'><p>Short lead</p></div><div class='text'><p>{p('b', 30)}</p></div></article><div><p>x</p></div></body>": ["Short lead", p("b", 30)],
+        f"<body><p>{p('a', 9)}</p><ul><li>{p('b', 20)}</ul><p>{p('c', 9)}</p></body>": [p("a", 9), p("b", 20), p("c", 9)],
+    }
+    for page, want in pages.items():
+        assert mainhtml.main_text(page).split("\n") == want, page
+
+
 def test_secrets(spark, docs, rows, empty):
     def base(t):
         out = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
