@@ -5,7 +5,9 @@ are summed and divided by its number of nodes; both ratios are smoothed over the
 fused (length ratio times the logarithm of the punctuation ratio), and paths above THRESHOLD of the page's best are
 content. All of the content's nodes, and further nodes (headings, short lines) inside the deepest element that holds all
 of them, or the article or main element around that, make the text; where only the body holds all, further nodes inside
-its elements that hold some. Elements that hold no article by their tag, role, class or id (fixed values below) have no paths.
+its elements that hold some. Elements that hold no article by their tag, role, class or id (fixed values below) have no
+paths. A part of a role, class or id tells less than a tag: an element that holds over half of the page's text in spite
+of its names has paths, and the ratios decide, unless an article or main beside it holds paragraphs too.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by line ends.
 
@@ -38,73 +40,83 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 NO_ARTICLE = frozenset("nav footer aside form menu dialog head button select option label fieldset".split())
 PAGE = ("body", "html")
 CLOSES_P = BLOCKS - {"body", "html", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}
+#: Their names say nothing.
+NAMES_IGNORED = ("body", "html", "main", "article")
 # Parts of class, id and role names of elements that hold no article.
 OTHER_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs comment comments commentary commentlist contentinfo cookie cookies consent copyright disqus dropdown feedback footer form gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended register related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets alert overlay toc".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
-NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 PUNCTUATION = re.compile(r"[.,;:!?、。，！？¡¿…]")
 SPACES = re.compile(r"\s+")
 
 
-def _other(tag: str, attributes: str) -> bool:
-    """Whether an element holds no article by its tag or names."""
-    if tag in NO_ARTICLE:
-        return True
-    if not attributes:
-        return False
-    for key, *values in NAMES.findall(attributes):
-        value = next((v for v in values if v), "")
-        key = key.lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if tag not in ("body", "html", "main", "article") and any(p.lower() in OTHER_NAMES for p in NAME_PARTS.findall(value)):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
-    """(path, number of the element that the block stands in, text) of the blocks that may hold an article, in page order."""
+def _attributes(written: str) -> dict[str, str]:
+    """Values by name, the first of each name."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(written):
+        out.setdefault(name.lower(), next((v for v in values if v), ""))
+    return out
+
+
+def _other(tag: str, attributes: dict[str, str]) -> int:
+    """Whether an element holds no article: 2 by its tag or as hidden, 1 by its names, 0 for neither."""
+    if tag in NO_ARTICLE or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+        return 2
+    if tag in NAMES_IGNORED:
+        return 0
+    return int(any(p.lower() in OTHER_NAMES for key in ("class", "id", "role") if key in attributes for p in NAME_PARTS.findall(attributes[key])))
+
+
+def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
+    """(path, numbers of the elements that the block stands in, text) of the blocks that may hold an article, in page order."""
     out: list = []
-    stack: list[tuple[str, bool, int]] = []  # block elements: name, holds no article, number
-    held: list[str] = []
-    at, number, inline_other = 0, 0, []
+    stack: list[tuple[str, int, int]] = []  # block elements: name, what _other says, number
+    held: list[tuple[str, int]] = []  # text, number of the inline element named as no article (0: none)
+    at, number = 0, 0
+    inline: list[list] = []  # inline elements that hold no article: name, what _other says, number, open ones of that name
+    named: set[int] = set()
 
     def close_block() -> None:
         if held:
-            text = SPACES.sub(" ", entities.unescape("".join(held))).strip()
+            if any(text.strip() for text, _ in held) and not any(s[1] == 2 for s in stack):
+                out.append((tuple(s[0] for s in stack), tuple(s[2] for s in stack), held[:]))
             held.clear()
-            if text and not (stack and stack[-1][1]):
-                out.append((tuple(s[0] for s in stack), tuple(s[2] for s in stack), text))
 
     while True:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not inline_other:
-            held.append(text)
+        if text and not (inline and inline[-1][1] == 2):
+            held.append((text, inline[-1][2] if inline else 0))
         if not m:
             break
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
-                held.append(m[0][9:-3])
+                held.append((m[0][9:-3], 0))
             continue
         if tag in RAW:
             if not m[1] and not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page) if tag in ("script", "style") else at
             continue
+        attributes = _attributes(m[3]) if m[3] and not m[1] else {}
         if tag not in BLOCKS:
             if tag == "br":
-                held.append("\n")
-            elif inline_other and tag == inline_other[0]:
-                inline_other.append(tag) if not m[1] else inline_other.pop()
-            elif not m[1] and not inline_other and tag not in VOID and not m[3].endswith("/") and _other(tag, m[3]):
-                inline_other.append(tag)
+                held.append(("\n", 0))
+            elif inline and tag == inline[-1][0]:
+                inline[-1][3] += -1 if m[1] else 1
+                if not inline[-1][3]:
+                    inline.pop()
+            elif not m[1] and tag not in VOID and not m[3].endswith("/") and (kind := _other(tag, attributes)) > (inline[-1][1] if inline else 0):
+                number += 1
+                inline.append([tag, kind, number, 1])
+                if kind == 1:
+                    named.add(number)
             continue
-        inline_other.clear()
+        inline.clear()
         close_block()
         if tag == "hr":
             continue
@@ -125,11 +137,47 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
                 if name in ("ul", "ol", "dl", "table", "tr"):
                     break
         number += 1
-        other = bool(stack and stack[-1][1]) or _other(tag, m[3]) or tag == "header" and not any(s[0] in ("article", "main") for s in stack)
-        names = "" if tag in ("p", "li") else next((".".join(["", *v[:1]]) for key, *vs in NAMES.findall(m[3]) if key.lower() == "class" for v in [next((x for x in vs if x), "").split()]), "")
-        stack.append((tag + names, other, number))
+        other = _other(tag, attributes)
+        if tag == "header" and not any(s[0].split(".")[0] in ("article", "main") for s in stack):
+            other = 2
+        if other == 1:
+            named.add(number)
+        first = attributes.get("class", "").split()[:1] if tag not in ("p", "li") else []
+        stack.append((".".join([tag, *first]), other, number))
     close_block()
-    return out
+    dropped = named - _holding_most(out, named) if named else named
+    kept = []
+    for path, elements, pieces in out:
+        if dropped and not dropped.isdisjoint(elements):
+            continue
+        text = SPACES.sub(" ", entities.unescape("".join(t for t, k in pieces if k not in dropped))).strip()
+        if text:
+            kept.append((path, elements, text))
+    return kept
+
+
+def _holding_most(found: list, named: set[int]) -> set[int]:
+    """The elements named as no article that hold over half of the page's text, unless an article or main beside them
+    holds paragraphs of over a tenth of theirs."""
+    total, weight, prose = 0, dict.fromkeys(named, 0), []
+    for path, elements, pieces in found:
+        size = 0
+        for text, within in pieces:
+            n = len(SPACES.sub(" ", text).strip())
+            size += n
+            if within:
+                weight[within] += n
+        total += size
+        for k in named.intersection(elements):
+            weight[k] += size
+        if "p" in path:
+            prose.append((size, elements, {e for e, n in zip(elements, path, strict=True) if n.split(".")[0] in ("article", "main")}))
+    most = {k for k, w in weight.items() if 2 * w > total}
+    for k in list(most):
+        around = {e for _, elements, _ in found if k in elements for e in elements[: elements.index(k)]}
+        if 10 * sum(n for n, elements, articles in prose if k not in elements and articles - around and named.isdisjoint(elements)) > weight[k]:
+            most.discard(k)
+    return most
 
 
 def main_text(page: str) -> str:

@@ -304,6 +304,21 @@ def test_html_keeps_every_container():
         assert mainhtml.main_text(page).split("\n") == want, page
 
 
+def test_html_attributes():
+    p = lambda c, n: " ".join([f"{c} words, and more of them."] * n)
+    text = p("a", 9)
+    for written in ("style='overflow:hidden'", 'title="a hidden place"', 'data-hidden="false"', 'data-class="ad"', 'title="class=ad"', "aria-hidden=false", 'class="content has-sidebar"', 'class="post search-result"', "id=page-menu-open"):
+        for tag in ("div", "section") if "sidebar" in written or "search" in written or "menu" in written else ("body", "main", "article", "div"):
+            assert mainhtml.main_text(f"<{tag} {written}><p>{text}</p></{tag}>") == text, (tag, written)
+    for written in ("hidden", "HIDDEN=''", 'data-x="1" hidden', "aria-hidden='true'", 'class="ad"', "role=navigation", 'id="cookie-banner"'):
+        assert mainhtml.main_text(f"<main><p>{text}</p><p>{text}</p></main><div {written}><p>{p('b', 8)}</p></div>") == f"{text}\n{text}", written
+        assert mainhtml.main_text(f"<p>{text}<span {written}>{p('b', 3)}</span></p>") == text, written
+    # the part inside goes, the wrapper stays; comments longer than the article beside them go
+    assert mainhtml.main_text(f"<body><div class='content has-sidebar'><p>{text}</p><div class='sidebar'><p>{p('b', 3)}</p></div></div></body>") == text
+    assert mainhtml.main_text(f"<article><p>{text}</p></article><section class='comments'><p>{p('b', 30)}</p></section>") == text
+    assert mainhtml.main_text(f"<span class='post search-result'>{text}</span>") == text
+
+
 def test_secrets(spark, docs, rows, empty):
     def base(t):
         out = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
