@@ -12,18 +12,23 @@ the span of the original text that it came from, so that a find in any layer nam
 find is added as kind/layer, e.g. assign/base64; finds that no unwrapped code point belongs to are not repeated.
 
 Defined cases: null text counts as empty (no finds); an empty table gives no rows; repeated rows are scanned
-each; ids are passed through, null ones too. A run that doesn't decode to UTF-8 text is no layer. A compressed run
-is inflated by streaming up to INFLATED_BYTES, a guard against archives that swell without end.
+each; ids are passed through, null ones too. A run that is neither compressed nor UTF-8 is no layer. Compressed runs
+(in base64 or URL escapes) are inflated as streams to their end, all members of them, and again while the content is
+compressed; the content is scanned in windows of text, cut at line ends (a line over MOST_WINDOW is cut anywhere, with
+OVERLAP characters in both windows). Bytes of it that are not UTF-8 stand as U+FFFD. A damaged stream counts up to the damage.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +43,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: One of these stands in every assign find, in lower case.
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
-INFLATED_BYTES = 64 << 20
+#: Bytes that a stream gives at once; bytes that tell whether it is one.
+CHUNK = 1 << 20
+HEAD = 1 << 16
+#: Code points of inflated text that are scanned at once.
+WINDOW = 4 << 20
+MOST_WINDOW = 64 << 20
+OVERLAP = 1 << 16
 
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: The head of a gzip or zlib stream, and what may follow in URL escapes.
+URL_STREAM = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)(?:%01|\^|%5[eE]|%9[cC]|%[dD][aA]))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+@:,;$^-])*")
 CHAR_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 
@@ -58,22 +71,116 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 def readable(data: bytes) -> str | None:
-    """Text whose characters are printable, or None."""
+    """Text in UTF-8, or None."""
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8") or None
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def inflate(data: bytes) -> bytes | None:
-    """The content of a gzip or zlib stream."""
-    if not (data[:2] == b"\x1f\x8b" or len(data) > 6 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
+def compressed(head: bytes) -> bool:
+    """Whether bytes are a gzip or zlib stream, or the head of one."""
+    if not (head[:2] == b"\x1f\x8b" or len(head) > 6 and head[0] == 0x78 and (head[0] << 8 | head[1]) % 31 == 0):
+        return False
+    stream = zlib.decompressobj(wbits=47)
     try:
-        return zlib.decompressobj(wbits=47).decompress(data, INFLATED_BYTES)
+        out = stream.decompress(head, HEAD)
     except zlib.error:
-        return None
+        out = next(until_damage(zlib.decompressobj(wbits=47), head), b"")
+    if stream.eof or not out:
+        return stream.eof
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head)  # a text may start with "x^"
+    except UnicodeDecodeError:
+        return True
+    return False
+
+
+def until_damage(stream, data: bytes) -> Iterator[bytes]:
+    """What a damaged stream gives before the damage."""
+    for k in range(len(data)):
+        try:
+            out = stream.decompress(data[k : k + 1])
+        except zlib.error:
+            return
+        if out:
+            yield out
+
+
+def inflate(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The content of a stream's members in chunks; bytes behind the members as they are."""
+    chunks = iter(chunks)
+    stream, given = zlib.decompressobj(wbits=47), False
+    for data in chunks:
+        while data:
+            if stream.eof:
+                data = data.lstrip(b"\0")
+                stream, given = zlib.decompressobj(wbits=47), False
+                if not data:
+                    break
+            before = stream.copy()
+            try:
+                out = stream.decompress(data, CHUNK)
+            except zlib.error:
+                for out in until_damage(before, data):
+                    given = True
+                    yield out
+                if not given:
+                    yield data
+                    yield from chunks
+                return
+            if out:
+                given = True
+                yield out
+            data = stream.unused_data if stream.eof else stream.unconsumed_tail
+    try:
+        if rest := stream.flush():
+            yield rest
+    except zlib.error:
+        return
+
+
+def opened(data: bytes) -> tuple[int, Iterable[bytes]]:
+    """How many times data is compressed, and its innermost content in chunks."""
+    depth, chunks, seen = 0, iter([data]), set()
+    while True:
+        head, size, ended = [], 0, True
+        for chunk in chunks:
+            head.append(chunk)
+            size += len(chunk)
+            if size > CHUNK:
+                ended = False
+                break
+        first = b"".join(head)
+        if ended:
+            key = hashlib.sha256(first).digest()
+            if key in seen:  # a stream that holds itself
+                return depth, []
+            seen.add(key)
+        if not compressed(first[:HEAD]):
+            return depth, [first] if ended else chain([first], chunks)
+        depth += 1
+        chunks = inflate([first] if ended else chain([first], chunks))
+
+
+def windows(chunks: Iterable[bytes]) -> Iterator[str]:
+    """Text of UTF-8 chunks, cut at line ends: no find, run or escape crosses one."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    held = ""
+    for chunk in chunks:
+        held += decoder.decode(chunk)
+        if len(held) < WINDOW:
+            continue
+        cut = held.rfind("\n") + 1
+        if cut:
+            yield held[:cut]
+            held = held[cut:]
+        elif len(held) >= MOST_WINDOW:
+            yield held
+            held = held[-OVERLAP:]
+    held += decoder.decode(b"", True)
+    if held:
+        yield held
 
 
 class Layer:
@@ -82,8 +189,21 @@ class Layer:
     def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None, made: np.ndarray | None = None, name: str = "") -> None:
         self.text, self.start, self.end, self.made, self.name = text, start, end, made, name
 
+    one: tuple[int, int] | None = None  # the span of each of its code points, where all have the same
+
+    @classmethod
+    def piece(cls, text: str, span: tuple[int, int], name: str) -> Layer:
+        n = len(text)
+        layer = cls(text, np.broadcast_to(span[0], n), np.broadcast_to(span[1], n), np.broadcast_to(True, n), name)
+        layer.one = span
+        return layer
+
+    def key(self) -> bytes:
+        made_of = b"" if self.start is None else repr(self.one).encode() if self.one else self.start.astype(np.int64).tobytes()
+        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass") + made_of).digest()
+
     def span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
+        return (a, b) if self.start is None else self.one if self.one else (int(self.start[a:b].min()), int(self.end[a:b].max()))
 
 
 def _escaped(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
@@ -147,45 +267,65 @@ def _unbase64(run: str) -> bytes | None:
         return None
 
 
-def unwrap(layer: Layer) -> Iterator[Layer]:
-    """The layers directly under a layer."""
+def _pieces(data: bytes, layer: Layer, span: tuple[int, int]) -> Iterator[Layer] | None:
+    """Layers of a compressed run, which is one piece; None if it isn't compressed."""
+    depth, chunks = opened(data)
+    return (Layer.piece(text, span, layer.name + depth * "/compressed") for text in windows(chunks)) if depth else None
+
+
+def unwrap(layer: Layer) -> Iterator[Layer | Iterator[Layer]]:
+    """The layers directly under a layer; those of a compressed run come as an iterator."""
     text = layer.text
     if "%" in text and (new := _escaped(layer, URL_ESCAPE, _percent, "url")):
         yield new
     if ("\\" in text or "&#" in text) and (new := _escaped(layer, CHAR_ESCAPE, _character, "unicode")):
         yield new
+    if "%" in text:
+        for m in URL_STREAM.finditer(text):
+            for run in dict.fromkeys((m[0].replace("+", " "), m[0])):
+                if pieces := _pieces(unquote_to_bytes(run), layer, layer.span(*m.span())):
+                    yield pieces
     for m in BASE64_RUN.finditer(text):
         data = _unbase64(m[0])
         if data is None:
             continue
-        inflated = inflate(data)
-        inner = readable(inflated if inflated is not None else data)
+        if pieces := _pieces(data, layer, layer.span(*m.span())):
+            yield pieces
+            continue
+        inner = readable(data)
         if inner is None:
             continue
-        a, b = layer.span(*m.span())
-        n = len(inner)
-        if inflated is None and layer.start is None:  # byte i of the content stands in characters 4i/3 ... of the run
+        if layer.start is None:  # byte i of the content stands in characters 4i/3 ... of the run
             sizes = np.array([len(c.encode()) for c in inner])
             last = np.cumsum(sizes) - 1
             start = m.start() + (last - sizes + 1) * 4 // 3
             end = np.minimum(m.end(), m.start() + last * 4 // 3 + 2)
-        else:  # a compressed run, or one inside another layer, is one piece
-            start, end = np.full(n, a), np.full(n, b)
-        yield Layer(inner, start, end, np.ones(n, bool), f"{layer.name}/{'base64' if inflated is None else 'compressed'}")
+            yield Layer(inner, start, end, np.ones(len(inner), bool), f"{layer.name}/base64")
+        else:  # a run inside another layer is one piece
+            yield Layer.piece(inner, layer.span(*m.span()), f"{layer.name}/base64")
 
 
 def finds(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]]]:
     """Base finds; finds of the unwrapped layers as (start, end, kind/layer)."""
     base = scan(text)
-    work, seen, more = [Layer(text)], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, set()
-    while work:
-        for new in unwrap(work.pop()):
-            key = hashlib.sha256(new.text.encode("utf-8", "surrogatepass") + new.start.astype(np.int64).tobytes()).digest()
-            if key in seen:
-                continue
+    first = Layer(text)
+    work, seen, more = [first], {first.key()}, set()
+
+    def take(new: Layer) -> None:
+        if (key := new.key()) not in seen:
             seen.add(key)
             more.update((*new.span(a, b), KINDS[k] + new.name) for a, b, k in scan(new.text) if new.made[a:b].any())
             work.append(new)
+
+    while work:
+        if not isinstance(work[-1], Layer):  # one window at a time
+            if new := next(work[-1], None):
+                take(new)
+            else:
+                work.pop()
+            continue
+        for new in unwrap(work.pop()):
+            take(new) if isinstance(new, Layer) else work.append(new)
     return base, sorted(more, key=lambda x: (x[0], KINDS.index(x[2].split("/")[0]), x[1], x[2]))
 
 

@@ -5,6 +5,7 @@ import collections
 import gzip
 import hashlib
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -347,6 +348,35 @@ def test_secrets(spark, docs, rows, empty):
     assert [(r.text, r.n_chars) for r in sorted(masked)] == [("a [SECRET] b", 5), (None, 6)]
 
 
+def test_secrets_in_compressed_layers(spark):
+    key = b"my token = \"abcdefgh12345\" "
+    b64, url = lambda x: base64.b64encode(x).decode(), lambda x: urllib.parse.quote_from_bytes(x)
+    twice = b"password = hunter2222"
+    layers = {
+        b64(gzip.compress(b"nothing here") + gzip.compress(key)): "assign/compressed",
+        b64(gzip.compress(b"nothing here") + b"\0\0" + zlib.compress(key) + bytes(9)): "assign/compressed",
+        b64(gzip.compress(b"nothing here") + key): "assign/compressed",
+        b64(gzip.compress(gzip.compress(key))): "assign/compressed/compressed",
+        b64(zlib.compress(gzip.compress(zlib.compress(key)))): "assign/compressed/compressed/compressed",
+        b64(gzip.compress(b64(gzip.compress(key)).encode())): "assign/compressed/compressed",
+        url(gzip.compress(key)): "assign/compressed",
+        urllib.parse.quote_plus(zlib.compress(key)): "assign/compressed",
+        url(url(gzip.compress(key)).encode()): "assign/url/compressed",
+        b64(b"\0\x1b[1m" + key): "assign/base64",
+        b64(gzip.compress(b"\x0c\0 " + key)): "assign/compressed",
+        b64(gzip.compress(b"\xff\xfe " + key)): "assign/compressed",
+        b64(b"x^2 and more " + key): "assign/base64",
+        b64(gzip.compress(key)[:-8] + bytes(8)): "assign/compressed",
+        b64(gzip.compress(b"x^2 and " + key)): "assign/compressed",
+        b64(gzip.compress(gzip.compress((b"z" * 99 + b"\n") * 700_000 + key))): "assign/compressed/compressed",
+        b64(gzip.compress("é".encode() * (34 << 20) + key + twice)): "assign/compressed",
+    }
+    for text, kind in layers.items():
+        assert (2, len(text) + 2, kind) in secretscan.finds(f"a {text} b")[1] or kind.endswith("base64") and kind in {k for _, _, k in secretscan.finds(text)[1]}, text[:99]
+    masked = secretscan.redact(spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate(list(layers)[:9])], "doc_id long, text string")).collect()
+    assert {r.text for r in masked} == {"a [SECRET] b"}
+
+
 def test_quality(spark, empty):
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(WORDS, 60)) for _ in range(150)]
