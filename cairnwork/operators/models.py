@@ -66,7 +66,7 @@ class KernelSVM:
     logistic regression on the margins.
     """
 
-    def __init__(self, train: DataFrame, key: str, c: float = 10.0, features: int = 64, smote: bool = True, iterations: int = 30, seed: int = 42) -> None:
+    def __init__(self, train: DataFrame, key: str, c: float = 10.0, features: int = 64, smote: bool = True, iterations: int = 30, seed: int = 42, gamma: float | str = "scale") -> None:
         import numpy as np
 
         self.scaler = scaling.fit_scaler(train)
@@ -75,7 +75,7 @@ class KernelSVM:
             made = rebalance.smote(rows, key, "v", "label", seed=seed)
             rows = rows.select("label", "v").unionByName(made.select("label", F.col("synthetic").alias("v")))
         dims = train.select(F.size("v")).first()[0]
-        gamma = 1.0 / dims  # scaled features have variance 1
+        self.gamma = gamma = 1.0 / dims if gamma == "scale" else float(gamma)  # scaled features have variance 1
         rng = np.random.default_rng(seed)
         self.w = rng.normal(0, (2 * gamma) ** 0.5, (features, dims)).tolist()
         self.b = rng.uniform(0, 2 * 3.141592653589793, features).tolist()
@@ -156,14 +156,16 @@ def grid_search_cv(df: DataFrame, key: str, grid: dict[str, list], fit: Callable
     spark = df.sparkSession
     dealt = splits.stratified_kfold(df, "label", key, folds, seed).cache()
     names = list(grid)
+    kinds = {n: "string" if any(isinstance(v, str) for v in values) else "double" for n, values in grid.items()}
+    typed = lambda values: [str(v) if kinds[n] == "string" else v for n, v in zip(names, values, strict=True)]
     out = []
     for place, values in enumerate(product(*grid.values())):
         for fold in range(folds):
             predict = fit(dealt.where(F.col("fold") != fold), **dict(zip(names, values, strict=True)))
             f1 = metrics.accuracy_f1(predict(dealt.where(F.col("fold") == fold))).first()["macro_f1"]
-            out.append((place, *map(float, values), fold, float(f1)))
+            out.append((place, *(v if isinstance(v, str) else float(v) for v in typed(values)), fold, float(f1)))
     dealt.unpersist()
-    return spark.createDataFrame(out, f"place int, {', '.join(f'{n} double' for n in names)}, fold int, macro_f1 double")
+    return spark.createDataFrame(out, f"place int, {', '.join(f'{n} {kinds[n]}' for n in names)}, fold int, macro_f1 double")
 
 
 def best_parameters(scores: DataFrame, names: list[str]) -> DataFrame:

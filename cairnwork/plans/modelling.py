@@ -154,10 +154,9 @@ def gmm_score(spark, d):
 
 def fitted_mixture(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     train, test = split(spark, d)
-    cut = lambda df: df.withColumn("v", F.slice("v", 1, 8))
-    scaler = scaling.fit_scaler(cut(train))
-    train, test = scaling.standardize(cut(train), scaler), scaling.standardize(cut(test), scaler)
-    return test, mixtures.fit_gmm(train, "vec_id", rounds=4, most=3), mixtures.inverse_priors(train)
+    scaler = scaling.fit_scaler(train)
+    train, test = scaling.standardize(train, scaler), scaling.standardize(test, scaler)
+    return test, mixtures.fit_gmm(train, "vec_id"), mixtures.inverse_priors(train)
 
 
 @query("gmm_classifier")
@@ -234,12 +233,13 @@ def kernel_svm(spark, d):
 
 @query("grid_search_cv")
 def grid_search_cv(spark, d):
-    def fit(train, reg):
-        model = models.logistic(train, iterations=10, reg=reg)
-        return lambda test: models.scored(model, test, "vec_id")
+    """The smaller of the surveyed grids: C and gamma of the kernel machine, over all features."""
+
+    def fit(train, c, gamma):
+        return lambda test, model=models.KernelSVM(train, "vec_id", c=c, gamma=gamma): model.predict(test, "vec_id")
 
-    scores = models.grid_search_cv(features(spark, d).withColumn("v", F.slice("v", 1, 16)), "vec_id", {"reg": [0.0, 0.1]}, fit, folds=3)
-    return models.best_parameters(scores, ["reg"])
+    scores = models.grid_search_cv(features(spark, d), "vec_id", {"c": [1, 10, 100], "gamma": ["scale", 0.01]}, fit, folds=3)
+    return models.best_parameters(scores, ["c", "gamma"])
 
 
 @query("feature_importance")

@@ -204,6 +204,52 @@ def test_gmm_separates(spark):
     assert sum(p.weight for p in params.where("class = 0").collect()) == pytest.approx(1)
 
 
+def test_gmm_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, k % 2, [float(x) for x in rng.normal(k % 2 + (k % 3) / 2, 1, 64)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "key long, label int, v array<double>")
+    first, got = ({(p["class"], p.comp): p for p in mixtures.fit_gmm(df, "key", rounds=n).collect()} for n in (0, 2))
+    for label in (0, 1):
+        x = np.array([v for _, y, v in rows if y == label])
+        own = [first[label, c] for c in range(6)]
+        weight, mean, var = np.array([p.weight for p in own]), np.array([p["mean"] for p in own]), np.array([p["var"] for p in own])
+        for _ in range(2):
+            lp = np.log(weight) - 0.5 * ((x[:, None] - mean) ** 2 / var + np.log(2 * np.pi * var)).sum(2)
+            share = np.exp(lp - np.logaddexp.reduce(lp, axis=1, keepdims=True))
+            n = share.sum(0)
+            weight, mean = n / len(x), share.T @ x / n[:, None]
+            var = np.maximum(share.T @ x**2 / n[:, None] - mean**2, 0) + 1e-3
+        for c in range(6):
+            assert got[label, c].weight == pytest.approx(weight[c], abs=1e-9)
+            assert got[label, c]["mean"] == pytest.approx(mean[c], abs=1e-6) and got[label, c]["var"] == pytest.approx(var[c], abs=1e-6)
+
+
+def test_fitted_queries_take_all_features(spark, monkeypatch):
+    from cairnwork.plans import modelling
+    from tests.conftest import DATA
+
+    seen = []
+    monkeypatch.setattr(modelling.mixtures, "fit_gmm", lambda train, key, **given: seen.append((train.select(F.size("v")).first()[0], given)) or train)
+    modelling.fitted_mixture(spark, DATA)
+    monkeypatch.setattr(modelling.models, "grid_search_cv", lambda df, key, grid, fit, folds: seen.append((df.select(F.size("v")).first()[0], grid, folds)) or df.select(F.lit(0).alias("place"), F.lit(1.0).alias("c"), F.lit("scale").alias("gamma"), F.lit(0.5).alias("macro_f1")))
+    modelling.grid_search_cv(spark, DATA)
+    assert seen == [(64, {}), (64, {"c": [1, 10, 100], "gamma": ["scale", 0.01]}, 3)]
+
+
+def test_grid_of_kernel_machines(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, k % 2, [float(x) for x in rng.normal(3 * (k % 2), 1, 4)]) for k in range(60)], "key long, label int, v array<double>")
+
+    def fit(train, c, gamma):
+        model = models.KernelSVM(train, "key", c=c, gamma=gamma, iterations=5)
+        assert gamma == "scale" or model.gamma == gamma
+        return lambda test: model.predict(test, "key")
+
+    scores = models.grid_search_cv(df, "key", {"c": [1], "gamma": ["scale", 0.01]}, fit, folds=2)
+    assert sorted((r.place, r.c, r.gamma, r.fold) for r in scores.collect()) == [(0, 1.0, "scale", 0), (0, 1.0, "scale", 1), (1, 1.0, "0.01", 0), (1, 1.0, "0.01", 1)]
+    assert models.best_parameters(scores, ["c", "gamma"]).first().macro_f1 > 0.8
+
+
 def test_models_round_trip_and_stages(spark, tmp_path):
     rng = np.random.default_rng(6)
     rows = [(k, k % 3, [float(x) for x in rng.normal(3 * (k % 3), 1, 4)]) for k in range(150)]
