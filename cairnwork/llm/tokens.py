@@ -67,8 +67,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.ids = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.literals = re.compile("|".join(map(re.escape, sorted(self.ids, key=len, reverse=True)))) if self.ids else None
+        self.plain = Tokenizer.from_file(path)  # of pieces between literals; lower case may make a piece look like one
+        self.plain.encode_special_tokens = True
+        self.model = self.plain.model
         self.memo = Memo(self, {})
 
     def cut(self, text: str) -> list[str]:
@@ -88,13 +91,25 @@ class Encoder:
             return array("I", [t.id for t in self.model.tokenize(self.letters(key))]).tobytes()
         if m := PUNCTUATED.fullmatch(key):
             return memo[m[1]] + memo[RAW + m[2]]
-        return array("I", self.tokenizer.encode(self.whole(key), add_special_tokens=False).ids).tobytes()
+        return array("I", self.plain.encode(self.whole(key), add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
             if len(self.memo) > MEMO_PIECES:
                 self.memo = Memo(self, dict(self.memo))
-            yield b"".join(map(self.memo.__getitem__, self.cut(text))) if text else b""
+            yield self.ids_of(text) if text else b""
+
+    def ids_of(self, text: str) -> bytes:
+        out, at = [], 0
+        if self.literals:
+            for m in self.literals.finditer(text):  # an added token's literal is one token; the texts around it stand by themselves
+                if m.start() > at:
+                    out += map(self.memo.__getitem__, self.cut(text[at : m.start()]))
+                out.append(array("I", [self.ids[m[0]]]).tobytes())
+                at = m.end()
+        if at < len(text):
+            out += map(self.memo.__getitem__, self.cut(text[at:] if at else text))
+        return b"".join(out)
 
 
 def even(text: str) -> bool:

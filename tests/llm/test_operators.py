@@ -84,6 +84,18 @@ def test_tokens_equal_the_library(rows):
             assert np.frombuffer(next(iter(e.encode([t]))), np.uint32).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t[:60]
 
 
+def test_special_tokens_equal_a_fresh_library(rows):
+    from tokenizers import Tokenizer
+
+    for name, kind in (("byte_bpe_50k.json", tokens.ByteEncoder), ("word_bpe_49k.json", tokens.WordEncoder)):
+        e, library = kind(P.path(name)), Tokenizer.from_file(P.path(name))
+        literals = [t.content for t in library.get_added_tokens_decoder().values()]
+        assert "<|endoftext|>" in literals
+        for x in literals:
+            for t in [f"a {x} b", x, x + x, f"{x}a\n{x}\nb", f" {x} ", f"A{x}B", x.upper(), f"a {x.upper()} b", f"{x[:-1]} {x}", f"don{x}'t  {x}  end", *(f"{t[:40]}{x}{t[40:90]} {x}" for _, t in rows[:20] if t)]:
+                assert np.frombuffer(next(iter(e.encode([t]))), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, (name, t)
+
+
 def test_packing(docs, rows, empty):
     path = P.path("word_bpe_49k.json")
     size = 256
