@@ -67,9 +67,9 @@ def mark() -> int:
     return len(_stored)
 
 
-def release(spark: SparkSession, since: int, keep: str = "") -> None:
-    """Deletes the tables stored after mark() was taken, but for keep. Only when nothing lazy still reads them."""
-    for path in [p for p in _stored[since:] if p != keep]:
+def release(spark: SparkSession, since: int, *keep: str) -> None:
+    """Deletes the tables stored after mark() was taken, but for those to keep. Only when nothing lazy still reads them."""
+    for path in [p for p in _stored[since:] if p not in keep]:
         drop_path(spark, path)
         _stored.remove(path)
 

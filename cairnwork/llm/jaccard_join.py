@@ -18,21 +18,29 @@ one with fewer empty ones. E and S are allocated per band by least expected cost
 Sets that link share 1 + E identical segments less the empty ones at least; a node whose signatures are shared (with any other node)
 less often than that has no link in the band, and leaves before anything is compared.
 
-Equal sets collapse to one node first. Signatures that several nodes write make buckets. Round 1 compares every member with
-its bucket's least node (as many pairs as members, so that a large group of near copies costs no square) and
-joins what links. Rounds 2 and 3 compare members of different components, in buckets whose members are not all joined yet, and
-verify the nearest pairs that would join them, fewer than members; round 4 verifies all pairs still left between components.
-Buckets with the same members are compared once; a large bucket is cut to chunks and each pair of chunks is a unit of
-work of its own, so that no task holds a whole bucket. Pairs whose parity sketches differ in more bits than the sets may differ in
-elements are out (a bound, it loses no link); the others are verified on complete sets.
-Components come from rounds of hooking to the least neighbour and pointer jumping, in Spark.
+Equal sets collapse to one node first (a 128-bit key; of sets under SMALL elements, a digest of the shingles themselves).
+Signatures that several nodes write make buckets. A task sorts what it wrote: a signature that comes twice there is known
+to be shared, only its first row has to meet the other tasks' rows, the others are spread by salt.
+Round 1 compares every member with its bucket's least node (as many pairs as members) and joins what links. Rounds 2 and 3
+deal each bucket that isn't joined yet to chunks, every round to other ones, and verify the nearest pairs of each chunk that would
+join its components, fewer than members. Round 4 verifies all pairs left between components:
+  - a bucket of at most CHUNK members is one unit of work;
+  - in a larger one with at most CHUNK members outside its largest component, those meet each chunk of it: linear in the bucket;
+  - any other is split by its members' rare shingles: two sets that link share one of the first n - ceil(percent * n / 100) + 1
+    shingles in ascending order of frequency (and t of the first n - ceil(percent * n / 100) + t). Buckets of the least shared
+    shingle, then of the least two and so on (LEVELS of them) go the same ways; a family whose members differ enough
+    to have shingles of their own leaves at once, in time linear in its shingles. What is still large behind the
+    last level is compared in pairs of chunks, spread over tasks: exact, and the only step that costs a square.
+Pairs whose parity sketches differ in more bits than the sets may differ in elements are out (a bound, it loses no link); the others are
+verified on complete sets, in the JVM. Components come from rounds of hooking to the least neighbour and pointer jumping, in Spark.
 
 Defined cases: null text counts as empty; a null doc_id never is a component's id unless all ids of the component are null;
-repeated rows give a row each; an empty table gives no rows.
+repeated rows give a row each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator
 
@@ -43,7 +51,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.llm import textarrays as ta
-from cairnwork.llm.common import load, ship, store
+from cairnwork.llm.common import load, mark, release, ship, store
 
 BAND_GROWTH = 1.3
 SPARE = 2
@@ -53,6 +61,12 @@ LEAST_EXTRA = 15
 PAIR_COST = 5
 #: Nodes of one chunk of a large bucket.
 CHUNK = 512
+#: Sets below so many elements have a digest of their shingles as key.
+SMALL = 8
+#: Signatures that a task sorts at once, and salts of those that it knows to be shared.
+SORTED, SALTS = 500_000, 64
+#: Rare shingles that a bucket's key holds at most.
+LEVELS = 3
 
 
 class Bands:
@@ -97,8 +111,8 @@ class Bands:
         return self.plans[k, rows]
 
 
-def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, tuple[int, int] | None]]:
+    """Of each text the sorted distinct shingle hashes and the set's key; None for an empty set."""
     for _, _, data, offsets in ta.parts(column):
         data = ta.LOWER[data]
         start, end, text = ta.words(data, offsets)
@@ -110,16 +124,28 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
             if m > 0:
                 mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + words[k : k + m]
         mixed = ta.mix(mixed)
-        for a, b in zip(at[:-1], at[1:], strict=True):
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= n:
-                yield np.unique(mixed[a : b - n + 1])
+                items = np.unique(mixed[a : b - n + 1])
             elif b > a:
                 whole = np.zeros(1, np.uint64)
                 for w in words[a:b]:
                     whole = whole * np.uint64(0x9E3779B97F4A7C15) + w + np.uint64(1)
-                yield ta.mix(whole)
+                items = ta.mix(whole)
             else:
-                yield np.zeros(0, np.uint64)
+                yield np.zeros(0, np.uint64), None
+                continue
+            if len(items) < SMALL:
+                w = [data[x:y].tobytes() for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
+                shingles = {b" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+                digest = hashlib.blake2b(b"\n".join(sorted(shingles)), digest_size=16).digest()
+                yield items, (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
+            else:
+                yield items, (_sum(items * np.uint64(0xD6E8FEB86659FD93)), _sum(items + np.uint64(0x9FB21C651E98DF25)))
+
+
+def _sum(x: np.ndarray) -> int:
+    return int(ta.mix(x).sum(dtype=np.uint64).astype(np.int64))
 
 
 def allocate(low: int, differ: int, rows: int) -> tuple[int, int]:
@@ -201,7 +227,7 @@ def signatures(items: np.ndarray, bands: Bands, rows: int) -> np.ndarray:
 
 def sketch(items: np.ndarray) -> np.ndarray:
     """Parities of the numbers of elements in hash cells, packed to 64-bit words: sets differ in at least as many elements as sketches in bits."""
-    bits = max(256, 1 << int(4 * max(len(items), 1) - 1).bit_length())
+    bits = max(256, 1 << int(2 * max(len(items), 1) - 1).bit_length())
     cells = np.bincount((ta.mix(items + np.uint64(0xA5A5)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(cells.astype(np.uint8)).view(np.uint64)
 
@@ -213,109 +239,107 @@ def _folded(s: np.ndarray, words: int) -> np.ndarray:
     return s
 
 
-def _key(items: np.ndarray) -> int:
-    """A set's node: a hash of all its elements."""
-    return int((ta.mix(items * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) ^ np.uint64(len(items) * 0x9FB21C651E98DF25 % (1 << 64))).astype(np.int64)) if len(items) else 0
-
-
 def _sid() -> F.Column:
     """The row's number within the operator: doc_id, or for a null one a negative hash of the text."""
     return F.coalesce(F.col("doc_id"), -1 - F.abs(F.xxhash64("text") % (1 << 62)))
 
 
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+NODES = {"doc_id": pa.int64(), "sid": pa.int64(), "tie": pa.int64(), "n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "need0": pa.int32(), "need1": pa.int32()}
+
+
 def _nodes(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
-    """doc_id, sid, n (set size), key (node; null for an empty set), need0 and need1 (see needs()) of every document."""
+    """Of every document doc_id, sid, tie (a hash of the text), n (set size), k1 and k2 (the set's key; null for an empty set), need0 and need1 (see needs())."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            sizes, keys, shares = [], [], ([], [])
-            for items in shingle_sets(batch.column(2), n):
-                sizes.append(len(items))
-                keys.append(_key(items) if len(items) else None)
-                for k, need in enumerate(needs(items, bands, rows) if len(items) else (0, 0)):
-                    shares[k].append(need)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(shares[0], pa.int32()), pa.array(shares[1], pa.int32())], names=["doc_id", "sid", "n", "key", "need0", "need1"])
+            ids = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            yield _batch([(*i, len(items), *(key or (None, None)), *(needs(items, bands, rows) if key else (0, 0))) for i, (items, key) in zip(ids, shingle_sets(batch.column(3), n), strict=True)], NODES)
 
-    return docs.select("doc_id", _sid().alias("sid"), "text").mapInArrow(run, "doc_id long, sid long, n long, key long, need0 int, need1 int")
+    return docs.select("doc_id", _sid().alias("sid"), F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, sid long, tie long, n long, k1 long, k2 long, need0 int, need1 int")
 
 
 def _written(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
-    """signature and key, a row per signature; a set that comes again in one split writes nothing."""
+    """signature, k1, known and part, a row per signature; a set that comes again in one split writes nothing.
+
+    known: the task wrote the signature for several sets; part: 0, or a salt for all but the first of its rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
+        bands, seen, out, keys, size = Bands(percent), set(), [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            signature = np.concatenate(out).astype(np.int64)
+            key = np.repeat(np.array(keys, np.int64), [len(x) for x in out])
+            order = np.argsort(signature, kind="stable")
+            signature, key = signature[order], key[order]
+            same = signature[1:] == signature[:-1]
+            known, part = np.zeros(len(signature), bool), np.zeros(len(signature), np.int32)
+            known[1:], part[1:] = same, np.where(same, 1 + (key[1:] & (SALTS - 1)), 0)
+            known[:-1] |= same
+            for at in range(0, len(signature), 50_000):
+                part_of = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[part_of]) for x in (signature, key, known, part)], names=["signature", "k1", "known", "part"])
+
         for batch in batches:
-            out, keys, size = [], [], 0
-            for items in shingle_sets(batch.column(0), n):
-                if not len(items) or (key := _key(items)) in seen:
+            for items, key in shingle_sets(batch.column(0), n):
+                if key is None or key in seen:
                     continue
                 seen.add(key)
                 out.append(signatures(items, bands, rows))
-                keys.append(key)
+                keys.append(key[0])
                 size += len(out[-1])
-                if size > 100_000:
-                    yield _flat(out, keys)
+                if size > SORTED:
+                    yield from flush()
                     out, keys, size = [], [], 0
-            if out:
-                yield _flat(out, keys)
-
-    return docs.select("text").mapInArrow(run, "signature long, key long")
+        if size:
+            yield from flush()
 
-
-def _flat(written: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(written).astype(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in written]))], names=["signature", "key"])
+    return docs.select("text").mapInArrow(run, "signature long, k1 long, known boolean, part int")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """key, n, items, sketch of the wanted nodes (key, sid), from their texts."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(key, len(items), items.tobytes(), sketch(items).tobytes()) for key, items in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True) if _key(items) == key]
-            c = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "n", "items", "sketch"])
-
-    found = docs.select(_sid().alias("sid"), "text").join(wanted.hint("shuffle_hash"), "sid").select("key", "text")
-    return found.mapInArrow(run, "key long, n long, items binary, sketch binary").dropDuplicates(["key"])
-
-
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sketches allow a link."""
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    """node, n, items and sketch of the wanted nodes (node, sid, w1, w2), from their texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.to_pydict()
-            keep = []
-            for na, nb, sa, sb in zip(c["na"], c["nb"], c["sa"], c["sb"], strict=True):
-                if 100 * min(na, nb) < percent * max(na, nb):
-                    keep.append(False)
-                    continue
-                x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                w = min(len(x), len(y))
-                keep.append(int(np.bitwise_count(_folded(x, w) ^ _folded(y, w)).sum()) * (100 + percent) <= (100 - percent) * (na + nb))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out, size = [], 0
+            for node, w1, w2, (items, key) in zip(*(batch.column(k).to_pylist() for k in range(3)), shingle_sets(batch.column(3), n), strict=True):
+                if key == (w1, w2):
+                    out.append((node, len(items), items.view(np.int64), sketch(items).view(np.int64)))
+                    size += len(items)
+                if size > 200_000:
+                    yield _batch(out, kinds)
+                    out, size = [], 0
+            yield _batch(out, kinds)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    kinds = {"node": pa.int64(), "n": pa.int64(), "items": pa.list_(pa.int64()), "sketch": pa.list_(pa.int64())}
+    found = docs.select(_sid().alias("sid"), "text").join(wanted.hint("shuffle_hash"), "sid").select("node", "w1", "w2", "text")
+    return found.mapInArrow(run, "node long, n long, items array<long>, sketch array<long>").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link, by intersection of the complete sets."""
-    left, right = sets.select(F.col("key").alias("a"), F.col("items").alias("ia")), sets.select(F.col("key").alias("b"), F.col("items").alias("ib"))
+    """Pairs (a, b) that link: first those whose sketches allow it, then by intersection of the complete sets, row by row in the JVM."""
+    small = sets.select("node", "n", "sketch")
+    a, b = (small.toDF(x, f"n{x}", f"s{x}") for x in "ab")
+    width = F.least(F.size("sa"), F.size("sb"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def folded(s: str) -> F.Column:  # linked sizes are so near that sketches differ in width twofold at most
+        half = F.transform(F.sequence(F.lit(1), width), lambda k: F.element_at(s, k).bitwiseXOR(F.element_at(s, k + width)))
+        return F.when(F.size(s) > width, half).otherwise(F.col(s))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long")
+    bits = F.aggregate(F.zip_with(folded("sa"), folded("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.greatest(F.size("sa"), F.size("sb")) <= 2 * width)
+    near = pairs.join(a, "a").join(b, "b").where(sizes).where(bits * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    whole = sets.select("node", "items")
+    a, b = (whole.toDF(x, f"i{x}") for x in "ab")
+    shared = F.size(F.array_intersect("ia", "ib"))
+    return near.join(a, "a").join(b, "b").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -339,9 +363,9 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
 
 
-def _labelled(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """keys with their component, itself where nothing links."""
-    return keys.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """nodes with their component, itself where nothing links."""
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _forest(keys: np.ndarray, labels: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -364,26 +388,22 @@ def _forest(keys: np.ndarray, labels: np.ndarray, a: np.ndarray, b: np.ndarray,
     return np.array(chosen, np.int64)
 
 
-def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs of different components in one bucket (signature, key) whose sketches allow a link; forest: see _forest()."""
-    members = _labelled(members, labels)
-    buckets = members.groupBy("signature").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("digest"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
-    once = buckets.groupBy("size", "low", "high", "digest").agg(F.min("signature").alias("signature")).select("signature", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    # a chunk meets itself and every other chunk of its bucket
-    rows = members.join(once, "signature").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("signature", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.col("chunk"), "key", "label")
-    units = rows.join(sets.select("key", "n", "sketch"), "key").repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j", "key")
+def _compared(units: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of different components in one unit (unit, i, j, own, node, label) whose sketches allow a link; forest: see _forest().
+
+    i and j number the chunks that a unit holds, own the one a row is of; where i and j differ, only pairs across them count.
+    """
+    rows = units.join(sets.select("node", "n", "sketch"), "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def compare() -> Iterator[pa.RecordBatch]:
             chunk, keys, labels, sizes = (np.array([r[k] for r in held], np.int64) for k in (3, 4, 5, 6))
-            sketches = [np.frombuffer(r[7], np.uint64) for r in held]
+            sketches = [np.array(r[7], np.int64).view(np.uint64) for r in held]
             width = min(map(len, sketches))
             bits = np.array([_folded(s, width) for s in sketches])
-            apart = held[0][1] != held[0][2]  # pairs of two chunks; else within one
+            apart = held[0][1] != held[0][2]
             a, b, near = [], [], []
             for k in range(len(held) - 1):
                 rest = slice(k + 1, None)
@@ -406,62 +426,131 @@ def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    yield from compare()
-                    held = []
-                held.append(row)
+            for at in range(0, batch.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if held and row[:3] != held[0][:3]:
+                        yield from compare()
+                        held = []
+                    held.append(row)
         if held:
             yield from compare()
 
-    return units.select("signature", "i", "j", "chunk", "key", "label", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("unit", "i", "j", "own", "node", "label", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Of members (unit, node, label) the units that hold several components: unit, size, and largest (a label of most members)."""
+    counts = members.groupBy("unit", "label").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("digest"))
+    units = counts.groupBy("unit").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("label", "c").alias("largest"), F.count("*").alias("labels"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("digest").alias("digest")).where("labels > 1")
+    # units of the same members are one
+    return units.groupBy("size", "low", "high", "digest").agg(F.min("unit").alias("unit"), F.min_by("largest", "unit").alias("largest"), F.min_by("most", "unit").alias("most")).select("unit", "size", "most", "largest")
+
+
+def _dealt(chunks: F.Column, seed: int) -> F.Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), chunks).cast("int")
+
+
+def _nearest(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs that would join components inside a chunk of a bucket, the nearest ones."""
+    rows = _labelled(members.select(F.col("signature").alias("unit"), "node"), labels)
+    rows = rows.join(_open(rows).select("unit", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "unit").withColumn("own", _dealt(F.col("chunks"), seed))
+    return _compared(rows.select("unit", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", "label"), sets, percent, True)
+
+
+def _all_left(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in a bucket whose sketches allow a link, see the module's text."""
+    rows, _ = store(_labelled(members.select(F.col("signature").alias("unit"), "node"), labels), "level")
+    rare, made = None, []
+    for level in range(LEVELS + 1):
+        found, _ = store(_open(rows), "open")
+        chunks = F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")
+        fine = found.where((F.col("size") <= CHUNK) | (F.col("size") - F.col("most") <= CHUNK))
+        large = found.where((F.col("size") > CHUNK) & (F.col("size") - F.col("most") > CHUNK)).select("unit", chunks)
+        few = rows.join(fine.select("unit", "size", "largest", chunks), "unit")
+        # small units are one chunk; of larger ones each chunk of the largest component meets all that is outside of it
+        numbers = F.when(F.col("size") <= CHUNK, F.array(F.lit(0))).when(F.col("label") == F.col("largest"), F.array(_dealt(F.col("chunks"), 0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+        few = few.withColumn("i", F.explode(numbers)).select("unit", "i", F.col("i").alias("j"), F.lit(0).alias("own"), "node", "label")
+        made.append(_compared(few, sets, percent, False))
+        if large.isEmpty():
+            break
+        if level == LEVELS:  # pairs of chunks
+            every = rows.join(large, "unit").withColumn("own", _dealt(F.col("chunks"), 0)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            made.append(_compared(every.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label"), sets, percent, False))
+            break
+        rows, _ = store(rows.join(large.select("unit"), "unit", "left_semi"), "level")
+        if rare is None:
+            rare, _ = store(_rare(rows.select("node").distinct(), sets, percent), "rare")
+            rows = rows.select("node", "label").distinct().withColumns({"unit": F.lit(0).cast("long"), "place": F.lit(0)})
+        # the next shared shingle, in ascending order of frequency, among the first of the set
+        deeper = rows.join(rare, "node").withColumn("next", F.slice("rare", F.col("place") + 1, F.col("free") + level - F.col("place")))
+        deeper = deeper.select("node", "label", "unit", "place", F.posexplode("next").alias("k", "item")).where("item IS NOT NULL")
+        rows, _ = store(deeper.select(F.xxhash64("unit", "item").alias("unit"), "node", "label", (F.col("place") + F.col("k") + 1).cast("int").alias("place")), "level")
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def _rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, rare (its first shingles in ascending order of frequency among these nodes, null for one that no other has) and free (how many of them tell, at level 1)."""
+    own = sets.join(nodes, "node", "left_semi").select("node", "n", F.explode("items").alias("item"))
+    seen = own.groupBy("item").agg(F.count("*").alias("df"))
+    free = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    ranked = own.join(seen, "item").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("all"))
+    return ranked.select("node", F.transform(F.slice("all", F.lit(1), free + LEVELS - 1), lambda x: F.when(x["df"] > 1, x["item"])).alias("rare"), free.alias("free"))
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) after further links (a, b) between nodes."""
-    more = _labelled(_labelled(links.withColumnRenamed("a", "key"), labels).select(F.col("label").alias("a"), F.col("b").alias("key")), labels).select("a", F.col("label").alias("b"))
+    more = _labelled(_labelled(links.withColumnRenamed("a", "node"), labels).select(F.col("label").alias("a"), F.col("b").alias("node")), labels).select("a", F.col("label").alias("b"))
     tops = components(more)
     moved = labels.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     single = tops.join(labels.select("node"), "node", "left_anti")  # nodes that nothing linked before
     return store(moved.union(single.select("node", "label")), "labels")[0]
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", rows: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", rows: int | None = None, with_tie: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links), a row per document.
 
-    rows: the number of rows to plan for; None counts them.
+    rows: the number of rows to plan for; None counts them. with_tie adds tie (xxhash64 of the text, null as empty) and
+    component (a number of the component, null for a document without words), which tell rows of one id and components without ids apart.
     """
-    ship(docs.sparkSession)
+    spark, since = docs.sparkSession, mark()
+    ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = docs.count() if rows is None else rows
-    found, _ = store(_nodes(docs, n, percent, rows), "shingles")
-    filled = found.where("key IS NOT NULL")
-    # copies inside a split are summed before the shuffle
-    classes, _ = store(filled.groupBy("key").agg(F.min("doc_id").alias("low"), F.min("sid").alias("sid"), F.min("need0").alias("need0"), F.min("need1").alias("need1")), "classes")
-    bucket = W.partitionBy("signature")
-    shared = _written(docs, n, percent, rows).select("signature", "key", F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high")).where("low < high")
-    shared, _ = store(shared.select("signature", "key").distinct(), "shared")
+    found, found_path = store(_nodes(docs, n, percent, rows), "shingles")
+    filled = found.where("k1 IS NOT NULL")
+    # copies inside a split are summed before the shuffle; a class's number lasts as it is written once
+    classes = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.min("sid").alias("sid"), F.min("need0").alias("need0"), F.min("need1").alias("need1"))
+    classes, classes_path = store(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    bucket = W.partitionBy("signature", "part")
+    ends = [F.min("k1").over(bucket).alias("least"), F.max("k1").over(bucket).alias("greatest"), F.max("known").over(bucket).alias("shared")]
+    written = _written(docs, n, percent, rows).select("signature", "k1", *ends).where("shared OR least < greatest").select("signature", "k1")
+    # a k1 that two classes have gives both of them, which costs a comparison
+    shared, shared_path = store(written.join(classes.select("k1", "node"), "k1").select("signature", "node").distinct(), "shared")
     # nodes that share fewer signatures than a linked one does have no link in that band
     parity = F.col("signature").bitwiseAND(1).alias("parity")
-    counted = shared.groupBy("key", parity).agg(F.count("*").alias("c")).join(classes.select("key", "need0", "need1"), "key")
-    likely = counted.where("c >= CASE parity WHEN 0 THEN need0 ELSE need1 END").select("key", "parity")
-    likely = shared.withColumn("parity", parity).join(likely, ["key", "parity"], "left_semi").select("signature", "key")
-    members = likely.select("signature", "key", F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high")).where("low < high")
-    members, _ = store(members.select("signature", "key", "low"), "buckets")
-    star = members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
-    wanted = members.select("key").distinct().join(classes.select("key", "sid"), "key")
-    sets, _ = store(_sets(docs, wanted, n), "sets")
-    links, _ = store(_verified(_near(star, sets, percent), sets, percent), "links")
-    labels = components(links)
-    # first the nearest pairs that would join a bucket's components, then all that are left between components
-    for forest in (True, True, False):
-        rest = _verified(_across(members.select("signature", "key"), sets, labels, percent, forest), sets, percent)
-        labels = _joined(labels, rest)
-    labelled = _labelled(classes.select("key", "low"), labels)
-    least = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    of_class = labelled.join(least, "label").select("key", "component_id")
-    empty = found.where("key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return filled.select("doc_id", "n", "key").join(of_class, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    counted = shared.groupBy("node", parity).agg(F.count("*").alias("c")).join(classes.select("node", "need0", "need1"), "node")
+    likely = counted.where("c >= CASE parity WHEN 0 THEN need0 ELSE need1 END").select("node", "parity")
+    likely, likely_path = store(shared.withColumn("parity", parity).join(likely, ["node", "parity"], "left_semi").select("signature", "node"), "likely")
+    release(spark, since, found_path, classes_path, likely_path)
+    least = likely.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("signature", "low")
+    members, members_path = store(likely.join(least, "signature"), "buckets")
+    star = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    wanted = members.select("node").distinct().join(classes.select("node", "sid", F.col("k1").alias("w1"), F.col("k2").alias("w2")), "node")
+    sets, sets_path = store(_sets(docs, wanted, n), "sets")
+    labels = components(_verified(star, sets, percent))
+    for seed in (1, 2):
+        labels = _joined(labels, _verified(_nearest(members, sets, labels, percent, seed), sets, percent))
+    labels = _joined(labels, _verified(_all_left(members, sets, labels, percent), sets, percent))
+    labelled = _labelled(classes.select("node", "k1", "k2", "low"), labels)
+    component = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
+    of_class, of_class_path = store(labelled.join(component, "label").select("k1", "k2", "component_id", F.col("label").alias("component")), "components")
+    release(spark, since, found_path, of_class_path)
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", *(["tie", "component"] if with_tie else [])]
+    empty = found.where("k1 IS NULL").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
+    return filled.join(of_class, ["k1", "k2"]).select(*columns).unionByName(empty.select(*columns))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

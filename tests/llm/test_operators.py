@@ -274,17 +274,32 @@ def spare_segments_find_every_link():
                     assert common >= max(need[parity], other[parity]) >= 1, (percent, plan, len(a), len(b))
 
 
-def test_large_buckets_go_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "CHUNK", 8)
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_large_buckets_are_split(spark, monkeypatch, levels):
+    """Families that don't link as a whole: chunks, components with few outsiders, and levels of rare shingles."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 6)
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
     rng = np.random.default_rng(5)
     rows = []
-    for k in range(60):
+    for k in range(90):
         words = [f"w{j}" for j in range(40)]
         words[int(rng.integers(0, 40))] = f"y{k}"
         words[int(rng.integers(0, 40))] = f"z{k % 9}"
+        if k % 3 == 0:  # far from all others
+            for at in rng.integers(0, 40, 6):
+                words[at] = f"u{rng.integers(0, 5)}"
         rows.append((k, " ".join(words)))
-    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 3, 90)
+    for n, percent in ((3, 90), (2, 80)):
+        found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, n, percent)
+
+
+def test_keys_of_small_sets_come_from_their_words():
+    import pyarrow as pa
+
+    texts = ["a b c", "a  b c", "a b", "b a", "a a a a a", "a a a", "", None, "x y z w", " ".join(f"w{k}" for k in range(30))]
+    keys = [key for _, key in jaccard_join.shingle_sets(pa.array(texts), 3)]
+    assert keys[0] == keys[1] and keys[4] == keys[5] and keys[6] is None and keys[7] is None and len(set(keys)) == 7
 
 
 def test_html(spark, empty):

@@ -41,7 +41,11 @@ def test_stages_take_odd_rows(spark):
     stages = dict(corpus_pipeline.STAGES)
     exact = stages["exact_dedup"](spark, docs, DATA)
     assert collections.Counter((r.doc_id, r.text) for r in exact.collect()) == collections.Counter([(1, "same text here"), (None, "other"), (2, "")])
-    assert stages["ngram_jaccard_join"](spark, docs, DATA).count() >= 3
+    near = " ".join(f"w{k}" for k in range(80))
+    more = spark.createDataFrame([(7, near, "en", "s", 5), (7, near + " x", "en", "s", 5), (None, near + " y", "en", "s", 5), (None, near + " z", "en", "s", 5), (8, "p q", "en", "s", 5), (None, "p q", "en", "s", 5)], COLUMNS)
+    found = stages["ngram_jaccard_join"](spark, docs.union(more), DATA).collect()
+    assert collections.Counter(r.text for r in found if r.text not in (near, near + " x")) == collections.Counter(["same text here", "other", None, "", "p q"])
+    assert len([r for r in found if r.doc_id == 7]) == 1 and {r.doc_id for r in found if r.text == "p q"} == {8}
     assert stages["secret_scan"](spark, docs, DATA).count() == len(rows)
     assert stages["best_fit_packing"](spark, docs, DATA).count() == len(rows)
     assert stages["quality_classifier"](spark, docs, DATA).columns == docs.columns
