@@ -29,7 +29,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found, path = store(exact_dedup.exact_dedup(docs).select("doc_id", "kept", "text_sha256"), "kept-exact")
     release(spark, since, path)
     kept = found.where("kept")
-    if found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+    if not found_twice(docs):
         return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
     # ids that don't tell rows apart: text decides too, and of rows alike in both one stays
     digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
@@ -39,12 +39,26 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least doc_id; rows that share that id stay together."""
+    """Of each component of near copies the row with the least doc_id (null last; of one id, the least hash of the text).
+
+    Rows alike in id and text are one document; documents without words link with nothing and stay.
+    """
     since = mark()
-    found = jaccard_join.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
-    ids, path = store(found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id"), "kept-near")
+    found = jaccard_join.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT, with_tie=True)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    linked = found.where("component IS NOT NULL").groupBy("component").agg(F.min(first).alias("first")).select("first.doc_id", "first.tie")
+    kept, path = store(linked.union(found.where("component IS NULL").select("doc_id", "tie").distinct()), "kept-near")
     release(spark, since, path)
-    return docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    chosen = rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]) & (rows["digest"] == kept["tie"]), "left_semi")
+    if found_twice(docs):
+        chosen = chosen.dropDuplicates(["id", "digest"])
+    return chosen.select("row.*")
+
+
+def found_twice(docs: DataFrame) -> bool:
+    """Whether ids don't tell rows apart."""
+    return not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty()
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
