@@ -108,7 +108,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> dict[str,
         idx, weight = [], []
         for bucket, _ in features(t, np.array([0, len(t)])):
             b, c = np.unique(bucket, return_counts=True)
-            idx.append(b)
+            idx.append(b.astype(np.int32))
             weight.append(c / max(len(bucket), 1) / FAMILIES)
         idx, weight = np.concatenate(idx), np.concatenate(weight).astype(np.float32)
         rows.append((idx, weight))
