@@ -17,10 +17,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where unset) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one, on a local master alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-cairnwork-", dir="/tmp"))
     return f"file://{_own_dir[0]}"
@@ -62,6 +64,11 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def scratch(path: str) -> None:
+    """Names a folder to be deleted when the process ends."""
+    _stored.append(path)
+
+
 def mark() -> int:
     """Stands for the tables stored so far; see release()."""
     return len(_stored)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,18 +31,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.llm import tokens
-from cairnwork.llm.common import drop_path, load, new_path, ship, store
+from cairnwork.llm.common import drop_path, load, new_path, scratch, ship, store
 
 SAMPLE = 2000
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
 LEVEL = 3
 END_ID = 0
+#: Pieces of text that a worker remembers, twice.
+MEMO_PIECES = 300_000
 
 
-def _ids(texts: list, path: str, end_id: int, width: type) -> Iterator[np.ndarray]:
-    for ids in tokens.encoder(path, tokens.ByteEncoder).encode(texts):
-        yield np.append(np.frombuffer(ids, np.uint32), np.uint32(end_id)).astype(width)
+def _ids(texts: list, path: str, end_id: int, code: str) -> Iterator[bytes]:
+    """Each text's serialized ids, the end id behind them."""
+    end = array(code, [end_id]).tobytes()
+    for ids in tokens.encoder(path, tokens.ByteEncoder, code, MEMO_PIECES).encode(texts):
+        yield ids + end
 
 
 def dictionary_of(samples: list[bytes]) -> bytes:
@@ -52,12 +57,12 @@ def dictionary_of(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str, width: type, sample: int = SAMPLE, end_id: int = END_ID) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str, code: str, sample: int = SAMPLE, end_id: int = END_ID) -> bytes:
     ids = docs.select(F.col(id_col).alias("doc_id")).where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # at most SAMPLE ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = sorted(x.tobytes() for b in batches for x in _ids(b.column("text").to_pylist(), path, end_id, width))
+        samples = sorted(x for b in batches for x in _ids(b.column("text").to_pylist(), path, end_id, code))
         yield pa.RecordBatch.from_arrays([pa.array([dictionary_of(samples)], pa.binary())], names=["dictionary"])
 
     made = texts.repartition(1).mapInArrow(run, "dictionary binary").collect()
@@ -71,23 +76,24 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 BLOCKS = "part int, block int, first_id long, last_id long, n_tokens long, dictionary string, doc_ids array<long>, counts array<int>, offsets array<int>, frames binary"
 
 
-def write(docs: DataFrame, target: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: int = 50_257) -> None:
-    """Writes blocks, manifest and dictionary under target."""
+def write(docs: DataFrame, target: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: int | None = None) -> None:
+    """Writes blocks, manifest and dictionary under target; vocabulary: the number of ids, None takes the tokenizer's."""
     spark = docs.sparkSession
     ship(spark)
-    width = np.uint16 if vocabulary <= 1 << 16 else np.uint32
-    trained = train_dictionary(docs, path, id_col, text_col, width, end_id=end_id)
+    code = "H" if max(vocabulary or tokens.vocabulary(path), end_id + 1) <= 1 << 16 else "I"
+    width = array(code).itemsize
+    trained = train_dictionary(docs, path, id_col, text_col, code, end_id=end_id)
     name = hashlib.sha256(trained).hexdigest()
-    spark.createDataFrame([(name, bytearray(trained), np.dtype(width).itemsize)], "dictionary string, content binary, width int").coalesce(1).write.parquet(f"{target}/dictionary")
+    spark.createDataFrame([(name, bytearray(trained), width)], "dictionary string, content binary, width int").coalesce(1).write.parquet(f"{target}/dictionary")
 
     def compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _dictionary(trained)
         z = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False) if held else zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             counts, frames = [], []
-            for ids in _ids(batch.column(1).to_pylist(), path, end_id, width):
-                counts.append(len(ids))
-                frames.append(z.compress(ids.tobytes()))
+            for ids in _ids(batch.column(1).to_pylist(), path, end_id, code):
+                counts.append(len(ids) // width)
+                frames.append(z.compress(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), pa.array(frames, pa.binary())], names=["doc_id", "n", "frame"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -147,19 +153,22 @@ def read(spark: SparkSession, target: str, with_ids: bool = False) -> DataFrame:
         held = _dictionary(content)
         z = zstandard.ZstdDecompressor(dict_data=held) if held else zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["dictionary"] != name:
-                    raise ValueError("a block was written with another dictionary")
-                crcs, ids_of, o = [], [], row["offsets"]
-                for k, n in enumerate(row["counts"]):
-                    ids = np.frombuffer(z.decompress(row["frames"][o[k] : o[k + 1]], max_output_size=n * size), width).astype("<u4")
+            if any(x != name for x in batch.column("dictionary").unique().to_pylist()):
+                raise ValueError("a block was written with another dictionary")
+            for k in range(batch.num_rows):
+                doc_ids, counts, offsets = (batch.column(c)[k].values for c in ("doc_ids", "counts", "offsets"))
+                frames, at, lengths = batch.column("frames")[k].as_buffer(), offsets.to_numpy(), counts.to_numpy()
+                frames = memoryview(frames)
+                crcs, ids_of = [], []
+                for a, b, n in zip(at[:-1].tolist(), at[1:].tolist(), lengths.tolist(), strict=True):
+                    ids = np.frombuffer(z.decompress(frames[a:b], max_output_size=n * size), width)
                     if len(ids) != n:
                         raise ValueError("a frame doesn't hold the ids that the index names")
-                    crcs.append(zlib.crc32(ids.tobytes()))
+                    crcs.append(zlib.crc32(ids.astype("<u4")))
                     if with_ids:
                         ids_of.append(ids.astype(np.int32))
-                starts = row["start"] + np.cumsum([0, *row["counts"][:-1]])
-                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(crcs, pa.int64())]
+                starts = batch.column("start")[k].as_py() + np.cumsum(lengths, dtype=np.int64) - lengths
+                columns = [doc_ids, pa.array(starts, pa.int64()), counts.cast(pa.int64()), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids_of, pa.list_(pa.int32()))] * with_ids, names=names)
 
     return blocks.join(base, ["part", "block"]).select("dictionary", "doc_ids", "counts", "offsets", "frames", "start").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
@@ -181,4 +190,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     target = new_path(spark, "tokenstore")
     write(load(spark, sf_dir, "documents"), target, public_tokenizers.path("byte_bpe_50k.json"))
+    scratch(target)  # the query's result is read from these files; they go when the process ends
     return read(spark, target)
