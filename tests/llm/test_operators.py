@@ -77,7 +77,7 @@ def test_grace_partitions_to_files_and_loses_nothing():
 
 
 def test_tokens_equal_the_library(rows):
-    odd = ["", "a  b", "  a b ", "a\n\nb c", "x\t y", "a \tb", "a\t \tb", "It's don't\nWe'll", "\nfoo bar\n", "Áb c", "x\x1cy z", "İstanbul ΣΑΣ", "ﬁne Ⅷ ½ ²x", "a   b    c\n  d", "end ", "<|endoftext|> x", "!! ?? ...", "x×y÷z", "a\xa0 b"]
+    odd = ["", "a  b", "  a b ", "a\n\nb c", "x\t y", "a \tb", "a\t \tb", "It's don't\nWe'll", "\nfoo bar\n", "Áb c", "x\x1cy z", "İstanbul ΣΑΣ", "ﬁne Ⅷ ½ ²x", "a   b    c\n  d", "end ", "<|endoftext|> x", "!! ?? ...", "x×y÷z", "a\xa0 b", "it's, a1, (b), c., d.. e,, é, ß. x", "a,b, c .d , e", "x, ", "ab,\nCd.\nE,"]
     for name, kind in (("byte_bpe_50k.json", tokens.ByteEncoder), ("word_bpe_49k.json", tokens.WordEncoder)):
         e = kind(P.path(name))
         for t in odd + [t for _, t in rows if t]:
@@ -158,27 +158,71 @@ def test_pieces(docs, rows, empty):
         v.decode([10**6])
 
 
+def tree(text):
+    """Brute force: root, sections as tuples of (node, leaves)."""
+    md5, sha = (lambda x: hashlib.md5(x.encode()).hexdigest()), (lambda x: hashlib.sha256(x.encode()).hexdigest())
+    nodes, shown = [], []
+    for section in text.split("\n\n"):
+        own = []
+        for p in section.split("\n"):
+            runs = [""]
+            words = (" " + p.replace("\x01", "\x01\x01")).split(" ")
+            line = " ".join(w + "\x01" if md5(w) < "4" else w for w in words)
+            runs = [] if not p else line.removesuffix("\x01").split("\x01")
+            digests = [md5(r) for r in runs]
+            own.append((sha(",".join(digests)), tuple(d[:8] for d in digests)))
+        nodes.append(sha(",".join(n for n, _ in own)))
+        shown.append(tuple((n[:16], leaves) for n, leaves in own))
+    return sha(";".join(nodes)), shown
+
+
+def tree_likeness(a, b):
+    (ra, sa), (rb, sb) = tree(a), tree(b)
+    if ra == rb:
+        return 1.0
+    sa, sb = set(sa), set(sb)
+    same = sum(len(leaves) for s in sa & sb for _, leaves in s)
+    pa, pb = {p for s in sa - sb for p in s}, {p for s in sb - sa for p in s}
+    same += sum(len(leaves) for _, leaves in pa & pb)
+    la, lb = {x for _, leaves in pa - pb for x in leaves}, {x for _, leaves in pb - pa for x in leaves}
+    every = 2 * same + len(la) + len(lb)
+    return (2 * same + 2 * len(la & lb)) / every if every else 1.0
+
+
 def test_fingerprints(spark, docs, rows, empty):
     found = merkle.with_next(docs).collect()
-    order = sorted((i for i, _ in rows if i is not None), reverse=True)
-    assert len(found) == len(rows)
-    by = collections.defaultdict(list)
-    for i, t in rows:
-        by[i].append(t or "")
-    for r in found:
-        if r.doc_id is not None and len(by[r.doc_id]) == 1:
-            at = order.index(r.doc_id)
-            if at + 1 < len(order):
-                assert r.next_text in by[order[at + 1]]
-    one = merkle.with_next(spark.createDataFrame([(4, "abc")], "doc_id long, text string")).collect()
-    assert [(r.text, r.next_text) for r in one] == [("abc", "abc")]
-    assert merkle.with_next(empty).count() == 0 and merkle.fingerprints(empty).count() == 0
-    prints = {r.text: r.fingerprint for r in docs.select(F.coalesce("text", F.lit("")).alias("text"), merkle.fingerprint(merkle.nodes(F.coalesce("text", F.lit(""))), merkle.runs(F.coalesce("text", F.lit("")))).alias("fingerprint")).collect()}
-    assert len({p.split("/")[0] for p in prints.values()}) == len(prints)
-    a, b = "one\ntwo\n\nthree\nfour", "one\ntwo\n\nthree\nfive"
-    d = spark.createDataFrame([(a, b)], "a string, b string").select(*[merkle.fingerprint(merkle.nodes(F.col(c)), merkle.runs(F.col(c))).alias(c) for c in "ab"], merkle.likeness(merkle.runs(F.col("a")), merkle.runs(F.col("b"))).alias("l"))
-    r = d.select(merkle.differing_paragraphs(F.col("a"), F.col("b")).alias("x"), merkle.differing_paragraphs(F.col("a"), F.col("a")).alias("y"), "l").first()
-    assert r.x == [3] and r.y == [] and 0 < r.l < 1
+    order = sorted(((i is not None, i or 0, [-ord(c) for c in hashlib.md5((t or "").encode()).hexdigest()], t or "") for i, t in rows), reverse=True)
+    following = collections.Counter((x[1] if x[0] else None, x[3], y[3]) for x, y in zip(order, order[1:] + order[:1], strict=True))
+    assert collections.Counter((r.doc_id, r.text, r.next_text) for r in found) == following
+    whole = collections.Counter()
+    for (i, t, later), n in following.items():
+        half = len(t) // 2
+        edited = t[: len(t) - half] + later[:half]
+        shown = lambda x: tree(x)[0] + "/" + "|".join(";".join(f"{n}:{''.join(leaves)}" for n, leaves in s) for s in tree(x)[1])
+        whole[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(t), shown(edited), round(tree_likeness(t, edited), 9), round(tree_likeness(t, later), 9)] += n
+    result = merkle.compare_with_next(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in result) == whole
+    assert merkle.compare_with_next(empty).count() == 0 and merkle.fingerprints(empty).count() == 0
+    one = merkle.compare_with_next(spark.createDataFrame([(4, "abcd")], "doc_id long, text string")).collect()
+    assert [(r.n_chars, r.near_next) for r in one] == [(4, 1.0)]
+    prints = {r.fingerprint.split("/")[0] for r in merkle.fingerprints(docs).collect()}
+    assert len(prints) == len({t or "" for _, t in rows})
+
+
+def test_likeness_follows_the_edit(spark):
+    words = [f"w{k}" for k in range(100)]
+    long = " ".join(words)
+    marks = ["a\x01 b", "a b", "a \x01b", "a  b", " a b", "a b ", "a\x01\x01b", "a\x01b", "ab", "w2", "w2 ", "w2\x01", "", " ", "\n", "\n\n", "\n\n\n"]
+    pairs = [(long, "x " + long), (long[:199], long[:199] + "zz"), (long, " ".join(words[:50] + words[51:])), ("one\ntwo\n\nthree\nfour", "one\ntwo\n\nthree\nfive"), ("a\n\nb", "b\n\na"), *((x, y) for x in marks for y in marks)]
+    d = merkle.likeness(merkle.with_fingerprints(spark.createDataFrame(pairs, "a string, b string"), fa="a", fb="b"), "fa", "fb", "l")
+    found = d.select("*", merkle.differing_paragraphs(F.col("fa"), F.col("fb")).alias("x")).collect()
+    assert all(r.l == pytest.approx(tree_likeness(r.a, r.b)) and (r.fa == r.fb) == (r.a == r.b) for r in found)
+    by = {(r.a, r.b): r for r in found}
+    assert all(by[p].l > 0.85 for p in pairs[:3]) and by[pairs[3]].x == [3] and by[pairs[4]].l == 1.0
+
+
+def test_next_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "ROWS_PER_BUCKET", 100)
     many = spark.range(9000).select((F.col("id") * 7).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     assert merkle.with_next(many).where("int(substring(next_text, 2)) <> CASE WHEN doc_id = 0 THEN 8999 ELSE doc_id div 7 - 1 END").count() == 0
 
@@ -440,5 +484,11 @@ def test_token_store(spark, docs, rows, empty, tmp_path):
         at += r.n_tokens
     own = [t for i, t in rows if i == 9]
     assert [x.tolist() for x in tokenstore.read_document(spark, target, 9)] == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in own]
+    for vocabulary, bytes_of in ((1 << 16, 2), ((1 << 16) + 1, 4)):  # ids that 16 bits can't hold
+        wide = f"file://{tmp_path}/wide{vocabulary}"
+        tokenstore.write(docs, wide, path, vocabulary=vocabulary, end_id=9 if bytes_of == 2 else 70_000)
+        assert spark.read.parquet(f"{wide}/dictionary").first().width == bytes_of
+        again = tokenstore.read(spark, wide, with_ids=True).collect()
+        assert collections.Counter((r.doc_id, tuple(r.ids)) for r in again) == collections.Counter((i, (*ids[:-1], 9 if bytes_of == 2 else 70_000)) for (i, ids), c in want.items() for _ in range(c))
     tokenstore.write(empty, f"file://{tmp_path}/none", path)
     assert tokenstore.read(spark, f"file://{tmp_path}/none").count() == 0
