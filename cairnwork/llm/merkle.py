@@ -138,8 +138,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     texts = texts.select(F.coalesce("id", F.lit(0)).alias("i"), F.when(F.col("id").isNull(), F.concat(F.lit("-"), "tie")).otherwise(F.col("tie")).alias("t"), "text")
     key = lambda i, t: (F.coalesce(i, F.lit(0)), F.when(F.col(i).isNull(), F.concat(F.lit("-"), t)).otherwise(F.col(t)))
     pairs = pairs.select("id", *(c.alias(x) for c, x in zip([*key("id", "tie"), *key("next_id", "next_tie")], ("i", "t", "ni", "nt"), strict=True)))
-    own = pairs.join(texts.hint("merge"), ["i", "t"]).select("id", "text", F.col("ni").alias("i"), F.col("nt").alias("t"))
-    return own.join(texts.withColumnRenamed("text", "next_text").hint("merge"), ["i", "t"]).select(F.col("id").alias("doc_id"), "text", "next_text")
+    own = pairs.join(texts.hint("merge"), ["i", "t"]).select("id", F.col("text").alias("own"), "ni", "nt")
+    # the same columns under the same names, so that both joins read one shuffle of the texts
+    return own.join(texts.hint("merge"), (F.col("ni") == F.col("i")) & (F.col("nt") == F.col("t"))).select(F.col("id").alias("doc_id"), F.col("own").alias("text"), F.col("text").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
