@@ -7,15 +7,17 @@ Base kinds, found leftmost and without overlap in the whole text:
 
 Method: a worklist starts with the text. Each layer is scanned; then its URL escapes, Unicode and character
 escapes, base64 runs and compressed runs (gzip, zlib) are unwrapped into new layers, which join the worklist,
-until nothing new comes (a digest of each layer ends cycles). Every layer keeps, for each of its code points,
-the span of the original text that it came from, so that a find in any layer names its place in the text. Such a
-find is added as kind/layer, e.g. assign/base64; finds that no unwrapped code point belongs to are not repeated.
+until nothing new comes (a digest of each layer ends cycles). A layer knows its parent and how its places follow from
+the parent's (by escapes, by base64 digits, or one span for all of a compressed run), so that a find in any layer names its place in the original
+text, and memory is that of texts and escapes. Such a find is added as kind/layer, e.g. assign/base64; finds that no unwrapped code point belongs to
+are not repeated. Base64 lines of one width (LINE characters or more) that follow each other are unwrapped together, too.
 
 Defined cases: null text counts as empty (no finds); an empty table gives no rows; repeated rows are scanned
-each; ids are passed through, null ones too. A run that is neither compressed nor UTF-8 is no layer. Compressed runs
+each; ids are passed through, null ones too; other columns are not read. A base64 run that isn't compressed is a layer if at most GARBAGE of it
+are control characters or no UTF-8. Compressed runs
 (in base64 or URL escapes) are inflated as streams to their end, all members of them, and again while the content is
-compressed; the content is scanned in windows of text, cut at line ends (a line over MOST_WINDOW is cut anywhere, with
-OVERLAP characters in both windows). Bytes of it that are not UTF-8 stand as U+FFFD. A damaged stream counts up to the damage.
+compressed, wherever in them a find stands; the content is scanned in windows of text, cut at line ends (a line over MOST_WINDOW is cut anywhere, with
+OVERLAP characters in both windows: an encoded run longer than that is then unwrapped up to the cut only). Bytes of it that are not UTF-8 stand as U+FFFD. A damaged stream counts up to the damage.
 """
 
 from __future__ import annotations
@@ -47,8 +49,8 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 CHUNK = 1 << 20
 HEAD = 1 << 16
 #: Code points of inflated text that are scanned at once.
-WINDOW = 4 << 20
-MOST_WINDOW = 64 << 20
+WINDOW = 1 << 20
+MOST_WINDOW = 16 << 20
 OVERLAP = 1 << 16
 
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -56,6 +58,13 @@ URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 URL_STREAM = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)(?:%01|\^|%5[eE]|%9[cC]|%[dD][aA]))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+@:,;$^-])*")
 CHAR_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Width of wrapped base64 lines at least; what may stand between two of them; a last line.
+LINE = 20
+LINE_END = re.compile(r"\r?\n[ \t]*")
+LAST_LINE = re.compile(r"\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}(?![A-Za-z0-9+/_=-])")
+#: Share of a decoded base64 run that may be no text.
+GARBAGE = 0.3
+NO_TEXT = re.compile("[\x00-\x08\x0e-\x1f\x7f\ud800-\udfff]")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -71,11 +80,9 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 def readable(data: bytes) -> str | None:
-    """Text in UTF-8, or None."""
-    try:
-        return data.decode("utf-8") or None
-    except UnicodeDecodeError:
-        return None
+    """Text, bytes that aren't UTF-8 as lone surrogates; None if too much of it is no text."""
+    text = data.decode("utf-8", "surrogateescape")
+    return text if text and (text.isprintable() or len(NO_TEXT.findall(text)) <= GARBAGE * len(text)) else None
 
 
 def compressed(head: bytes) -> bool:
@@ -184,56 +191,100 @@ def windows(chunks: Iterable[bytes]) -> Iterator[str]:
 
 
 class Layer:
-    """Text, and for each code point its span in the original (None: itself); made: which code points were unwrapped."""
+    """A text on the worklist; span() gives places of the original text, made() whether any of its code points was unwrapped. This one is the original."""
 
-    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None, made: np.ndarray | None = None, name: str = "") -> None:
-        self.text, self.start, self.end, self.made, self.name = text, start, end, made, name
+    parent: Layer | None = None
+    name = ""
 
-    one: tuple[int, int] | None = None  # the span of each of its code points, where all have the same
-
-    @classmethod
-    def piece(cls, text: str, span: tuple[int, int], name: str) -> Layer:
-        n = len(text)
-        layer = cls(text, np.broadcast_to(span[0], n), np.broadcast_to(span[1], n), np.broadcast_to(True, n), name)
-        layer.one = span
-        return layer
+    def __init__(self, text: str) -> None:
+        self.text = text
 
     def key(self) -> bytes:
-        made_of = b"" if self.start is None else repr(self.one).encode() if self.one else self.start.astype(np.int64).tobytes()
-        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass") + made_of).digest()
+        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest() + repr(self.span(0, len(self.text))).encode()
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.start is None else self.one if self.one else (int(self.start[a:b].min()), int(self.end[a:b].max()))
+        return (a, b) if self.parent is None else self.parent.span(*self.above(a, b))
+
+    def made(self, a: int, b: int) -> bool:
+        return self.parent is not None
+
+    def above(self, a: int, b: int) -> tuple[int, int]:
+        """The span of the parent's text that a span of this one came from."""
+        return a, b
+
+
+class Piece(Layer):
+    """Content of a run whose code points all stand for the whole run."""
+
+    def __init__(self, text: str, parent: Layer, run: tuple[int, int], name: str) -> None:
+        self.text, self.parent, self.run, self.name = text, parent, run, name
+
+    def above(self, a: int, b: int) -> tuple[int, int]:
+        return self.run
+
+
+class Decoded(Layer):
+    """A base64 run: byte i of the content stands in its digits 4i/3 and on. breaks: for each line end in the run the digits before it and its width."""
+
+    def __init__(self, text: str, parent: Layer, start: int, digits: int, breaks: list[tuple[int, int]]) -> None:
+        self.text, self.parent, self.name = text, parent, f"{parent.name}/base64"
+        self.start, self.digits = start, digits
+        self.before = np.array([n for n, _ in breaks], np.int64)
+        self.widths = np.cumsum([0, *(w for _, w in breaks)])
+
+    def place(self, digit: int) -> int:
+        return int(self.start + digit + self.widths[np.searchsorted(self.before, digit, "right")])
+
+    def above(self, a: int, b: int) -> tuple[int, int]:
+        size = lambda x: len(x.encode("utf-8", "surrogateescape"))
+        first = size(self.text[:a])
+        last = first + size(self.text[a:b]) - 1
+        return self.place(first * 4 // 3), self.place(min(self.digits - 1, last * 4 // 3 + 1)) + 1
+
+
+class Escaped(Layer):
+    """The parent's text with each escape replaced; at: places of what was replaced, start and end: the escapes' spans in the parent."""
+
+    def __init__(self, text: str, parent: Layer, at: list[int], start: list[int], end: list[int], name: str) -> None:
+        self.text, self.parent, self.name = text, parent, f"{parent.name}/{name}"
+        self.at, self.start, self.end = (np.array(x, np.int64) for x in (at, start, end))
+
+    def place(self, x: int) -> tuple[int, int]:
+        k = int(np.searchsorted(self.at, x, "right")) - 1
+        if k >= 0 and self.at[k] == x:
+            return int(self.start[k]), int(self.end[k])
+        at = x if k < 0 else int(x - self.at[k] - 1 + self.end[k])
+        return at, at + 1
+
+    def above(self, a: int, b: int) -> tuple[int, int]:
+        return self.place(a)[0], self.place(max(a, b - 1))[1]
+
+    def made(self, a: int, b: int) -> bool:
+        k = int(np.searchsorted(self.at, a))
+        return k < len(self.at) and self.at[k] < b or self.parent.made(*self.above(a, b))
 
 
 def _escaped(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
     """The whole layer with each escape replaced by what it stands for."""
-    parts, starts, ends, made, at = [], [], [], [], 0
-    base_start = layer.start if layer.start is not None else np.arange(len(layer.text))
-    base_end = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
-    base_made = layer.made if layer.made is not None else np.zeros(len(layer.text), bool)
+    parts, at, starts, ends, done, size = [], [], [], [], 0, 0
     for m in pattern.finditer(layer.text):
         chars = decode(m)
         if chars is None:
             continue
         a, b = m.span()
-        parts.append(layer.text[at:a])
-        starts.append(base_start[at:a])
-        ends.append(base_end[at:a])
-        made.append(base_made[at:a])
+        parts.append(layer.text[done:a])
+        size += a - done
         for c, x, y in chars:
             parts.append(c)
-            starts.append(np.array([base_start[a + x : a + y].min()]))
-            ends.append(np.array([base_end[a + x : a + y].max()]))
-            made.append(np.array([True]))
-        at = b
+            at.append(size)
+            starts.append(a + x)
+            ends.append(a + y)
+            size += 1
+        done = b
     if not parts:
         return None
-    parts.append(layer.text[at:])
-    starts.append(base_start[at:])
-    ends.append(base_end[at:])
-    made.append(base_made[at:])
-    return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends), np.concatenate(made), f"{layer.name}/{name}")
+    parts.append(layer.text[done:])
+    return Escaped("".join(parts), layer, at, starts, ends, name)
 
 
 def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
@@ -260,17 +311,41 @@ def _character(m: re.Match) -> list[tuple[str, int, int]] | None:
 def _unbase64(run: str) -> bytes | None:
     body = run.rstrip("=")
     if len(body) % 4 == 1:
-        return None
+        body = body[:-1]
     try:
         return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
 
 
-def _pieces(data: bytes, layer: Layer, span: tuple[int, int]) -> Iterator[Layer] | None:
+def _pieces(data: bytes, layer: Layer, run: tuple[int, int]) -> Iterator[Layer] | None:
     """Layers of a compressed run, which is one piece; None if it isn't compressed."""
     depth, chunks = opened(data)
-    return (Layer.piece(text, span, layer.name + depth * "/compressed") for text in windows(chunks)) if depth else None
+    return (Piece(text, layer, run, layer.name + depth * "/compressed") for text in windows(chunks)) if depth else None
+
+
+def base64_runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Spans of the lines of each run: every line by itself, and lines of one width that follow each other together."""
+    lines: list[tuple[int, int]] = []
+
+    def wrapped() -> Iterator[list[tuple[int, int]]]:
+        if lines and lines[-1][1] - lines[-1][0] == lines[0][1] - lines[0][0] and text[lines[-1][1] - 1] != "=" and (last := LAST_LINE.match(text, lines[-1][1])):
+            start = LINE_END.match(text, lines[-1][1]).end()
+            if last.end() - start <= lines[0][1] - lines[0][0]:
+                lines.append((start, last.end()))
+        if len(lines) > 1:
+            yield lines
+
+    for m in BASE64_RUN.finditer(text):
+        yield [m.span()]
+        if lines:
+            width, between = lines[0][1] - lines[0][0], LINE_END.match(text, lines[-1][1])
+            if between and between.end() == m.start() and m.end() - m.start() <= width and lines[-1][1] - lines[-1][0] == width and text[lines[-1][1] - 1] != "=":
+                lines.append(m.span())
+                continue
+        yield from wrapped()
+        lines = [m.span()] if m.end() - m.start() >= LINE else []
+    yield from wrapped()
 
 
 def unwrap(layer: Layer) -> Iterator[Layer | Iterator[Layer]]:
@@ -283,26 +358,20 @@ def unwrap(layer: Layer) -> Iterator[Layer | Iterator[Layer]]:
     if "%" in text:
         for m in URL_STREAM.finditer(text):
             for run in dict.fromkeys((m[0].replace("+", " "), m[0])):
-                if pieces := _pieces(unquote_to_bytes(run), layer, layer.span(*m.span())):
+                if pieces := _pieces(unquote_to_bytes(run), layer, m.span()):
                     yield pieces
-    for m in BASE64_RUN.finditer(text):
-        data = _unbase64(m[0])
+    for lines in base64_runs(text):
+        data = _unbase64("".join(text[a:b] for a, b in lines))
         if data is None:
             continue
-        if pieces := _pieces(data, layer, layer.span(*m.span())):
+        if pieces := _pieces(data, layer, (lines[0][0], lines[-1][1])):
             yield pieces
-            continue
-        inner = readable(data)
-        if inner is None:
-            continue
-        if layer.start is None:  # byte i of the content stands in characters 4i/3 ... of the run
-            sizes = np.array([len(c.encode()) for c in inner])
-            last = np.cumsum(sizes) - 1
-            start = m.start() + (last - sizes + 1) * 4 // 3
-            end = np.minimum(m.end(), m.start() + last * 4 // 3 + 2)
-            yield Layer(inner, start, end, np.ones(len(inner), bool), f"{layer.name}/base64")
-        else:  # a run inside another layer is one piece
-            yield Layer.piece(inner, layer.span(*m.span()), f"{layer.name}/base64")
+        elif inner := readable(data):
+            breaks, digits = [], 0
+            for (a, b), (c, _) in zip(lines, [*lines[1:], (lines[-1][1], 0)], strict=True):
+                digits += b - a
+                breaks.append((digits, c - b))
+            yield Decoded(inner, layer, lines[0][0], digits, breaks)
 
 
 def finds(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]]]:
@@ -314,7 +383,7 @@ def finds(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, s
     def take(new: Layer) -> None:
         if (key := new.key()) not in seen:
             seen.add(key)
-            more.update((*new.span(a, b), KINDS[k] + new.name) for a, b, k in scan(new.text) if new.made[a:b].any())
+            more.update((*new.span(a, b), KINDS[k] + new.name) for a, b, k in scan(new.text) if new.made(a, b))
             work.append(new)
 
     while work:
@@ -380,9 +449,14 @@ def _joined(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(load(spark, sf_dir, "documents"))
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end, by start, then kind) of every document."""
+    found = scan_secrets(docs, id_col, text_col)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     rank = lambda s: F.when(s["kind"].startswith("assign"), 0).when(s["kind"].startswith("access"), 1).otherwise(2)
     ordered = F.transform(F.array_sort(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), F.length(s["kind"]).alias("depth"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(ordered).alias("spans"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(load(spark, sf_dir, "documents"))

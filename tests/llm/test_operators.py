@@ -401,6 +401,15 @@ def test_secrets(spark, docs, rows, empty):
     found = secretscan.scan_secrets(docs).collect()
     assert collections.Counter((r.doc_id, tuple((s.start, s.end, s.kind) for s in r.base)) for r in found) == collections.Counter((i, tuple(base(t or ""))) for i, t in rows)
     assert secretscan.scan_secrets(empty).count() == 0
+    want = collections.Counter()
+    for i, t in rows:
+        b = base(t or "")
+        joined = ",".join(f"{k}:{x}:{y}" for x, y, k in b)
+        want[(i, *(sum(k == kind for _, _, k in b) for kind in ("assign", "access", "hex")), hashlib.sha256(joined.encode()).hexdigest(), joined)] += 1
+    result = secretscan.digests(docs)
+    assert result.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert collections.Counter(tuple(r) for r in result.collect()) == want  # no layer in these texts
+    assert secretscan.digests(empty).count() == 0
     key = b"my token = \"abcdefgh12345\" "
     layers = {
         "x " + base64.b64encode(key).decode() + " y": "assign/base64",
@@ -448,6 +457,49 @@ def test_secrets_in_compressed_layers(spark):
     assert {r.text for r in masked} == {"a [SECRET] b"}
 
 
+def test_secrets_in_wrapped_base64():
+    for ends in ("\n", "\r\n", "\n  "):
+        for at in range(0, 120, 7):
+            content = b"." * at + b"password=hunter2222 " + b"-" * 90
+            run = base64.b64encode(content).decode()
+            text = "é see\n" + ends.join(run[k : k + 76] for k in range(0, len(run), 76)) + "\nThanks\n"
+            found = {x for x in secretscan.finds(text)[1] if x[2] == "assign/base64"}
+            assert found, (ends, at)
+            places = [k for k, c in enumerate(text) if 6 <= k and c in run][: len(run)]  # of the run's digits
+            first, last = at * 4 // 3, (at + 18) * 4 // 3 + 1
+            assert (places[first], places[last] + 1, "assign/base64") in found, (ends, at)
+
+
+def test_layers_name_their_places():
+    """Spans of nested layers against decoding step by step."""
+    text = "é %41 \\u0070assword%3Dabcdefgh and " + base64.b64encode("é secret: %41BCDEFGH".encode()).decode() + " end"
+    found = secretscan.finds(text)[1]
+    by = {kind: text[a:b] for a, b, kind in found}
+    assert next(v for k, v in by.items() if "unicode" in k and "url" in k) == "\\u0070assword%3Dabcdefgh"
+    inner = next(v for k, v in by.items() if k == "assign/base64/url")
+    assert base64.b64encode("é secret: %41BCDEFGH".encode()).decode().endswith(inner)
+    garbled = base64.b64encode(b"token=abcdefgh \xff\xfe more words here").decode()
+    assert [k for _, _, k in secretscan.finds(garbled)[1]] == ["assign/base64"]
+
+
+def test_inflated_layers_take_little_memory():
+    code = """
+import base64, gzip, resource, sys, zlib
+from cairnwork.llm import secretscan
+z = zlib.compressobj(9, zlib.DEFLATED, 31)
+out = [z.compress((b"z" * 99 + b"\\n") * 10_000) for _ in range(70)] + [z.compress(b'token = "abcdefgh12345"'), z.flush()]
+text = "a " + base64.b64encode(b"".join(out)).decode() + " b"
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert secretscan.finds(text)[1] == [(2, len(text) - 2, "assign/compressed")]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
+    assert int(done.stdout.split()[-1]) < 500
+
+
 def test_quality(spark, empty):
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(WORDS, 60)) for _ in range(150)]
