@@ -391,6 +391,43 @@ def test_html_attributes():
     assert mainhtml.main_text(f"<span class='post search-result'>{text}</span>") == text
 
 
+def test_html_names_are_weak_evidence():
+    p = lambda c, n: " ".join([f"{c} words, and more of them."] * n)
+    for written in ('class="search"', 'class="notice-of-death"', "id=comment", 'class="share"'):
+        page = f"<article><h1>Head</h1><p>{p('a', 9)}</p><p {written}>{p('b', 9)}</p><p {written}>Short.</p></article>"
+        assert mainhtml.main_text(page).split("\n") == ["Head", p("a", 9), p("b", 9), "Short."], written
+    page = f"<main><p>{p('a', 9)}</p><div class='notice-of-death'><p>{p('b', 3)}</p></div><div class='ad'><p>{p('c', 9)}</p></div><p class='ad'>{p('d', 2)}</p><table><tr><td>cell<td>two</table></main>"
+    assert mainhtml.main_text(page).split("\n") == [p("a", 9), p("b", 3), "cell", "two"]
+
+
+def test_html_ratios_by_hand():
+    """Two paths below one parent against the formula."""
+    import math
+
+    fused = lambda n, c, k: n / k * math.log(1.1 + c / k) * math.sqrt(k)
+    own, up, factor = {2: [100, 5, 2], 3: [10, 0, 1]}, [0, 0, 1, 1], [1.0, 1.0, 1.0, 0.5]
+    x, y, above = fused(100, 5, 2), fused(10, 0, 1), max(fused(110, 5, 3), 0.8 * fused(110, 5, 3))
+    found = mainhtml.ratios(own, up, factor)
+    assert found[2] == pytest.approx(0.8 * x + 0.1 * y + 0.1 * above) and found[3] == pytest.approx((0.8 * y + 0.1 * x + 0.1 * above) * 0.5)
+
+
+def test_html_takes_linear_time():
+    import time
+
+    text = "words, and more of them. " * 9
+    for page in ("<div>ab" * 20_000, "<a '" * 20_000, "<a x='" * 20_000, "<a x='>\"<a y=\">'" * 9_000, "<td><ul>" + "<div>x" * 5000 + "<th>y" * 5000, "<p>x<span class=ad>" * 9000, "<li><div>ab" * 9000, "<" * 50_000, "<!--" * 20_000, "<![CDATA[" * 20_000, "<textarea>" * 20_000, "<b x=" * 20_000):
+        began = time.process_time()
+        mainhtml.main_text(page)
+        assert time.process_time() - began < 3, page[:20]
+    assert text.strip() in mainhtml.main_text("<div>" * 20_000 + f"<p>{text}</p><p>{text}</p>")
+    assert len(mainhtml.main_text(f"<article><p>{text * 20_000}</p></article>")) == len((text * 20_000).strip())
+
+
+def test_html_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "<p>Some words, here.</p>", "old", "u", 3)], "page_id long, html string, text string, url string, n_chars int")
+    assert [tuple(r) for r in mainhtml.extract(df).collect()] == [(1, "<p>Some words, here.</p>", "Some words, here.", "u", 3)]
+
+
 def test_secrets(spark, docs, rows, empty):
     def base(t):
         out = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
