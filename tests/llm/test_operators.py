@@ -130,7 +130,24 @@ def test_best_fit_holds_every_capacity(score):
         assert sorted(offsets[bins == b]) == sorted(np.cumsum([0, *own[np.argsort(offsets[bins == b])][:-1]]))
 
 
-def test_pieces(docs, rows, empty):
+def full_viterbi(v, text):
+    """Over the whole table of a whole text; ties go to the longest last piece."""
+    best, back = [0.0] + [-np.inf] * len(text), [None] * (len(text) + 1)
+    for end in range(1, len(text) + 1):
+        for start in range(max(0, end - v.longest), end):
+            p = text[start:end]
+            s = v.pieces[p][1] if p in v.pieces else v.unknown if end - start == 1 else -np.inf
+            if best[start] + s > best[end]:
+                best[end], back[end] = best[start] + s, start
+    out, end = [], len(text)
+    while end:
+        p = text[back[end] : end]
+        out[:0] = [v.pieces[p][0]] if p in v.pieces else [v.bytes[b] for b in p.encode()]
+        end = back[end]
+    return out
+
+
+def test_pieces(docs, rows, empty, monkeypatch):
     import sentencepiece as sp
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -142,13 +159,19 @@ def test_pieces(docs, rows, empty):
     library = sp.SentencePieceProcessor(model_proto=proto.SerializeToString())
     v = pieces.Vocabulary(path)
     score = lambda ids: sum(library.get_score(i) if not library.is_byte(i) else v.unknown / 3 for i in ids)
-    for w in {w for _, t in rows if t and len(t) < 5000 for w in t.split()}:
-        ids = np.frombuffer(v.encode(w), np.uint32).tolist()
+    words = sorted({w for _, t in rows if t and len(t) < 5000 for w in t.split()})
+    for w, ids in zip(words, v.encode(words), strict=True):
+        ids = np.frombuffer(ids, np.uint32).tolist()
         if not any(library.is_byte(i) for i in ids):
             assert score(ids) == score(library.nbest_encode_as_ids(w, 2)[0])
-        assert [i for some in v.viterbi("▁" + w) for i in some] == ids
-    long = "x" * 3000 + "日" * 500
-    assert [i for some in v.viterbi("▁" + long) for i in some] == v._window("▁" + long)
+    rng = np.random.default_rng(4)
+    odd = ["x" * 700 + "日" * 150 + "x" * 90, "ab" * 300, "a\u2581\u2581b", "   x  ", "\n\t", "".join(map(chr, rng.integers(97, 123, 900))), "".join(rng.choice(list("the quick,.é日😀\x00"), 600)), "in" * 64, "e" * 65, "e" * 64]
+    texts = [t for _, t in rows if t and len(t) < 3000] + odd
+    assert [np.frombuffer(x, np.uint32).tolist() for x in v.encode(texts)] == [full_viterbi(v, "▁" + t.replace(" ", "▁")) for t in texts]
+    monkeypatch.setattr(pieces, "BLOCK", 8)  # many blocks, and chains where nothing is decided for long
+    monkeypatch.setattr(pieces, "CHAINS", 0)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in v.search(["▁" + t.replace(" ", "▁") for t in texts])] == [full_viterbi(v, "▁" + t.replace(" ", "▁")) for t in texts]
+    monkeypatch.undo()
     found = pieces.round_trip(docs, path).collect()
     assert collections.Counter((r.doc_id, r.decoded_sha256) for r in found) == collections.Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
     back = pieces.decode(pieces.encode(docs, path), path, out_col="back").where("coalesce(text, '') <> back")
