@@ -60,7 +60,7 @@ LEAST_EXTRA = 15
 #: What a compared pair costs, in signatures.
 PAIR_COST = 5
 #: Nodes of one chunk of a large bucket.
-CHUNK = 512
+CHUNK = 256
 #: Sets below so many elements have a digest of their shingles as key.
 SMALL = 8
 #: Signatures that a task sorts at once, and salts of those that it knows to be shared.
@@ -397,47 +397,58 @@ def _compared(units: DataFrame, sets: DataFrame, percent: int, forest: bool) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-
-        def compare() -> Iterator[pa.RecordBatch]:
-            chunk, keys, labels, sizes = (np.array([r[k] for r in held], np.int64) for k in (3, 4, 5, 6))
-            sketches = [np.array(r[7], np.int64).view(np.uint64) for r in held]
-            width = min(map(len, sketches))
-            bits = np.array([_folded(s, width) for s in sketches])
-            apart = held[0][1] != held[0][2]
-            a, b, near = [], [], []
-            for k in range(len(held) - 1):
-                rest = slice(k + 1, None)
-                fine = (labels[rest] != labels[k]) & (100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k]))
-                if apart:
-                    fine &= chunk[rest] != chunk[k]
-                at = np.flatnonzero(fine) + k + 1
-                if len(at):
-                    d = np.bitwise_count(bits[at] ^ bits[k]).sum(1).astype(np.int64)
-                    fine = d * (100 + percent) <= (100 - percent) * (sizes[at] + sizes[k])
-                    at = at[fine]
-                    a.append(np.full(len(at), keys[k]))
-                    b.append(keys[at])
-                    near.append(d[fine])
-            if a:
-                a, b, near = np.concatenate(a), np.concatenate(b), np.concatenate(near)
-                if forest:
-                    chosen = _forest(keys, labels, a, b, near)
-                    a, b = a[chosen], b[chosen]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    if held and row[:3] != held[0][:3]:
-                        yield from compare()
-                        held = []
-                    held.append(row)
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in range(7)]
+            sketches = batch.column(7)
+            at, words = sketches.offsets.to_numpy(), sketches.values.to_numpy().view(np.uint64)
+            unit, i, j = columns[:3]
+            ends = [*(np.flatnonzero((unit[1:] != unit[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), batch.num_rows]
+            for start, end in zip([0, *ends], ends, strict=False):
+                key = (unit[start], i[start], j[start])
+                if held and held[0][0] != key:
+                    yield from _pairs_of(held, percent, forest)
+                    held = []
+                held.append((key, [c[start:end] for c in columns[3:]], at[start : end + 1], words))
         if held:
-            yield from compare()
+            yield from _pairs_of(held, percent, forest)
 
     return rows.select("unit", "i", "j", "own", "node", "label", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
+def _pairs_of(held: list[tuple], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of one unit; held: runs of its rows as (key, own and node and label and n, offsets of the sketches, words)."""
+    own, keys, labels, sizes = (np.concatenate(x) for x in zip(*(h[1] for h in held), strict=True))
+    if len(keys) < 2:
+        return
+    widths = np.concatenate([np.diff(at) for _, _, at, _ in held])
+    width = int(widths.min())
+    if (widths == width).all():
+        bits = np.concatenate([words[at[0] : at[-1]] for _, _, at, words in held]).reshape(-1, width)
+    else:
+        bits = np.array([_folded(words[a:b], width) for _, _, at, words in held for a, b in zip(at[:-1], at[1:], strict=True)])
+    (_, i, j), every = held[0][0], np.arange(len(keys))
+    found = []
+    step = max(1, (1 << 18) // (len(keys) * width))
+    for at in range(0, len(keys) - 1, step):
+        part = slice(at, at + step)
+        d = np.bitwise_count(bits[part, None] ^ bits[None, at:]).sum(2, dtype=np.int64)
+        total, a, b = sizes[part, None] + sizes[None, at:], sizes[part, None], sizes[None, at:]
+        fine = (d * (100 + percent) <= (100 - percent) * total) & (labels[part, None] != labels[None, at:]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (every[None, at:] > every[part, None])
+        if i != j:
+            fine &= own[part, None] != own[None, at:]
+        x, y = np.nonzero(fine)
+        found.append((x + at, y + at, d[x, y]))
+    x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    a, b = keys[x], keys[y]
+    if forest and len(a):
+        chosen = _forest(keys, labels, a, b, d)
+        a, b = a[chosen], b[chosen]
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _open(members: DataFrame) -> DataFrame:
     """Of members (unit, node, label) the units that hold several components: unit, size, and largest (a label of most members)."""
     counts = members.groupBy("unit", "label").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("digest"))
