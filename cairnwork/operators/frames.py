@@ -18,10 +18,10 @@ def by_frame():
 
 def frame_series(samples: DataFrame, length: int, hop: int) -> DataFrame:
     """series_id, frame, i, x: windows that start at 0, hop, ... below n - length; the last full one at n - length is left out."""
-    n = F.count("*").over(W.partitionBy("series_id"))
+    lengths = samples.groupBy("series_id").agg(F.count("*").alias("n"))  # combined before the shuffle; a row a series joins
     first = F.greatest(F.lit(0), F.ceil((F.col("t") - (length - 1)) / hop))
     last = F.least(F.floor(F.col("t") / hop), F.ceil((F.col("n") - length) / hop) - 1)
-    placed = samples.withColumn("n", n).where(F.col("n") > length).withColumn("lo", first).withColumn("hi", last).where("lo <= hi")
+    placed = samples.join(lengths, "series_id").where(F.col("n") > length).withColumn("lo", first).withColumn("hi", last).where("lo <= hi")
     placed = placed.select("series_id", "t", "x", F.explode(F.sequence("lo", "hi")).alias("frame"))
     return placed.select("series_id", F.col("frame").cast("long").alias("frame"), (F.col("t") - F.col("frame") * hop).cast("int").alias("i"), "x")
 

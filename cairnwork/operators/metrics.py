@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairnwork.functions.ranks import before
+
 
 def counts(predictions: DataFrame, by: list[str] = ()) -> DataFrame:
     return predictions.groupBy(*by, "truth", "pred").agg(F.count("*").alias("n"))
@@ -84,12 +86,11 @@ def cohen_kappa(predictions: DataFrame, by: list[str] = ()) -> DataFrame:
 def auc_ovr_macro(scores: DataFrame, by: list[str] = ()) -> DataFrame:
     """scores (by, truth, class, score): mean one-vs-rest AUC with average ranks for ties; null if a class lacks positives or negatives.
 
-    Rows collapse to counts per distinct score first; a running sum over distinct scores gives the ranks.
+    Rows collapse to counts per distinct score first; the counts before each give the ranks, summed by ranges of scores.
     """
     by = list(by)
     per = scores.groupBy(*by, "class", "score").agg(F.count("*").alias("n"), F.sum((F.col("truth") == F.col("class")).cast("long")).alias("pos"))
-    before = W.partitionBy(*by, "class").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    ranked = per.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = before(per, [*by, "class"], "score", "below", F.col("n")).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     auc = ranked.groupBy(*by, "class").agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").cast("double").alias("p"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("q"))
     auc = auc.withColumn("auc", F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))))
     return auc.groupBy(*by).agg(F.when(F.count("*") == F.count("auc"), F.avg("auc")).alias("auc"))

@@ -86,6 +86,14 @@ def effective_components(params: DataFrame, least: float = 0.01) -> DataFrame:
     return params.where(F.col("weight") > least).groupBy("class").agg(F.count("*").alias("components"))
 
 
+def save_gmm(params: DataFrame, path: str) -> None:
+    params.coalesce(1).write.mode("overwrite").parquet(path)  # classes x components rows
+
+
+def load_gmm(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 # ---------------------------------------------------------------- hidden Markov models, one a class
 
 
@@ -126,9 +134,10 @@ def _forward_backward(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean:
 STATS = "class int, ll double, i int, j int, w double, wx double, wxx double"
 
 
-def fit_hmm(sequences: DataFrame, states: int = 8, rounds: int = 10, reg: float = 1e-2) -> tuple[dict, list[dict]]:
+def fit_hmm(sequences: DataFrame, states: int = 8, rounds: int = 150, reg: float = 1e-2, tolerance: float = 1e-2) -> tuple[dict, list[dict]]:
     """({class: (start, move, mean, var)}, [{class: log-likelihood} per round]).
 
+    It ends after `rounds`, or as soon as no class gains more than `tolerance`.
     sequences has class and x (array). States are no more than the shortest sequence. Each round sends the
     parameters out, and sums of statistics per class and state come back: a map, an aggregation.
     """
@@ -162,6 +171,8 @@ def fit_hmm(sequences: DataFrame, states: int = 8, rounds: int = 10, reg: float
 
         sums = sequences.select("class", "x").mapInPandas(expect, STATS).groupBy("class", "i", "j").agg(*[F.sum(c).alias(c) for c in ("ll", "w", "wx", "wxx")]).collect()  # classes x states squared
         history.append({r["class"]: r["ll"] for r in sums if r["i"] == -1})
+        if len(history) > 1 and all(ll - history[-2][c] <= tolerance for c, ll in history[-1].items()):
+            break
         params = {}
         for c, (start, move, mean, var) in current.items():
             new = np.zeros_like(move)
@@ -178,6 +189,18 @@ def fit_hmm(sequences: DataFrame, states: int = 8, rounds: int = 10, reg: float
     return params, history
 
 
+HMM = "class int, start array<double>, move array<array<double>>, mean array<double>, var array<double>"
+
+
+def save_hmm(spark: SparkSession, params: dict, path: str) -> None:
+    rows = [(int(c), *(x.tolist() for x in p)) for c, p in sorted(params.items())]
+    spark.createDataFrame(rows, HMM).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_hmm(spark: SparkSession, path: str) -> dict:
+    return {r["class"]: tuple(np.array(r[k]) for k in ("start", "move", "mean", "var")) for r in spark.read.schema(HMM).parquet(path).collect()}  # a row a class
+
+
 def hmm_score(sequences: DataFrame, params: dict) -> DataFrame:
     """sequences with scores (log-likelihood per class in order of class) and pred, by the forward recursion on arrays.
 

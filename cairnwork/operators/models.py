@@ -5,20 +5,21 @@ A frame of rows has key, label (0..K-1) and v (array of doubles). Predictions ar
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 from itertools import combinations, product
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnwork.functions import arrays as A
 from cairnwork.functions.hashing import hashed_rank, order_key
-from cairnwork.operators import metrics, rebalance, scaling, splits, transforms
+from cairnwork.operators import metrics, rebalance, scaling, splits
 
 
 def vectors(df: DataFrame, weights: bool = False) -> DataFrame:
@@ -49,6 +50,14 @@ class BoostedTrees:
         self.models = [gbt.fit(rows.withColumn("hit", (F.col("label") == c).cast("double"))) for c in self.classes]
         rows.unpersist()
 
+    def parts(self) -> tuple[dict, dict]:
+        """Fitted stages by name, and other parameters; restore() takes both."""
+        return {f"class{k}": m for k, m in enumerate(self.models)}, {"classes": self.classes}
+
+    def restore(self, parts: dict, values: dict) -> None:
+        self.classes = values["classes"]
+        self.models = [parts[f"class{k}"] for k in range(len(self.classes))]
+
     def predict(self, df: DataFrame, key: str) -> DataFrame:
         out = vectors(df)
         for k, m in enumerate(self.models):
@@ -87,10 +96,19 @@ class KernelSVM:
         self.machines = []
         for i, j in self.pairs:
             pair = mapped.where(F.col("label").isin(self.classes[i], self.classes[j])).withColumn("hit", (F.col("label") == self.classes[i]).cast("double"))
-            self.machines.append(svm.fit(pair))
+            machine = svm.fit(pair)
+            self.machines.append((float(machine.intercept), machine.coefficients.toArray().tolist()))
         self.calibration = LogisticRegression(featuresCol="margins", maxIter=iterations, regParam=1e-3).fit(self._margins(mapped))
         mapped.unpersist()
 
+    def parts(self) -> tuple[dict, dict]:
+        return {"calibration": self.calibration}, {k: getattr(self, k) for k in ("scaler", "gamma", "w", "b", "classes", "machines")}
+
+    def restore(self, parts: dict, values: dict) -> None:
+        for k, value in values.items():
+            setattr(self, k, value)
+        self.pairs, self.calibration = list(combinations(range(len(self.classes)), 2)), parts["calibration"]
+
     def _map(self, df: DataFrame) -> DataFrame:
         scale = (2 / len(self.w)) ** 0.5
         w = F.array(*[F.array(*map(F.lit, row)) for row in self.w])
@@ -98,7 +116,7 @@ class KernelSVM:
         return df.withColumn("v", product_)
 
     def _margins(self, mapped: DataFrame) -> DataFrame:
-        values = [F.lit(float(m.intercept)) + A.dot(vector_to_array("features"), F.array(*map(F.lit, m.coefficients.toArray().tolist()))) for m in self.machines]
+        values = [F.lit(intercept) + A.dot(vector_to_array("features"), F.array(*map(F.lit, weights))) for intercept, weights in self.machines]
         return mapped.withColumn("margins", array_to_vector(F.array(*values)))
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
@@ -134,6 +152,12 @@ class TwoStage:
         self.first = logistic(train.withColumn("label", (F.col("label") != majority).cast("int")))
         self.second = logistic(train.where(F.col("label") != majority))
 
+    def parts(self) -> tuple[dict, dict]:
+        return {"first": self.first, "second": self.second}, {"majority": self.majority, "threshold": self.threshold}
+
+    def restore(self, parts: dict, values: dict) -> None:
+        self.first, self.second, self.majority, self.threshold = parts["first"], parts["second"], values["majority"], values["threshold"]
+
     def predict(self, df: DataFrame, key: str) -> DataFrame:
         a = scored(self.first, df, key).select(key, F.get("proba", F.lit(1)).alias("p_rest"))
         b = scored(self.second, df, key).select(key, "truth", F.col("pred").alias("fine"))
@@ -187,13 +211,41 @@ def permuted(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return left.join(right, "place").withColumn("v", moved).select(rows.columns)
 
 
-def save(model, path: str) -> None:
-    """A fitted model as a one-stage pipeline, whatever its class."""
-    PipelineModel([model]).write().overwrite().save(path)
+def _write(spark, path: str, values: dict) -> None:
+    """Parameters of a model, which the driver holds anyway, as one row of JSON."""
+    spark.createDataFrame([(json.dumps(values),)], "values string").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load(path: str):
-    return PipelineModel.load(path).stages[0]
+def save(model, path: str) -> None:
+    """A fitted model: a Spark ML one, BoostedTrees, KernelSVM or TwoStage (their own stages and what else they know)."""
+    if isinstance(model, PARTS):
+        spark = SparkSession.getActiveSession()
+        parts, values = model.parts()
+        for name, part in parts.items():
+            PipelineModel([part]).write().overwrite().save(f"{path}/{name}")
+        scaler = values.pop("scaler", None)
+        if scaler is not None:
+            scaler.coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
+        _write(spark, f"{path}/values", {"kind": type(model).__name__, "parts": sorted(parts), "scaled": scaler is not None, **values})
+    else:
+        PipelineModel([model]).write().overwrite().save(path)
 
 
-__all__ = ["BoostedTrees", "KernelSVM", "OneVsRest", "Pipeline", "TwoStage", "best_parameters", "decide", "feature_importance", "grid_search_cv", "load", "logistic", "mlp", "permuted", "project_2d", "random_forest", "save", "scored", "soft_label_fit", "transforms", "vectors"]
+def load(path: str):
+    spark = SparkSession.getActiveSession()
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/values")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return PipelineModel.load(path).stages[0]
+    values = json.loads(spark.read.parquet(f"{path}/values").first()["values"])
+    name = values.pop("kind")
+    kind = next(k for k in PARTS if k.__name__ == name)
+    parts = {name: PipelineModel.load(f"{path}/{name}").stages[0] for name in values.pop("parts")}
+    if values.pop("scaled"):
+        rows = spark.read.parquet(f"{path}/scaler")
+        values["scaler"] = spark.createDataFrame(rows.collect(), rows.schema)  # a row
+    model = kind.__new__(kind)
+    model.restore(parts, values)
+    return model
+
+
+PARTS = (BoostedTrees, KernelSVM, TwoStage)

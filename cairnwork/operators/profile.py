@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairnwork.functions.ranks import quantiles
+from cairnwork.sources.shipping import ship
+
+QUARTILES = ("q25", "q50", "q75")
+
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """label, n, percent, imbalance (greatest class : this class); classes without rows are absent."""
@@ -16,8 +25,18 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 
 def describe_by_group(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """count, mean, std (ddof 1), min, quartiles (linear), max."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("max"))
+    whole = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return with_quartiles(whole, df, by, x).select(*by, "n", "mean", "std", "min", *QUARTILES, "max")
+
+
+def with_quartiles(whole: DataFrame, df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """whole (a row a group) with the exact quartiles of x in df; null where a group has no values."""
+    q = quantiles(df, by, x, (0.25, 0.5, 0.75), QUARTILES)
+    if not by:
+        return whole.join(q, how="left")  # a row each
+    q = q.toDF(*[f"__{c}" for c in by], *QUARTILES)
+    same = [whole[c].eqNullSafe(q[f"__{c}"]) for c in by]
+    return whole.join(q, same, "left").drop(*[f"__{c}" for c in by])
 
 
 def feature_summary_topk(long: DataFrame, k: int = 10) -> DataFrame:
@@ -32,8 +51,7 @@ def energy_stats(df: DataFrame, x: str) -> DataFrame:
 
 def five_number_summary(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """Quartiles, and whiskers: the farthest values within 1.5 interquartile ranges of the box."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    box = df.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
+    box = quantiles(df, by, x, (0.25, 0.5, 0.75), QUARTILES)
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = df.join(F.broadcast(box) if not by else box, by) if by else df.crossJoin(box)
     inside = inside.where((F.col(x) >= F.col("q25") - reach) & (F.col(x) <= F.col("q75") + reach))
@@ -67,15 +85,44 @@ def group_size_stats(df: DataFrame, group: str) -> DataFrame:
     return sizes.agg(F.count("*").alias("groups"), F.min("n").alias("min"), F.max("n").alias("max"), F.percentile("n", 0.5).alias("median"))
 
 
+MOMENTS = ("n", "mx", "my", "cxx", "cyy", "cxy")
+
+
+def _moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all pairs of positions in a batch of arrays: number of rows that have both, means, and sums of squares and products about them."""
+    for batch in batches:
+        column = batch.column(0).drop_null()
+        if not len(column):
+            continue
+        sizes = column.value_lengths().to_numpy()
+        x = np.full((len(column), int(sizes.max())), np.nan)
+        x[np.arange(x.shape[1]) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+        has = ~np.isnan(x)
+        shift = np.where(has.any(0), np.nansum(x, 0) / np.maximum(has.sum(0), 1), 0.0)
+        x, has = np.where(has, x - shift, 0.0), has.astype(float)
+        n = has.T @ has
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mx, my = x.T @ has / n, has.T @ x / n
+            xx, yy, xy = (x * x).T @ has - n * mx * mx, has.T @ (x * x) - n * my * my, x.T @ x - n * mx * my
+        i, j = np.nonzero(n)
+        values = (n, mx + shift[:, None], my + shift[None, :], xx, yy, xy)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(v[i, j]) for v in values)], names=["i", "j", *MOMENTS])
+
+
 def correlation_matrix(df: DataFrame, features: str = "v", upper: bool = False) -> DataFrame:
-    """i, j, r (Pearson) of all pairs of array positions; upper: i < j alone.
+    """i, j, r (Pearson) of all pairs of array positions; upper: i < j alone; null without spread.
 
-    Each row yields its own pairs, which combine to sums per (i, j) before the shuffle: positions squared rows a task.
+    A task makes one matrix of moments a batch; a row a pair and batch goes on, not a row a pair and input row.
     """
-    pairs = df.select(F.posexplode(features).alias("i", "a"), features).select("i", "a", F.posexplode(features).alias("j", "b"))
+    ship(df.sparkSession)
+    found = df.select(F.col(features).cast("array<double>").alias("v")).mapInArrow(_moments, "i int, j int, " + ", ".join(f"{c} double" for c in MOMENTS))
     if upper:
-        pairs = pairs.where("i < j")
-    return pairs.groupBy("i", "j").agg(F.corr("a", "b").alias("r"))
+        found = found.where("i < j")
+    n, x, y = F.sum("n"), F.sum(F.expr("n * mx")), F.sum(F.expr("n * my"))
+    xx = F.sum(F.expr("cxx + n * mx * mx")) - x * x / n
+    yy = F.sum(F.expr("cyy + n * my * my")) - y * y / n
+    xy = F.sum(F.expr("cxy + n * mx * my")) - x * y / n
+    return found.groupBy("i", "j").agg(xx.alias("xx"), yy.alias("yy"), xy.alias("xy")).select("i", "j", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("r"))
 
 
 def correlated_pairs(df: DataFrame, features: str = "v", k: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.functions.hashing import hashed_rank, order_key, uniform
+from cairnwork.functions.ranks import before
 
 # Names of the waveform transforms, in the order in which plans use them.
 TRANSFORMS = (
@@ -16,8 +17,25 @@ TRANSFORMS = (
 ROUND_ROBIN_TRANSFORMS = ("noise", "shift", "stretch", "pitch", "reverb", "background")
 
 
+#: Blocks that one side of a comparison of all rows in a class is dealt to.
+BLOCKS = 16
+
+
 def _ranked(df: DataFrame, label: str, key: str) -> DataFrame:
-    return df.select(label, key, F.row_number().over(W.partitionBy(label).orderBy(key)).alias("rank"))
+    """label, key, rank (from 1) in order of a numeric key."""
+    return before(df.select(label, key), [label], key, "rank").withColumn("rank", F.col("rank") + 1)
+
+
+def _slots(needs: DataFrame, label: str) -> DataFrame:
+    """label, n and i from 0 to need - 1: one range of numbers for all classes, whose limits (a row a class) are known to the driver."""
+    rows = [r for r in needs.select(label, "n", "need").collect() if r["need"] > 0]
+    spark, ends = needs.sparkSession, [0]
+    for r in rows:
+        ends.append(ends[-1] + int(r["need"]))
+    kind = needs.schema[label].dataType.simpleString()
+    classes = spark.createDataFrame([(r[label], int(r["n"]), k, ends[k]) for k, r in enumerate(rows)], f"`{label}` {kind}, n long, __k int, __start long")
+    number = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends[1:]]), lambda e: e <= F.col("id"))) if rows else F.lit(0)
+    return spark.range(ends[-1]).withColumn("__k", number).join(F.broadcast(classes), "__k").select(label, "n", (F.col("id") - F.col("__start")).alias("i"))
 
 
 def _needs(df: DataFrame, label: str, target: int, dominant=None) -> DataFrame:
@@ -45,7 +63,7 @@ def augment_plan_major(df: DataFrame, label: str, key: str, target: int = 300, d
     if not cycles:
         needs = needs.withColumn("need", F.least("need", F.col("n") * k))
     originals = _first(df, label, key, needs, F.least(F.col("n"), F.ceil(F.col("need") / k)))
-    slots = needs.where("need > 0").select(label, "n", F.explode(F.sequence(F.lit(0), F.col("need").cast("int") - 1)).alias("i"))
+    slots = _slots(needs, label)
     slots = slots.withColumn("rank", F.pmod(F.floor(F.col("i") / k), F.col("n")) + 1).withColumn("transform", F.get(F.array(*map(F.lit, transforms)), F.pmod("i", F.lit(k))))
     return slots.join(originals.select(label, "rank", F.col(key).alias("parent")), [label, "rank"]).select(label, "i", "parent", "transform")
 
@@ -58,7 +76,7 @@ def augment_plan_round_robin(df: DataFrame, label: str, key: str, target: int =
     """label, i, parent, transforms: the i-th derived row uses original i mod n, and 2 or 3 transforms by hash."""
     needs = _needs(df, label, target)
     originals = _first(df, label, key, needs, F.least(F.col("n"), F.col("need")))
-    slots = needs.where("need > 0").select(label, "n", F.explode(F.sequence(F.lit(0), F.col("need").cast("int") - 1)).alias("i"))
+    slots = _slots(needs, label)
     slots = slots.withColumn("rank", F.pmod("i", F.col("n")) + 1)
     planned = slots.join(originals.select(label, "rank", F.col(key).alias("parent")), [label, "rank"])
     order = F.array_sort(F.array(*[F.struct(order_key(seed, label, "i", F.lit(t)).alias("h"), F.lit(t).alias("t")) for t in transforms]))
@@ -77,12 +95,12 @@ def mixup(df: DataFrame, key: str, features: str, label: str, weight: float, see
 def nearest(df: DataFrame, key: str, features: str, label: str, k: int = 3) -> DataFrame:
     """label, key, neighbour, d2, r: the k nearest rows of the same class, exactly.
 
-    Meant for minority classes (see smote): every pair within a class is compared, so that the class must be small;
-    the k best combine before the shuffle.
+    Meant for minority classes (see smote): every pair within a class is compared, in BLOCKS tasks a class, each of
+    which meets one part of the class with all of it.
     """
-    a = df.select(label, key, F.col(features).alias("a"))
-    b = df.select(label, F.col(key).alias("neighbour"), F.col(features).alias("b"))
-    pairs = a.join(b, label).where(F.col(key) != F.col("neighbour"))
+    a = df.select(label, key, F.col(features).alias("a"), F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int").alias("__block"))
+    b = df.select(label, F.col(key).alias("neighbour"), F.col(features).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("__block"))
+    pairs = a.join(b, [label, "__block"]).where(F.col(key) != F.col("neighbour"))
     d2 = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
     ranked = pairs.select(label, key, "neighbour", d2.alias("d2")).withColumn("r", F.row_number().over(W.partitionBy(label, key).orderBy("d2", "neighbour")))
     return ranked.where(F.col("r") <= k)
@@ -97,7 +115,7 @@ def smote(df: DataFrame, key: str, features: str, label: str, k: int = 3, seed:
     most = F.max("n").over(W.partitionBy()) if target is None else F.lit(target)
     needs = counts.withColumn("need", most - F.col("n")).where("need > 0 AND n > 1").select(label, "n", "need")
     small = df.join(F.broadcast(needs.select(label)), label, "left_semi")
-    slots = needs.select(label, "n", F.explode(F.sequence(F.lit(0), F.col("need").cast("int") - 1)).alias("i"))
+    slots = _slots(needs, label)
     pick = F.floor(uniform(seed, label, "i") * F.least(F.lit(k), F.col("n") - 1)) + 1
     slots = slots.select(label, "i", (F.pmod("i", F.col("n")) + 1).alias("rank"), pick.alias("r"), uniform(seed + 1, label, "i").alias("u"))
     ranked = _ranked(small, label, key).withColumnRenamed(key, "base")

@@ -90,8 +90,8 @@ def mel_bands(spectra: DataFrame, filterbank: list[list[float]]) -> DataFrame:
 
 def to_db(bands: DataFrame, column: str = "bands", floor_db: float = -80.0) -> DataFrame:
     """10 log10 relative to the series' greatest value, no lower than floor_db."""
-    top = F.greatest(F.max(F.array_max(column)).over(W.partitionBy("series_id")), F.lit(FLOOR))
-    return bands.withColumn("__top", top).select("series_id", "frame", F.transform(column, lambda v: F.greatest(10 * F.log10(F.greatest(v, F.lit(FLOOR)) / F.col("__top")), F.lit(floor_db))).alias("db"))
+    top = bands.groupBy("series_id").agg(F.greatest(F.max(F.array_max(column)), F.lit(FLOOR)).alias("__top"))
+    return bands.join(top, "series_id").select("series_id", "frame", F.transform(column, lambda v: F.greatest(10 * F.log10(F.greatest(v, F.lit(FLOOR)) / F.col("__top")), F.lit(floor_db))).alias("db"))
 
 
 def dct_rows(n: int, k: int) -> list[list[float]]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairnwork.functions.ranks import before
 from cairnwork.functions.distributions import normal_cdf, normal_quantile, number, polynomial
 
 # MacKinnon's (1994) response surface and (2010) critical values of the unit root test with a constant.
@@ -118,10 +119,11 @@ def dagostino_k2(df: DataFrame, by: list[str], x: str) -> DataFrame:
 def shapiro_francia(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """by, w, w_p, w_normal: squared correlation of the sorted values with normal scores; Royston's (1993) p.
 
-    A group is ranked in one task; cap_sample bounds groups first, as the test is meant for up to 5000 rows.
+    Ranks come by ranges of values, so that no task holds a group; p is meant for up to 5000 rows a group.
     """
-    group = W.partitionBy(*by)
-    ranked = df.where(F.col(x).isNotNull()).withColumn("i", F.row_number().over(group.orderBy(x))).withColumn("n", F.count("*").over(group))
+    rows = df.where(F.col(x).isNotNull()).select(*by, x)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    ranked = before(rows, by, x, "i").withColumn("i", F.col("i") + 1).join(sizes, by)
     scored = ranked.withColumn("q", (F.col("i") - 0.375) / (F.col("n") + 0.25)).withColumn("m", F.expr(normal_quantile("q")))
     w = scored.groupBy(*by).agg(F.max("n").cast("double").alias("n"), F.corr(x, "m").alias("r")).withColumn("w", F.col("r") * F.col("r"))
     u = "ln(n)"

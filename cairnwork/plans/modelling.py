@@ -102,8 +102,8 @@ def weighted_blend_predict(spark, d):
 
 
 @query("permutation_importance", f"""WITH {HOLDOUT}, {CLASSES},
-centres AS (SELECT l.label AS class, k, avg(x) AS m FROM long l JOIN held h USING (vec_id) WHERE split = 'train' AND k < 16 GROUP BY ALL),
-t AS (SELECT vec_id, k, x, l.label AS truth FROM long l JOIN held h USING (vec_id) WHERE split = 'test' AND k < 16),
+centres AS (SELECT l.label AS class, k, avg(x) AS m FROM long l JOIN held h USING (vec_id) WHERE split = 'train' GROUP BY ALL),
+t AS (SELECT vec_id, k, x, l.label AS truth FROM long l JOIN held h USING (vec_id) WHERE split = 'test'),
 l AS (SELECT vec_id, row_number() OVER (ORDER BY md5('42|' || vec_id)) AS place FROM held WHERE split = 'test'),
 o AS (SELECT k AS f, x AS nx, row_number() OVER (PARTITION BY k ORDER BY md5('43|' || k || '|' || vec_id)) AS place FROM t),
 mv AS (SELECT vec_id, f, nx FROM l JOIN o USING (place) UNION ALL SELECT vec_id, -1, 0 FROM l),
@@ -115,31 +115,28 @@ SELECT a.f::INT AS feature, round(b.macro_f1 - a.macro_f1, 6) + 0.0 AS fall FROM
 def permutation_importance(spark, d):
     """The fall of macro-F1 when a feature's values go to other rows, all features in one pass."""
     train, test = split(spark, d)
-    test = test.withColumn("v", F.slice("v", 1, 16))
     left = hashed_rank(test, [], order_key(42, "vec_id"), "place")
     values = test.select(F.col("vec_id").alias("other"), F.posexplode("v").alias("feature", "x"))
     right = hashed_rank(values, ["feature"], order_key(43, "feature", "other"), "place").drop("other")
     moved = left.join(right, "place").withColumn("v", F.transform("v", lambda x, i: F.when(i == F.col("feature"), F.col("x")).otherwise(x)))
     rows = moved.select("vec_id", "label", "v", "feature").unionByName(test.select("vec_id", "label", "v", F.lit(-1).alias("feature")))
-    centres = fusion.centroids(train.withColumn("v", F.slice("v", 1, 16)))
+    centres = fusion.centroids(train)
     preds = fusion.predicted(fusion.centroid_scores(rows, centres)).select("feature", F.col("label").alias("truth"), "pred")
     f1 = metrics.accuracy_f1(preds, ["feature"], ev.domain(spark, d))
     base = f1.where("feature = -1").select(F.col("macro_f1").alias("base"))
     return f1.where("feature >= 0").crossJoin(base).select("feature", (F.round(F.col("base") - F.col("macro_f1"), 6) + F.lit(0.0)).alias("fall"))  # base is a row
 
 
-GMM = HOLDOUT + """, par AS (SELECT l.label AS class, vec_id % 2 AS comp, k, avg(x) AS m FROM long l JOIN held h USING (vec_id) WHERE split = 'train' AND k < 8 GROUP BY ALL),
-vr AS (SELECT l.label AS class, k, var_pop(x) + 0.001 AS s FROM long l JOIN held h USING (vec_id) WHERE split = 'train' AND k < 8 GROUP BY ALL),
+GMM = HOLDOUT + """, par AS (SELECT l.label AS class, vec_id % 2 AS comp, k, avg(x) AS m FROM long l JOIN held h USING (vec_id) WHERE split = 'train' GROUP BY ALL),
+vr AS (SELECT l.label AS class, k, var_pop(x) + 0.001 AS s FROM long l JOIN held h USING (vec_id) WHERE split = 'train' GROUP BY ALL),
 pri AS (SELECT label AS class, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS prior FROM held WHERE split = 'train' GROUP BY label),
 ld AS (SELECT l.vec_id, par.class, comp, ln(0.5) - 0.5 * sum((x - m) * (x - m) / s + ln(2 * pi() * s)) AS lp FROM long l JOIN held h USING (vec_id) JOIN par USING (k) JOIN vr ON vr.class = par.class AND vr.k = l.k WHERE split = 'test' GROUP BY ALL),
 tp AS (SELECT *, max(lp) OVER (PARTITION BY vec_id, class) AS top FROM ld), sc AS (SELECT vec_id, class, any_value(top) + ln(sum(exp(lp - top))) + ln(any_value(prior)) AS score FROM tp JOIN pri USING (class) GROUP BY ALL)"""
 
 
 def given_mixture(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Test rows, a mixture of two components a class (rows of even and odd id), inverse priors; features 0-7."""
+    """Test rows, a mixture of two components a class (rows of even and odd id), inverse priors."""
     train, test = split(spark, d)
-    cut = lambda df: df.withColumn("v", F.slice("v", 1, 8))
-    train, test = cut(train), cut(test)
     means = fusion.centroids(train.withColumn("class_comp", F.struct("label", F.pmod("vec_id", F.lit(2)).cast("int").alias("comp"))), "class_comp")
     spread = train.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg((F.var_pop("x") + 0.001).alias("s")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda s: s["s"]).alias("var"))
     params = means.select(F.col("class_comp.label").alias("label"), F.col("class_comp.comp").alias("comp"), F.lit(0.5).alias("weight"), F.col("centre").alias("mean")).join(spread, "label").withColumnRenamed("label", "class")
@@ -170,9 +167,16 @@ def gmm_effective_components(spark, d):
     return mixtures.effective_components(fitted_mixture(spark, d)[1])
 
 
-@query("hmm_init", "SELECT i::INT AS i, j::INT AS j, CASE WHEN i = j AND i = 7 THEN 1.0 WHEN i = j THEN 0.7 WHEN j = i + 1 THEN 0.3 ELSE 0.0 END::DOUBLE AS p FROM range(8) a(i), range(8) b(j)")
+@query("hmm_init", """WITH n AS (SELECT conv_id, conv_id % 2 AS class, count(*) AS n FROM conversations GROUP BY ALL), s AS (SELECT class, least(8, min(n)) AS states FROM n GROUP BY class)
+SELECT class::INT AS class, i::INT AS i, j::INT AS j, CASE WHEN i = j AND i = states - 1 THEN 1.0 WHEN i = j THEN 0.7 WHEN j = i + 1 THEN 0.3 ELSE 0.0 END::DOUBLE AS p FROM s, range(8) a(i), range(8) b(j) WHERE i < states AND j < states""")
 def hmm_init(spark, d):
-    return mixtures.hmm_init(spark, 8).withColumn("p", F.round("p", 6))
+    """The start matrix of each class: at most 8 states, no more than its shortest sequence has values."""
+    states = sequences(spark, d).groupBy("class").agg(F.least(F.lit(8), F.min(F.size("x"))).alias("states"))
+    made = None
+    for row in states.collect():  # a row a class
+        one = mixtures.hmm_init(spark, row["states"]).select(F.lit(row["class"]).alias("class"), "i", "j", F.round("p", 6).alias("p"))
+        made = one if made is None else made.unionByName(one)
+    return made
 
 
 def sequences(spark, d) -> DataFrame:
@@ -185,7 +189,7 @@ def sequences(spark, d) -> DataFrame:
 @query("hmm_fit")
 def hmm_fit(spark, d):
     """round, class, log_likelihood, which never falls by more than rounding and the variance floor allow."""
-    _, history = mixtures.fit_hmm(sequences(spark, d), states=3, rounds=4)
+    _, history = mixtures.fit_hmm(sequences(spark, d).cache())
     return spark.createDataFrame([(k, c, ll) for k, h in enumerate(history) for c, ll in sorted(h.items())], "round int, class int, log_likelihood double")
 
 
@@ -250,18 +254,19 @@ def feature_importance(spark, d):
 
 @query("stacking_fit")
 def stacking_fit(spark, d):
-    """Out-of-fold probabilities of two base models stack as features of a logistic regression."""
+    """Out-of-fold probabilities of two base models on the training rows fit a logistic regression; it predicts the rows held out, from bases fitted on all training rows."""
     from cairnwork.operators import splits
 
-    dealt = splits.stratified_kfold(features(spark, d), "label", "vec_id", 2)
-    parts = []
-    for fold in range(2):
-        train, test = dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold)
-        a = ev.scored(test, train, 0, 32).select("vec_id", "label", A.softmax(F.col("scores")).alias("a"))
-        b = ev.scored(test, train, 32, 64).select("vec_id", A.softmax(F.col("scores")).alias("b"))
-        parts.append(a.join(b, "vec_id").select("vec_id", "label", F.concat("a", "b").alias("v")))
-    stacked = parts[0].unionByName(parts[1])
-    return predictions(models.scored(models.logistic(stacked, iterations=30, reg=1e-3), stacked, "vec_id"))
+    train, test = split(spark, d)
+
+    def bases(rows, fitted):
+        a = ev.scored(rows, fitted, 0, 32).select("vec_id", "label", A.softmax(F.col("scores")).alias("a"))
+        b = ev.scored(rows, fitted, 32, 64).select("vec_id", A.softmax(F.col("scores")).alias("b"))
+        return a.join(b, "vec_id").select("vec_id", "label", F.concat("a", "b").alias("v"))
+
+    dealt = splits.stratified_kfold(train.select("vec_id", "label", "v"), "label", "vec_id", 2)
+    parts = [bases(dealt.where(F.col("fold") == fold), dealt.where(F.col("fold") != fold)) for fold in range(2)]
+    return predictions(models.scored(models.logistic(parts[0].unionByName(parts[1]), iterations=30, reg=1e-3), bases(test, train), "vec_id"))
 
 
 @query("soft_label_fit")
@@ -280,7 +285,7 @@ def two_stage_classifier(spark, d):
 @query("mlp_classifier")
 def mlp_classifier(spark, d):
     train, test = split(spark, d)
-    return predictions(models.scored(models.mlp(train, (32,), 30), test, "vec_id"))
+    return predictions(models.scored(models.mlp(train), test, "vec_id"))
 
 
 @query("project_2d")
@@ -290,11 +295,28 @@ def project_2d(spark, d):
 
 @query("model_save_load")
 def model_save_load(spark, d):
-    """Predictions of a fitted model and of the one read back; they are equal."""
+    """kind, id, pred and pred_back: predictions of fitted models of every kind and of those read back; they are equal."""
     train, test = split(spark, d)
-    model = models.logistic(train, iterations=10)
-    path = scratch(spark, "model")
-    models.save(model, path)
-    a, b = models.scored(model, test, "vec_id"), models.scored(models.load(path), test, "vec_id")
-    return a.select("vec_id", "truth", "pred").join(b.select("vec_id", F.col("pred").alias("pred_back")), "vec_id")
-
+    out = []
+
+    def compare(kind: str, a, b, key: str = "vec_id") -> None:
+        b = b.select(F.col(key).alias("__key"), F.col("pred").alias("pred_back"))
+        out.append(a.join(b, F.col(key) == F.col("__key")).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col("pred").cast("int").alias("pred"), F.col("pred_back").cast("int").alias("pred_back")))
+
+    for kind, model in (("logistic", models.logistic(train, iterations=10)), ("forest", models.random_forest(train, trees=5, depth=5)), ("mlp", models.mlp(train, (16,), 10))):
+        models.save(model, path := scratch(spark, f"model-{kind}"))
+        compare(kind, models.scored(model, test, "vec_id"), models.scored(models.load(path), test, "vec_id"))
+    for kind, model in (("boosted", models.BoostedTrees(train, rounds=1, depth=2)), ("kernel", models.KernelSVM(train, "vec_id", features=16, iterations=2)), ("two_stage", models.TwoStage(train, majority=0))):
+        models.save(model, path := scratch(spark, f"model-{kind}"))
+        compare(kind, model.predict(test, "vec_id"), models.load(path).predict(test, "vec_id"))
+    params, priors = mixtures.fit_gmm(train, "vec_id", rounds=1), mixtures.inverse_priors(train)
+    mixtures.save_gmm(params, path := scratch(spark, "model-gmm"))
+    compare("gmm", *(fusion.predicted(mixtures.gmm_scores(test, p, priors)) for p in (params, mixtures.load_gmm(spark, path))))
+    turns = sequences(spark, d).cache()
+    fitted, _ = mixtures.fit_hmm(turns, rounds=2)
+    mixtures.save_hmm(spark, fitted, path := scratch(spark, "model-hmm"))
+    compare("hmm", *(mixtures.hmm_score(turns, p).select("conv_id", "pred") for p in (fitted, mixtures.load_hmm(spark, path))), "conv_id")
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole

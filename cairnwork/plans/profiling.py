@@ -32,9 +32,9 @@ def energy_stats(spark, d):
     return rounded(profile.energy_stats(table(spark, d, "events"), "value"), ("mean", "std"))
 
 
-@query("five_number_summary", f"WITH {LONG}, b AS (SELECT label, k, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.75) AS q75 FROM long WHERE k < 5 GROUP BY ALL) SELECT label, k, round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75, round(min(x), 6) AS low, round(max(x), 6) AS high FROM long JOIN b USING (label, k) WHERE x >= q25 - 1.5 * (q75 - q25) AND x <= q75 + 1.5 * (q75 - q25) GROUP BY ALL")
+@query("five_number_summary", f"WITH {LONG}, b AS (SELECT label, k, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.75) AS q75 FROM long GROUP BY ALL) SELECT label, k, round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75, round(min(x), 6) AS low, round(max(x), 6) AS high FROM long JOIN b USING (label, k) WHERE x >= q25 - 1.5 * (q75 - q25) AND x <= q75 + 1.5 * (q75 - q25) GROUP BY ALL")
 def five_number_summary(spark, d):
-    return rounded(profile.five_number_summary(long_features(spark, d).where("k < 5"), ["label", "k"], "x"), ("q25", "q50", "q75", "low", "high"), 6)
+    return rounded(profile.five_number_summary(long_features(spark, d), ["label", "k"], "x"), ("q25", "q50", "q75", "low", "high"), 6)
 
 
 @query("histogram_bins", "WITH e AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS total, (max(value) - min(value)) / 30 AS w FROM events), b AS (SELECT least(floor((value - lo) / w), 29)::INT AS bin, count(*) AS n FROM events, e WHERE value IS NOT NULL GROUP BY 1) SELECT i::INT AS bin, round(lo + i * w, 6) AS low, round(lo + (i + 1) * w, 6) AS high, coalesce(n, 0) AS n, round(coalesce(n, 0) / (total * w), 8) AS density FROM range(30) r(i) CROSS JOIN e LEFT JOIN b ON b.bin = i")

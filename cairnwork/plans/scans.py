@@ -17,8 +17,12 @@ EVENT_TYPES = ["view", "click", "purchase", "signup", "error"]
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-cairnwork-')}"
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or where that is unset, on a local master alone, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-cairnwork-')}"
     return f"{base}/{name}-{spark.sparkContext.applicationId}-{spark._jvm.System.nanoTime()}"
 
 

@@ -302,3 +302,55 @@ def test_profiles(spark):
     log = spark.createDataFrame([(e, s) for e, s in enumerate([0.1, 0.3, 0.2, 0.2, 0.3])], "epoch long, score double")
     out = metrics.early_stop_log(log, patience=2).orderBy("epoch").collect()
     assert [r.best_epoch for r in out] == [0, 1, 1, 1, 1] and [r.stop for r in out] == [False, False, False, True, False]
+
+
+def test_ranks_and_quantiles_by_ranges(spark):
+    import numpy as np
+
+    from cairnwork.functions import ranks
+
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in rng.normal(0, 1, 500)] + [("b", float(v)) for v in rng.integers(0, 5, 300)] + [(None, 2.0), (None, 1.0), ("c", 7.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    by = {}
+    for g, x in rows:
+        if x is not None:
+            by.setdefault(g, []).append(x)
+    found = {r.g: (r.q1, r.q2) for r in ranks.quantiles(df, ["g"], "x", (0.25, 0.9), ("q1", "q2")).collect()}
+    assert found.keys() == by.keys()
+    for g, values in by.items():
+        assert np.allclose(found[g], np.quantile(values, [0.25, 0.9]))
+    places = ranks.before(df.where("x IS NOT NULL"), ["g"], "x", "place").collect()
+    for g, values in by.items():
+        mine = sorted((r.place, r.x) for r in places if r.g == g)
+        assert [p for p, _ in mine] == list(range(len(values))) and [x for _, x in mine] == sorted(values)
+    alone = ranks.quantiles(df, [], "x", (0.5,), ("q",)).first()
+    assert alone.q == np.quantile([x for _, x in rows if x is not None], 0.5)
+
+
+def test_correlation_of_arrays_with_gaps(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(100, 1, (60, 4))
+    x[:, 3] = 5.0
+    rows = [(i, [None if (i + k) % 11 == 0 else float(v) for k, v in enumerate(row)]) for i, row in enumerate(x)] + [(99, None)]
+    found = {(r.i, r.j): r.r for r in profile.correlation_matrix(spark.createDataFrame(rows, "id int, v array<double>").repartition(3)).collect()}
+    for i in range(4):
+        for j in range(4):
+            both = [(v[i], v[j]) for _, v in rows if v and v[i] is not None and v[j] is not None]
+            if 3 in (i, j):
+                assert found[i, j] is None or abs(found[i, j]) < 1e-3
+            else:
+                assert abs(found[i, j] - np.corrcoef(*zip(*both, strict=True))[0, 1]) < 1e-9
+
+
+def test_composed_models_come_back(spark, tmp_path):
+    from cairnwork.operators import models
+
+    rows = [(i, i % 2, [float(i % 2) + 0.1 * (i % 7), float(i % 5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, label int, v array<double>")
+    for name, model in (("b", models.BoostedTrees(df, rounds=1, depth=2)), ("k", models.KernelSVM(df, "id", features=8, iterations=2)), ("t", models.TwoStage(df.withColumn("label", F.when(F.col("id") % 3 == 0, 2).otherwise(F.col("label"))), majority=0))):
+        models.save(model, f"file://{tmp_path}/{name}")
+        back = models.load(f"file://{tmp_path}/{name}")
+        assert sorted(map(tuple, model.predict(df, "id").select("id", "pred").collect())) == sorted(map(tuple, back.predict(df, "id").select("id", "pred").collect()))
