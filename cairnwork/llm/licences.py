@@ -7,7 +7,9 @@ Method: a template is marked-up text: [[ ... ]] may be left out, <name:n> stands
 It is compiled once to an automaton over words (states are positions; optional regions and wildcards become
 transitions that may skip or stay). A text is accepted where a run of its words takes the automaton from its
 first to its last state, which means that every mandatory word matches exactly, in order. Runs start only where
-the template's first mandatory words stand, so that ordinary text costs a substring search.
+the template's first mandatory words stand, so that ordinary text costs a substring search; optional regions before these
+take no part, as a text is accepted with or without them. Whole licence texts (MIT, BSD with 2 and 3 clauses, ISC, the Apache
+and Mozilla headers, the GNU notice) have templates, and so have shorter notices.
 
 score: 1 if a whole template was accepted, else 0.5 if a base phrase stands there, else 0.
 
@@ -33,10 +35,31 @@ BASE = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Licence notices in template markup.
+# Published licence texts and notices in template markup, words as this module splits them.
+MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in [[the software]] <what:4> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+MIT_NOTICE = "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"
+MIT_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+BSD_HEAD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+BSD_SOURCE = "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+BSD_BINARY = "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_NAMES = "[[3]] neither the name of <holder:12> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_WARRANTY = "this software is provided by <by:12> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <holders:12> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+ISC_GRANT = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+ISC_WARRANTY = "the software is provided as is and <author:6> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <holder:6> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+APACHE_HEADER = "licensed under the apache license version 2 0 [[the license]] you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 [[txt]] [[html]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+MPL_NOTICE = "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http]] [[https]] mozilla org mpl 2 0"
+GPL_NOTICE = "this program is free software you can redistribute it and or modify it under the terms of the gnu <kind:1> general public license as published by the free software foundation [[either]] version <number:1> of the license [[or at your option any later version]]"
 TEMPLATES = (
+    (f"{MIT_GRANT} {MIT_NOTICE} {MIT_WARRANTY}", "mit-full"),
+    (f"{BSD_HEAD} {BSD_SOURCE} {BSD_BINARY} {BSD_NAMES} {BSD_WARRANTY}", "bsd-3-full"),
+    (f"{BSD_HEAD} {BSD_SOURCE} {BSD_BINARY} {BSD_WARRANTY}", "bsd-2-full"),
+    (f"{ISC_GRANT} {ISC_WARRANTY}", "isc-full"),
+    (APACHE_HEADER, "apache-2-full-header"),
+    (MPL_NOTICE, "mpl-2-full-notice"),
+    (GPL_NOTICE, "gpl-full-notice"),
+    (MIT_GRANT, "mit-text"),
+    (BSD_HEAD, "bsd-text"),
     ("[[<lead:3>]] released under the [[terms of the]] mit license", "mit-notice"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in [[the software]] <what:4> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies", "mit-text"),
     ("licensed under the apache license version 2 0 [[the license]]", "apache-2-notice"),
     ("you may not use this file except in compliance with the license", "apache-2-header"),
     ("[[this work is]] licensed under [[a]] [[the]] cc by nc <version:3>", "cc-by-nc-notice"),
@@ -45,7 +68,6 @@ TEMPLATES = (
     ("[[this work is]] licensed under the gnu general public license [[as published by the free software foundation]] [[either]] version 3", "gpl-3-notice"),
     ("[[this work is]] licensed under the gnu general public license [[as published by the free software foundation]] [[either]] version 2", "gpl-2-notice"),
     ("under the terms of the gnu <kind:1> general public license", "gnu-notice"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-text"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2-notice"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc-text"),
     ("copyright <year:3> <holder:6> all rights reserved", "all-rights-reserved"),

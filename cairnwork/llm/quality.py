@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-Method: the features of a document are hashed buckets of (a) its words, (b) its words' repetition (how often the
-word stood there before, by powers of two, and whether it equals the last word), (c) its byte 3-grams and (d) 5-grams. Every bucket
+Method: the features of a document are hashed buckets of (a) its words, (c) its byte 3-grams and (d) 5-grams, which go over the
+ends of words, and as an addition to the method (b) its words' repetition (how often the word stood there before, by powers of two,
+and whether it equals the last word). Every bucket
 has a learned vector; a document's vector is the mean, over the four families, of the family's mean vector; a
 softmax layer gives the classes' probabilities. Vectors and layer are learned together by stochastic gradient
 descent (AdaGrad steps) in numpy. As mean and layer are linear, scoring folds them to one number per bucket: the
@@ -11,7 +12,7 @@ Training: at most MAX_TRAIN labelled rows (a documented bound: those with the le
 crc32(doc_id as text) mod 3 is 1. It runs in one Spark task over that bounded sample; what comes to the driver and
 goes out as a broadcast is the folded table, 4 bytes x 2^18 buckets = 1 MB at any input size.
 
-Defined cases: null text counts as empty; an empty text has no features, its score is the layer's bias alone. A null
+Defined cases: null text counts as empty; an empty text has no features, its score is the layer's bias alone. A very long text is scored whole. A null
 doc_id is not held out and never trains. Without any labelled row (or with one class only) each score is that
 class's share, 0.5 where there is none. Labels, lang, source and doc_id are never inputs of a score.
 """
@@ -195,7 +196,12 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "
     return docs.withColumn("score", score(F.col(text_col).cast("string")))
 
 
+def predicted(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    scored = classify(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = classify(docs, train(docs, load(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return predicted(docs, train(docs, load(spark, sf_dir, "labels")))

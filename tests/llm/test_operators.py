@@ -275,6 +275,42 @@ def test_template_regions():
     assert licences.inspect(b"x", [(["x".encode()], b"x", "l")], [])[6] == 0.5
 
 
+def test_templates_equal_expressions(spark):
+    """Every template against a regular expression of the same markup, on instances with and without their regions, whole and damaged."""
+    rng = np.random.default_rng(9)
+
+    def expression(markup):
+        out = ""
+        for token in re.findall(r"\[\[|\]\]|<\w+:\d+>|[^\s\[\]<>]+", markup):
+            out += "(?:" if token == "[[" else ")?" if token == "]]" else f"(?: [^ ]+){{0,{token[1:-1].split(':')[1]}}}" if token[0] == "<" else " " + re.escape(token)
+        return re.compile(out + r"(?= |$)")
+
+    def instance(markup, damaged):
+        words, skip = [], 0
+        for token in re.findall(r"\[\[|\]\]|<\w+:\d+>|[^\s\[\]<>]+", markup):
+            if token == "[[":
+                skip = rng.random() < 0.5
+            elif token == "]]":
+                skip = 0
+            elif token[0] == "<":
+                words += ["holder"] * int(rng.integers(0, int(token[1:-1].split(":")[1]) + 2))
+            elif not skip:
+                words.append(token)
+        if damaged:
+            words[int(rng.integers(0, len(words)))] = "other"
+        return "Some text. " + ", ".join(words).upper() + "! And\nmore"
+
+    texts = [instance(m, damaged) for m, _ in licences.TEMPLATES for damaged in (False, False, False, True)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.labels, r.score) for r in licences.license_scan(df).collect()}
+    for k, t in enumerate(texts):
+        line = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()))
+        whole = {label for m, label in licences.TEMPLATES if expression(m).search(line)}
+        base = {label for phrase, label in licences.BASE if re.search(f" {phrase}(?= |$)", line)}
+        assert found[k] == (",".join(sorted(whole | base)), 1.0 if whole else 0.5 if base else 0.0), t
+    assert sum("full" in x for x, _ in found.values()) > 10
+
+
 def brute_components(rows, n, percent):
     sets = []
     for i, t in rows:
@@ -581,6 +617,36 @@ def test_quality(spark, empty):
     assert quality.classify(empty, model).count() == 0
 
 
+def test_folded_scores_equal_the_network(spark, rows):
+    """The query's scores against embeddings, means, layer and softmax worked out text by text."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(WORDS, int(n))) for n in rng.integers(1, 50, 30)] + [t for _, t in rows[40:] if t] + [""]
+    labels = rng.integers(0, 2, 30)
+    model = quality.fit([np.frombuffer(t.encode(), np.uint8) for t in texts[:30]], labels)
+    want = []
+    for t in texts:
+        held = np.zeros(quality.DIMENSIONS)
+        data = np.frombuffer(t.encode(), np.uint8)
+        for bucket, _ in quality.features(data, np.array([0, len(data)])):
+            if len(bucket):
+                held += model["vectors"][bucket].astype(float).mean(0) / quality.FAMILIES
+        z = held @ model["layer"] + model["bias"]
+        want.append(np.exp(z[1]) / np.exp(z).sum())
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.score for r in quality.classify(df, quality.fold(model)).collect()}
+    assert np.allclose([found[k] for k in range(len(texts))], want, atol=1e-5)
+    again = quality.fit([np.frombuffer(t.encode(), np.uint8) for t in texts[:30]], labels)
+    assert all((model[k] == again[k]).all() for k in model)
+
+
+def test_quality_query_columns(spark, docs, rows, empty):
+    model = (np.zeros(1 << quality.BITS, np.float32), 0.3)
+    found = quality.predicted(docs, model)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert collections.Counter((r.doc_id, r.held_out, r.predicted) for r in found.collect()) == collections.Counter((i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1, 1) for i, _ in rows)
+    assert quality.predicted(empty, model).count() == 0
+
+
 def test_token_store(spark, docs, rows, empty, tmp_path):
     path = P.path("byte_bpe_50k.json")
     target = f"file://{tmp_path}/store"
