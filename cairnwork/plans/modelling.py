@@ -295,7 +295,10 @@ def project_2d(spark, d):
 
 @query("model_save_load")
 def model_save_load(spark, d):
-    """kind, id, pred and pred_back: predictions of fitted models of every kind and of those read back; they are equal."""
+    """kind, id, pred and pred_back: predictions of fitted models and of those read back; they are equal.
+
+    Boosted trees and kernel machines, which take long to fit, are saved and read back in the tests.
+    """
     train, test = split(spark, d)
     out = []
 
@@ -306,9 +309,9 @@ def model_save_load(spark, d):
     for kind, model in (("logistic", models.logistic(train, iterations=10)), ("forest", models.random_forest(train, trees=5, depth=5)), ("mlp", models.mlp(train, (16,), 10))):
         models.save(model, path := scratch(spark, f"model-{kind}"))
         compare(kind, models.scored(model, test, "vec_id"), models.scored(models.load(path), test, "vec_id"))
-    for kind, model in (("boosted", models.BoostedTrees(train, rounds=1, depth=2)), ("kernel", models.KernelSVM(train, "vec_id", features=16, iterations=2)), ("two_stage", models.TwoStage(train, majority=0))):
-        models.save(model, path := scratch(spark, f"model-{kind}"))
-        compare(kind, model.predict(test, "vec_id"), models.load(path).predict(test, "vec_id"))
+    model = models.TwoStage(train, majority=0)
+    models.save(model, path := scratch(spark, "model-two-stage"))
+    compare("two_stage", model.predict(test, "vec_id"), models.load(path).predict(test, "vec_id"))
     params, priors = mixtures.fit_gmm(train, "vec_id", rounds=1), mixtures.inverse_priors(train)
     mixtures.save_gmm(params, path := scratch(spark, "model-gmm"))
     compare("gmm", *(fusion.predicted(mixtures.gmm_scores(test, p, priors)) for p in (params, mixtures.load_gmm(spark, path))))
