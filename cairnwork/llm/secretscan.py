@@ -16,8 +16,8 @@ Defined cases: null text counts as empty (no finds); an empty table gives no row
 each; ids are passed through, null ones too; other columns are not read. A base64 run that isn't compressed is a layer if at most GARBAGE of it
 are control characters or no UTF-8. Compressed runs
 (in base64 or URL escapes) are inflated as streams to their end, all members of them, and again while the content is
-compressed, wherever in them a find stands; the content is scanned in windows of text, cut at line ends (a line over MOST_WINDOW is cut anywhere, with
-OVERLAP characters in both windows: an encoded run longer than that is then unwrapped up to the cut only). Bytes of it that are not UTF-8 stand as U+FFFD. A damaged stream counts up to the damage.
+compressed, wherever in them a find stands; the content is scanned in windows of text, cut at line ends behind lines that don't end in a base64 run (a line over MOST_WINDOW
+and lines of such runs over MOST_WRAPPED are cut anywhere, with OVERLAP characters in both windows: an encoded run longer than that is then unwrapped up to the cut only). Bytes of it that are not UTF-8 stand as U+FFFD. A damaged stream counts up to the damage.
 """
 
 from __future__ import annotations
@@ -51,6 +51,7 @@ HEAD = 1 << 16
 #: Code points of inflated text that are scanned at once.
 WINDOW = 1 << 20
 MOST_WINDOW = 16 << 20
+MOST_WRAPPED = 3 << 20
 OVERLAP = 1 << 16
 
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -62,6 +63,8 @@ BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 LINE = 20
 LINE_END = re.compile(r"\r?\n[ \t]*")
 LAST_LINE = re.compile(r"\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}(?![A-Za-z0-9+/_=-])")
+#: The end of a line that may go on in the next one.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{%d}={0,2}\r?\n\Z" % LINE)
 #: Share of a decoded base64 run that may be no text.
 GARBAGE = 0.3
 NO_TEXT = re.compile("[\x00-\x08\x0e-\x1f\x7f\ud800-\udfff]")
@@ -171,20 +174,24 @@ def opened(data: bytes) -> tuple[int, Iterable[bytes]]:
 
 
 def windows(chunks: Iterable[bytes]) -> Iterator[str]:
-    """Text of UTF-8 chunks, cut at line ends: no find, run or escape crosses one."""
+    """Text of UTF-8 chunks, cut at line ends that no wrapped run goes over: no find, run or escape crosses one."""
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
-    held = ""
+    held, tried = "", 0
     for chunk in chunks:
         held += decoder.decode(chunk)
         if len(held) < WINDOW:
             continue
-        cut = held.rfind("\n") + 1
+        cut = held.rfind("\n", tried) + 1
+        while cut and WRAPPED.search(held, max(0, cut - LINE - 5), cut):
+            cut = held.rfind("\n", tried, cut - 1) + 1
         if cut:
             yield held[:cut]
-            held = held[cut:]
-        elif len(held) >= MOST_WINDOW:
+            held, tried = held[cut:], 0
+        elif len(held) >= (MOST_WRAPPED if "\n" in held else MOST_WINDOW):
             yield held
-            held = held[-OVERLAP:]
+            held, tried = held[held.find("\n", len(held) - OVERLAP) + 1 or -OVERLAP :], 0  # from a line's start, if one is there
+        else:
+            tried = max(0, held.rfind("\n"))
     held += decoder.decode(b"", True)
     if held:
         yield held

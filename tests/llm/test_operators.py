@@ -578,6 +578,23 @@ def test_layers_name_their_places():
     assert [k for _, _, k in secretscan.finds(garbled)[1]] == ["assign/base64"]
 
 
+def test_wrapped_base64_across_the_border_of_a_window():
+    """Inflated text is scanned in windows: a wrapped run that lies across a border is unwrapped whole."""
+    run = base64.b64encode(b"." * 1251 + b" token=hunter2222 " + b"-" * 1200).decode()
+    for ends in ("\n", "\r\n"):
+        lines = ends.join(run[k : k + 76] for k in range(0, len(run), 76))
+        border = len(next(secretscan.windows(iter([b"ten chars\n" * 105_000, b"ten chars\n"]))))
+        for shift in range(0, 80, 8):
+            head = "ten chars\n" * ((border - 1800) // 10)
+            inner = head + "x" * (border - len(head) - 1700 + shift) + "\n" + lines + "\n" + "ten chars\n" * 900
+            chunks = [inner[k : k + border].encode() for k in range(0, len(inner), border)]
+            assert "".join(secretscan.windows(iter(chunks))) == inner
+            found = [k for w in secretscan.windows(iter(chunks)) for _, _, k in secretscan.finds(w)[1]]
+            assert "assign/base64" in found, (ends, shift)
+    wide = (("A" * 76 + "\n") * 15_000).encode()  # nothing but such lines: cut at last, with an overlap
+    assert max(map(len, secretscan.windows(iter([wide] * 16)))) <= secretscan.MOST_WRAPPED + len(wide)
+
+
 def test_inflated_layers_take_little_memory():
     code = """
 import base64, gzip, resource, sys, zlib
