@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnwork.llm import exact_dedup, jaccard_join, licences, mainhtml, merkle, packing, pieces, quality, secretscan, tokenstore
+from cairnwork.llm import exact_dedup, jaccard_join, licences, mainhtml, mergerounds, merkle, packing, pieces, quality, secretscan, tokenstore
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secretscan.op8_secret_scan,
     "op9_quality": quality.op9_quality,
     "op10_token_store": tokenstore.op10_token_store,
+    "op11_bpe_rounds": mergerounds.op11_bpe_rounds,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
