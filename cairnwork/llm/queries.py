@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnwork.llm import exact_dedup, jaccard_join, licences, mainhtml, mergerounds, merkle, packing, pieces, quality, secretscan, tokenstore
+from cairnwork.llm import centroids, exact_dedup, jaccard_join, licences, mainhtml, mergerounds, merkle, packing, pieces, quality, secretscan, tokenstore, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,9 +16,12 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_token_store": tokenstore.op10_token_store,
     "op11_bpe_rounds": mergerounds.op11_bpe_rounds,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
     "op4_fingerprints": merkle.ORACLE_SQL,
     "op6_ngram_jaccard": jaccard_join.ORACLE_SQL,
+    "op13_centroid_clustering": centroids.ORACLE_SQL,
 }
