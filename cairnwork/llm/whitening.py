@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from cairnwork.llm import vectorblocks as vb
 from cairnwork.llm.common import load, ship, store
 
-SCALE, WANTED, GUARDS = 256, 4, 4
+SCALE, WANTED, GUARDS = 256, 4, 12
 #: Residual of a certified pair, as a share of the greatest eigenvalue.
-TOLERANCE = 1e-14
+TOLERANCE = 1e-13
 #: Where rounding stops residuals from falling, this much is accepted.
 ROUNDED = 1e-12
 DEGREES = (4, 24)
