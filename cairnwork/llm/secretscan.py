@@ -7,17 +7,24 @@ Base kinds, found leftmost and without overlap in the whole text:
 
 Method: a worklist starts with the text. Each layer is scanned; then its URL escapes, Unicode and character
 escapes, base64 runs and compressed runs (gzip, zlib) are unwrapped into new layers, which join the worklist,
-until nothing new comes (a digest of each layer ends cycles). A layer knows its parent and how its places follow from
-the parent's (by escapes, by base64 digits, or one span for all of a compressed run), so that a find in any layer names its place in the original
-text, and memory is that of texts and escapes. Such a find is added as kind/layer, e.g. assign/base64; finds that no unwrapped code point belongs to
-are not repeated. Base64 lines of one width (LINE characters or more) that follow each other are unwrapped together, too.
+until nothing new comes (a digest of each layer ends cycles). Escapes that stand in each other (%252541) are taken
+off to the last at once; a layer of replaced escapes holds the lines that changed, and base64 that no replaced
+character touches isn't decoded again. A layer knows how its places follow from those of the text or run that it stands in
+(by escapes, by base64 digits, or one span for all of a compressed run), so that a find in any layer names its place in
+the original text, whatever its depth, and memory is that of texts and escapes. Such a find is added as kind/layer,
+e.g. assign/base64; finds that no unwrapped code point belongs to are not repeated. Base64 lines of one width (LINE
+characters or more) that follow each other are unwrapped together, too.
 
 Defined cases: null text counts as empty (no finds); an empty table gives no rows; repeated rows are scanned
-each; ids are passed through, null ones too; other columns are not read. A base64 run that isn't compressed is a layer if at most GARBAGE of it
-are control characters or no UTF-8. Compressed runs
-(in base64 or URL escapes) are inflated as streams to their end, all members of them, and again while the content is
-compressed, wherever in them a find stands; the content is scanned in windows of text, cut at line ends behind lines that don't end in a base64 run (a line over MOST_WINDOW
-and lines of such runs over MOST_WRAPPED are cut anywhere, with OVERLAP characters in both windows: an encoded run longer than that is then unwrapped up to the cut only). Bytes of it that are not UTF-8 stand as U+FFFD. A damaged stream counts up to the damage.
+each; ids are passed through, null ones too; other columns are not read. Layers of equal kind that follow each other
+more than three times are named once with their number, e.g. assign/url*7. A base64 run that isn't compressed is a layer if
+at most GARBAGE of it are control characters or no UTF-8. Compressed runs (in base64 or URL escapes) are inflated as
+streams to their end, all members of them, and again while the content is compressed, wherever in them a find
+stands. The content is scanned in windows of text, cut at line ends behind lines that don't end in a base64 run; a line of
+MOST_WINDOW characters, or as many of such lines, is cut where no run stands, OVERLAP characters in both windows, and a base64 run
+that fills a whole window is decoded as a stream, so that no run is lost or cut. A compressed stream in URL escapes inside inflated content
+is opened if it fits a window. Bytes that are not UTF-8 stand as U+FFFD. A damaged stream counts up to the damage.
+Raw deflate, bz2, xz and UTF-16 are not opened.
 """
 
 from __future__ import annotations
@@ -50,14 +57,21 @@ CHUNK = 1 << 20
 HEAD = 1 << 16
 #: Code points of inflated text that are scanned at once.
 WINDOW = 1 << 20
-MOST_WINDOW = 16 << 20
-MOST_WRAPPED = 3 << 20
+MOST_WINDOW = 3 << 20
 OVERLAP = 1 << 16
+#: More letters than an assign find's first word has.
+KEYWORD = 16
 
-URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+URL_ESCAPE = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+URL_UNIT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 #: The head of a gzip or zlib stream, and what may follow in URL escapes.
 URL_STREAM = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)(?:%01|\^|%5[eE]|%9[cC]|%[dD][aA]))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+@:,;$^-])*")
-CHAR_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+CHAR_ESCAPE = re.compile(
+    r"\\((?:u\{0*5[cC]\}|u005[cC]|U0000005[cC]|x5[cC])*)(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))"
+    r"|&((?:#x0*26;|#0*38;)*)(?:#x([0-9A-Fa-f]{1,6});|#([0-9]{1,7});)"
+)
+#: A character that no base64 run goes over, wrapped lines included.
+BREAK = re.compile(r"[^A-Za-z0-9+/_\r\n \t-]|(?<![\r\n \t])[ \t]")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Width of wrapped base64 lines at least; what may stand between two of them; a last line.
 LINE = 20
@@ -150,9 +164,9 @@ def inflate(chunks: Iterable[bytes]) -> Iterator[bytes]:
         return
 
 
-def opened(data: bytes) -> tuple[int, Iterable[bytes]]:
-    """How many times data is compressed, and its innermost content in chunks."""
-    depth, chunks, seen = 0, iter([data]), set()
+def opened(chunks: Iterable[bytes]) -> tuple[int, Iterable[bytes]]:
+    """How many times what comes in chunks is compressed, and its innermost content in chunks."""
+    depth, chunks, seen = 0, iter(chunks), set()
     while True:
         head, size, ended = [], 0, True
         for chunk in chunks:
@@ -173,12 +187,57 @@ def opened(data: bytes) -> tuple[int, Iterable[bytes]]:
         chunks = inflate([first] if ended else chain([first], chunks))
 
 
-def windows(chunks: Iterable[bytes]) -> Iterator[str]:
-    """Text of UTF-8 chunks, cut at line ends that no wrapped run goes over: no find, run or escape crosses one."""
+def last_break(text: str) -> int:
+    """Place of the last character that no run goes over; -1 if there is none."""
+    end = len(text)
+    while end > 0:
+        begin = max(0, end - 4096)
+        if found := [m.start() for m in BREAK.finditer(text, begin, end)]:
+            return found[-1]
+        end = begin
+    return -1
+
+
+class Run:
+    """A base64 run that fills a window: iterating gives its content as it comes. Then kinds has those of finds in its own
+    characters, and rest the text behind it."""
+
+    def __init__(self, text: str, more: Iterator[str]) -> None:
+        self.rest, self.more, self.kinds, self.stream = text, more, set(), None
+
+    def __iter__(self) -> Iterator[bytes]:
+        if self.stream is None:
+            self.stream = self._decoded()
+        return self.stream
+
+    def _decoded(self) -> Iterator[bytes]:
+        text, digits, tail = self.rest, "", ""
+        self.rest = ""
+        while text is not None:
+            end = BREAK.search(text)
+            part = text[: end.start()] if end else text
+            tail = tail[-OVERLAP:] + part
+            self.kinds.update(k for _, _, k in scan(tail))
+            digits += "".join(part.split())
+            whole = len(digits) - len(digits) % 4
+            if whole:
+                yield _unbase64(digits[:whole]) or b""
+                digits = digits[whole:]
+            if end:
+                self.rest = tail[-KEYWORD:] + text[end.start() :]  # a find may begin with the run's last word
+                break
+            text = next(self.more, None)
+        if digits:
+            yield _unbase64(digits) or b""
+
+
+def windows(chunks: Iterable[bytes]) -> Iterator[str | Run]:
+    """Text of UTF-8 chunks, cut where no find, run or escape is lost; a run that fills a window comes as a Run."""
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    texts = chain(map(decoder.decode, chunks), (decoder.decode(b"", True) for _ in range(1)))
     held, tried = "", 0
-    for chunk in chunks:
-        held += decoder.decode(chunk)
+    for text in texts:
+        held += text
         if len(held) < WINDOW:
             continue
         cut = held.rfind("\n", tried) + 1
@@ -187,12 +246,22 @@ def windows(chunks: Iterable[bytes]) -> Iterator[str]:
         if cut:
             yield held[:cut]
             held, tried = held[cut:], 0
-        elif len(held) >= (MOST_WRAPPED if "\n" in held else MOST_WINDOW):
-            yield held
-            held, tried = held[held.find("\n", len(held) - OVERLAP) + 1 or -OVERLAP :], 0  # from a line's start, if one is there
-        else:
-            tried = max(0, held.rfind("\n"))
-    held += decoder.decode(b"", True)
+            continue
+        tried = max(0, held.rfind("\n"))
+        if len(held) < MOST_WINDOW:
+            continue
+        tried, last = 0, last_break(held)
+        if last > MOST_WINDOW // 2:
+            yield held[:last]
+            held = held[BREAK.search(held, last - OVERLAP).start() :]
+            continue
+        if last >= 0:  # finds that begin before the run
+            yield held[: last + 1 + OVERLAP]
+        run = Run(held[last + 1 :], texts)
+        yield run
+        for _ in run:
+            pass
+        held = run.rest
     if held:
         yield held
 
@@ -201,30 +270,59 @@ class Layer:
     """A text on the worklist; span() gives places of the original text, made() whether any of its code points was unwrapped. This one is the original."""
 
     parent: Layer | None = None
-    name = ""
+    names: tuple[tuple[str, int], ...] = ()
 
     def __init__(self, text: str) -> None:
         self.text = text
 
+    @property
+    def name(self) -> str:
+        return named(self.names)
+
     def key(self) -> bytes:
         return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest() + repr(self.span(0, len(self.text))).encode()
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.parent is None else self.parent.span(*self.above(a, b))
+        layer = self
+        while layer.parent is not None:
+            a, b = layer.above(a, b)
+            layer = layer.parent
+        return a, b
 
     def made(self, a: int, b: int) -> bool:
         return self.parent is not None
 
+    def name_of(self, a: int, b: int) -> str:
+        """Names of the layers that a find came through."""
+        return self.name
+
+    def touched(self, a: int, b: int) -> bool:
+        """Whether this layer could show a run at a to b that the one before it couldn't."""
+        return True
+
     def above(self, a: int, b: int) -> tuple[int, int]:
         """The span of the parent's text that a span of this one came from."""
         return a, b
 
 
+def named(names: tuple[tuple[str, int], ...]) -> str:
+    return "".join(f"/{n}" * k if k <= 3 else f"/{n}*{k}" for n, k in names)
+
+
+def under(layer: Layer, name: str, times: int = 1) -> tuple[tuple[str, int], ...]:
+    """Names of the layers of one that stands `times` deep in layer."""
+    if not times:
+        return layer.names
+    if layer.names and layer.names[-1][0] == name:
+        return *layer.names[:-1], (name, layer.names[-1][1] + times)
+    return *layer.names, (name, times)
+
+
 class Piece(Layer):
-    """Content of a run whose code points all stand for the whole run."""
+    """Content of a run whose code points all stand for the whole run; kinds: of finds known already."""
 
-    def __init__(self, text: str, parent: Layer, run: tuple[int, int], name: str) -> None:
-        self.text, self.parent, self.run, self.name = text, parent, run, name
+    def __init__(self, text: str, parent: Layer, run: tuple[int, int], names: tuple, kinds: Iterable[int] = ()) -> None:
+        self.text, self.parent, self.run, self.names, self.kinds = text, parent, run, names, tuple(kinds)
 
     def above(self, a: int, b: int) -> tuple[int, int]:
         return self.run
@@ -234,85 +332,134 @@ class Decoded(Layer):
     """A base64 run: byte i of the content stands in its digits 4i/3 and on. breaks: for each line end in the run the digits before it and its width."""
 
     def __init__(self, text: str, parent: Layer, start: int, digits: int, breaks: list[tuple[int, int]]) -> None:
-        self.text, self.parent, self.name = text, parent, f"{parent.name}/base64"
+        self.text, self.parent, self.names = text, parent, under(parent, "base64")
         self.start, self.digits = start, digits
         self.before = np.array([n for n, _ in breaks], np.int64)
         self.widths = np.cumsum([0, *(w for _, w in breaks)])
+        self.bytes_before: np.ndarray | None = None
 
     def place(self, digit: int) -> int:
         return int(self.start + digit + self.widths[np.searchsorted(self.before, digit, "right")])
 
+    def byte(self, at: int) -> int:
+        """Bytes before a code point."""
+        if self.text.isascii():
+            return at
+        if self.bytes_before is None:
+            code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            size = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+            size[(code >= 0xD800) & (code < 0xE000)] = 1  # a byte that is no UTF-8
+            self.bytes_before = np.r_[0, np.cumsum(size)]
+        return int(self.bytes_before[at])
+
     def above(self, a: int, b: int) -> tuple[int, int]:
-        size = lambda x: len(x.encode("utf-8", "surrogateescape"))
-        first = size(self.text[:a])
-        last = first + size(self.text[a:b]) - 1
+        first, last = self.byte(a), self.byte(b) - 1
         return self.place(first * 4 // 3), self.place(min(self.digits - 1, last * 4 // 3 + 1)) + 1
 
 
 class Escaped(Layer):
-    """The parent's text with each escape replaced; at: places of what was replaced, start and end: the escapes' spans in the parent."""
-
-    def __init__(self, text: str, parent: Layer, at: list[int], start: list[int], end: list[int], name: str) -> None:
-        self.text, self.parent, self.name = text, parent, f"{parent.name}/{name}"
-        self.at, self.start, self.end = (np.array(x, np.int64) for x in (at, start, end))
-
-    def place(self, x: int) -> tuple[int, int]:
-        k = int(np.searchsorted(self.at, x, "right")) - 1
-        if k >= 0 and self.at[k] == x:
-            return int(self.start[k]), int(self.end[k])
-        at = x if k < 0 else int(x - self.at[k] - 1 + self.end[k])
-        return at, at + 1
+    """Lines of another layer with each escape replaced. The parent is what that layer, if it is one of these, stands in, so that depth
+    costs nothing. at: places of what was replaced; start, end: their spans in the parent; base: the parent's place of the first
+    character, if that one wasn't replaced; depth: how many escapes stood in each other there, 0 for those of layers before."""
+
+    def __init__(self, text: str, parent: Layer, at: np.ndarray, start: np.ndarray, end: np.ndarray, depth: np.ndarray, base: int, names: tuple) -> None:
+        self.text, self.parent, self.at, self.start, self.end, self.depth, self.base, self.names = text, parent, at, start, end, depth, base, names
+
+    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans in the parent of single characters."""
+        k = np.searchsorted(self.at, x, "right") - 1
+        if not len(self.at):
+            return x + self.base, x + self.base + 1
+        known = np.maximum(k, 0)
+        exact = (k >= 0) & (self.at[known] == x)
+        plain = np.where(k < 0, x + self.base, x - self.at[known] - 1 + self.end[known])
+        return np.where(exact, self.start[known], plain), np.where(exact, self.end[known], plain + 1)
 
     def above(self, a: int, b: int) -> tuple[int, int]:
-        return self.place(a)[0], self.place(max(a, b - 1))[1]
+        start, end = self.places(np.array([a, max(a, b - 1)]))
+        return int(start[0]), int(end[1])
 
-    def made(self, a: int, b: int) -> bool:
+    def replaced(self, a: int, b: int) -> bool:
         k = int(np.searchsorted(self.at, a))
-        return k < len(self.at) and self.at[k] < b or self.parent.made(*self.above(a, b))
+        return k < len(self.at) and bool(self.at[k] < b)
 
+    def made(self, a: int, b: int) -> bool:
+        return self.parent.parent is not None or self.replaced(a, b)
+
+    def name_of(self, a: int, b: int) -> str:
+        i, j = np.searchsorted(self.at, (a, b))
+        more = int(self.depth[i:j].max(initial=1)) - 1
+        return named(under(self, self.names[-1][0], more)) if more > 0 else self.name
+
+    def touched(self, a: int, b: int) -> bool:
+        return self.replaced(a - 1, b + 1)
 
-def _escaped(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
-    """The whole layer with each escape replaced by what it stands for."""
-    parts, at, starts, ends, done, size = [], [], [], [], 0, 0
+
+def _escaped(layer: Layer, pattern: re.Pattern, decode, name: str) -> Iterator[Layer]:
+    """The lines of a layer in which escapes stand, each escape replaced by what it stands for."""
+    parts, fresh, done, size = [], [], 0, 0
     for m in pattern.finditer(layer.text):
-        chars = decode(m)
-        if chars is None:
-            continue
-        a, b = m.span()
-        parts.append(layer.text[done:a])
-        size += a - done
-        for c, x, y in chars:
+        for c, x, y, levels in decode(m) or ():
+            parts.append(layer.text[done : m.start() + x])
             parts.append(c)
-            at.append(size)
-            starts.append(a + x)
-            ends.append(a + y)
+            size += len(parts[-2])
+            fresh.append((size, m.start() + x, m.start() + y, levels))
             size += 1
-        done = b
+            done = m.start() + y
     if not parts:
-        return None
+        return
     parts.append(layer.text[done:])
-    return Escaped("".join(parts), layer, at, starts, ends, name)
-
-
-def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
-    """Code points of a run of %XX, each with its place in the run."""
+    text = "".join(parts)
+    at, first, last, depth = np.array(fresh, np.int64).T
+    new = at
+    if isinstance(layer, Escaped):
+        start, end = layer.places(first)[0], layer.places(last - 1)[1]
+        k = np.searchsorted(first, layer.at, "right") - 1  # characters replaced before that still stand
+        known = np.maximum(k, 0)
+        kept = (k < 0) | (layer.at >= last[known])
+        moved = np.where(k < 0, layer.at, layer.at - last[known] + at[known] + 1)
+        order = np.argsort(at := np.r_[at, moved[kept]], kind="stable")
+        at, start, end = at[order], np.r_[start, layer.start[kept]][order], np.r_[end, layer.end[kept]][order]
+        whole = Escaped(text, layer.parent, at, start, end, np.r_[depth, np.zeros(kept.sum(), np.int64)][order], layer.base, ())
+    else:
+        whole = Escaped(text, layer, at, first, last, depth, 0, ())
+    names, stop = under(layer, name), 0
+    for x in new.tolist():
+        if x < stop:
+            continue
+        begin = text.rfind("\n", 0, x) + 1
+        while begin and WRAPPED.search(text, max(0, begin - LINE - 5), begin):  # base64 may go over line ends
+            begin = text.rfind("\n", 0, begin - 1) + 1
+        begin, stop = max(begin, stop), text.find("\n", x) + 1 or len(text)
+        while stop < len(text) and WRAPPED.search(text, max(0, stop - LINE - 5), stop):
+            stop = text.find("\n", stop) + 1 or len(text)
+        a, b = np.searchsorted(whole.at, (begin, stop))
+        base = int(whole.places(np.array([begin]))[0][0])
+        yield Escaped(text[begin:stop], whole.parent, whole.at[a:b] - begin, whole.start[a:b], whole.end[a:b], whole.depth[a:b], base, names)
+
+
+def _percent(m: re.Match) -> list[tuple[str, int, int, int]]:
+    """Code points of a run of %XX, each with its place in the run and the escapes that stood in each other there."""
+    units = list(URL_UNIT.finditer(m[0]))
     try:
-        text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+        text = bytes(int(u[1], 16) for u in units).decode("utf-8")
+    except UnicodeDecodeError:  # bytes of a stream, perhaps: they stay escaped once
+        return [("%", u.start(), u.end() - 2, (len(u[0]) - 3) // 2) for u in units if len(u[0]) > 3]
     out, at = [], 0
     for c in text:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
+        n = len(c.encode())
+        own = units[at : at + n]
+        out.append((c, own[0].start(), own[-1].end(), max(len(u[0]) for u in own) // 2))
         at += n
     return out
 
 
-def _character(m: re.Match) -> list[tuple[str, int, int]] | None:
-    code = int(m[6]) if m[6] else int(next(x for x in m.groups()[:5] if x), 16)
+def _character(m: re.Match) -> list[tuple[str, int, int, int]] | None:
+    code = int(m[8]) if m[8] else int(next(x for x in (*m.groups()[1:5], m[7]) if x), 16)
     if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
         return None
-    return [(chr(code), 0, m.end() - m.start())]
+    levels = 1 + (m[6].count(";") if m[1] is None else m[1].lower().count("c"))
+    return [(chr(code), 0, m.end() - m.start(), levels)]
 
 
 def _unbase64(run: str) -> bytes | None:
@@ -327,8 +474,25 @@ def _unbase64(run: str) -> bytes | None:
 
 def _pieces(data: bytes, layer: Layer, run: tuple[int, int]) -> Iterator[Layer] | None:
     """Layers of a compressed run, which is one piece; None if it isn't compressed."""
-    depth, chunks = opened(data)
-    return (Piece(text, layer, run, layer.name + depth * "/compressed") for text in windows(chunks)) if depth else None
+    depth, chunks = opened([data])
+    return _content(chunks, Piece("", layer, run, under(layer, "compressed", depth))) if depth else None
+
+
+def _content(chunks: Iterable[bytes], whole: Piece) -> Iterator[Layer]:
+    """The windows of a stream's content; a run that fills one is a stream of its own."""
+    for part in windows(chunks):
+        if isinstance(part, str):
+            yield Piece(part, whole.parent, whole.run, whole.names)
+            continue
+        inner = Piece("", whole.parent, whole.run, under(whole, "base64"))
+        depth, content = opened(part)
+        content = iter(content)
+        head = next(content, b"")
+        if depth or readable(head[:HEAD]) is not None:
+            yield from _content(chain([head], content), Piece("", whole.parent, whole.run, under(inner, "compressed", depth)))
+        for _ in part:
+            pass
+        yield Piece("", whole.parent, whole.run, whole.names, part.kinds)
 
 
 def base64_runs(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -358,16 +522,20 @@ def base64_runs(text: str) -> Iterator[list[tuple[int, int]]]:
 def unwrap(layer: Layer) -> Iterator[Layer | Iterator[Layer]]:
     """The layers directly under a layer; those of a compressed run come as an iterator."""
     text = layer.text
-    if "%" in text and (new := _escaped(layer, URL_ESCAPE, _percent, "url")):
-        yield new
-    if ("\\" in text or "&#" in text) and (new := _escaped(layer, CHAR_ESCAPE, _character, "unicode")):
-        yield new
+    if "%" in text:
+        yield from _escaped(layer, URL_ESCAPE, _percent, "url")
+    if "\\" in text or "&#" in text:
+        yield from _escaped(layer, CHAR_ESCAPE, _character, "unicode")
     if "%" in text:
         for m in URL_STREAM.finditer(text):
+            if not layer.touched(*m.span()):
+                continue
             for run in dict.fromkeys((m[0].replace("+", " "), m[0])):
                 if pieces := _pieces(unquote_to_bytes(run), layer, m.span()):
                     yield pieces
     for lines in base64_runs(text):
+        if not layer.touched(lines[0][0], lines[-1][1]):
+            continue
         data = _unbase64("".join(text[a:b] for a, b in lines))
         if data is None:
             continue
@@ -388,9 +556,11 @@ def finds(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, s
     work, seen, more = [first], {first.key()}, set()
 
     def take(new: Layer) -> None:
+        if isinstance(new, Piece) and new.kinds:
+            more.update((*new.span(0, 0), KINDS[k] + new.name) for k in new.kinds)
         if (key := new.key()) not in seen:
             seen.add(key)
-            more.update((*new.span(a, b), KINDS[k] + new.name) for a, b, k in scan(new.text) if new.made(a, b))
+            more.update((*new.span(a, b), KINDS[k] + new.name_of(a, b)) for a, b, k in scan(new.text) if new.made(a, b))
             work.append(new)
 
     while work:
