@@ -163,6 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
     sample = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train)  # at most max_train ids: a bounded broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    # repeated ids or labels don't widen the sample: max_train rows go to the one task, whatever ids they have
+    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "label").limit(max_train)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(i, label, t) for b in batches for i, t, label in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("label").to_pylist(), strict=True)]

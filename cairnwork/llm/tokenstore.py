@@ -60,6 +60,7 @@ def dictionary_of(samples: list[bytes]) -> bytes:
 def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str, code: str, sample: int = SAMPLE, end_id: int = END_ID) -> bytes:
     ids = docs.select(F.col(id_col).alias("doc_id")).where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # at most SAMPLE ids
+    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)  # and as many rows, where ids repeat
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = sorted(x for b in batches for x in _ids(b.column("text").to_pylist(), path, end_id, code))

@@ -39,6 +39,8 @@ TOLERANCE = 1e-13
 #: Where rounding stops residuals from falling, this much is accepted.
 ROUNDED = 1e-12
 DEGREES = (4, 24)
+#: Matrices that one pass sends to the driver at most.
+MOST_PARTS = 256
 
 
 @dataclass(frozen=True)
@@ -87,23 +89,39 @@ def moments(fit: DataFrame, dims: int) -> tuple[int, list[int], int]:
     return total.get(dims + 1, 0), [total.get(k, 0) for k in range(dims)], total.get(dims, 0)
 
 
+def summed(fit: DataFrame, dims: int, shape: tuple[int, int], add: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of add(block of vectors), a matrix of this shape, over the fit list: one matrix a task, at most MOST_PARTS of them for the driver."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for x in vb.unpack(batch, dims):
+                total += add(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["s"])
+
+    def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape[0] * shape[1])
+        for batch in batches:
+            for part in batch.column("s"):
+                total += part.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+    parts = fit.mapInArrow(run, "s array<double>")
+    if fit.rdd.getNumPartitions() > MOST_PARTS:
+        parts = parts.repartition(MOST_PARTS // 4).mapInArrow(again, "s array<double>")
+    found = parts.toArrow().column("s")
+    return np.sum([x.values.to_numpy() for x in found], axis=0).reshape(shape) if len(found) else np.zeros(shape)
+
+
 def covariance_times(fit: DataFrame, mean: np.ndarray, n: int) -> Callable[[np.ndarray], np.ndarray]:
     """Q -> V Q, a pass over the fit list; what comes back has dims x columns entries."""
-    dims = len(mean)
 
     def product(q: np.ndarray) -> np.ndarray:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(q.shape)
-            for batch in batches:
-                for x in vb.unpack(batch, dims):
-                    centred = x - mean
-                    total += centred.T @ (centred @ q)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["at", "s"])
-
-        out = np.zeros(q.size)
-        for r in fit.mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
-            out[r["at"]] = r["s"]
-        return out.reshape(q.shape) / n
+        def add(x: np.ndarray) -> np.ndarray:
+            centred = x - mean
+            return centred.T @ (centred @ q)
+
+        return summed(fit, len(mean), q.shape, add) / n
 
     return product
 
@@ -177,19 +195,11 @@ def identity_error(distinct: DataFrame, w: Whitening) -> float:
     mean, projection = w.mean, w.projection
     dims, k = projection.shape
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k + 1, k))
-        for batch in batches:
-            for x in vb.unpack(batch, dims):
-                white = (x - mean) @ projection
-                total[:k] += white.T @ white
-                total[k] += white.sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["at", "s"])
-
-    total = np.zeros((k + 1) * k)
-    for r in distinct.mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
-        total[r["at"]] = r["s"]
-    total = total.reshape(k + 1, k) / w.n
+    def add(x: np.ndarray) -> np.ndarray:
+        white = (x - mean) @ projection
+        return np.r_[white.T @ white, [white.sum(0)]]
+
+    total = summed(distinct, dims, (k + 1, k), add) / w.n
     return float(np.abs(total[:k] - np.outer(total[k], total[k]) - np.eye(k)).max())
 
 

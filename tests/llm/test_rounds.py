@@ -264,3 +264,23 @@ def test_incremental_dots_equal_products_from_scratch():
     x, a, b = rng.integers(-500, 500, (50, 8)), rng.integers(-500, 500, (4, 8)), rng.integers(-500, 500, (4, 8))
     b[1], b[2, 3:] = a[1], a[2, 3:]
     assert (centroids.changed_dots(x, x @ a.T, b - a) == x @ b.T).all()
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """Many rows of one id don't all go to the task that trains."""
+    from cairnwork.llm import quality, tokenstore
+
+    rows = [(7, f"text number {k} of one id", k) for k in range(300)] + [(k, f"other {k}", 0) for k in range(8, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    seen = []
+
+    labels = spark.createDataFrame([(k, k % 2) for k in range(7, 20)] + [(7, 1)] * 5, "doc_id long, quality int")
+    for make in (lambda: quality.train(docs, labels, max_train=25), lambda: tokenstore.train_dictionary(docs, "/opt/tokenizers/byte_bpe_50k.json", "doc_id", "text", "H", sample=25)):
+        frame = type(docs)
+        real = frame.repartition
+        frame.repartition = lambda self, *a, real=real: seen.append(self.count()) or real(self, *a)
+        try:
+            make()
+        finally:
+            frame.repartition = real
+    assert seen == [25, 25]
