@@ -6,12 +6,10 @@ A frame of rows has key, label (0..K-1) and v (array of doubles). Predictions ar
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from functools import reduce
-from itertools import combinations, product
+from itertools import product
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +17,9 @@ from pyspark.sql import functions as F
 
 from cairnwork.functions import arrays as A
 from cairnwork.functions.hashing import hashed_rank, order_key
-from cairnwork.operators import metrics, rebalance, scaling, splits
+from cairnwork.functions.batches import matrix
+from cairnwork.operators import machines, metrics, rebalance, scaling, splits
+from cairnwork.sources.shipping import ship
 
 
 def vectors(df: DataFrame, weights: bool = False) -> DataFrame:
@@ -69,65 +69,66 @@ class BoostedTrees:
 
 
 class KernelSVM:
-    """Radial kernel by random Fourier features (Rahimi and Recht, 2007), linear machines per pair of classes, votes.
+    """Radial kernel by random Fourier features, linear machines per pair of classes, votes.
 
-    gamma 'scale' is 1 / (features * variance); SMOTE and scaling see train rows alone. Probabilities come from a
-    logistic regression on the margins.
+    gamma 'scale' is 1 / (features * variance); SMOTE and scaling see train rows alone. All machines are fitted in the same
+    passes (operators.machines). Probabilities come from a logistic regression on the margins.
     """
 
     def __init__(self, train: DataFrame, key: str, c: float = 10.0, features: int = 64, smote: bool = True, iterations: int = 30, seed: int = 42, gamma: float | str = "scale") -> None:
-        import numpy as np
-
         self.scaler = scaling.fit_scaler(train)
         rows = scaling.standardize(train, self.scaler)
         if smote:
             made = rebalance.smote(rows, key, "v", "label", seed=seed)
             rows = rows.select("label", "v").unionByName(made.select("label", F.col("synthetic").alias("v")))
         dims = train.select(F.size("v")).first()[0]
-        self.gamma = gamma = 1.0 / dims if gamma == "scale" else float(gamma)  # scaled features have variance 1
-        rng = np.random.default_rng(seed)
-        self.w = rng.normal(0, (2 * gamma) ** 0.5, (features, dims)).tolist()
-        self.b = rng.uniform(0, 2 * 3.141592653589793, features).tolist()
-        mapped = vectors(self._map(rows)).cache()
-        n = mapped.count()
-        self.classes = [r[0] for r in mapped.select("label").distinct().orderBy("label").collect()]
-        self.pairs = list(combinations(range(len(self.classes)), 2))
-        svm = LinearSVC(regParam=1 / (c * max(n, 1)), maxIter=iterations, labelCol="hit")
-        self.machines = []
-        for i, j in self.pairs:
-            pair = mapped.where(F.col("label").isin(self.classes[i], self.classes[j])).withColumn("hit", (F.col("label") == self.classes[i]).cast("double"))
-            machine = svm.fit(pair)
-            self.machines.append((float(machine.intercept), machine.coefficients.toArray().tolist()))
-        self.calibration = LogisticRegression(featuresCol="margins", maxIter=iterations, regParam=1e-3).fit(self._margins(mapped))
-        mapped.unpersist()
+        self.gamma = kernel_width(gamma, dims)
+        rows = rows.select(F.lit(0).alias("group"), F.col("label").cast("int").alias("label"), "v").persist()
+        classes = [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]  # the class domain
+        self._take(machines.fit(rows, [machines.Setting(0, c, self.gamma)], dims, classes, features, iterations, seed))
+        self.calibration = LogisticRegression(featuresCol="margins", maxIter=iterations, regParam=1e-3).fit(self._margins(rows))
+        rows.unpersist()
+
+    def _take(self, fitted: machines.Machines) -> None:
+        self.fitted, self.classes, self.pairs = fitted, fitted.classes, fitted.pairs
 
     def parts(self) -> tuple[dict, dict]:
-        return {"calibration": self.calibration}, {k: getattr(self, k) for k in ("scaler", "gamma", "w", "b", "classes", "machines")}
+        f = self.fitted
+        return {"calibration": self.calibration}, {"scaler": self.scaler, "gamma": self.gamma, "c": f.settings[0].c, "classes": self.classes, "frequencies": f.frequencies.tolist(), "phases": f.phases.tolist(), "weights": f.weights.tolist()}
 
     def restore(self, parts: dict, values: dict) -> None:
-        for k, value in values.items():
-            setattr(self, k, value)
-        self.pairs, self.calibration = list(combinations(range(len(self.classes)), 2)), parts["calibration"]
+        import numpy as np
+
+        self.scaler, self.gamma, self.calibration = values["scaler"], values["gamma"], parts["calibration"]
+        self._take(machines.Machines(np.array(values["frequencies"]), np.array(values["phases"]), values["classes"], [machines.Setting(0, values["c"], self.gamma)], np.array(values["weights"])))
+
+    def _margins(self, scaled: DataFrame) -> DataFrame:
+        """scaled with margins (vector) and votes (array), label as a double."""
+        fitted, names = self.fitted, scaled.columns
 
-    def _map(self, df: DataFrame) -> DataFrame:
-        scale = (2 / len(self.w)) ** 0.5
-        w = F.array(*[F.array(*map(F.lit, row)) for row in self.w])
-        product_ = F.zip_with(w, F.array(*map(F.lit, self.b)), lambda row, b: F.cos(A.dot(row, F.col("v")) + b) * scale)
-        return df.withColumn("v", product_)
+        def run(batches):
+            import pyarrow as pa
 
-    def _margins(self, mapped: DataFrame) -> DataFrame:
-        values = [F.lit(intercept) + A.dot(vector_to_array("features"), F.array(*map(F.lit, weights))) for intercept, weights in self.machines]
-        return mapped.withColumn("margins", array_to_vector(F.array(*values)))
+            for batch in batches:
+                v = matrix(batch.column("v"))
+                if len(v):
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(fitted.margins(v, 0))), pa.array(list(fitted.votes(v, 0)))], names=[*names, "margins", "votes"])
+
+        ship(scaled.sparkSession)
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scaled.schema)
+        return scaled.mapInArrow(run, f"{kinds}, margins array<double>, votes array<double>").withColumn("margins", array_to_vector("margins")).withColumn("label", F.col("label").cast("double"))
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
-        rows = self._margins(vectors(self._map(scaling.standardize(df, self.scaler))))
-        m = vector_to_array("margins")
-        votes = [reduce(lambda a, b: a + b, [F.when((F.get(m, F.lit(k)) >= 0) == F.lit(i == c), 1.0).otherwise(0.0) for k, (i, j) in enumerate(self.pairs) if c in (i, j)]) for c in range(len(self.classes))]
-        out = self.calibration.setProbabilityCol("platt").setPredictionCol("p").setRawPredictionCol("r").transform(rows).withColumn("votes", F.array(*votes))
+        rows = self._margins(scaling.standardize(df.select(key, "label", "v"), self.scaler))
+        out = self.calibration.setProbabilityCol("platt").setPredictionCol("p").setRawPredictionCol("r").transform(rows)
         pick = F.get(F.array(*map(F.lit, self.classes)), A.argmax(F.col("votes")))
         return out.select(key, F.col("label").cast("int").alias("truth"), vector_to_array("platt").alias("proba"), pick.cast("int").alias("pred"))
 
 
+def kernel_width(gamma: float | str, dims: int) -> float:
+    return 1.0 / dims if gamma == "scale" else float(gamma)  # scaled features have variance 1
+
+
 def mlp(train: DataFrame, hidden: tuple[int, ...] = (64, 64), iterations: int = 100, seed: int = 42):
     dims = train.select(F.size("v")).first()[0]
     classes = int(train.agg(F.max("label")).first()[0]) + 1
@@ -175,21 +176,45 @@ def project_2d(df: DataFrame, key: str) -> DataFrame:
     return PCA(k=2, inputCol="features", outputCol="pc").fit(rows).transform(rows).select(key, F.col("label").cast("int").alias("label"), flat[0].alias("x"), flat[1].alias("y"))
 
 
-def grid_search_cv(df: DataFrame, key: str, grid: dict[str, list], fit: Callable, folds: int = 3, seed: int = 42) -> DataFrame:
-    """place, parameters as columns, fold, macro_f1: fit(train, **parameters) gives predict(test); resampling is fit's, on train alone."""
-    spark = df.sparkSession
-    dealt = splits.stratified_kfold(df, "label", key, folds, seed).cache()
-    names = list(grid)
-    kinds = {n: "string" if any(isinstance(v, str) for v in values) else "double" for n, values in grid.items()}
-    typed = lambda values: [str(v) if kinds[n] == "string" else v for n, v in zip(names, values, strict=True)]
-    out = []
-    for place, values in enumerate(product(*grid.values())):
-        for fold in range(folds):
-            predict = fit(dealt.where(F.col("fold") != fold), **dict(zip(names, values, strict=True)))
-            f1 = metrics.accuracy_f1(predict(dealt.where(F.col("fold") == fold))).first()["macro_f1"]
-            out.append((place, *(v if isinstance(v, str) else float(v) for v in typed(values)), fold, float(f1)))
-    dealt.unpersist()
-    return spark.createDataFrame(out, f"place int, {', '.join(f'{n} {kinds[n]}' for n in names)}, fold int, macro_f1 double")
+def scored_grid(df: DataFrame, names: list[str], grid: list[tuple]) -> DataFrame:
+    """place, parameters as columns, fold, macro_f1 of predictions (place, fold, truth, pred); grid: the parameters of each place."""
+    kinds = ["string" if any(isinstance(row[k], str) for row in grid) else "double" for k in range(len(names))]
+    typed = [(place, *(str(v) if kind == "string" else float(v) for v, kind in zip(row, kinds, strict=True))) for place, row in enumerate(grid)]
+    places = df.sparkSession.createDataFrame(typed, f"place int, {', '.join(f'`{n}` {k}' for n, k in zip(names, kinds, strict=True))}")
+    f1 = metrics.accuracy_f1(df, ["place", "fold"]).select("place", F.col("fold").cast("int").alias("fold"), "macro_f1")
+    return places.join(f1, "place").select("place", *names, "fold", "macro_f1")
+
+
+def grid_search_cv(df: DataFrame, key: str, grid: dict[str, list], folds: int = 3, seed: int = 42, features: int = 64, iterations: int = 30) -> DataFrame:
+    """place, c, gamma, fold, macro_f1 of kernel machines over a grid of C and gamma: all folds and parameters are fitted in the same passes.
+
+    Scaling and SMOTE see a fold's train rows alone. What grows with folds x parameters is the weights, which the driver
+    holds, not the number of Spark jobs.
+    """
+    dealt = splits.stratified_kfold(df.select(key, "label", "v"), "label", key, folds, seed).persist()
+    dims = dealt.select(F.size("v")).first()[0]
+    group = F.explode(F.array(*[F.lit(g) for g in range(folds)]))  # a copy for each fold: group g is trained on the others
+    copies = dealt.select("*", group.alias("group"))
+    train = copies.where(F.col("fold") != F.col("group"))
+    stats = train.select("group", F.posexplode("v").alias("k", "x")).groupBy("group", "k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    scaler = stats.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("k", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s")))).alias("scaler"))
+
+    def scaled(rows: DataFrame) -> DataFrame:  # a row a fold
+        return rows.join(F.broadcast(scaler), "group").withColumn("v", F.zip_with("v", "scaler", lambda x, s: (x - s["m"]) / s["s"])).drop("scaler")
+
+    own = scaled(train).withColumn("class", F.concat_ws("|", "group", "label")).persist()
+    made = rebalance.smote(own, key, "v", "class", seed=seed, within="group")
+    part = F.split("class", r"\|")
+    rows = own.select("group", F.col("label").cast("int").alias("label"), "v").unionByName(made.select(part[0].cast("int").alias("group"), part[1].cast("int").alias("label"), F.col("synthetic").alias("v"))).persist()
+    classes = [r[0] for r in dealt.select(F.col("label").cast("int")).distinct().orderBy("label").collect()]  # the class domain
+    names, places = list(grid), list(product(*grid.values()))
+    settings = [(place, g, machines.Setting(g, float(values["c"]), kernel_width(values["gamma"], dims))) for place, values in enumerate(dict(zip(names, p, strict=True)) for p in places) for g in range(folds)]
+    fitted = machines.fit(rows, [s for _, _, s in settings], dims, classes, features, iterations, seed)
+    rows.unpersist()
+    test = scaled(copies.where(F.col("fold") == F.col("group"))).select(key, "group", F.col("label").cast("int").alias("label"), "v")
+    which = df.sparkSession.createDataFrame([(k, place, g) for k, (place, g, _) in enumerate(settings)], "setting int, place int, fold int")
+    predictions = machines.predict(test, key, fitted).join(F.broadcast(which), "setting")  # a row a setting
+    return scored_grid(predictions, names, places)
 
 
 def best_parameters(scores: DataFrame, names: list[str]) -> DataFrame:

@@ -106,13 +106,15 @@ def nearest(df: DataFrame, key: str, features: str, label: str, k: int = 3) -> D
     return ranked.where(F.col("r") <= k)
 
 
-def smote(df: DataFrame, key: str, features: str, label: str, k: int = 3, seed: int = 42, target: int | None = None) -> DataFrame:
+def smote(df: DataFrame, key: str, features: str, label: str, k: int = 3, seed: int = 42, target: int | None = None, within: str | None = None) -> DataFrame:
     """label, i, base, neighbour, u, synthetic: rows of minority classes up to the greatest class (or target).
 
     base rows take turns; neighbour and u come from hashes. A class of one row has no neighbour and stays as it is.
+    within: a column that the label determines (a fold); the greatest class is the one of the same value.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    most = F.max("n").over(W.partitionBy()) if target is None else F.lit(target)
+    groups = [within] if within else []
+    counts = df.groupBy(label, *groups).agg(F.count("*").alias("n"))
+    most = F.max("n").over(W.partitionBy(*groups)) if target is None else F.lit(target)
     needs = counts.withColumn("need", most - F.col("n")).where("need > 0 AND n > 1").select(label, "n", "need")
     small = df.join(F.broadcast(needs.select(label)), label, "left_semi")
     slots = _slots(needs, label)
@@ -121,10 +123,10 @@ def smote(df: DataFrame, key: str, features: str, label: str, k: int = 3, seed:
     ranked = _ranked(small, label, key).withColumnRenamed(key, "base")
     near = nearest(small, key, features, label, k).withColumnRenamed(key, "base")
     planned = slots.join(ranked, [label, "rank"]).join(near, [label, "base", "r"])
-    rows = df.select(F.col(key).alias("base"), F.col(features).alias("x"))
-    others = df.select(F.col(key).alias("neighbour"), F.col(features).alias("y"))
+    rows = df.select(label, F.col(key).alias("base"), F.col(features).alias("x"))
+    others = df.select(label, F.col(key).alias("neighbour"), F.col(features).alias("y"))
     made = F.zip_with("x", "y", lambda a, b: a + F.col("u") * (b - a))
-    return planned.join(rows, "base").join(others, "neighbour").select(label, "i", "base", "neighbour", "u", made.alias("synthetic"))
+    return planned.join(rows, [label, "base"]).join(others, [label, "neighbour"]).select(label, "i", "base", "neighbour", "u", made.alias("synthetic"))
 
 
 def class_weights(df: DataFrame, label: str, classes: list | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from cairnwork.functions import arrays as A
 from cairnwork.functions.hashing import hashed_rank, order_key
 from cairnwork.operators import fusion, losses, metrics, mixtures, models, scaling
 from cairnwork.plans import evaluation as ev
-from cairnwork.plans.base import HOLDOUT, features, holdout, query, table
+from cairnwork.plans.base import HOLDOUT, LONG, features, holdout, query, table
 from cairnwork.plans.evaluation import CLASSES
 from cairnwork.plans.scans import scratch
 
@@ -232,18 +232,42 @@ def boosted_trees(spark, d):
 @query("kernel_svm")
 def kernel_svm(spark, d):
     train, test = split(spark, d)
-    return predictions(models.KernelSVM(train, "vec_id", features=32, iterations=4).predict(test, "vec_id"))
+    return predictions(models.KernelSVM(train, "vec_id").predict(test, "vec_id"))
 
 
 @query("grid_search_cv")
 def grid_search_cv(spark, d):
     """The smaller of the surveyed grids: C and gamma of the kernel machine, over all features."""
+    scores = models.grid_search_cv(features(spark, d), "vec_id", {"c": [1, 10, 100], "gamma": ["scale", 0.01]}, folds=3)
+    return models.best_parameters(scores, ["c", "gamma"])
 
-    def fit(train, c, gamma):
-        return lambda test, model=models.KernelSVM(train, "vec_id", c=c, gamma=gamma): model.predict(test, "vec_id")
 
-    scores = models.grid_search_cv(features(spark, d), "vec_id", {"c": [1, 10, 100], "gamma": ["scale", 0.01]}, fit, folds=3)
-    return models.best_parameters(scores, ["c", "gamma"])
+#: Features that the centroid models of the grid see, from the first on.
+WIDTHS = (4, 8, 16, 32, 64)
+
+
+@query("grid_selection", f"""WITH {LONG}, {CLASSES}, ids AS (SELECT vec_id, label FROM embeddings),
+dealt AS (SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id)) - 1) % 3 AS fold FROM ids),
+g AS (SELECT unnest(range(3)) AS fold), w(place, width) AS (VALUES {', '.join(f'({i}, {w})' for i, w in enumerate(WIDTHS))}),
+centres AS (SELECT g.fold, l.label AS class, k, avg(x) AS m FROM g JOIN dealt s ON s.fold <> g.fold JOIN long l USING (vec_id) GROUP BY ALL),
+dist AS (SELECT place, s.fold, l.vec_id, l.label AS truth, class, sum((x - m) * (x - m)) AS d2 FROM dealt s JOIN long l USING (vec_id) JOIN centres c ON c.fold = s.fold AND c.k = l.k JOIN w ON l.k < width GROUP BY ALL),
+preds AS (SELECT place, fold, truth, class AS pred FROM dist QUALIFY row_number() OVER (PARTITION BY place, fold, vec_id ORDER BY d2, class) = 1),
+c AS (SELECT place, fold, dom.class, count(*) FILTER (truth = dom.class AND pred = dom.class) AS tp, count(*) FILTER (truth = dom.class) AS t, count(*) FILTER (pred = dom.class) AS p FROM preds, dom GROUP BY ALL),
+f AS (SELECT place, fold, avg(2 * tp / (t + p)) AS f1 FROM c WHERE t + p > 0 GROUP BY ALL)
+SELECT place, width::DOUBLE AS width, round(avg(f1), 6) AS macro_f1 FROM f JOIN w USING (place) GROUP BY ALL ORDER BY macro_f1 DESC, place LIMIT 1""")
+def grid_selection(spark, d):
+    """The same folds, scores and choice of parameters for models that SQL can say: centroids of the first features."""
+    from cairnwork.operators import splits
+
+    dealt = splits.stratified_kfold(features(spark, d), "label", "vec_id", 3)
+    out = None
+    for fold in range(3):
+        train, test = dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold)
+        for place, width in enumerate(WIDTHS):
+            found = fusion.predicted(ev.scored(test, train, 0, width)).select(F.lit(place).alias("place"), F.lit(fold).alias("fold"), F.col("label").alias("truth"), "pred")
+            out = found if out is None else out.unionByName(found)
+    best = models.best_parameters(models.scored_grid(out, ["width"], [(w,) for w in WIDTHS]), ["width"])
+    return best.withColumn("macro_f1", F.round("macro_f1", 6))
 
 
 @query("feature_importance")
