@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.functions.ranks import before
 from cairnwork.functions.distributions import normal_cdf, normal_quantile, number, polynomial
+from cairnwork.sources.shipping import ship
 
 # MacKinnon's (1994) response surface and (2010) critical values of the unit root test with a constant.
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
@@ -40,50 +38,117 @@ def adf_lag0(samples: DataFrame) -> DataFrame:
 
 
 ADF_SCHEMA = "series_id long, adf double, p double, lags int, n_obs long, stationary boolean, error string"
+#: Steps of a series that one chunk covers.
+CHUNK_STEPS = 1 << 16
+
+
+def most_lags(n: Column) -> Column:
+    """The greatest number of lagged steps that a series of n values is tried with; negative if it is too short."""
+    return F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2).cast("int")
 
 
-def adf_aic(samples: DataFrame) -> DataFrame:
-    """The test with the number of lagged steps that has the least AIC, per series; failures become a row with error.
+def lag_chunks(samples: DataFrame, steps: int = CHUNK_STEPS) -> DataFrame:
+    """series_id, chunk, n, most, first, x: values of `steps` steps and those before that their lags reach, less the series' mean.
 
-    A series goes to one task; stride_downsample bounds its length first.
+    Samples are numbered from 0 without gaps. A value goes to its own chunk and to those after it that reach back to it, so that no
+    series has to fit a task.
     """
-    p_of = tau_p_value
+    facts = samples.groupBy("series_id").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.max("x") == F.min("x")).alias("flat"))
+    facts = facts.withColumn("most", most_lags(F.col("n"))).where("most >= 0 AND NOT flat").drop("flat")
+    own = F.floor(F.greatest(F.col("t") - 1, F.lit(0)) / steps)  # step t leads to value t
+    last = F.least(F.floor((F.col("t") + F.col("most")) / steps), F.floor((F.col("n") - 2) / steps))
+    placed = samples.join(facts, "series_id").select("series_id", "n", "most", "t", (F.col("x") - F.col("mean")).alias("x"), F.explode(F.sequence(own, F.greatest(own, last))).alias("chunk"))
+    gathered = placed.groupBy("series_id", "chunk").agg(F.max("n").alias("n"), F.max("most").alias("most"), F.array_sort(F.collect_list(F.struct("t", "x"))).alias("s"))
+    return gathered.select("series_id", "chunk", "n", "most", F.col("s")[0]["t"].alias("first"), F.transform("s", lambda v: v["x"]).alias("x"))
+
+
+def design(x, first: int, start: int, end: int, most: int):
+    """Rows y, x[t - 1], 1 and the lagged steps 1..most of the steps start..end - 1 (step k leads from value k to k + 1); x begins at value `first`."""
+    import numpy as np
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    d = np.diff(x)
+    at = np.arange(start, end) - first
+    return np.column_stack([d[at], x[at], np.ones(len(at)), *[np.where(at - k >= 0, d[at - k], 0.0) for k in range(1, most + 1)]])
+
+
+def cross_products(chunks: DataFrame, steps: int = CHUNK_STEPS) -> DataFrame:
+    """series_id, n, most, gram (flat), head: sums over all steps from `most` on, and the values before them."""
+
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
+
+        names = ["series_id", "n", "most", "gram", "head"]
+        for batch in batches:
+            keys, chunk, n, most, first = (batch.column(c).to_pylist() for c in ("series_id", "chunk", "n", "most", "first"))
+            grams, heads = [], []
+            for k, x in enumerate(batch.column("x")):
+                x = x.values.to_numpy()
+                z = design(x, first[k], max(most[k], chunk[k] * steps), min(n[k] - 1, (chunk[k] + 1) * steps), most[k])
+                grams.append((z.T @ z).ravel())
+                heads.append(x[: 2 * most[k] + 2] if chunk[k] * steps <= most[k] else None)
+            yield pa.RecordBatch.from_arrays([batch.column("series_id"), pa.array(n, pa.int64()), pa.array(most, pa.int32()), pa.array(grams, pa.list_(pa.float64())), pa.array(heads, pa.list_(pa.float64()))], names=names)
+
+    ship(chunks.sparkSession)
+    found = chunks.mapInArrow(run, "series_id long, n long, most int, gram array<double>, head array<double>")
+    sums = found.select("series_id", F.posexplode("gram").alias("at", "g")).groupBy("series_id", "at").agg(F.sum("g").alias("g"))
+    whole = sums.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "g"))), lambda s: s["g"]).alias("gram"))  # (lags + 3) squared
+    heads = found.where("head IS NOT NULL").groupBy("series_id").agg(F.max("n").alias("n"), F.max("most").alias("most"), F.max_by("head", F.size("head")).alias("head"))
+    return whole.join(heads, "series_id").select("series_id", "n", "most", "gram", "head")
+
+
+def choose_lags(gram, head, n: int, most: int):
+    """(statistic, lags, steps used) from the cross products of steps from `most` on and the values before them."""
+    import numpy as np
+
+    count = n - 1 - most
+    # nested regressions: row k of the triangular factor belongs to the k-th regressor, the last row to what is left of y
+    order = [*range(1, most + 3), 0]
+    lower = np.linalg.cholesky(gram[np.ix_(order, order)] + np.diag([0.0] * (most + 2) + [1e-300]))
+    explained = np.cumsum(lower[-1, :-1] ** 2)
+    sse = np.maximum(gram[0, 0] - explained[1:], 1e-300)  # with 0, 1, ... lags
+    aic = count * np.log(sse / count) + 2 * (np.arange(most + 1) + 2)
+    lags = int(aic.argmin())
+    kept = [0, 1, 2, *range(3, 3 + lags)]
+    whole = gram[np.ix_(kept, kept)]
+    if lags < most:  # the steps that fewer lags leave usable
+        more = design(head, 0, lags, most, lags)
+        whole = whole + more.T @ more
+    inverse = np.linalg.inv(whole[1:, 1:])
+    beta = inverse @ whole[1:, 0]
+    used = n - 1 - lags
+    left = whole[0, 0] - beta @ whole[1:, 0]
+    return float(beta[0] / np.sqrt(inverse[0, 0] * left / (used - lags - 2))), lags, used
+
+
+def adf_aic(samples: DataFrame, steps: int = CHUNK_STEPS) -> DataFrame:
+    """The unit root test with a constant and the number of lagged steps that has the least AIC, per series.
+
+    Chunks of a series give cross products, Spark sums them, and one small matrix a series gives all nested regressions.
+    Series that are constant, too short or collinear become a row with error.
+    """
 
-        key = rows["series_id"].iloc[0]
-        try:
-            x = rows.sort_values("t")["x"].to_numpy(float)
-            n = len(x)
-            most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
-            if most < 0 or np.ptp(x) == 0:
-                raise ValueError("the series is constant or too short")
-            d = np.diff(x)
-
-            def regress(lags: int, start: int):
-                y = d[start:]
-                design = np.column_stack([x[start:-1], np.ones(len(y)), *[d[start - k : len(d) - k] for k in range(1, lags + 1)]])
-                beta, *_ = np.linalg.lstsq(design, y, rcond=None)
-                sse = float(((y - design @ beta) ** 2).sum())
-                return y, design, beta, sse
-
-            def aic(lags: int) -> float:
-                y, design, _, sse = regress(lags, most)
-                return len(y) * math.log(max(sse, 1e-300) / len(y)) + 2 * design.shape[1]
-
-            lags = min(range(most + 1), key=aic)
-            y, design, beta, sse = regress(lags, lags)
-            cov = np.linalg.inv(design.T @ design)[0, 0] * sse / (len(y) - design.shape[1])
-            out = (key, float(beta[0] / math.sqrt(cov)), None, lags, len(y), None, None)
-        except (ValueError, ZeroDivisionError, np.linalg.LinAlgError) as e:
-            out = (key, None, None, None, None, None, str(e))
-        frame = pd.DataFrame([out], columns=["series_id", "adf", "p", "lags", "n_obs", "stationary", "error"])
-        return frame.astype({"adf": "float64", "p": "float64", "lags": "Int32", "n_obs": "Int64", "stationary": "boolean"})
-
-    found = samples.select("series_id", "t", "x").groupBy("series_id").applyInPandas(run, ADF_SCHEMA)
-    p = F.when(F.col("adf").isNotNull(), F.expr(p_of("adf")))
-    return found.withColumn("p", p).withColumn("stationary", F.when(F.col("p").isNotNull(), F.col("p") < 0.05))
+    def solve(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for n, most, gram, head in zip(batch.column("n").to_pylist(), batch.column("most").to_pylist(), batch.column("gram"), batch.column("head"), strict=True):
+                try:
+                    adf, lags, used = choose_lags(gram.values.to_numpy().reshape(most + 3, most + 3), head.values.to_numpy(), n, most)
+                    out.append((adf, lags, used, None) if np.isfinite(adf) else (None, None, None, "no residuals are left"))
+                except np.linalg.LinAlgError as e:
+                    out.append((None, None, None, str(e)))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("series_id"), *[pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.int32(), pa.int64(), pa.string()), strict=True)]], names=["series_id", "adf", "lags", "n_obs", "error"])
+
+    kept = samples.select(F.col("series_id").cast("long").alias("series_id"), F.col("t").cast("long").alias("t"), F.col("x").cast("double").alias("x"))
+    solved = cross_products(lag_chunks(kept, steps), steps).mapInArrow(solve, "series_id long, adf double, lags int, n_obs long, error string")
+    every = kept.groupBy("series_id").agg(F.lit("the series is constant or too short").alias("__short"))
+    found = every.join(solved.withColumn("__there", F.lit(True)), "series_id", "left").withColumn("error", F.when(F.col("__there"), F.col("error")).otherwise(F.col("__short")))
+    p = F.when(F.col("adf").isNotNull(), F.expr(tau_p_value("adf")))
+    return found.withColumn("p", p).withColumn("stationary", F.when(F.col("p").isNotNull(), F.col("p") < 0.05)).select("series_id", "adf", "p", "lags", "n_obs", "stationary", "error")
 
 
 def moments(df: DataFrame, by: list[str], x: str) -> DataFrame:

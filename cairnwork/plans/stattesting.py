@@ -23,9 +23,42 @@ def adf_test(spark, d):
     return adf(spark, d).withColumns({c: F.round(c, 5) for c in ("adf", "p", "crit_5")})
 
 
-@query("adf_test_aic")
+#: Lagged steps that the SQL of the test with lags writes out: enough for series of 180 values.
+SQL_LAGS = 14
+
+
+def residuals(name: str, source: str, columns: list[str], last: list[str]) -> str:
+    """CTEs {name}_0, ...: one column after the other is taken out of those behind it and out of `last`, per series."""
+    text, at = [], source
+    for k, c in enumerate(columns):
+        rest = [*columns[k + 1 :], *last]
+        taken = ", ".join(f"{r} - coalesce(sum({r} * {c}) OVER w / nullif(sum({c} * {c}) OVER w, 0), 0) * {c} AS {r}" for r in rest)
+        text.append(f"{name}_{k} AS (SELECT series_id, n, most, p, {', '.join([*columns[:k], c])}, {taken} FROM {at} WINDOW w AS (PARTITION BY series_id))")
+        at = f"{name}_{k}"
+    return ", ".join(text)
+
+
+LAG_COLUMNS = [f"g{j}" for j in range(1, SQL_LAGS + 1)]
+LAGGED = ", ".join(f"CASE WHEN {j} <= {{0}} THEN lag(d, {j}) OVER w ELSE 0 END AS g{j}" for j in range(1, SQL_LAGS + 1))
+AIC_SQL = f"""WITH {SAMPLES}, ln AS (SELECT series_id, count(*) AS n, least(ceil(12 * power(count(*) / 100, 0.25)), floor(count(*) / 2) - 2)::INT AS most, max(x) = min(x) AS flat FROM samples GROUP BY 1),
+st AS (SELECT series_id, n, most, t - 1 AS k, x - lag(x) OVER w AS d, lag(x) OVER w AS l, 1.0::DOUBLE AS o FROM samples JOIN ln USING (series_id) WHERE most >= 0 AND NOT flat WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+a0 AS (SELECT *, NULL::INT AS p, {LAGGED.format('most')} FROM st WHERE d IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY k)),
+a1 AS (SELECT * FROM a0 WHERE k >= most), {residuals('ra', 'a1', ['l', 'o', *LAG_COLUMNS], ['d'])},
+aic AS ({' UNION ALL '.join(f"SELECT series_id, any_value(most) AS most, {j} AS p, count(*) * ln(sum(d * d) / count(*)) + 2 * {j + 2} AS aic FROM ra_{j + 1} GROUP BY series_id HAVING any_value(most) >= {j}" for j in range(SQL_LAGS + 1))}),
+best AS (SELECT series_id, p FROM aic QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aic, p) = 1),
+b0 AS (SELECT st.*, best.p, {LAGGED.format('p')} FROM st JOIN best USING (series_id) WHERE d IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY k)),
+b1 AS (SELECT * FROM b0 WHERE k >= p), {residuals('rb', 'b1', ['o', *LAG_COLUMNS, 'l'], ['d'])},
+bs AS (SELECT series_id, any_value(p) AS lags, count(*) AS n_obs, sum(l * l) AS ll FROM rb_{SQL_LAGS + 1} GROUP BY 1),
+bb AS (SELECT series_id, sum(d * l) AS dl FROM rb_{SQL_LAGS} GROUP BY 1), be AS (SELECT series_id, sum(d * d) AS sse FROM rb_{SQL_LAGS + 1} GROUP BY 1),
+adf AS (SELECT series_id, lags, n_obs, (dl / ll) / sqrt(sse / (n_obs - lags - 2) / ll) AS adf FROM bs JOIN bb USING (series_id) JOIN be USING (series_id)),
+pv AS (SELECT *, {st.tau_p_value('adf')} AS p FROM adf)
+SELECT series_id, round(adf, 4) AS adf, round(p, 4) AS p, lags, n_obs, p < 0.05 AS stationary, CASE WHEN adf IS NULL THEN 'the series is constant or too short' END AS error FROM ln LEFT JOIN pv USING (series_id)"""
+
+
+@query("adf_test_aic", AIC_SQL)
 def adf_test_aic(spark, d):
-    return st.adf_aic(samples(spark, d))
+    """Lags by AIC, from cross products of chunks of each series."""
+    return st.adf_aic(samples(spark, d)).withColumns({c: F.round(c, 4) for c in ("adf", "p")})
 
 
 def steps(parts: dict, source: str) -> tuple[str, str]:

@@ -404,3 +404,44 @@ def test_composed_models_come_back(spark, tmp_path):
         models.save(model, f"file://{tmp_path}/{name}")
         back = models.load(f"file://{tmp_path}/{name}")
         assert sorted(map(tuple, model.predict(df, "id").select("id", "pred").collect())) == sorted(map(tuple, back.predict(df, "id").select("id", "pred").collect()))
+
+
+def adf_by_hand(x):
+    """The test with lags by AIC, every regression by least squares."""
+    x = np.array(x, float)
+    n = len(x)
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+    d = np.diff(x)
+
+    def regress(lags, start):
+        y = d[start:]
+        z = np.column_stack([x[start:-1], np.ones(len(y)), *[d[start - k : len(d) - k] for k in range(1, lags + 1)]])
+        beta, *_ = np.linalg.lstsq(z, y, rcond=None)
+        return y, z, beta, ((y - z @ beta) ** 2).sum()
+
+    lags = min(range(most + 1), key=lambda p: (lambda y, z, b, s: len(y) * math.log(s / len(y)) + 2 * z.shape[1])(*regress(p, most)))
+    y, z, beta, sse = regress(lags, lags)
+    return beta[0] / math.sqrt(np.linalg.inv(z.T @ z)[0, 0] * sse / (len(y) - z.shape[1])), lags, len(y)
+
+
+@pytest.mark.parametrize("steps", [3, 7, 64, 1 << 16])
+def test_adf_with_lags_by_chunks(spark, steps):
+    rng = np.random.default_rng(11)
+    series = {}
+    for s, n in enumerate((30, 61, 100, 150, 240, 7)):
+        x = [1000.0, 1001.0, 1000.5]
+        while len(x) < n:  # steps that depend on earlier steps, so that lags are chosen
+            x.append(x[-1] + 0.6 * (x[-1] - x[-2]) - 0.35 * (x[-2] - x[-3]) - 0.05 * (x[-1] - 1000) + rng.normal())
+        series[s] = x[:n]
+    series |= {90: [5.0] * 40, 91: [1.0, 2.0], 92: [1.0]}
+    df = spark.createDataFrame([(s, t, v) for s, x in series.items() for t, v in enumerate(x)], "series_id long, t long, x double").repartition(3)
+    found = {r.series_id: r for r in stattests.adf_aic(df, steps).collect()}
+    assert set(found) == set(series) and all(found[s].adf is None and found[s].error for s in (90, 91, 92))
+    lags = set()
+    for s in range(6):
+        adf, lag, n = adf_by_hand(series[s])
+        assert found[s].adf == pytest.approx(adf, rel=1e-6) and (found[s].lags, found[s].n_obs) == (lag, n) and found[s].stationary == (found[s].p < 0.05)
+        lags.add(lag)
+    assert len(lags) > 2
+    most = stattests.lag_chunks(df, steps).select(F.max(F.size("x"))).first()[0]
+    assert most <= steps + 17  # no chunk holds more than its steps and the lags before them
