@@ -9,7 +9,7 @@ import json
 from itertools import product
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ from cairnwork.functions import arrays as A
 from cairnwork.functions.hashing import hashed_rank, order_key
 from cairnwork.functions.batches import matrix
 from cairnwork.operators import machines, metrics, rebalance, scaling, splits
+from cairnwork.operators.trees import BoostedTrees, Forest
 from cairnwork.sources.shipping import ship
 
 
@@ -40,34 +41,6 @@ def random_forest(train: DataFrame, trees: int = 500, depth: int = 30, seed: int
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed).fit(vectors(train, True))
 
 
-class BoostedTrees:
-    """One against the rest with boosted trees; probabilities are the sigmoids of the raw scores, scaled to sum to 1."""
-
-    def __init__(self, train: DataFrame, rounds: int = 300, depth: int = 6, seed: int = 42) -> None:
-        rows = vectors(train, True).cache()
-        self.classes = [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]  # the class domain
-        gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", weightCol="weight", labelCol="hit", seed=seed)
-        self.models = [gbt.fit(rows.withColumn("hit", (F.col("label") == c).cast("double"))) for c in self.classes]
-        rows.unpersist()
-
-    def parts(self) -> tuple[dict, dict]:
-        """Fitted stages by name, and other parameters; restore() takes both."""
-        return {f"class{k}": m for k, m in enumerate(self.models)}, {"classes": self.classes}
-
-    def restore(self, parts: dict, values: dict) -> None:
-        self.classes = values["classes"]
-        self.models = [parts[f"class{k}"] for k in range(len(self.classes))]
-
-    def predict(self, df: DataFrame, key: str) -> DataFrame:
-        out = vectors(df)
-        for k, m in enumerate(self.models):
-            out = m.setPredictionCol(f"p{k}").setRawPredictionCol(f"raw{k}").setProbabilityCol(f"proba{k}").transform(out)
-        raw = F.array(*[1 / (1 + F.exp(-2 * vector_to_array(f"raw{k}")[1])) for k in range(len(self.models))])
-        out = out.withColumn("s", raw).withColumn("proba", A.scaled(F.col("s"), 1 / A.total(F.col("s"))))
-        pick = F.get(F.array(*map(F.lit, self.classes)), A.argmax(F.col("proba")))
-        return out.select(key, F.col("label").cast("int").alias("truth"), "proba", pick.cast("int").alias("pred"))
-
-
 class KernelSVM:
     """Radial kernel by random Fourier features, linear machines per pair of classes, votes.
 
@@ -223,8 +196,9 @@ def best_parameters(scores: DataFrame, names: list[str]) -> DataFrame:
 
 
 def feature_importance(model, names: list[str], spark, k: int = 20) -> DataFrame:
-    """feature, importance, descending; a model's importances are as many as its features."""
-    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)]
+    """feature, importance, descending, of a Forest or a Spark ML model; importances are as many as features."""
+    values = model.importances() if isinstance(model, Forest) else model.featureImportances.toArray()
+    rows = [(n, float(v)) for n, v in zip(names, values, strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
@@ -242,7 +216,7 @@ def _write(spark, path: str, values: dict) -> None:
 
 
 def save(model, path: str) -> None:
-    """A fitted model: a Spark ML one, BoostedTrees, KernelSVM or TwoStage (their own stages and what else they know)."""
+    """A fitted model: a Spark ML one, BoostedTrees, Forest, KernelSVM or TwoStage (their own stages and what else they know)."""
     if isinstance(model, PARTS):
         spark = SparkSession.getActiveSession()
         parts, values = model.parts()
@@ -273,4 +247,4 @@ def load(path: str):
     return model
 
 
-PARTS = (BoostedTrees, KernelSVM, TwoStage)
+PARTS = (BoostedTrees, Forest, KernelSVM, TwoStage)

@@ -220,13 +220,13 @@ def predictions(df: DataFrame) -> DataFrame:
 @query("random_forest")
 def random_forest(spark, d):
     train, test = split(spark, d)
-    return predictions(models.scored(models.random_forest(train, trees=20, depth=10), test, "vec_id"))
+    return predictions(models.Forest(train, "vec_id").predict(test, "vec_id"))
 
 
 @query("boosted_trees")
 def boosted_trees(spark, d):
     train, test = split(spark, d)
-    return predictions(models.BoostedTrees(train, rounds=3, depth=3).predict(test, "vec_id"))
+    return predictions(models.BoostedTrees(train, key="vec_id").predict(test, "vec_id"))
 
 
 @query("kernel_svm")
@@ -273,7 +273,7 @@ def grid_selection(spark, d):
 @query("feature_importance")
 def feature_importance(spark, d):
     train, _ = split(spark, d)
-    return models.feature_importance(models.random_forest(train, trees=20, depth=10), [f"e{k}" for k in range(64)], spark)
+    return models.feature_importance(models.Forest(train, "vec_id"), [f"e{k}" for k in range(64)], spark)
 
 
 @query("stacking_fit")

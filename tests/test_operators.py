@@ -445,3 +445,106 @@ def test_adf_with_lags_by_chunks(spark, steps):
     assert len(lags) > 2
     most = stattests.lag_chunks(df, steps).select(F.max(F.size("x"))).first()[0]
     assert most <= steps + 17  # no chunk holds more than its steps and the lags before them
+
+
+def grown_by_hand(x, stats, score, allowed, features, depth):
+    """A tree as nested tuples, every split tried row by row: (feature, threshold, left, right) or the node's sums."""
+
+    def node(rows, number):
+        total = stats[rows].sum(0)
+        best = None
+        if number.bit_length() <= depth:
+            for f in features(number):
+                for t in sorted(set(x[rows, f].tolist()))[:-1]:
+                    goes = x[rows, f] > t
+                    a, b = stats[rows[~goes]].sum(0), stats[rows[goes]].sum(0)
+                    gain = round((score(a) + score(b) - score(total)) / max(1.0, abs(score(total))), 10)
+                    if allowed(a, b) and gain > 0 and (best is None or gain > best[0]):
+                        best = (gain, f, t, goes)
+        if best is None:
+            return total
+        _, f, t, goes = best
+        return f, t, node(rows[~goes], 2 * number), node(rows[goes], 2 * number + 1), score(stats[rows[~goes]].sum(0)) + score(stats[rows[goes]].sum(0)) - score(total)
+
+    return node(np.arange(len(x)), 1)
+
+
+def leaf(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[3] if row[tree[0]] > tree[1] else tree[2]
+    return tree
+
+
+def tree_rows(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, int(c), [float(v) for v in rng.integers(0, 9, 5) + c * (rng.random(5) < 0.5)]) for k, c in enumerate(rng.integers(0, 3, 90))]
+    df = spark.createDataFrame(rows, "key long, label int, v array<double>").repartition(3)
+    ids = {r.key: r.id for r in df.select("key", F.xxhash64("key").alias("id")).collect()}
+    return df, np.array([ids[k] for k, _, _ in rows]), np.array([c for _, c, _ in rows]), np.array([v for _, _, v in rows])
+
+
+@pytest.mark.parametrize("local_rows", [0, 20, 4096])
+def test_forest_equals_growing_by_hand(spark, local_rows):
+    from cairnwork.operators import trees
+
+    df, ids, of, x = tree_rows(spark)
+    model = trees.Forest(df, "key", trees=6, depth=5, local_rows=local_rows)
+    weights = np.array([len(of) / (3 * (of == c).sum()) for c in range(3)])
+    gini = lambda s: (s[:3] ** 2).sum() / max(s[:3].sum(), 1e-300)
+    proba, importance = np.zeros((len(x), 3)), []
+    for t in range(6):
+        times = trees.bootstrap(ids, t, 42)
+        used = times > 0
+        stats = np.column_stack([np.eye(3)[of] * (times * weights[of])[:, None], np.ones(len(of))])[used]
+        some = lambda n: np.sort(np.argsort(trees.uniforms(np.arange(5), 43, t, n), kind="stable")[:2]).tolist()  # noqa: B023, E731
+        tree = grown_by_hand(x[used], stats, gini, lambda a, b: a[3] >= 2 and b[3] >= 2, some, 5)
+        proba += np.array([(lambda s: s[:3] / s[:3].sum())(leaf(tree, row)) for row in x]) / 6
+        gains = np.zeros(5)
+        work = [tree]
+        while work:
+            if isinstance(n := work.pop(), tuple):
+                gains[n[0]] += n[4]
+                work += n[2:4]
+        importance.append(gains / gains.sum())
+    found = {r.key: r for r in model.predict(df, "key").collect()}
+    assert np.allclose([found[k].proba for k in range(len(x))], proba) and all(found[k].pred == int(np.argmax(np.round(proba[k], 12))) or len(set(np.round(proba[k], 9))) < 3 for k in range(len(x)))
+    assert np.allclose(model.importances(), np.mean(importance, 0))
+    table = models.feature_importance(model, list("abcde"), spark, 3).collect()
+    assert [r.importance for r in table] == sorted(model.importances(), reverse=True)[:3]
+
+
+@pytest.mark.parametrize("local_rows", [0, 25, 4096])
+def test_boosting_equals_growing_by_hand(spark, local_rows, monkeypatch):
+    from cairnwork.operators import trees
+
+    monkeypatch.setattr(trees, "CHECKPOINT", 2)
+    df, ids, of, x = tree_rows(spark)
+    model = trees.BoostedTrees(df, rounds=5, depth=3, key="key", local_rows=local_rows)
+    weights = np.array([len(of) / (3 * (of == c).sum()) for c in range(3)])
+    scores = np.zeros((len(x), 3))
+    for r in range(5):
+        used = trees.uniforms(ids, 42, r + 1) < 0.8
+        p = np.exp(scores) / np.exp(scores).sum(1, keepdims=True)
+        step = np.zeros_like(scores)
+        for k in range(3):
+            stats = np.column_stack([weights[of] * (p[:, k] - (of == k)), weights[of] * p[:, k] * (1 - p[:, k]), np.ones(len(of))])[used]
+            some = np.sort(np.argsort(trees.uniforms(np.arange(5), 43, r, k), kind="stable")[:4]).tolist()
+            tree = grown_by_hand(x[used], stats, lambda s: s[0] ** 2 / (s[1] + 1), lambda a, b: a[1] >= 1 and b[1] >= 1, lambda n: some, 3)  # noqa: B023
+            step[:, k] = [-0.1 * s[0] / (s[1] + 1) for s in (leaf(tree, row) for row in x)]
+        scores += step
+    p = np.exp(scores) / np.exp(scores).sum(1, keepdims=True)
+    found = {r.key: r for r in model.predict(df, "key").collect()}
+    assert np.allclose([found[k].proba for k in range(len(x))], p)
+
+
+def test_trees_save_and_odd_rows(spark, tmp_path):
+    from cairnwork.operators import trees
+
+    df, *_ = tree_rows(spark)
+    for name, model in (("f", trees.Forest(df, trees=3, depth=4)), ("b", trees.BoostedTrees(df, rounds=2, depth=2))):
+        models.save(model, f"file://{tmp_path}/{name}")
+        a, b = (sorted((r.key, r.pred, *r.proba) for r in m.predict(df, "key").collect()) for m in (model, models.load(f"file://{tmp_path}/{name}")))
+        assert a == b
+    one = spark.createDataFrame([(k, 4, [1.0, 2.0]) for k in range(5)], "key long, label int, v array<double>")
+    for model in (trees.Forest(one, trees=2), trees.BoostedTrees(one, rounds=1)):
+        assert {(r.pred, tuple(r.proba)) for r in model.predict(one, "key").collect()} == {(4, (1.0,))}
