@@ -6,11 +6,21 @@ works on the arrays, a frame's length of numbers each, so that no series has to
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.functions import arrays as A
+from cairnwork.sources.shipping import ship
+
+#: More lags than this go through numpy's FFT in Arrow batches instead of an expression each.
+LITERAL_LAGS = 32
+
 
 def by_frame():
     return W.partitionBy("series_id").orderBy("frame")
@@ -48,6 +58,45 @@ def autocorrelation(x: Column, lags: range) -> Column:
     return F.array(*[A.dot(F.slice(x, F.lit(1), F.size(x) - lag), F.slice(x, F.lit(lag + 1), F.size(x) - lag)) for lag in lags])
 
 
+def autocorrelated(frames: DataFrame, lags: range, literal_lags: int = LITERAL_LAGS) -> DataFrame:
+    """series_id, frame, peak (greatest |x|), r0, r: sums of x[t] * x[t + lag], an element a lag.
+
+    Few lags are expressions in the JVM. More of them come from numpy's FFT of frames padded to twice their length, in Arrow batches.
+    """
+    peak = F.array_max(F.transform("x", F.abs)).alias("peak")
+    if len(lags) <= literal_lags:
+        return frames.select("series_id", "frame", peak, A.dot(F.col("x"), F.col("x")).alias("r0"), autocorrelation(F.col("x"), lags).alias("r"))
+    ship(frames.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.array(lags)
+        for batch in batches:
+            x = batch.column("x")
+            sizes, flat = pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64), x.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            r0, r = np.zeros(len(x)), np.zeros((len(x), len(at)))
+            for n in np.unique(sizes[sizes > 0]):
+                own = np.flatnonzero(sizes == n)
+                v = flat[(ends[own] - n)[:, None] + np.arange(n)]
+                width = 1 << int(2 * n - 1).bit_length()
+                found = np.fft.irfft(np.abs(np.fft.rfft(v, width, axis=1)) ** 2, width, axis=1)
+                r0[own] = (v * v).sum(1)
+                near = at < n
+                r[np.ix_(own, near)] = found[:, at[near]]
+            # what is left of rounding decides no tie
+            r = np.round(r / np.maximum(r0, 1e-300)[:, None], 13) * r0[:, None]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("series_id", "frame", "peak")], pa.array(r0), pa.array(list(r), pa.list_(pa.float64()))], names=["series_id", "frame", "peak", "r0", "r"])
+
+    kind = frames.schema["series_id"].dataType.simpleString()
+    return frames.select("series_id", F.col("frame").cast("long").alias("frame"), peak, "x").mapInArrow(run, f"series_id {kind}, frame long, peak double, r0 double, r array<double>")
+
+
+def autocorr_peak(frames: DataFrame, length: int) -> DataFrame:
+    """series_id, frame, peak: the greatest autocorrelation at lags 1.. over that at lag 0; null for a silent frame."""
+    r = autocorrelated(frames, range(1, length))
+    return r.select("series_id", "frame", F.when(F.col("r0") != 0, F.array_max("r") / F.col("r0")).alias("peak"))
+
+
 def mean_step_ratio(track: DataFrame, value: str, out: str) -> DataFrame:
     """series_id, out: mean |step| / mean of the values in order of frame; 0 for fewer than two."""
     steps = track.withColumn("step", F.abs(F.col(value) - F.lag(value).over(by_frame())))
@@ -73,17 +122,16 @@ def jitter(f0: DataFrame) -> DataFrame:
 
 def hnr(frames: DataFrame, length: int) -> DataFrame:
     """series_id, hnr: 10 log10(r / (1 - r)) of the greatest autocorrelation over that at lag 0, mean over frames that aren't silent; 0 if none."""
-    r0, top = A.dot(F.col("x"), F.col("x")), F.array_max(autocorrelation(F.col("x"), range(1, length)))
-    scored = frames.select("series_id", r0.alias("r0"), top.alias("top"), F.array_max(F.transform("x", F.abs)).alias("peak"))
-    ratio = F.least(F.greatest(F.col("top") / F.col("r0"), F.lit(1e-10)), F.lit(1 - 1e-10))
+    scored = autocorrelated(frames, range(1, length)).withColumn("top", F.array_max("r"))
+    ratio = F.least(F.greatest(F.col("top") / F.when(F.col("r0") != 0, F.col("r0")), F.lit(1e-10)), F.lit(1 - 1e-10))
     scored = scored.withColumn("db", F.when((F.col("peak") >= 1e-6) & (F.col("r0") >= 1e-10), 10 * F.log10(ratio / (1 - ratio))))
     return scored.groupBy("series_id").agg(F.coalesce(F.avg("db"), F.lit(0.0)).alias("hnr"))
 
 
 def f0_track(frames: DataFrame, rate: float, low: int, high: int, threshold: float = 0.3) -> DataFrame:
     """series_id, frame, f0 of voiced frames: rate / the lag (low..high) of the greatest normalised autocorrelation, if above threshold."""
-    r = frames.select("series_id", "frame", A.dot(F.col("x"), F.col("x")).alias("r0"), autocorrelation(F.col("x"), range(low, high + 1)).alias("r"))
-    voiced = r.where((F.col("r0") > 1e-10) & (F.array_max("r") / F.col("r0") > threshold))
+    r = autocorrelated(frames, range(low, high + 1))
+    voiced = r.where((F.col("r0") > 1e-10) & (F.array_max("r") / F.when(F.col("r0") != 0, F.col("r0")) > threshold))
     return voiced.select("series_id", "frame", (F.lit(rate) / (A.argmax(F.col("r")) + low)).alias("f0"))
 
 

@@ -6,11 +6,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnwork.functions import arrays as A
+from cairnwork.functions.batches import summed
 from cairnwork.functions.hashing import hashed_rank, order_key
 
 # ---------------------------------------------------------------- Gaussian mixtures, one a class
@@ -106,32 +108,46 @@ def hmm_init(spark: SparkSession, states: int, stay: float = 0.7) -> DataFrame:
     return i.crossJoin(j).select("i", "j", p.alias("p"))  # states squared
 
 
-def _forward_backward(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, var: np.ndarray):
-    """Log-likelihood, state shares per step, expected moves of one sequence of numbers."""
-    b = -0.5 * ((x[:, None] - mean) ** 2 / var + np.log(2 * np.pi * var))
-    top = b.max(1, keepdims=True)
-    e = np.exp(b - top)
-    n, s = e.shape
-    alpha, scale = np.zeros((n, s)), np.zeros(n)
-    alpha[0] = start * e[0]
-    for t in range(n):
-        if t:
-            alpha[t] = alpha[t - 1] @ move * e[t]
-        scale[t] = max(alpha[t].sum(), 1e-300)
-        alpha[t] /= scale[t]
-    beta = np.ones((n, s))
-    for t in range(n - 2, -1, -1):
-        beta[t] = move @ (e[t + 1] * beta[t + 1]) / scale[t + 1]
-    gamma = alpha * beta
-    gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-300)
-    moves = np.zeros((s, s))
-    for t in range(n - 1):
-        xi = alpha[t][:, None] * move * (e[t + 1] * beta[t + 1])[None, :] / scale[t + 1]
-        moves += xi
-    return float(np.log(scale).sum() + top.sum()), gamma, moves
-
-
-STATS = "class int, ll double, i int, j int, w double, wx double, wxx double"
+#: Numbers in one array of states over time, for sequences side by side.
+BATCH_STATES = 1 << 21
+
+
+def forward_backward(x: np.ndarray, sizes: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, var: np.ndarray):
+    """Of sequences side by side (sequences x time, `sizes` values each count): log-likelihoods, state shares (sequences x time
+    x states, 0 behind the end), expected moves of all. A step of time is one operation on all sequences."""
+    n, length = x.shape
+    there = np.arange(length) < sizes[:, None]
+    b = -0.5 * ((x[..., None] - mean) ** 2 / var + np.log(2 * np.pi * var))
+    top = b.max(2)
+    e = np.where(there[..., None], np.exp(b - top[..., None]), 1.0)
+    alpha, scale = np.zeros(e.shape), np.ones((n, length))
+    for t in range(length):
+        now = (alpha[:, t - 1] @ move if t else start) * e[:, t]
+        scale[:, t] = np.where(there[:, t], np.maximum(now.sum(1), 1e-300), 1.0)
+        alpha[:, t] = np.where(there[:, t, None], now / scale[:, t, None], 0.0)
+    beta = np.ones(e.shape)
+    for t in range(length - 2, -1, -1):
+        beta[:, t] = np.where(there[:, t + 1, None], (e[:, t + 1] * beta[:, t + 1]) @ move.T / scale[:, t + 1, None], 1.0)
+    shares = alpha * beta
+    shares /= np.maximum(shares.sum(2, keepdims=True), 1e-300)
+    later = np.where(there[:, 1:, None], e[:, 1:] * beta[:, 1:] / scale[:, 1:, None], 0.0)
+    moves = move * np.einsum("nti,ntj->ij", alpha[:, :-1], later) if length > 1 else np.zeros(move.shape)
+    return np.where(there, np.log(scale) + top, 0.0).sum(1), shares, moves
+
+
+def side_by_side(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, states: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of like length as padded arrays with their sizes: at most as many as fit BATCH_STATES (one at least), none over twice as long as another."""
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    at = 0
+    while at < len(order):
+        shortest, end = int(sizes[order[at]]), at + 1
+        while end < len(order) and sizes[order[end]] <= 2 * shortest and (end + 1 - at) * int(sizes[order[end]]) * states <= BATCH_STATES:
+            end += 1
+        own = order[at:end]
+        place = np.minimum(np.arange(int(sizes[own].max())), sizes[own][:, None] - 1)
+        yield values[starts[own][:, None] + place], sizes[own]
+        at = end
 
 
 def fit_hmm(sequences: DataFrame, states: int = 8, rounds: int = 150, reg: float = 1e-2, tolerance: float = 1e-2) -> tuple[dict, list[dict]]:
@@ -139,10 +155,10 @@ def fit_hmm(sequences: DataFrame, states: int = 8, rounds: int = 150, reg: float
 
     It ends after `rounds`, or as soon as no class gains more than `tolerance`.
     sequences has class and x (array). States are no more than the shortest sequence. Each round sends the
-    parameters out, and sums of statistics per class and state come back: a map, an aggregation.
+    parameters out; tasks take sequences of like length side by side, and one array of sums a task comes back.
     """
     spark = sequences.sparkSession
-    info = sequences.groupBy("class").agg(F.min(F.size("x")).alias("shortest"), F.avg(F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")).alias("m"), F.max(F.array_max("x")).alias("hi"), F.min(F.array_min("x")).alias("lo")).collect()  # a row a class
+    info = sequences.groupBy("class").agg(F.min(F.size("x")).alias("shortest"), F.max(F.array_max("x")).alias("hi"), F.min(F.array_min("x")).alias("lo")).collect()  # a row a class
     params = {}
     for r in info:
         k = max(1, min(states, r["shortest"]))
@@ -150,42 +166,45 @@ def fit_hmm(sequences: DataFrame, states: int = 8, rounds: int = 150, reg: float
         for row in hmm_init(spark, k).collect():
             move[row["i"], row["j"]] = row["p"]
         start = np.eye(k)[0]
-        width = max(r["hi"] - r["lo"], 1.0)
-        params[r["class"]] = (start, move, np.linspace(r["lo"], r["hi"], k + 2)[1:-1], np.full(k, (width / 2) ** 2 + reg))
+        lo, hi = r["lo"] or 0.0, r["hi"] or 0.0
+        width = max(hi - lo, 1.0)
+        params[r["class"]] = (start, move, np.linspace(lo, hi, k + 2)[1:-1], np.full(k, (width / 2) ** 2 + reg))
+    # a class's sums: log-likelihood, then per state the shares, shares times x, shares times x squared, then moves
+    place, size = {}, 0
+    for c, p in params.items():
+        k = len(p[2])
+        place[c], size = size, size + 1 + 3 * k + k * k
     history: list[dict] = []
     for _ in range(rounds):
-        current = params
-
-        def expect(batches: Iterator[pd.DataFrame], current=current) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for c, x in zip(pdf["class"], pdf["x"], strict=True):
-                    start, move, mean, var = current[c]
-                    x = np.asarray(x, float)
-                    ll, gamma, moves = _forward_backward(x, start, move, mean, var)
-                    out.append((c, ll, -1, -1, 0.0, 0.0, 0.0))
-                    for i in range(len(mean)):
-                        out.append((c, 0.0, i, -1, gamma[:, i].sum(), (gamma[:, i] * x).sum(), (gamma[:, i] * x * x).sum()))
-                        out += [(c, 0.0, i, j, moves[i, j], 0.0, 0.0) for j in range(len(mean)) if moves[i, j] > 0]
-                yield pd.DataFrame(out, columns=["class", "ll", "i", "j", "w", "wx", "wxx"])
-
-        sums = sequences.select("class", "x").mapInPandas(expect, STATS).groupBy("class", "i", "j").agg(*[F.sum(c).alias(c) for c in ("ll", "w", "wx", "wxx")]).collect()  # classes x states squared
-        history.append({r["class"]: r["ll"] for r in sums if r["i"] == -1})
+
+        def add(total: np.ndarray, batch: pa.RecordBatch, current: dict = params) -> None:
+            of, x = batch.column("class").to_numpy(zero_copy_only=False), batch.column("x")
+            sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = x.flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            for c, (start, move, mean, var) in current.items():
+                own, k, at = of == c, len(mean), place[c]
+                for v, n in side_by_side(values, starts[own], sizes[own], k):
+                    ll, shares, moves = forward_backward(v, n, start, move, mean, var)
+                    total[at] += ll.sum()
+                    total[at + 1 : at + 1 + 3 * k] += np.concatenate([np.einsum("nts,nt->s", shares, v**power) for power in range(3)])
+                    total[at + 1 + 3 * k : at + 1 + 3 * k + k * k] += moves.ravel()
+
+        sums = summed(sequences.select("class", F.col("x").cast("array<double>").alias("x")), size, add)
+        history.append({c: float(sums[place[c]]) for c in params})
         if len(history) > 1 and all(ll - history[-2][c] <= tolerance for c, ll in history[-1].items()):
             break
-        params = {}
-        for c, (start, move, mean, var) in current.items():
-            new = np.zeros_like(move)
-            mean, var = mean.copy(), var.copy()
-            for r in sums:
-                if r["class"] == c and r["i"] >= 0 and r["j"] >= 0:
-                    new[r["i"], r["j"]] = r["w"]
-                elif r["class"] == c and r["i"] >= 0 and r["w"] > 1e-8:
-                    mean[r["i"]] = r["wx"] / r["w"]
-                    var[r["i"]] = max(r["wxx"] / r["w"] - mean[r["i"]] ** 2, 0) + reg
-            whole = new.sum(1, keepdims=True)
-            move = np.where(whole > 1e-12, new / np.maximum(whole, 1e-12), move)
-            params[c] = (start, move, mean, var)
+        new = {}
+        for c, (start, move, mean, var) in params.items():
+            k, at = len(mean), place[c] + 1
+            w, wx, wxx = sums[at : at + 3 * k].reshape(3, k)
+            moves = sums[at + 3 * k : at + 3 * k + k * k].reshape(k, k)
+            seen, whole = w > 1e-8, moves.sum(1, keepdims=True)
+            safe = np.where(seen, w, 1.0)
+            centre = np.where(seen, wx / safe, mean)
+            spread = np.where(seen, np.maximum(wxx / safe - centre**2, 0) + reg, var)
+            new[c] = (start, np.where(whole > 1e-12, moves / np.maximum(whole, 1e-12), move), centre, spread)
+        params = new
     return params, history
 
 

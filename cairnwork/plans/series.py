@@ -73,8 +73,7 @@ track AS (SELECT series_id, frame, {RATE}::DOUBLE / lag AS f0 FROM best JOIN zer
 
 @query("autocorr_peak", f"WITH {AUTO} SELECT series_id, frame, {r('max(r) / any_value(r0)')} AS peak FROM auto JOIN zero USING (series_id, frame) WHERE lag > 0 GROUP BY ALL")
 def autocorr_peak(spark, d):
-    x = F.col("x")
-    return rounded(frames(spark, d).select("series_id", "frame", (F.array_max(fr.autocorrelation(x, range(1, N))) / fr.A.dot(x, x)).alias("peak")), "peak")
+    return rounded(fr.autocorr_peak(frames(spark, d), N), "peak")
 
 
 @query("hnr", f"WITH {AUTO}, p AS (SELECT series_id, frame, least(greatest(max(r) / any_value(r0), 1e-10), 1 - 1e-10) AS q FROM auto JOIN zero USING (series_id, frame) WHERE lag > 0 GROUP BY ALL) SELECT series_id, {r('avg(10 * log10(q / (1 - q)))')} AS hnr FROM p GROUP BY ALL")

@@ -190,7 +190,7 @@ def test_hmm_likelihood_never_falls(spark):
     scored = mixtures.hmm_score(seq, params).collect()
     assert sum(r["pred"] == r["class"] for r in scored) >= 18
     start, move, mean, var = params[0]
-    ll, _, _ = mixtures._forward_backward(np.array(rows[0][1]), start, move, mean, var)
+    ll = mixtures.forward_backward(np.array([rows[0][1]]), np.array([len(rows[0][1])]), start, move, mean, var)[0][0]
     assert next(r.scores[0] for r in scored if r.x == rows[0][1]) == pytest.approx(ll, abs=1e-6)
 
 
@@ -548,3 +548,80 @@ def test_trees_save_and_odd_rows(spark, tmp_path):
     one = spark.createDataFrame([(k, 4, [1.0, 2.0]) for k in range(5)], "key long, label int, v array<double>")
     for model in (trees.Forest(one, trees=2), trees.BoostedTrees(one, rounds=1)):
         assert {(r.pred, tuple(r.proba)) for r in model.predict(one, "key").collect()} == {(4, (1.0,))}
+
+
+def test_forward_backward_equals_all_paths():
+    """Sequences of several lengths side by side against a sum over every path of states."""
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    start, mean, var = np.array([0.5, 0.3, 0.2]), np.array([0.0, 1.0, 3.0]), np.array([1.0, 0.5, 2.0])
+    move = np.array([[0.6, 0.3, 0.1], [0.2, 0.5, 0.3], [0.1, 0.1, 0.8]])
+    sequences = [rng.normal(1, 2, n) for n in (1, 2, 3, 4, 5, 5, 2)]
+    found_ll, found_moves, found_shares, lls, moves = 0.0, np.zeros((3, 3)), {}, 0.0, np.zeros((3, 3))
+    sizes = np.array([len(s) for s in sequences])
+    flat, starts = np.concatenate(sequences), np.cumsum(sizes) - sizes
+    for x, n in mixtures.side_by_side(flat, starts, sizes, 3):
+        ll, shares, m = mixtures.forward_backward(x, n, start, move, mean, var)
+        found_ll, found_moves = found_ll + ll.sum(), found_moves + m
+        for row, k, s in zip(x, n, shares, strict=True):
+            assert np.allclose(s[k:], 0)
+            found_shares[tuple(row[:k])] = s[:k]
+    assert len(found_shares) == len(sequences)
+    for x in sequences:
+        emit = np.exp(-0.5 * (x[:, None] - mean) ** 2 / var) / np.sqrt(2 * np.pi * var)
+        total, shares, m = 0.0, np.zeros((len(x), 3)), np.zeros((3, 3))
+        for path in product(range(3), repeat=len(x)):
+            p = start[path[0]] * np.prod([emit[t, s] for t, s in enumerate(path)]) * np.prod([move[a, b] for a, b in zip(path, path[1:])])
+            total += p
+            for t, s in enumerate(path):
+                shares[t, s] += p
+            for a, b in zip(path, path[1:]):
+                m[a, b] += p
+        lls, moves = lls + np.log(total), moves + m / total
+        assert np.allclose(found_shares[tuple(x)], shares / total)
+    assert found_ll == pytest.approx(lls) and np.allclose(found_moves, moves)
+
+
+def test_hmm_takes_many_sequences_side_by_side(spark, monkeypatch):
+    """Ten times as many sequences take at most ten times the time; arrays stay within their bound; null and empty ones count for nothing."""
+    import time
+
+    rng = np.random.default_rng(5)
+    start, mean, var, move = np.array([0.5, 0.5]), np.array([0.0, 1.0]), np.ones(2), np.full((2, 2), 0.5)
+    took = []
+    for n in (300, 3000):
+        sizes = rng.integers(1, 60, n)
+        flat, starts = rng.normal(size=sizes.sum()), np.cumsum(sizes) - sizes
+        began = time.time()
+        for x, k in mixtures.side_by_side(flat, starts, sizes, 2):
+            mixtures.forward_backward(x, k, start, move, mean, var)
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0]
+    monkeypatch.setattr(mixtures, "BATCH_STATES", 400)
+    shapes = [x.shape for x, _ in mixtures.side_by_side(flat, starts, sizes, 2)]
+    assert sum(s[0] for s in shapes) == 3000 and all(s[0] == 1 or s[0] * s[1] * 2 <= 400 for s in shapes)
+    rows = [(k % 2, [float(v) for v in rng.normal(k % 2, 1, 4 + k % 5)]) for k in range(40)]
+    a = mixtures.fit_hmm(spark.createDataFrame(rows, "class int, x array<double>").repartition(3), states=2, rounds=3)
+    assert [sorted(h) for h in a[1]] == [[0, 1]] * 3 and all(b[c] >= a_[c] - 1e-6 for a_, b in zip(a[1], a[1][1:]) for c in (0, 1))
+    odd = mixtures.fit_hmm(spark.createDataFrame([(0, [1.0, 2.0, 4.0]), (0, [])], "class int, x array<double>"), rounds=2)
+    assert np.isfinite(odd[1][-1][0])
+
+
+def test_long_frames_autocorrelate_by_fft(spark):
+    rng = np.random.default_rng(3)
+    values = [[float(v) for v in rng.normal(size=n)] for n in (2048, 2048, 100, 7)] + [[float(np.sin(2 * np.pi * t / 50)) for t in range(2048)], [0.0] * 64]
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)], "series_id long, frame long, x array<double>")
+    for row in frames.autocorrelated(df, range(1, 2048)).collect():
+        x = np.array(values[row.frame])
+        want = np.correlate(x, x, "full")[len(x) :]
+        assert np.allclose(row.r[: len(want)], want, atol=1e-8) and not any(row.r[len(want) :])
+        assert row.r0 == pytest.approx((x * x).sum()) and row.peak == pytest.approx(np.abs(x).max())
+    track = {r.frame: r.f0 for r in frames.f0_track(df, 8000.0, 10, 100).collect()}
+    assert track[4] == pytest.approx(8000 / 50) and 5 not in track
+    few, many = (frames.autocorrelated(df.where("frame < 2"), range(1, 21), limit).orderBy("frame").collect() for limit in (32, 0))
+    assert all(np.allclose(a.r, b.r) for a, b in zip(few, many, strict=True))
+    peaks = {r.frame: r.peak for r in frames.autocorr_peak(df.where("frame >= 4"), 2048).collect()}
+    assert peaks[4] > 0.9 and peaks[5] is None
+    quiet = frames.hnr(df.where("frame = 5"), 64).first()
+    assert quiet.hnr == 0.0
