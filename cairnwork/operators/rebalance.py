@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cairnwork.functions.hashing import hashed_rank, order_key, uniform
 from cairnwork.functions.ranks import before
+from cairnwork.operators import neighbours
 
 # Names of the waveform transforms, in the order in which plans use them.
 TRANSFORMS = (
@@ -17,8 +18,8 @@ TRANSFORMS = (
 ROUND_ROBIN_TRANSFORMS = ("noise", "shift", "stretch", "pitch", "reverb", "background")
 
 
-#: Blocks that one side of a comparison of all rows in a class is dealt to.
-BLOCKS = 16
+#: Rows of either side that one task compares at a time; pivots of a class at most.
+CHUNK_ROWS, MOST_PIVOTS = 2048, 256
 
 
 def _ranked(df: DataFrame, label: str, key: str) -> DataFrame:
@@ -92,18 +93,12 @@ def mixup(df: DataFrame, key: str, features: str, label: str, weight: float, see
     return left.join(right, "place").select(key, "partner", F.col(label).alias("label_a"), "label_b", mixed.alias("mixed"))
 
 
-def nearest(df: DataFrame, key: str, features: str, label: str, k: int = 3) -> DataFrame:
-    """label, key, neighbour, d2, r: the k nearest rows of the same class, exactly.
+def nearest(df: DataFrame, key: str, features: str, label: str, k: int = 3, chunk: int = CHUNK_ROWS, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+    """label, key, neighbour, d2, r: the k nearest rows of the same class, exactly; ties to the lesser key.
 
-    Meant for minority classes (see smote): every pair within a class is compared, in BLOCKS tasks a class, each of
-    which meets one part of the class with all of it.
+    See operators.neighbours: parts around pivots, triangle bounds, blocks of at most about `chunk` rows on either side.
     """
-    a = df.select(label, key, F.col(features).alias("a"), F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int").alias("__block"))
-    b = df.select(label, F.col(key).alias("neighbour"), F.col(features).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("__block"))
-    pairs = a.join(b, [label, "__block"]).where(F.col(key) != F.col("neighbour"))
-    d2 = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    ranked = pairs.select(label, key, "neighbour", d2.alias("d2")).withColumn("r", F.row_number().over(W.partitionBy(label, key).orderBy("d2", "neighbour")))
-    return ranked.where(F.col("r") <= k)
+    return neighbours.nearest(df, key, features, label, k, chunk, most_pivots)
 
 
 def smote(df: DataFrame, key: str, features: str, label: str, k: int = 3, seed: int = 42, target: int | None = None, within: str | None = None) -> DataFrame:

@@ -625,3 +625,29 @@ def test_long_frames_autocorrelate_by_fft(spark):
     assert peaks[4] > 0.9 and peaks[5] is None
     quiet = frames.hnr(df.where("frame = 5"), 64).first()
     assert quiet.hnr == 0.0
+
+
+@pytest.mark.parametrize("chunk, pivots", [(2048, 256), (7, 256), (7, 3), (20, 2)])
+def test_nearest_equals_comparing_all(spark, chunk, pivots):
+    """Ties, copies, a class of one row, string keys; clusters, so that triangle bounds leave parts out."""
+    rng = np.random.default_rng(chunk + pivots)
+    points = [("a", [float(x) for x in rng.integers(0, 4, 2) + 50 * rng.integers(0, 3)]) for _ in range(70)]
+    points += [("b", [float(x) for x in rng.normal(size=2)]) for _ in range(25)] + [("b", [9.0, 9.0])] * 30 + [("c", [1.0, 2.0])] + [("d", [1.0, 2.0]), ("d", [1.0, 5.0])]
+    rows = [(f"k{i:03d}", c, v) for i, (c, v) in enumerate(points)]
+    df = spark.createDataFrame([*rows, ("none", "a", None)], "key string, label string, v array<double>").repartition(3)
+    found = {}
+    for r in rebalance.nearest(df, "key", "v", "label", 3, chunk, pivots).collect():
+        found.setdefault(r.key, []).append((r.r, r.d2, r.neighbour))
+    for key, c, v in rows:
+        want = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), k) for k, d, w in rows if d == c and k != key)[:3]
+        got = [(d2, n) for _, d2, n in sorted(found.get(key, []))]
+        assert [n for _, n in got] == [n for _, n in want] and np.allclose([d for d, _ in got], [d for d, _ in want])
+
+
+def test_far_parts_arent_compared():
+    from cairnwork.operators import neighbours
+
+    between = np.array([[0.0, 100.0], [100.0, 0.0]])
+    bound = neighbours.reach([[0.0, 1.0, 1.5, 2.0], [0.0, 0.5, 0.5, 0.7]], np.array([2.0, 0.7]), between, 3)
+    assert bound.tolist() == [4.0, pytest.approx(1.4)]
+    assert np.isinf(neighbours.reach([[0.0, 1.0]], np.array([1.0]), np.zeros((1, 1)), 3)).all()
