@@ -8,30 +8,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges that a group's values are dealt to.
+from cairnwork.sources import stores
+
+#: Ranges that a group's values, or one of its ranges, are dealt to at once.
 RANGES = 64
-#: Groups whose bounds go out as a broadcast; more of them are joined by a shuffle.
-MOST_BROADCAST = 2000
+#: Rows of a range that one window orders; a range of more is dealt to ranges again, while it holds several values.
+MOST_ROWS = 1 << 20
+#: Deals at most: 64^5 ranges of a group.
+LEVELS = 5
+
+
+def _bounds(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """by with __bounds: RANGES - 1 approximate quantiles of each group's rows."""
+    return df.groupBy(*by).agg(F.percentile_approx(F.col(x).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000).alias("__bounds"))
+
+
+def _same(df: DataFrame, other: DataFrame, keys: list[str]) -> tuple[DataFrame, list[Column]]:
+    """other with its keys renamed, and the null-safe condition that joins it to df."""
+    renamed = other.toDF(*[f"__key_{c}" if c in keys else c for c in other.columns])
+    return renamed, [df[c].eqNullSafe(renamed[f"__key_{c}"]) for c in keys]
+
+
+def _large(ranged: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """The ranges that one window shan't order."""
+    counts = ranged.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"), (F.min(x) != F.max(x)).alias("__several"))
+    return counts.where((F.col("__n") > MOST_ROWS) & F.col("__several")).select(*keys)
 
 
 def _ranged(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """df with __range, which grows with x: about equal parts of each group's rows.
+    """df with __range, an array of numbers that grows with x: ranges of at most MOST_ROWS rows of a group, or of one value.
 
-    The bounds are approximate quantiles, RANGES - 1 numbers a group; they are fixed before use, so that every later step sees the same ones.
+    A range (at first a whole group) of more rows is dealt to RANGES by approximate quantiles, and its parts again while
+    they are too large. Bounds are fixed before use, in a table that a join reads, so that every later step sees
+    the same ones and the driver holds none, whatever the number of groups.
     """
-    spark = df.sparkSession
-    bounds = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.percentile_approx(F.col(x).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000).alias("__bounds"))
-    rows = bounds.collect()  # a row a group
-    fixed = spark.createDataFrame(rows, bounds.schema)
-    if not by:
-        fixed = fixed.withColumn("__one", F.lit(1))
-        df = df.withColumn("__one", F.lit(1))
-    keys = by or ["__one"]
-    fixed = fixed.toDF(*[f"__{c}" if c in by else c for c in fixed.columns])
-    same = [df[c].eqNullSafe(fixed[f"__{c}" if c in by else c]) for c in keys]
-    joined = df.join(F.broadcast(fixed) if len(rows) <= MOST_BROADCAST else fixed, same)
-    number = F.size(F.filter("__bounds", lambda b: b <= F.col(x).cast("double")))
-    return joined.select(*[df[c] for c in df.columns if c != "__one"], number.alias("__range"))
+    columns = df.columns
+    keys = [*by, "__range"]
+    ranged = df.withColumn("__range", F.array().cast("array<int>"))
+    for _ in range(LEVELS):
+        large = _large(ranged, keys, x)
+        if large.isEmpty():
+            break
+        other, same = _same(ranged, large, keys)
+        bounds = stores.fixed(_bounds(ranged.where(F.col(x).isNotNull()).join(other, same, "left_semi"), keys, x), "bounds")
+        other, same = _same(ranged, bounds, keys)
+        number = F.size(F.filter("__bounds", lambda b: b <= F.col(x).cast("double")))
+        deeper = F.when(F.col("__bounds").isNull(), F.col("__range")).otherwise(F.concat("__range", F.array(number)))
+        ranged = ranged.join(other, same, "left").select(*columns, deeper.alias("__range"))
+    return ranged
 
 
 def before(df: DataFrame, by: Sequence[str], x: str, out: str, weight: Column | None = None, order: Sequence[str] = ()) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -29,6 +28,7 @@ def band_normalize(bands: DataFrame, is_train: Column) -> DataFrame:
 def attention_weights(samples: DataFrame, score: Column) -> DataFrame:
     """samples with weight: the softmax of score over the series. Two aggregates by series join back, no series is held."""
     scored = samples.withColumn("__s", score)
-    top = F.max("__s").over(W.partitionBy("series_id"))
-    scored = scored.withColumn("__e", F.exp(F.col("__s") - top))
-    return scored.withColumn("weight", F.col("__e") / F.sum("__e").over(W.partitionBy("series_id"))).drop("__s", "__e")
+    top = scored.groupBy("series_id").agg(F.max("__s").alias("__top"))
+    raised = scored.join(top, "series_id").withColumn("__e", F.exp(F.col("__s") - F.col("__top")))
+    total = raised.groupBy("series_id").agg(F.sum("__e").alias("__total"))
+    return raised.join(total, "series_id").select(*samples.columns, (F.col("__e") / F.col("__total")).alias("weight"))

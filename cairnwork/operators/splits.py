@@ -67,8 +67,9 @@ def cap_sample(df: DataFrame, keys: list[str], n: int = 5000, seed: int = 42) ->
 
 def stride_downsample(samples: DataFrame, n: int = 8000) -> DataFrame:
     """Every s-th sample of a series, s = max(1, length // n), at most n of them."""
-    length = F.count("*").over(W.partitionBy("series_id"))
-    return samples.withColumn("s", F.greatest(F.lit(1), F.floor(length / n))).where((F.pmod(F.col("t"), F.col("s")) == 0) & (F.floor(F.col("t") / F.col("s")) < n)).drop("s")
+    lengths = samples.groupBy("series_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / n)).alias("s"))  # combined before the shuffle; a row a series joins
+    kept = samples.join(lengths, "series_id").where((F.pmod(F.col("t"), F.col("s")) == 0) & (F.floor(F.col("t") / F.col("s")) < n))
+    return kept.select(*samples.columns)
 
 
 def balanced_sampler(df: DataFrame, label: str, key: str, draws: int, seed: int = 42) -> DataFrame:

@@ -181,16 +181,33 @@ def dagostino_k2(df: DataFrame, by: list[str], x: str) -> DataFrame:
     return m.withColumn("k2", k2).withColumn("k2_p", F.exp(-F.col("k2") / 2)).select(*by, F.col("n").cast("long").alias("n"), "skew", "kurt", "k2", "k2_p", (F.col("k2_p") >= 0.05).alias("k2_normal"))
 
 
-def shapiro_francia(df: DataFrame, by: list[str], x: str) -> DataFrame:
+#: Ranks of one value that are added up at a time.
+BLOCK_RANKS = 4096
+
+
+def shapiro_francia(df: DataFrame, by: list[str], x: str, block: int = BLOCK_RANKS) -> DataFrame:
     """by, w, w_p, w_normal: squared correlation of the sorted values with normal scores; Royston's (1993) p.
 
-    Ranks come by ranges of values, so that no task holds a group; p is meant for up to 5000 rows a group.
+    Values collapse to counts, ranks come by ranges of values, and a value's copies are a block of ranks whose scores are added
+    up in parts of at most `block`, dealt to tasks by their place: no task holds a group or the copies of a value. p is meant for up to 5000 rows a group.
     """
     rows = df.where(F.col(x).isNotNull()).select(*by, x)
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    ranked = before(rows, by, x, "i").withColumn("i", F.col("i") + 1).join(sizes, by)
-    scored = ranked.withColumn("q", (F.col("i") - 0.375) / (F.col("n") + 0.25)).withColumn("m", F.expr(normal_quantile("q")))
-    w = scored.groupBy(*by).agg(F.max("n").cast("double").alias("n"), F.corr(x, "m").alias("r")).withColumn("w", F.col("r") * F.col("r"))
+    facts = rows.groupBy(*by).agg(F.count("*").alias("__n"), F.avg(x).alias("__mean"))
+    counted = rows.groupBy(*by, x).agg(F.count("*").alias("__c"))
+    ranked = before(counted, by, x, "__below", F.col("__c"))
+    below, last = F.col("__below"), F.col("__below") + F.col("__c")
+    ranks = F.transform(F.sequence(F.lit(0), F.floor((F.col("__c") - 1) / block)), lambda k: F.struct((below + k * block + 1).alias("lo"), F.least(last, below + (k + 1) * block).alias("hi")))
+    parts = ranked.select(*by, x, F.explode(ranks).alias("__r"))
+    parts = parts.repartition(*by, x, "__r.lo").join(facts, by) if by else parts.repartition(x, "__r.lo").crossJoin(F.broadcast(facts))  # a row
+    scores = F.expr(f"transform(transform(sequence(__r.lo, __r.hi), i -> (i - 0.375D) / (__n + 0.25D)), q -> {normal_quantile('q')})")
+    scored = parts.withColumn("__m", scores).select(
+        *by, "__n", (F.col(x) - F.col("__mean")).alias("__d"), (F.col("__r.hi") - F.col("__r.lo") + 1).alias("__k"), F.aggregate("__m", F.lit(0.0), lambda a, v: a + v).alias("__s"), F.aggregate("__m", F.lit(0.0), lambda a, v: a + v * v).alias("__ss"),
+    )
+    k, d, s = F.col("__k"), F.col("__d"), F.col("__s")
+    sums = scored.groupBy(*by).agg(F.max("__n").cast("double").alias("n"), F.sum(k * d * d).alias("__dd"), F.sum(k * d).alias("__ds"), F.sum(d * s).alias("__dm"), F.sum(s).alias("__m"), F.sum("__ss").alias("__mm"))
+    covariance = F.col("__dm") - F.col("__ds") * F.col("__m") / F.col("n")
+    spread = (F.col("__dd") - F.col("__ds") * F.col("__ds") / F.col("n")) * (F.col("__mm") - F.col("__m") * F.col("__m") / F.col("n"))
+    w = sums.withColumn("w", covariance * covariance / F.when(spread > 0, spread))
     u = "ln(n)"
     z = f"((ln(1 - w) - (-1.2725 + 1.0521 * (ln({u}) - {u}))) / (1.0308 - 0.26758 * (ln({u}) + 2 / {u})))"
     w = w.withColumn("z", F.expr(z)).withColumn("w_p", F.expr(f"1 - {normal_cdf('z')}"))

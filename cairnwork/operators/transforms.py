@@ -14,12 +14,23 @@ from pyspark.sql import functions as F
 
 from cairnwork.functions.hashing import uniform
 
+#: Values of a series that one window covers.
+CHUNK_VALUES = 1 << 16
+
+
 def by_time():
-    return W.partitionBy("series_id").orderBy("t")
+    """Windows within the chunks of in_chunks()."""
+    return W.partitionBy("series_id", "__chunk").orderBy("t")
+
 
+def in_chunks(samples: DataFrame, back: int, ahead: int, apply: Callable[[DataFrame], DataFrame], size: int = CHUNK_VALUES) -> DataFrame:
+    """apply() to chunks of each series that also hold the `back` values before and the `ahead` values behind them.
 
-def by_series():
-    return W.partitionBy("series_id")
+    So that windows by_time() see the neighbours that they need, and no series has to fit a task. t counts from 0 without gaps.
+    """
+    first, last = F.floor(F.greatest(F.col("t") - ahead, F.lit(0)) / size), F.floor((F.col("t") + back) / size)
+    placed = samples.withColumn("__chunk", F.explode(F.sequence(first, last)))
+    return apply(placed).where(F.floor(F.col("t") / size) == F.col("__chunk")).drop("__chunk")
 
 
 def normal(seed: int | str, *columns: str) -> Column:
@@ -33,17 +44,24 @@ def add_noise(x: Column, amplitude: float | Column, seed: int = 42) -> Column:
 
 
 def add_noise_snr(samples: DataFrame, snr_db: float, seed: int = 42) -> DataFrame:
-    """samples with y = x + noise scaled to the signal's power less snr_db, per series."""
+    """samples with y = x + noise scaled to the signal's power less snr_db, per series; powers are aggregates that join, a row a series."""
     noisy = samples.withColumn("noise", normal(seed, "series_id", "t"))
-    power, own = F.avg(F.col("x") * F.col("x")).over(by_series()), F.avg(F.col("noise") * F.col("noise")).over(by_series())
-    return noisy.withColumn("y", F.col("x") + F.col("noise") * F.sqrt(power / (own * 10 ** (snr_db / 10)))).drop("noise")
+    powers = noisy.groupBy("series_id").agg(F.avg(F.col("x") * F.col("x")).alias("__power"), F.avg(F.col("noise") * F.col("noise")).alias("__own"))
+    scaled = F.col("noise") * F.sqrt(F.col("__power") / (F.col("__own") * 10 ** (snr_db / 10)))
+    return noisy.join(powers, "series_id").select(*samples.columns, (F.col("x") + scaled).alias("y"))
 
 
 def time_shift(x: Column, k: int) -> Column:
-    """k > 0 delays, k < 0 advances; 0 comes in."""
+    """k > 0 delays, k < 0 advances; 0 comes in. Inside in_chunks() with a reach of |k|; shifted() does both."""
     return F.lag(x, k, 0.0).over(by_time()) if k >= 0 else F.lead(x, -k, 0.0).over(by_time())
 
 
+def shifted(samples: DataFrame, outs: dict[str, int], size: int = CHUNK_VALUES) -> DataFrame:
+    """samples with a column for each shift of x."""
+    reach = [*outs.values(), 0]
+    return in_chunks(samples, max(reach), max(0, -min(reach)), lambda s: s.withColumns({name: time_shift(F.col("x"), k) for name, k in outs.items()}), size)
+
+
 def random_gain(x: Column, low: float = -6.0, high: float = 6.0, seed: int = 42) -> Column:
     """One gain in dB a series."""
     return x * F.pow(F.lit(10.0), (low + (high - low) * uniform(seed, "series_id")) / 20)
@@ -53,12 +71,12 @@ def fixed_gain(x: Column, db: float) -> Column:
     return x * 10 ** (db / 20)
 
 
-def fir_convolve(samples: DataFrame, impulse: list[float], wet: float) -> DataFrame:
+def fir_convolve(samples: DataFrame, impulse: list[float], wet: float, size: int = CHUNK_VALUES) -> DataFrame:
     """series_id, t, x = (1 - wet) * x + wet * (x * h), cut to the series' length. The impulse is a literal: taps become lags."""
     out = F.lit(0.0)
     for k, h in enumerate(impulse):
         out = out + h * F.lag("x", k, 0.0).over(by_time())
-    return samples.withColumn("x", (1 - wet) * F.col("x") + wet * out)
+    return in_chunks(samples, len(impulse) - 1, 0, lambda s: s.withColumn("x", (1 - wet) * F.col("x") + wet * out), size)
 
 
 #: Transforms of one value by name; plans and ablations name them.
@@ -71,16 +89,22 @@ REGISTRY: dict[str, Callable[[Column], Column]] = {
     "noise_low": lambda x: add_noise(x, 0.003),
     "noise_high": lambda x: add_noise(x, 0.005),
 }
+#: How many values before and behind a transform looks at, where it does.
+REACH: dict[str, tuple[int, int]] = {"shift_right": (4, 0), "shift_left": (0, 4)}
 
 
-def register(name: str, transform: Callable[[Column], Column]) -> None:
+def register(name: str, transform: Callable[[Column], Column], back: int = 0, ahead: int = 0) -> None:
+    """back, ahead: the values before and behind that a transform with windows by_time() looks at."""
     REGISTRY[name] = transform
+    REACH[name] = (back, ahead)
 
 
-def compose(samples: DataFrame, names: list[str]) -> DataFrame:
+def compose(samples: DataFrame, names: list[str], size: int = CHUNK_VALUES) -> DataFrame:
     """x after the named transforms, in order. Each is a step of its own, as windows can't nest."""
     for name in names:
-        samples = samples.withColumn("x", REGISTRY[name](F.col("x")))
+        step = lambda s, name=name: s.withColumn("x", REGISTRY[name](F.col("x")))
+        reach = REACH.get(name, (0, 0))
+        samples = in_chunks(samples, *reach, step, size) if any(reach) else step(samples)
     return samples
 
 

@@ -13,7 +13,6 @@ every CHECKPOINT rounds.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 
 from cairnwork.functions.batches import matrix
 from cairnwork.sources.shipping import ship
+from cairnwork.sources.stores import scratch
 
 BINS = 32
 LOCAL_ROWS = 4096
@@ -423,7 +423,4 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found and sc.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='spark-cairnwork-', dir='/tmp')}")
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch(spark, "checkpoints"))

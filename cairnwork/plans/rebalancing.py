@@ -77,7 +77,7 @@ def add_noise_snr(spark, d):
 
 @query("time_shift", f"WITH {CENTRED} SELECT series_id, t, coalesce(lag(x, 5) OVER (PARTITION BY series_id ORDER BY t), 0) AS later, coalesce(lead(x, 5) OVER (PARTITION BY series_id ORDER BY t), 0) AS earlier FROM centred")
 def time_shift(spark, d):
-    return centred(spark, d).select("series_id", "t", transforms.time_shift(F.col("x"), 5).alias("later"), transforms.time_shift(F.col("x"), -5).alias("earlier"))
+    return transforms.shifted(centred(spark, d), {"later": 5, "earlier": -5}).select("series_id", "t", "later", "earlier")
 
 
 @query("random_gain", f"WITH {CENTRED} SELECT series_id, t, round(x * power(10.0::DOUBLE, (-6 + 12 * {U32.format("'42|' || series_id")}) / 20), 4) AS x FROM centred")

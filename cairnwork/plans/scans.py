@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from cairnwork.functions import arrays as A
@@ -12,24 +10,26 @@ from cairnwork.plans import evaluation
 from cairnwork.plans.base import SAMPLES, features, holdout, query, samples, table
 from cairnwork.plans.splitting import GROUPED, grouped
 from cairnwork.sources import files, stores
+from cairnwork.sources.stores import scratch
 
 EVENT_TYPES = ["view", "click", "purchase", "signup", "error"]
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or where that is unset, on a local master alone, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-cairnwork-')}"
-    return f"{base}/{name}-{spark.sparkContext.applicationId}-{spark._jvm.System.nanoTime()}"
+#: Folders and name endings that paths are made of.
+FOLDERS, ENDINGS = ["hunger", "tiredness", "other"], ["wav", "MP3", "txt", "ogg", "Flac", "m4a", "wav.part"]
+PATH = f"'/clips/' || ({FOLDERS})[page_id % 3 + 1] || '/' || replace(regexp_replace(url, '^https?://', ''), '/', '-') || '.' || ({ENDINGS})[page_id % 7 + 1]"
 
 
-@query("scan_labelled_files")
+@query("scan_labelled_files", f"""WITH p AS (SELECT {PATH} AS path, length(html)::BIGINT AS length FROM pages)
+SELECT split_part(path, '/', -2) AS label, regexp_replace(split_part(path, '/', -1), '\.[^.]*$', '') AS stem, lower(regexp_extract(path, '\.([^.]*)$', 1)) AS extension, length FROM p
+WHERE regexp_matches(lower(path), '\.(flac|m4a|mp3|ogg|wav)$') AND split_part(path, '/', -2) IN ('hunger', 'tiredness') ORDER BY label, stem""")
 def scan_labelled_files(spark, d):
-    """The given tables' own files as a labelled folder: the label is the folder's name."""
-    return files.scan_labelled_files(spark, d, extensions=("parquet",)).select("label", "stem", "extension", "length")
+    """Paths of clips made from the pages' addresses: of two classes, with the extensions of clips in either case, by name."""
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), F.pmod("page_id", F.lit(n)).cast("int"))
+    plain = F.replace(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit("-"))
+    path = F.concat(F.lit("/clips/"), pick(FOLDERS, 3), F.lit("/"), plain, F.lit("."), pick(ENDINGS, 7))
+    paths = table(spark, d, "pages").select(path.alias("path"), F.length("html").cast("long").alias("length"))
+    return files.labelled_paths(paths, FOLDERS[:2]).select("label", "stem", "extension", "length").orderBy("label", "stem")
 
 
 STEM = "replace(replace(regexp_replace(url, '^https?://', ''), '/', '-'), '.', CASE WHEN page_id % 3 = 0 THEN '_aug_' ELSE '.' END)"

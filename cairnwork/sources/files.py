@@ -19,9 +19,16 @@ def scan_labelled_files(spark: SparkSession, root: str, classes: list[str] | Non
     """
     letters = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{letters}}}").load(root).select("path", "length")
+    return labelled_paths(files, classes, extensions)
+
+
+def labelled_paths(files: DataFrame, classes: list[str] | None = None, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """label (the folder's name), stem and extension (in lower case) beside path and the other columns, of the paths with one of the extensions."""
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
-    found = files.select("path", F.element_at(parts, -2).alias("label"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("extension"), "length")
+    others = [c for c in files.columns if c != "path"]
+    found = files.select("path", F.element_at(parts, -2).alias("label"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("extension"), *others)
+    found = found.where(F.col("extension").isin(*extensions))
     return found if classes is None else found.where(F.col("label").isin(classes))
 
 

@@ -2,12 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnwork.sources.files import is_derived
 
 
+_made: list[str] = []
+
+
+def _clean() -> None:
+    """Deletes scratch folders when the process ends."""
+    spark = SparkSession.getActiveSession()
+    for path in _made if spark is not None else ():
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; the files are scratch
+            return
+
+
+atexit.register(_clean)
+_local: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, deleted at exit: in spark.checkpoint.dir, or where that is unset, on a local master alone, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _local:
+            _local.append(f"file://{tempfile.mkdtemp(prefix='spark-cairnwork-', dir='/tmp')}")
+        base = _local[0]
+    _made.append(f"{base}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def fixed(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in a scratch folder: later steps all see the same rows, and lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_split_manifest(df: DataFrame, path: str, form: str = "csv") -> None:
     df.write.mode("overwrite").options(**({"header": True} if form == "csv" else {})).format(form).save(path)
 

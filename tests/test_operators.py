@@ -651,3 +651,63 @@ def test_far_parts_arent_compared():
     bound = neighbours.reach([[0.0, 1.0, 1.5, 2.0], [0.0, 0.5, 0.5, 0.7]], np.array([2.0, 0.7]), between, 3)
     assert bound.tolist() == [4.0, pytest.approx(1.4)]
     assert np.isinf(neighbours.reach([[0.0, 1.0]], np.array([1.0]), np.zeros((1, 1)), 3)).all()
+
+
+def test_ranges_split_until_they_are_small(spark, monkeypatch):
+    """A group of many values goes by ranges of ranges, a group of one value by one; bounds of windows hold."""
+    from cairnwork.functions import ranks
+
+    monkeypatch.setattr(ranks, "RANGES", 4)
+    monkeypatch.setattr(ranks, "MOST_ROWS", 20)
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in rng.exponential(1, 700)] + [("b", 1.0)] * 90 + [("c", float(v)) for v in range(10)] + [("d", None)] + [(None, float(v)) for v in rng.integers(0, 100, 150)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    ranged = ranks._ranged(df, ["g"], "x").where("x IS NOT NULL")
+    for r in ranged.groupBy("g", "__range").agg(F.count("*").alias("n"), F.countDistinct("x").alias("values")).collect():
+        assert r.n <= 20 or r["values"] == 1
+    assert ranged.where("g = 'a'").select(F.max(F.size("__range"))).first()[0] > 2
+    by = {}
+    for g, x in rows:
+        if x is not None:
+            by.setdefault(g, []).append(x)
+    found = {r.g: r.q for r in ranks.quantiles(df, ["g"], "x", (0.37,), ("q",)).collect()}
+    places = ranks.before(df.where("x IS NOT NULL"), ["g"], "x", "place").collect()
+    for g, values in by.items():
+        assert found[g] == pytest.approx(np.quantile(values, 0.37))
+        mine = sorted((r.place, r.x) for r in places if r.g == g)
+        assert [p for p, _ in mine] == list(range(len(values))) and [x for _, x in mine] == sorted(values)
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_normal_scores_over_copies(spark, block):
+    """A value in nine tenths of a group's rows, against ranks one by one; a group without spread has no result."""
+    from statistics import NormalDist
+
+    rng = np.random.default_rng(2)
+    groups = {0: [5.0] * 90 + [float(v) for v in rng.normal(5, 1, 10)], 1: [float(v) for v in rng.normal(size=40)], 2: [1.0] * 12}
+    df = spark.createDataFrame([(g, v) for g, x in groups.items() for v in x] + [(1, None)], "g int, x double").repartition(3)
+    found = {r.g: r for r in stattests.shapiro_francia(df, ["g"], "x", block).collect()}
+    for g in (0, 1):
+        x, n = np.sort(groups[g]), len(groups[g])
+        m = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+        assert found[g].w == pytest.approx(np.corrcoef(x, m)[0, 1] ** 2, abs=1e-7)
+    assert found[2].w is None and not found[0].w_normal
+    assert stattests.shapiro_francia(df.where("g = 1"), [], "x", block).first().w == pytest.approx(found[1].w)
+
+
+@pytest.mark.parametrize("size", [3, 5, 1 << 16])
+def test_transforms_by_chunks(spark, size):
+    rng = np.random.default_rng(4)
+    x = {s: rng.normal(size=n) for s, n in enumerate((17, 1, 6))}
+    df = spark.createDataFrame([(s, t, float(v)) for s, values in x.items() for t, v in enumerate(values)], "series_id long, t long, x double").repartition(3)
+    moved = transforms.shifted(df, {"later": 4, "earlier": -2}, size).collect()
+    assert len(moved) == 24
+    for r in moved:
+        v = x[r.series_id]
+        assert r.later == (v[r.t - 4] if r.t >= 4 else 0.0) and r.earlier == (v[r.t + 2] if r.t + 2 < len(v) else 0.0)
+    for r in transforms.fir_convolve(df, [1.0, 0.5, 0.25], 0.4, size).collect():
+        v = x[r.series_id]
+        assert r.x == pytest.approx(0.6 * v[r.t] + 0.4 * np.convolve(v, [1.0, 0.5, 0.25])[r.t])
+    for r in transforms.compose(df, ["shift_right", "flip", "shift_left"], size).collect():
+        v = x[r.series_id]
+        assert r.x == (-v[r.t] if r.t + 4 < len(v) else 0.0)
