@@ -20,7 +20,7 @@ FOLDERS, ENDINGS = ["hunger", "tiredness", "other"], ["wav", "MP3", "txt", "ogg"
 PATH = f"'/clips/' || ({FOLDERS})[page_id % 3 + 1] || '/' || replace(regexp_replace(url, '^https?://', ''), '/', '-') || '.' || ({ENDINGS})[page_id % 7 + 1]"
 
 
-@query("scan_labelled_files", f"""WITH p AS (SELECT {PATH} AS path, length(html)::BIGINT AS length FROM pages)
+@query("scan_labelled_files", rf"""WITH p AS (SELECT {PATH} AS path, length(html)::BIGINT AS length FROM pages)
 SELECT split_part(path, '/', -2) AS label, regexp_replace(split_part(path, '/', -1), '\.[^.]*$', '') AS stem, lower(regexp_extract(path, '\.([^.]*)$', 1)) AS extension, length FROM p
 WHERE regexp_matches(lower(path), '\.(flac|m4a|mp3|ogg|wav)$') AND split_part(path, '/', -2) IN ('hunger', 'tiredness') ORDER BY label, stem""")
 def scan_labelled_files(spark, d):

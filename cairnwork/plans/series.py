@@ -240,42 +240,117 @@ def joined(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "series_id"), parts)
 
 
-@query("clip_vector_411")
+# ---------------------------------------------------------------- whole vectors: blocks in order, a row a value
+
+LOGS = min(20, len(USED))
+
+
+def delta_ctes(source: str, out: str, order: int) -> str:
+    """CTE `out` (series_id, frame, k, c): the derivative of source; zeros for series of fewer than nine frames."""
+    tap = "o / 60.0::DOUBLE" if order == 1 else "2 * (o * o - 60 / 9.0::DOUBLE) / 308"
+    return f"""{out}_n AS (SELECT *, row_number() OVER (PARTITION BY series_id, k ORDER BY frame) - 1 AS at, count(*) OVER (PARTITION BY series_id, k) AS n FROM {source}),
+{out} AS (SELECT a.series_id, a.frame, a.k, sum(b.c * ({tap})) AS c FROM {out}_n a, range(-4, 5) q(o) JOIN {out}_n b ON b.series_id = a.series_id AND b.k = a.k AND b.at = least(greatest(a.at, 4), a.n - 5) + o WHERE a.n >= 9 GROUP BY ALL
+UNION ALL SELECT series_id, frame, k, 0 FROM {out}_n WHERE n < 9)"""
+
+
+LOGCEP = f"""lb(band, bin) AS (VALUES {LOGVALUES}), le AS (SELECT series_id, frame, band, sum(p) AS e FROM spec JOIN lb USING (bin) GROUP BY ALL),
+ldb AS (SELECT series_id, frame, band, greatest(10 * log10(greatest(e, 1e-10) / greatest(max(e) OVER (PARTITION BY series_id), 1e-10)), -80) AS db FROM le),
+lcep AS (SELECT series_id, frame, j::INT AS k, sum(db * sqrt(CASE WHEN j = 0 THEN 1 ELSE 2 END / {len(USED)}) * cos(pi() * j * (2 * band + 1) / (2 * {len(USED)}))) AS c FROM ldb, range({LOGS}) q(j) GROUP BY ALL)"""
+CONTRAST = f"ob(band, lo, hi) AS (VALUES {', '.join(f'({b}, {lo}, {hi})' for b, (lo, hi) in enumerate(OCTAVES))}), con AS (SELECT series_id, frame, band AS k, 10 * log10(greatest(max(sqrt(p)), 1e-10) / greatest(min(sqrt(p)), 1e-10)) AS c FROM spec JOIN ob ON bin >= lo AND bin < hi GROUP BY ALL)"
+CHROMA = f"""pm(bin, class) AS (VALUES {', '.join(f'({k}, {c})' for k, c in enumerate(CLASSES) if c is not None)}), cg AS (SELECT series_id, frame, q.c::INT AS class, coalesce(sum(p) FILTER (pm.class = q.c), 0) AS e FROM spec LEFT JOIN pm USING (bin), range(12) q(c) GROUP BY ALL),
+chr AS (SELECT series_id, frame, class AS k, e / max(e) OVER (PARTITION BY series_id, frame) AS c FROM cg)"""
+WAVE = f"wave AS (SELECT series_id, frame, count(*) FILTER ((x >= 0) <> (p >= 0)) / {N} AS zcr, sqrt(avg(x * x)) AS rms FROM (SELECT *, lag(x) OVER (PARTITION BY series_id, frame ORDER BY i) AS p FROM frames) GROUP BY ALL)"
+ONLY = lambda whole, start: whole[len(start) :].lstrip(", \n")  # noqa: E731 - CTEs behind those of start
+PITCH = ONLY(TRACK, FRAMES) + """,
+fn AS (SELECT series_id, count(DISTINCT frame) AS frames FROM frames GROUP BY ALL), fk AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY frame) - 1 AS k FROM track),
+fs AS (SELECT series_id, avg(f0) AS m, stddev_pop(f0) AS s, max(f0) AS hi, min(f0) AS lo, count(*) AS n, coalesce(regr_slope(f0, k), 0) AS sl FROM fk GROUP BY ALL),
+pitch AS (SELECT series_id, coalesce(m, 0) AS f0_mean, coalesce(s, 0) AS f0_std, coalesce(hi, 0) AS f0_max, coalesce(lo, 0) AS f0_min, coalesce(hi - lo, 0) AS f0_range, coalesce(fs.n, 0) / frames AS voiced, coalesce(CASE WHEN isnan(sl) THEN 0 ELSE sl END, 0) AS f0_slope FROM fn LEFT JOIN fs USING (series_id))"""
+PITCHES = ["f0_mean", "f0_std", "f0_max", "f0_min", "f0_range", "voiced", "f0_slope"]
+MEANS = ["zcr", "centroid", "rolloff", "bandwidth", "rms", "flatness"]
+FIVE = ["zcr", "centroid", "bandwidth", "rolloff", "rms"]
+SIX = ["mean", "std", "min", "max", "skew", "kurtosis"]
+TWO = ["mean", "std"]
+CEPSTRA = {"mfcc": ("cep", CEPS), "mfcc_d": ("d1", CEPS), "mfcc_dd": ("d2", CEPS), "cqcc": ("lcep", LOGS), "cqcc_d": ("l1", LOGS), "cqcc_dd": ("l2", LOGS)}
+POOLED = {**CEPSTRA, "contrast": ("con", len(OCTAVES)), "chroma": ("chr", 12)}
+NAMES_411 = [f"{b}_{k}_{s}" for b in CEPSTRA for s in TWO for k in range(CEPSTRA[b][1])] + PITCHES + [f"{b}_{k}_{s}" for b in ("contrast", "chroma") for s in TWO for k in range(POOLED[b][1])] + MEANS
+NAMES_750 = [f"{b}_{k}_{s}" for b in ("mfcc", "mfcc_d", "mfcc_dd") for k in range(CEPS) for s in SIX] + [f"{c}_{s}" for c in FIVE for s in SIX]
+NAMES_32 = ["f0_mean", "f0_std", "f0_range", "hyperphonation", "hnr", "jitter", "shimmer"] + [f"mfcc_{k}" for k in range(CEPS)] + [f"mfcc_d_{k}" for k in range(CEPS)]
+
+
+def two_sql(block: str) -> str:
+    table = POOLED[block][0]
+    return f"SELECT series_id, '{block}_' || k || '_mean' AS name, avg(c) AS v FROM {table} GROUP BY ALL UNION ALL SELECT series_id, '{block}_' || k || '_std', stddev_pop(c) FROM {table} GROUP BY ALL"
+
+
+def six_sql(prefix: str, table: str) -> str:
+    """`table` (series_id, k, c); prefix: an expression of k."""
+    stats = {"mean": "m", "std": "s", "min": "lo", "max": "hi", "skew": "CASE WHEN s = 0 THEN 0 ELSE a3 / power(s, 3) END", "kurtosis": "CASE WHEN s = 0 THEN 0 ELSE a4 / power(s, 4) - 3 END"}
+    inner = f"(SELECT t.series_id, t.k, any_value(m) AS m, any_value(s) AS s, any_value(lo) AS lo, any_value(hi) AS hi, avg(power(c - m, 3)) AS a3, avg(power(c - m, 4)) AS a4 FROM {table} t JOIN (SELECT series_id, k, avg(c) AS m, stddev_pop(c) AS s, min(c) AS lo, max(c) AS hi FROM {table} GROUP BY ALL) q ON q.series_id = t.series_id AND q.k = t.k GROUP BY t.series_id, t.k)"
+    return " UNION ALL ".join(f"SELECT series_id, {prefix} || '_{name}' AS name, {e} AS v FROM {inner}" for name, e in stats.items())
+
+
+def vector_sql(ctes: list[str], values: list[str], names: list[str], digits: int) -> str:
+    return f"WITH {', '.join(ctes)}, vals AS ({' UNION ALL '.join(values)}), pl AS (SELECT unnest(range({len(names)}))::INT AS place, unnest({names}) AS name) SELECT series_id, place, name, {r('v', digits)} AS value FROM vals JOIN pl USING (name)"
+
+
+def laid_out(vectors: DataFrame, names: list[str], digits: int) -> DataFrame:
+    """series_id, place, name, value of each entry of vector."""
+    long = vectors.select("series_id", F.posexplode("vector").alias("place", "value"))
+    return rounded(long.withColumn("name", F.get(F.array(*map(F.lit, names)), F.col("place"))), "value", digits=digits).select("series_id", "place", "name", "value")
+
+
+DELTAS = [delta_ctes("cep", "d1", 1), delta_ctes("cep", "d2", 2)]
+DESCRIBED = f"{WAVE}, de AS (SELECT * FROM wave JOIN cen USING (series_id, frame) JOIN bw USING (series_id, frame) JOIN ro USING (series_id, frame))"
+
+
+@query("clip_vector_411", vector_sql(
+    [CEP, *DELTAS, LOGCEP, delta_ctes("lcep", "l1", 1), delta_ctes("lcep", "l2", 2), PITCH, CONTRAST, CHROMA, ONLY(DESC, SPECTRUM), DESCRIBED],
+    [*[two_sql(b) for b in POOLED], *[f"SELECT series_id, '{n}', {n} FROM pitch" for n in PITCHES], *[f"SELECT series_id, '{n}', avg({n}) FROM de GROUP BY ALL" for n in MEANS]], NAMES_411, 4))
 def clip_vector_411(spark, d):
     """The blocks in order: cepstrum with deltas (mean, std each), log-frequency cepstrum likewise, pitch, contrast, chroma, descriptors."""
     f = frames(spark, d)
     s = sp.power_spectrum(f, N)
     c = sp.cepstrum(sp.to_db(sp.mel_bands(s, BANK)), BANDS, CEPS)
     q = sp.log_freq_cepstrum(s, N, RATE, LOW)
-    two = ["mean", "std"]
     blocks = {"mfcc": c, "mfcc_d": sp.delta(c, 1).withColumnRenamed("d", "c"), "mfcc_dd": sp.delta(c, 2).withColumnRenamed("d", "c"), "cqcc": q, "cqcc_d": sp.delta(q, 1).withColumnRenamed("d", "c"), "cqcc_dd": sp.delta(q, 2).withColumnRenamed("d", "c")}
-    pooled = [sp.vector(sp.pool_two(x, "c"), two, name) for name, x in blocks.items()]
-    pitch = fr.f0_summary(f, fr.f0_track(f, RATE, *LAGS))
-    pitch = pitch.select("series_id", F.array(*[c for c in pitch.columns if c != "series_id"]).alias("pitch"))
-    contrast = sp.vector(sp.pool_two(sp.contrast(s, N, RATE, 2.0), "contrast"), two, "contrast")
-    chroma = sp.vector(sp.pool_two(sp.chroma(s, N, RATE, 1.0), "chroma"), two, "chroma")
-    means = descriptor_means(f)
-    means = means.select("series_id", F.array(*[c for c in means.columns if c != "series_id"]).alias("descriptors"))
-    names = [*blocks, "pitch", "contrast", "chroma", "descriptors"]
+    pooled = [sp.vector(sp.pool_two(x, "c"), TWO, name) for name, x in blocks.items()]
+    pitch = fr.f0_summary(f, fr.f0_track(f, RATE, *LAGS)).select("series_id", F.array(*PITCHES).alias("pitch"))
+    contrast = sp.vector(sp.pool_two(sp.contrast(s, N, RATE, 2.0), "contrast"), TWO, "contrast")
+    chroma = sp.vector(sp.pool_two(sp.chroma(s, N, RATE, 1.0), "chroma"), TWO, "chroma")
+    means = descriptor_means(f).select("series_id", F.array(*MEANS).alias("descriptors"))
     whole = joined([*pooled, pitch, contrast, chroma, means])
-    return whole.select("series_id", F.concat(*names).alias("vector"), *[F.size(n).alias(f"n_{n}") for n in names])
+    return laid_out(whole.select("series_id", F.concat(*blocks, "pitch", "contrast", "chroma", "descriptors").alias("vector")), NAMES_411, 4)
 
 
-@query("clip_vector_750")
+@query("clip_vector_750", vector_sql(
+    [CEP, *DELTAS, ONLY(DESC, SPECTRUM), DESCRIBED, "five AS (" + " UNION ALL ".join(f"SELECT series_id, '{c}' AS k, {c} AS c FROM de" for c in FIVE) + ")"],
+    [*[six_sql(f"'{b}_' || k", CEPSTRA[b][0]) for b in ("mfcc", "mfcc_d", "mfcc_dd")], six_sql("k", "five")], NAMES_750, 3))
 def clip_vector_750(spark, d):
     """Cepstrum and both deltas with six statistics each, then five descriptors with six."""
     f = frames(spark, d)
     s = sp.power_spectrum(f, N)
     c = sp.cepstrum(sp.to_db(sp.mel_bands(s, BANK)), BANDS, CEPS)
-    six = ["mean", "std", "min", "max", "skew", "kurtosis"]
     wave = f.select("series_id", "frame", fr.zcr(F.col("x")).alias("zcr"), fr.rms(F.col("x")).alias("rms"))
-    five = wave.join(sp.descriptors(s, N, RATE), ["series_id", "frame"]).select("series_id", "frame", F.array("zcr", "centroid", "bandwidth", "rolloff", "rms").alias("c"))
+    five = wave.join(sp.descriptors(s, N, RATE), ["series_id", "frame"]).select("series_id", "frame", F.array(*FIVE).alias("c"))
     parts = {"mfcc": c, "mfcc_d": sp.delta(c, 1).withColumnRenamed("d", "c"), "mfcc_dd": sp.delta(c, 2).withColumnRenamed("d", "c"), "descriptors": five}
-    whole = joined([sp.vector(sp.pool_six(x, "c"), six, name, stat_major=False) for name, x in parts.items()])
-    return whole.select("series_id", F.concat(*parts).alias("vector"), *[F.size(n).alias(f"n_{n}") for n in parts])
+    whole = joined([sp.vector(sp.pool_six(x, "c"), SIX, name, stat_major=False) for name, x in parts.items()])
+    return laid_out(whole.select("series_id", F.concat(*parts).alias("vector")), NAMES_750, 3)
+
+
+def step_ratio(table: str, value: str, least: str) -> str:
+    return f"SELECT series_id, CASE WHEN count(*) < 2 OR avg({value}) = 0 THEN 0 ELSE avg(step) / avg({value}) END AS v FROM (SELECT *, abs({value} - lag({value}) OVER (PARTITION BY series_id ORDER BY frame)) AS step FROM {table} WHERE {least}) GROUP BY ALL"
+
+
+DOMAIN = f"""per AS (SELECT series_id, frame, 1 / greatest(f0, 1) AS p FROM track), jit AS ({step_ratio('per', 'p', 'true')}), hyp AS (SELECT series_id, avg((f0 >= 4)::INT) AS v FROM track GROUP BY ALL),
+pk AS (SELECT series_id, frame, max(abs(x)) AS p FROM frames GROUP BY ALL), shi AS ({step_ratio('pk', 'p', 'p > 1e-6')}), vo AS (SELECT series_id, count(*) AS n FROM track GROUP BY ALL),
+hq AS (SELECT series_id, frame, least(greatest(max(r) / any_value(r0), 1e-10), 1 - 1e-10) AS q FROM auto JOIN zero USING (series_id, frame) WHERE lag > 0 AND r0 >= 1e-10 GROUP BY ALL), har AS (SELECT series_id, avg(10 * log10(q / (1 - q))) AS v FROM hq GROUP BY ALL),
+dom AS (SELECT p.*, coalesce(hyp.v, 0) AS hyperphonation, coalesce(har.v, 0) AS hnr, coalesce(jit.v, 0) AS jitter, CASE WHEN coalesce(vo.n, 0) < 2 THEN 0 ELSE coalesce(shi.v, 0) END AS shimmer
+FROM pitch p LEFT JOIN hyp USING (series_id) LEFT JOIN har USING (series_id) LEFT JOIN jit USING (series_id) LEFT JOIN shi USING (series_id) LEFT JOIN vo USING (series_id))"""
 
 
-@query("domain_vector_32")
+@query("domain_vector_32", vector_sql(
+    [CEP, DELTAS[0], PITCH, DOMAIN],
+    [*[f"SELECT series_id, '{n}' AS name, {n} AS v FROM dom" for n in NAMES_32[:7]], "SELECT series_id, 'mfcc_' || k, avg(c) FROM cep GROUP BY ALL", "SELECT series_id, 'mfcc_d_' || k, avg(c) FROM d1 GROUP BY ALL"], NAMES_32, 4))
 def domain_vector_32(spark, d):
     """f0 mean, std, range; hyperphonation; HNR; jitter; shimmer; means of the cepstrum and its first delta."""
     f = frames(spark, d)
@@ -287,7 +362,7 @@ def domain_vector_32(spark, d):
     for part in (fr.hyperphonation(f0, 4.0), fr.hnr(f, N), fr.jitter(f0), fr.shimmer(f, f0)):
         whole = whole.join(part, "series_id", "left")
     scalars = [F.coalesce(c, F.lit(0.0)) for c in ("f0_mean", "f0_std", "f0_range", "hyperphonation", "hnr", "jitter", "shimmer")]
-    return joined([whole, means, deltas]).select("series_id", F.concat(F.array(*scalars), "cepstrum", "deltas").alias("vector"))
+    return laid_out(joined([whole, means, deltas]).select("series_id", F.concat(F.array(*scalars), "cepstrum", "deltas").alias("vector")), NAMES_32, 4)
 
 
 def mask_sql() -> str:

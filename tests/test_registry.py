@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, db, name):
 
 
 #: Queries without SQL that take long; their operators have tests of their own.
-SLOW = {"model_save_load", "kernel_svm", "boosted_trees", "grid_search_cv", "stacking_fit", "two_stage_classifier", "soft_label_fit", "clip_vector_411", "clip_vector_750", "gmm_effective_components"}
+SLOW = {"model_save_load", "kernel_svm", "boosted_trees", "random_forest", "feature_importance", "grid_search_cv", "stacking_fit", "two_stage_classifier", "soft_label_fit", "gmm_effective_components"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - SLOW))
