@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnwork.functions import arrays as A
-from cairnwork.functions.batches import summed
+from cairnwork.functions.batches import matrix, summed
 from cairnwork.functions.hashing import hashed_rank, order_key
 
 # ---------------------------------------------------------------- Gaussian mixtures, one a class
@@ -38,31 +38,63 @@ def components_for(n: int) -> int:
     return min(8, max(2, n // 5))
 
 
-def fit_gmm(train: DataFrame, key: str, rounds: int = 10, reg: float = 1e-3, most: int = 8, seed: int = 42) -> DataFrame:
+def fit_gmm(train: DataFrame, key: str, rounds: int = 300, reg: float = 1e-3, most: int = 8, seed: int = 42, tolerance: float = 1e-3) -> DataFrame:
     """params (class, comp, weight, mean, var): expectation maximisation with diagonal covariance, per class.
 
-    A class of n rows has min(most, min(8, max(2, n // 5))) components; means start at rows picked by hash.
+    A class of n rows has min(most, min(8, max(2, n // 5))) components; means start at rows picked by hash. Tasks add up
+    responsibilities of their batches, one array a task comes back each round. A class stops when its mean log-likelihood gains less than tolerance, all after
+    `rounds`.
     """
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}  # a row a class
     spark = train.sparkSession
-    want = spark.createDataFrame([(c, min(most, components_for(n), n)) for c, n in sizes.items()], f"label {train.schema['label'].dataType.simpleString()}, comps int")
+    kind = train.schema["label"].dataType.simpleString()
+    want = spark.createDataFrame([(c, min(most, components_for(n), n)) for c, n in sizes.items()], f"label {kind}, comps int")
     ranked = hashed_rank(train.select(key, "label", "v"), ["label"], order_key(seed, key), "place").join(F.broadcast(want), "label").where("place <= comps")
     spread = train.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg((F.var_pop("x") + reg).alias("s"))
     spread = spread.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda s: s["s"]).alias("var"))
-    params = ranked.join(spread, "label").select(F.col("label").alias("class"), (F.col("place") - 1).cast("int").alias("comp"), (1.0 / F.col("comps")).alias("weight"), F.col("v").alias("mean"), "var")
+    params: dict = {}
+    for r in ranked.join(spread, "label").select("label", "place", "comps", "v", "var").orderBy("label", "place").collect():  # classes x components rows
+        params.setdefault(r["label"], []).append((1.0 / r["comps"], r["v"], r["var"]))
+    params = {c: tuple(np.array(x, float) for x in zip(*p, strict=True)) for c, p in params.items()}
+    rows, going, before = train.select("label", "v"), set(params), {}
     for _ in range(rounds):
-        params = spark.createDataFrame(params.collect(), params.schema)  # classes x components rows: lineage ends here
-        own = component_scores(train, params).withColumn("own", F.filter("comps", lambda c: c["class"] == F.col("label")))
-        own = own.withColumn("whole", A.logsumexp(F.transform("own", lambda c: c["lp"])))
-        shares = own.select("label", "v", "whole", F.explode("own").alias("c")).select("label", F.col("c.comp").alias("comp"), F.exp(F.col("c.lp") - F.col("whole")).alias("r"), F.posexplode("v").alias("k", "x"))
-        sums = shares.groupBy("label", "comp", "k").agg(F.sum("r").alias("n"), F.sum(F.col("r") * F.col("x")).alias("sx"), F.sum(F.col("r") * F.col("x") * F.col("x")).alias("sxx"))
-        mean = F.col("sx") / F.greatest("n", F.lit(1e-12))
-        stats = sums.select("label", "comp", "k", "n", mean.alias("m"), (F.greatest(F.col("sxx") / F.greatest("n", F.lit(1e-12)) - mean * mean, F.lit(0.0)) + reg).alias("s"))
-        rows = F.array_sort(F.collect_list(F.struct("k", "m", "s")))
-        stats = stats.groupBy("label", "comp").agg(F.max("n").alias("n"), rows.alias("r"))
-        counts = spark.createDataFrame(list(sizes.items()), f"label {train.schema['label'].dataType.simpleString()}, rows long")
-        params = stats.join(F.broadcast(counts), "label").select(F.col("label").alias("class"), "comp", F.greatest(F.col("n") / F.col("rows"), F.lit(1e-12)).alias("weight"), F.transform("r", lambda s: s["m"]).alias("mean"), F.transform("r", lambda s: s["s"]).alias("var"))
-    return spark.createDataFrame(params.collect(), params.schema)
+        now = {c: params[c] for c in params if c in going}
+        place, size = {}, 0
+        for c, (_, mean, _) in now.items():
+            place[c], size = size, size + 1 + len(mean) * (1 + 2 * mean.shape[1])
+
+        def add(total: np.ndarray, batch: pa.RecordBatch, now: dict = now, place: dict = place) -> None:
+            of, v = np.array(batch.column("label").to_pylist()), matrix(batch.column("v"))
+            for c, (weight, mean, var) in now.items():
+                x = v[of == c]
+                if not len(x):
+                    continue
+                # (x - m)^2 / s in parts, so that no rows x components x features array is made
+                lp = np.log(weight) - 0.5 * (x * x @ (1 / var).T - 2 * x @ (mean / var).T + (mean * mean / var + np.log(2 * np.pi * var)).sum(1))
+                whole = np.logaddexp.reduce(lp, axis=1)
+                share = np.exp(lp - whole[:, None])
+                k, d = mean.shape
+                out = total[place[c] : place[c] + 1 + k * (1 + 2 * d)]
+                out[0] += whole.sum()
+                out[1 : 1 + k] += share.sum(0)
+                out[1 + k : 1 + k + k * d] += (share.T @ x).ravel()
+                out[1 + k + k * d :] += (share.T @ (x * x)).ravel()
+
+        sums = summed(rows, size, add)
+        for c, (weight, mean, _) in now.items():
+            k, d = mean.shape
+            own = sums[place[c] : place[c] + 1 + k * (1 + 2 * d)]
+            n = own[1 : 1 + k]
+            safe = np.maximum(n, 1e-12)[:, None]
+            centre = own[1 + k : 1 + k + k * d].reshape(k, d) / safe
+            params[c] = (np.maximum(n / sizes[c], 1e-12), centre, np.maximum(own[1 + k + k * d :].reshape(k, d) / safe - centre**2, 0) + reg)
+            if c in before and (own[0] - before[c]) / sizes[c] < tolerance:
+                going.discard(c)
+            before[c] = own[0]
+        if not going:
+            break
+    made = [(c, k, float(w), m.tolist(), s.tolist()) for c, p in params.items() for k, (w, m, s) in enumerate(zip(*p, strict=True))]
+    return spark.createDataFrame(made, f"class {kind}, comp int, weight double, mean array<double>, var array<double>")
 
 
 def gmm_scores(rows: DataFrame, params: DataFrame, priors: DataFrame) -> DataFrame:
