@@ -29,7 +29,8 @@ join its components, fewer than members. Round 4 verifies all pairs left between
   - any other is split by its members' rare shingles: two sets that link share one of the first n - ceil(percent * n / 100) + 1
     shingles in ascending order of frequency (and t of the first n - ceil(percent * n / 100) + t). Buckets of the least shared
     shingle, then of the least two and so on (LEVELS of them) go the same ways; a family whose members differ enough
-    to have shingles of their own leaves at once, in time linear in its shingles. What is still large behind the
+    to have shingles of their own leaves at once, in time linear in its shingles. Of the many buckets that two sets share there, the one of
+    their first common shingles alone gives the pair, so that it comes once, not once a choice. What is still large behind the
     last level is compared in pairs of chunks, spread over tasks: exact, and the only step that costs a square.
 Pairs whose parity sketches differ in more bits than the sets may differ in elements are out (a bound, it loses no link); the others are
 verified on complete sets, in the JVM. Components come from rounds of hooking to the least neighbour and pointer jumping, in Spark.
@@ -388,11 +389,15 @@ def _forest(keys: np.ndarray, labels: np.ndarray, a: np.ndarray, b: np.ndarray,
     return np.array(chosen, np.int64)
 
 
-def _compared(units: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+def _compared(units: DataFrame, sets: DataFrame, percent: int, forest: bool, level: int = 0) -> DataFrame:
     """Pairs of different components in one unit (unit, i, j, own, node, label) whose sketches allow a link; forest: see _forest().
 
     i and j number the chunks that a unit holds, own the one a row is of; where i and j differ, only pairs across them count.
+    level: how many rare shingles the unit stands for; units then has `before`, the row's rare shingles up to the last of these, and
+    only pairs that have no other one in common there count: they meet in the unit of their first common ones.
     """
+    if not level:
+        units = units.withColumn("before", F.array().cast("array<long>"))
     rows = units.join(sets.select("node", "n", "sketch"), "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,26 +413,26 @@ def _compared(units: DataFrame, sets: DataFrame, percent: int, forest: bool) ->
             for start, end in zip([0, *ends], ends, strict=False):
                 key = (unit[start], i[start], j[start])
                 if held and held[0][0] != key:
-                    yield from _pairs_of(held, percent, forest)
+                    yield from _pairs_of(held, percent, forest, level)
                     held = []
-                held.append((key, [c[start:end] for c in columns[3:]], at[start : end + 1], words))
+                held.append((key, [c[start:end] for c in columns[3:]], at[start : end + 1], words, batch.column(8)[start:end]))
         if held:
-            yield from _pairs_of(held, percent, forest)
+            yield from _pairs_of(held, percent, forest, level)
 
-    return rows.select("unit", "i", "j", "own", "node", "label", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("unit", "i", "j", "own", "node", "label", "n", "sketch", "before").mapInArrow(run, "a long, b long").distinct()
 
 
-def _pairs_of(held: list[tuple], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    """The pairs of one unit; held: runs of its rows as (key, own and node and label and n, offsets of the sketches, words)."""
+def _pairs_of(held: list[tuple], percent: int, forest: bool, level: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of one unit; held: runs of its rows as (key, own and node and label and n, offsets of the sketches, words, shingles before)."""
     own, keys, labels, sizes = (np.concatenate(x) for x in zip(*(h[1] for h in held), strict=True))
     if len(keys) < 2:
         return
-    widths = np.concatenate([np.diff(at) for _, _, at, _ in held])
+    widths = np.concatenate([np.diff(at) for _, _, at, _, _ in held])
     width = int(widths.min())
     if (widths == width).all():
-        bits = np.concatenate([words[at[0] : at[-1]] for _, _, at, words in held]).reshape(-1, width)
+        bits = np.concatenate([words[at[0] : at[-1]] for _, _, at, words, _ in held]).reshape(-1, width)
     else:
-        bits = np.array([_folded(words[a:b], width) for _, _, at, words in held for a, b in zip(at[:-1], at[1:], strict=True)])
+        bits = np.array([_folded(words[a:b], width) for _, _, at, words, _ in held for a, b in zip(at[:-1], at[1:], strict=True)])
     (_, i, j), every = held[0][0], np.arange(len(keys))
     found = []
     step = max(1, (1 << 18) // (len(keys) * width))
@@ -441,6 +446,10 @@ def _pairs_of(held: list[tuple], percent: int, forest: bool) -> Iterator[pa.Reco
         x, y = np.nonzero(fine)
         found.append((x + at, y + at, d[x, y]))
     x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    if level and len(x):
+        before = [frozenset(row) for *_, rows in held for row in rows.to_pylist()]
+        first = np.array([len(before[i] & before[j]) == level for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+        x, y, d = x[first], y[first], d[first]
     a, b = keys[x], keys[y]
     if forest and len(a):
         chosen = _forest(keys, labels, a, b, d)
@@ -480,13 +489,14 @@ def _all_left(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
         few = rows.join(fine.select("unit", "size", "largest", chunks), "unit")
         # small units are one chunk; of larger ones each chunk of the largest component meets all that is outside of it
         numbers = F.when(F.col("size") <= CHUNK, F.array(F.lit(0))).when(F.col("label") == F.col("largest"), F.array(_dealt(F.col("chunks"), 0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-        few = few.withColumn("i", F.explode(numbers)).select("unit", "i", F.col("i").alias("j"), F.lit(0).alias("own"), "node", "label")
-        made.append(_compared(few, sets, percent, False))
+        more = ["before"] * bool(level)
+        few = few.withColumn("i", F.explode(numbers)).select("unit", "i", F.col("i").alias("j"), F.lit(0).alias("own"), "node", "label", *more)
+        made.append(_compared(few, sets, percent, False, level))
         if large.isEmpty():
             break
         if level == LEVELS:  # pairs of chunks
             every = rows.join(large, "unit").withColumn("own", _dealt(F.col("chunks"), 0)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            made.append(_compared(every.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label"), sets, percent, False))
+            made.append(_compared(every.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "before"), sets, percent, False, level))
             break
         rows, _ = store(rows.join(large.select("unit"), "unit", "left_semi"), "level")
         if rare is None:
@@ -494,8 +504,9 @@ def _all_left(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
             rows = rows.select("node", "label").distinct().withColumns({"unit": F.lit(0).cast("long"), "place": F.lit(0)})
         # the next shared shingle, in ascending order of frequency, among the first of the set
         deeper = rows.join(rare, "node").withColumn("next", F.slice("rare", F.col("place") + 1, F.col("free") + level - F.col("place")))
-        deeper = deeper.select("node", "label", "unit", "place", F.posexplode("next").alias("k", "item")).where("item IS NOT NULL")
-        rows, _ = store(deeper.select(F.xxhash64("unit", "item").alias("unit"), "node", "label", (F.col("place") + F.col("k") + 1).cast("int").alias("place")), "level")
+        deeper = deeper.select("node", "label", "unit", "place", "rare", F.posexplode("next").alias("k", "item")).where("item IS NOT NULL")
+        deeper = deeper.withColumn("place", (F.col("place") + F.col("k") + 1).cast("int")).withColumn("before", F.filter(F.slice("rare", F.lit(1), F.col("place")), lambda x: x.isNotNull()))
+        rows, _ = store(deeper.select(F.xxhash64("unit", "item").alias("unit"), "node", "label", "place", "before"), "level")
     out = made[0]
     for more in made[1:]:
         out = out.unionByName(more)
