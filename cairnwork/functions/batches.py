@@ -20,10 +20,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(flat, float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def summed(df: DataFrame, size: int, add: Callable[[np.ndarray, pa.RecordBatch], None]) -> np.ndarray:
+def summed(df: DataFrame, size: int, add: Callable[[np.ndarray, pa.RecordBatch], None], parts: int | None = None) -> np.ndarray:
     """add(total, batch) adds what a batch contributes to total, an array of `size` doubles; the sum over all batches.
 
-    Each task sends one array. Where there are more tasks than MOST_PARTS, their arrays are added up by tasks first.
+    Each task sends one array. Where there are more tasks than MOST_PARTS, their arrays are added up by tasks first. parts: df's
+    partitions, for those who ask often and know them.
     """
     ship(df.sparkSession)
 
@@ -40,8 +41,8 @@ def summed(df: DataFrame, size: int, add: Callable[[np.ndarray, pa.RecordBatch],
                 total += part.values.to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
 
-    parts = df.mapInArrow(run, "s array<double>")
-    if df.rdd.getNumPartitions() > MOST_PARTS:
-        parts = parts.repartition(MOST_PARTS // 4).mapInArrow(again, "s array<double>")
-    found = parts.toArrow().column("s")
+    made = df.mapInArrow(run, "s array<double>")
+    if (df.rdd.getNumPartitions() if parts is None else parts) > MOST_PARTS:
+        made = made.repartition(MOST_PARTS // 4).mapInArrow(again, "s array<double>")
+    found = made.toArrow().column("s")
     return np.sum([x.values.to_numpy() for x in found], axis=0) if len(found) else np.zeros(size)

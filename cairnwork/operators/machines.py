@@ -95,7 +95,8 @@ def fit(rows: DataFrame, settings: list[Setting], dims: int, classes: list[int],
             for c in np.unique(of):
                 out[k, c] += z[of == c].T @ z[of == c]
 
-    gram = summed(rows, int(np.prod(gram_shape)), add_gram).reshape(gram_shape)
+    parts = rows.rdd.getNumPartitions()
+    gram = summed(rows, int(np.prod(gram_shape)), add_gram, parts).reshape(gram_shape)
     bound = np.empty((*shape, width))
     own_weight = np.diag([1.0] * features + [1e-8])
     for s, setting in enumerate(settings):
@@ -119,7 +120,7 @@ def fit(rows: DataFrame, settings: list[Setting], dims: int, classes: list[int],
                     short *= (sign != 0) & (short * sign < 0)
                     out[s] += short.T @ z
 
-        slope = 2 * np.array([s.c for s in settings])[:, None, None] * summed(rows, int(np.prod(shape)), add).reshape(shape)
+        slope = 2 * np.array([s.c for s in settings])[:, None, None] * summed(rows, int(np.prod(shape)), add, parts).reshape(shape)
         slope += now * np.diag(own_weight)
         after = now - np.einsum("spij,spj->spi", inverse, slope)
         step = after - weights

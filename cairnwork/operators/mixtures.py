@@ -56,7 +56,8 @@ def fit_gmm(train: DataFrame, key: str, rounds: int = 300, reg: float = 1e-3, mo
     for r in ranked.join(spread, "label").select("label", "place", "comps", "v", "var").orderBy("label", "place").collect():  # classes x components rows
         params.setdefault(r["label"], []).append((1.0 / r["comps"], r["v"], r["var"]))
     params = {c: tuple(np.array(x, float) for x in zip(*p, strict=True)) for c, p in params.items()}
-    rows, going, before = train.select("label", "v"), set(params), {}
+    rows, going, before = train.select("label", "v").persist(), set(params), {}
+    parts = rows.rdd.getNumPartitions()
     for _ in range(rounds):
         now = {c: params[c] for c in params if c in going}
         place, size = {}, 0
@@ -80,7 +81,7 @@ def fit_gmm(train: DataFrame, key: str, rounds: int = 300, reg: float = 1e-3, mo
                 out[1 + k : 1 + k + k * d] += (share.T @ x).ravel()
                 out[1 + k + k * d :] += (share.T @ (x * x)).ravel()
 
-        sums = summed(rows, size, add)
+        sums = summed(rows, size, add, parts)
         for c, (weight, mean, _) in now.items():
             k, d = mean.shape
             own = sums[place[c] : place[c] + 1 + k * (1 + 2 * d)]
@@ -93,6 +94,7 @@ def fit_gmm(train: DataFrame, key: str, rounds: int = 300, reg: float = 1e-3, mo
             before[c] = own[0]
         if not going:
             break
+    rows.unpersist()
     made = [(c, k, float(w), m.tolist(), s.tolist()) for c, p in params.items() for k, (w, m, s) in enumerate(zip(*p, strict=True))]
     return spark.createDataFrame(made, f"class {kind}, comp int, weight double, mean array<double>, var array<double>")
 
@@ -207,6 +209,8 @@ def fit_hmm(sequences: DataFrame, states: int = 8, rounds: int = 150, reg: float
         k = len(p[2])
         place[c], size = size, size + 1 + 3 * k + k * k
     history: list[dict] = []
+    rows = sequences.select("class", F.col("x").cast("array<double>").alias("x")).persist()
+    parts = rows.rdd.getNumPartitions()
     for _ in range(rounds):
 
         def add(total: np.ndarray, batch: pa.RecordBatch, current: dict = params) -> None:
@@ -222,7 +226,7 @@ def fit_hmm(sequences: DataFrame, states: int = 8, rounds: int = 150, reg: float
                     total[at + 1 : at + 1 + 3 * k] += np.concatenate([np.einsum("nts,nt->s", shares, v**power) for power in range(3)])
                     total[at + 1 + 3 * k : at + 1 + 3 * k + k * k] += moves.ravel()
 
-        sums = summed(sequences.select("class", F.col("x").cast("array<double>").alias("x")), size, add)
+        sums = summed(rows, size, add, parts)
         history.append({c: float(sums[place[c]]) for c in params})
         if len(history) > 1 and all(ll - history[-2][c] <= tolerance for c, ll in history[-1].items()):
             break
@@ -237,6 +241,7 @@ def fit_hmm(sequences: DataFrame, states: int = 8, rounds: int = 150, reg: float
             spread = np.where(seen, np.maximum(wxx / safe - centre**2, 0) + reg, var)
             new[c] = (start, np.where(whole > 1e-12, moves / np.maximum(whole, 1e-12), move), centre, spread)
         params = new
+    rows.unpersist()
     return params, history
 
 
