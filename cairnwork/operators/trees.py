@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,19 @@ class Block:
     scores: np.ndarray | None = None
 
 
-def blocks(rows: DataFrame, cuts: list[np.ndarray], classes: list[int], key: str | None) -> RDD:
-    """rows (label, v and key, if there is one) as Blocks; without a key a row's own values are hashed."""
+def _together(part: Iterable[Block]) -> Iterator[Block]:
+    """Small blocks of a partition as larger ones."""
+    held: list[Block] = []
+    for block in chain(part, [None]):
+        if held and (block is None or sum(len(b.ids) for b in held) + len(block.ids) > BLOCK_ROWS):
+            yield Block(*(np.concatenate([getattr(b, name) for b in held]) for name in ("ids", "classes", "x")))
+            held = []
+        if block is not None:
+            held.append(block)
+
+
+def blocks(rows: DataFrame, cuts: list[np.ndarray], classes: list[int], key: str | None, n: int) -> RDD:
+    """n rows (label, v and key, if there is one) as Blocks; without a key a row's own values are hashed. A partition holds a block's rows at least, where there are as many."""
     ship(rows.sparkSession)
     ident = F.xxhash64(key) if key else F.xxhash64("v", "label")
 
@@ -74,7 +86,8 @@ def blocks(rows: DataFrame, cuts: list[np.ndarray], classes: list[int], key: str
 
     made = rows.select(ident.alias("id"), F.col("label").cast("int").alias("label"), "v").mapInArrow(run, "ids binary, classes binary, x binary")
     dims = len(cuts)
-    return made.rdd.map(lambda r: Block(np.frombuffer(r.ids, np.int64), np.frombuffer(r.classes, np.int32), np.frombuffer(r.x, np.uint8).reshape(-1, dims)))
+    found = made.rdd.map(lambda r: Block(np.frombuffer(r.ids, np.int64), np.frombuffer(r.classes, np.int32), np.frombuffer(r.x, np.uint8).reshape(-1, dims)))
+    return found.coalesce(max(1, min(found.getNumPartitions(), -(-n // BLOCK_ROWS)))).mapPartitions(_together)
 
 
 def uniforms(ids: np.ndarray, *salts: int) -> np.ndarray:
@@ -314,7 +327,7 @@ class Forest(TreeModel):
         rows = train.persist()
         self.classes, weights, n = _classes(rows)
         self.cuts = cut_points(rows)
-        data = blocks(rows, self.cuts, self.classes, key).persist(StorageLevel.MEMORY_AND_DISK)
+        data = blocks(rows, self.cuts, self.classes, key, n).persist(StorageLevel.MEMORY_AND_DISK)
         k, d = len(self.classes), len(self.cuts)
         some = max(1, int(d**0.5))
 
@@ -377,7 +390,7 @@ class BoostedTrees(TreeModel):
             block.scores = np.zeros((len(block.ids), k))
             return block
 
-        data = blocks(rows, self.cuts, self.classes, key).map(begun).persist(StorageLevel.MEMORY_AND_DISK)
+        data = blocks(rows, self.cuts, self.classes, key, n).map(begun).persist(StorageLevel.MEMORY_AND_DISK)
         _checkpoint_folder(train.sparkSession)
         self.trees, last = [], None
         for number in range(rounds):
