@@ -56,7 +56,7 @@ def test_stages_take_odd_rows(spark):
 
 def test_run_and_queries(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     for name in ("op1_exact_dedup", "op4_fingerprints", "op5_license_scan", "op7_html_extract", "op8_secret_scan"):
         table = "pages" if name.startswith("op7") else "documents"
         assert queries.QUERIES[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
