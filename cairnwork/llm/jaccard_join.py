@@ -52,6 +52,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.llm import textarrays as ta
+from cairnwork.llm import tokens
 from cairnwork.llm.common import load, mark, release, ship, store
 
 BAND_GROWTH = 1.3
@@ -401,6 +402,7 @@ def _compared(units: DataFrame, sets: DataFrame, percent: int, forest: bool, lev
     rows = units.join(sets.select("node", "n", "sketch"), "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()  # what other stages remember in this worker takes room from this one
         held: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
@@ -447,8 +449,13 @@ def _pairs_of(held: list[tuple], percent: int, forest: bool, level: int) -> Iter
         found.append((x + at, y + at, d[x, y]))
     x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
     if level and len(x):
-        before = [frozenset(row) for *_, rows in held for row in rows.to_pylist()]
-        first = np.array([len(before[i] & before[j]) == level for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+        runs = np.cumsum([0, *(len(rows) for *_, rows in held)])
+
+        def shingles(row: int) -> np.ndarray:
+            k = int(np.searchsorted(runs, row, "right")) - 1
+            return held[k][4][row - int(runs[k])].values.to_numpy()
+
+        first = np.array([len(np.intersect1d(shingles(i), shingles(j), assume_unique=True)) == level for i, j in zip(x.tolist(), y.tolist(), strict=True)])
         x, y, d = x[first], y[first], d[first]
     a, b = keys[x], keys[y]
     if forest and len(a):

@@ -180,6 +180,12 @@ def encoder(path: str, kind: type[Encoder], code: str = "I", pieces: int = MEMO_
     return _encoders[path, code]
 
 
+def forget() -> None:
+    """Empties the memos of this worker process; they fill again where texts are encoded."""
+    for e in _encoders.values():
+        e.memo = Memo(e, {})
+
+
 def vocabulary(path: str) -> int:
     """One more than the greatest id of a tokenizer."""
     from tokenizers import Tokenizer
