@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -299,6 +299,11 @@ def laid_out(vectors: DataFrame, names: list[str], digits: int) -> DataFrame:
     return rounded(long.withColumn("name", F.get(F.array(*map(F.lit, names)), F.col("place"))), "value", digits=digits).select("series_id", "place", "name", "value")
 
 
+def settled(vector: Column) -> Column:
+    """Values without the last bits, which follow the order of rows: halfway values round away from zero whatever the order."""
+    return F.transform(vector, lambda v: F.round(v, 9))
+
+
 DELTAS = [delta_ctes("cep", "d1", 1), delta_ctes("cep", "d2", 2)]
 DESCRIBED = f"{WAVE}, de AS (SELECT * FROM wave JOIN cen USING (series_id, frame) JOIN bw USING (series_id, frame) JOIN ro USING (series_id, frame))"
 
@@ -334,7 +339,7 @@ def clip_vector_750(spark, d):
     five = wave.join(sp.descriptors(s, N, RATE), ["series_id", "frame"]).select("series_id", "frame", F.array(*FIVE).alias("c"))
     parts = {"mfcc": c, "mfcc_d": sp.delta(c, 1).withColumnRenamed("d", "c"), "mfcc_dd": sp.delta(c, 2).withColumnRenamed("d", "c"), "descriptors": five}
     whole = joined([sp.vector(sp.pool_six(x, "c"), SIX, name, stat_major=False) for name, x in parts.items()])
-    return laid_out(whole.select("series_id", F.concat(*parts).alias("vector")), NAMES_750, 3)
+    return laid_out(whole.select("series_id", settled(F.concat(*parts)).alias("vector")), NAMES_750, 3)
 
 
 def step_ratio(table: str, value: str, least: str) -> str:

@@ -711,3 +711,19 @@ def test_transforms_by_chunks(spark, size):
     for r in transforms.compose(df, ["shift_right", "flip", "shift_left"], size).collect():
         v = x[r.series_id]
         assert r.x == (-v[r.t] if r.t + 4 < len(v) else 0.0)
+
+
+def test_halfway_values_round_away_from_zero_in_any_order(spark):
+    """Kurtosis -0.7325, -0.7325 and -0.5625 exactly; sums in other orders end a bit above or below."""
+    from cairnwork.plans import series
+
+    rng = np.random.default_rng(11)
+    want, rows = {}, []
+    for values, kurtosis in (([4, 3, 4, 2, 5, 3, 3], -0.733), ([6, 4, 5, 4, 3, 5, 4], -0.733), ([3, 1, 1, 1, 6, 3, 1, 4], -0.563)):
+        for _ in range(20):
+            want[len(want)] = kurtosis
+            rows += [(len(want) - 1, k, [float(x)]) for k, x in enumerate(rng.permutation(values))]
+    pooled = spectral.pool_six(spark.createDataFrame(rows, "series_id long, frame long, c array<double>"), "c")
+    whole = spectral.vector(pooled, series.SIX, "v", stat_major=False).select("series_id", series.settled(F.col("v")).alias("vector"))
+    found = series.laid_out(whole, series.SIX, 3).where("name = 'kurtosis'").collect()
+    assert {r.series_id: r.value for r in found} == want
