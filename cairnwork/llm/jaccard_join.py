@@ -503,7 +503,7 @@ def _all_left(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
             break
         if level == LEVELS:  # pairs of chunks
             every = rows.join(large, "unit").withColumn("own", _dealt(F.col("chunks"), 0)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            made.append(_compared(every.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "before"), sets, percent, False, level))
+            made.append(_compared(every.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", *more), sets, percent, False, level))
             break
         rows, _ = store(rows.join(large.select("unit"), "unit", "left_semi"), "level")
         if rare is None:
