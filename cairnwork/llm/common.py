@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -81,6 +82,13 @@ def release(spark: SparkSession, since: int, *keep: str) -> None:
         _stored.remove(path)
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed; allocators keep it otherwise, and a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc; numpy's arrays are there
+        trim(0)
+
+
 def text_or_empty(col: str) -> F.Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from cairnwork.llm import textarrays as ta
 from cairnwork.llm import tokens
-from cairnwork.llm.common import load, mark, release, ship, store
+from cairnwork.llm.common import give_back, load, mark, release, ship, store
 
 BAND_GROWTH = 1.3
 SPARE = 2
@@ -258,10 +258,12 @@ def _nodes(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
     """Of every document doc_id, sid, tie (a hash of the text), n (set size), k1 and k2 (the set's key; null for an empty set), need0 and need1 (see needs())."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()  # what other stages remember in this worker takes room from this one
         bands = Bands(percent)
         for batch in batches:
             ids = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
             yield _batch([(*i, len(items), *(key or (None, None)), *(needs(items, bands, rows) if key else (0, 0))) for i, (items, key) in zip(ids, shingle_sets(batch.column(3), n), strict=True)], NODES)
+        give_back()
 
     return docs.select("doc_id", _sid().alias("sid"), F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, sid long, tie long, n long, k1 long, k2 long, need0 int, need1 int")
 
@@ -273,6 +275,7 @@ def _written(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         bands, seen, out, keys, size = Bands(percent), set(), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -301,6 +304,8 @@ def _written(docs: DataFrame, n: int, percent: int, rows: int) -> DataFrame:
                     out, keys, size = [], [], 0
         if size:
             yield from flush()
+        del out, keys, seen
+        give_back()
 
     return docs.select("text").mapInArrow(run, "signature long, k1 long, known boolean, part int")
 
@@ -319,6 +324,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     yield _batch(out, kinds)
                     out, size = [], 0
             yield _batch(out, kinds)
+        give_back()
 
     kinds = {"node": pa.int64(), "n": pa.int64(), "items": pa.list_(pa.int64()), "sketch": pa.list_(pa.int64())}
     found = docs.select(_sid().alias("sid"), "text").join(wanted.hint("shuffle_hash"), "sid").select("node", "w1", "w2", "text")
@@ -402,7 +408,7 @@ def _compared(units: DataFrame, sets: DataFrame, percent: int, forest: bool, lev
     rows = units.join(sets.select("node", "n", "sketch"), "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens.forget()  # what other stages remember in this worker takes room from this one
+        tokens.forget()
         held: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
@@ -420,6 +426,8 @@ def _compared(units: DataFrame, sets: DataFrame, percent: int, forest: bool, lev
                 held.append((key, [c[start:end] for c in columns[3:]], at[start : end + 1], words, batch.column(8)[start:end]))
         if held:
             yield from _pairs_of(held, percent, forest, level)
+        del held
+        give_back()
 
     return rows.select("unit", "i", "j", "own", "node", "label", "n", "sketch", "before").mapInArrow(run, "a long, b long").distinct()
 

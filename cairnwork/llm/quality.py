@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnwork.llm import textarrays as ta
-from cairnwork.llm.common import load, ship
+from cairnwork.llm import tokens
+from cairnwork.llm.common import give_back, load, ship
 
 BITS = 18
 DIMENSIONS = 8
@@ -167,11 +168,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "label").limit(max_train)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()  # what other stages remember in this worker takes room from this one
         rows = [(i, label, t) for b in batches for i, t, label in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("label").to_pylist(), strict=True)]
         rows.sort()  # the same model, in whatever order tasks deliver
         table, bias = fold(fit([np.frombuffer(t, np.uint8) for _, _, t in rows], np.array([x for _, x, _ in rows], np.int64)))
         out = io.BytesIO()
         np.savez_compressed(out, table=table, bias=bias)
+        del rows
+        give_back()  # the features of all samples: many small arrays, which the worker would hold while later stages run
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
     made = texts.repartition(1).mapInArrow(run, "model binary").collect()
@@ -189,10 +193,12 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
+        tokens.forget()
         table, bias = shared.value
         out = np.empty(len(column))
         for a, b, data, offsets in ta.parts(column):
             out[a:b] = scores(data, offsets, table, bias)
+        give_back()
         return pa.array(out, pa.float64())
 
     return docs.withColumn("score", score(F.col(text_col).cast("string")))

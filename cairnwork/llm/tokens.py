@@ -15,6 +15,8 @@ import re
 from array import array
 from collections.abc import Iterator
 
+from cairnwork.llm.common import give_back
+
 #: Pieces in one of the memo's two generations (some 250 bytes each): when the newer is full it becomes the older, which goes.
 MEMO_PIECES = 150_000
 
@@ -181,9 +183,11 @@ def encoder(path: str, kind: type[Encoder], code: str = "I", pieces: int = MEMO_
 
 
 def forget() -> None:
-    """Empties the memos of this worker process; they fill again where texts are encoded."""
-    for e in _encoders.values():
-        e.memo = Memo(e, {})
+    """Empties the memos of this worker process and gives their room back; they fill again where texts are encoded."""
+    if any(e.memo for e in _encoders.values()):
+        for e in _encoders.values():
+            e.memo = Memo(e, {})
+        give_back()
 
 
 def vocabulary(path: str) -> int:

@@ -284,3 +284,30 @@ def test_samples_are_bounded_in_rows(spark):
         finally:
             frame.repartition = real
     assert seen == [25, 25]
+
+
+def test_freed_memory_goes_back_to_the_system(monkeypatch):
+    """Many small arrays with a few that stay between them, as training leaves them; a memo gives its room back once."""
+    import re
+    from pathlib import Path
+
+    from cairnwork.llm import common, tokens
+
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    made = [np.ones(1600) for _ in range(8000)]
+    kept = made[::400]
+    del made
+    before = held()
+    common.give_back()
+    assert before - held() > 50 and len(kept) == 20
+
+    calls = []
+    monkeypatch.setattr(tokens, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(tokens, "_encoders", {})
+    encoder = tokens.encoder("/opt/tokenizers/word_bpe_49k.json", tokens.WordEncoder)
+    list(encoder.encode(["some words"]))
+    tokens.forget()
+    tokens.forget()
+    assert calls == [1] and not encoder.memo and not encoder.memo.older
