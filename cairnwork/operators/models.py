@@ -19,7 +19,7 @@ from cairnwork.functions import arrays as A
 from cairnwork.functions.hashing import hashed_rank, order_key
 from cairnwork.functions.batches import matrix
 from cairnwork.operators import machines, metrics, rebalance, scaling, splits
-from cairnwork.operators.trees import BoostedTrees, Forest
+from cairnwork.operators.trees import PIECES, BoostedTrees, Forest
 from cairnwork.sources.shipping import ship
 
 
@@ -225,6 +225,8 @@ def save(model, path: str) -> None:
         scaler = values.pop("scaler", None)
         if scaler is not None:
             scaler.coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
+        if "pieces" in values:
+            values.pop("pieces").write.mode("overwrite").parquet(f"{path}/pieces")
         _write(spark, f"{path}/values", {"kind": type(model).__name__, "parts": sorted(parts), "scaled": scaler is not None, **values})
     else:
         PipelineModel([model]).write().overwrite().save(path)
@@ -242,6 +244,8 @@ def load(path: str):
     if values.pop("scaled"):
         rows = spark.read.parquet(f"{path}/scaler")
         values["scaler"] = spark.createDataFrame(rows.collect(), rows.schema)  # a row
+    if kind is Forest:
+        values["pieces"] = spark.read.schema(PIECES).parquet(f"{path}/pieces")
     model = kind.__new__(kind)
     model.restore(parts, values)
     return model

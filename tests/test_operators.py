@@ -537,6 +537,23 @@ def test_boosting_equals_growing_by_hand(spark, local_rows, monkeypatch):
     assert np.allclose([found[k].proba for k in range(len(x))], p)
 
 
+def test_forest_nodes_stay_off_the_driver(spark, monkeypatch):
+    import pickle
+
+    from pyspark import RDD
+
+    from cairnwork.operators import trees
+
+    df, *_ = tree_rows(spark)
+    sizes, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: (found := collect(self), sizes.append(len(pickle.dumps(found))))[0])
+    model = trees.Forest(df, "key", trees=20)
+    assert sum(sizes) < 10_000  # 62,724 when trees came whole
+    assert abs(model.importances().sum() - 1) < 1e-9 and model.pieces.count() == 20
+    left, feature = (np.frombuffer(x, np.int32) for x in model.pieces.select("left", "feature").first())
+    assert len(left) > 20 and ((left < 0) == (feature < 0)).all()
+
+
 def test_trees_save_and_odd_rows(spark, tmp_path):
     from cairnwork.operators import trees
 
