@@ -38,7 +38,7 @@ CHECKPOINT = 20
 TOGETHER = 100
 MOST_BYTES = 1 << 27
 #: Entries of histograms that are looked at together.
-CELLS = 1 << 18
+CELLS = 1 << 17
 #: Rows to be predicted that go together.
 ROUTED = 8192
 #: One of a forest's shares as an integer: sums of them are the same in any order.

@@ -554,6 +554,24 @@ def test_forest_nodes_stay_off_the_driver(spark, monkeypatch):
     assert len(left) > 20 and ((left < 0) == (feature < 0)).all()
 
 
+def test_boosting_takes_a_job_a_round(spark):
+    """Over more rows than a node may have that is finished at once, too; trees grown a level a pass are the same."""
+    from cairnwork.operators import trees
+
+    rng = np.random.default_rng(13)
+    of = rng.integers(0, 3, 5000)
+    df = spark.createDataFrame([(k, int(c), [float(v) for v in rng.normal(c, 2, 4)]) for k, c in enumerate(of)], "key long, label int, v array<double>").repartition(3)
+    jobs, found = [], []
+    for group, settings in (("one", {"rounds": 1}), ("four", {"rounds": 4}), ("levels", {"rounds": 4, "local_rows": 700})):
+        spark.sparkContext.setJobGroup(f"boosting {group}", group)
+        model = trees.BoostedTrees(df, depth=4, key="key", **settings)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosting {group}")))
+        found.append({r.key: r.proba for r in model.predict(df, "key").collect()})
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] == 3
+    assert jobs[2] > jobs[1] + 3 and np.allclose([found[1][k] for k in range(5000)], [found[2][k] for k in range(5000)])
+
+
 def test_trees_save_and_odd_rows(spark, tmp_path):
     from cairnwork.operators import trees
 
