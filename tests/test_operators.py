@@ -572,6 +572,25 @@ def test_boosting_takes_a_job_a_round(spark):
     assert jobs[2] > jobs[1] + 3 and np.allclose([found[1][k] for k in range(5000)], [found[2][k] for k in range(5000)])
 
 
+def test_forest_predicts_from_a_table(spark, monkeypatch):
+    import pickle
+
+    from cairnwork.operators import trees
+
+    df, *_ = tree_rows(spark)
+    model = trees.Forest(df, "key", trees=20, local_rows=30)
+    assert len(pickle.dumps({k: v for k, v in vars(model).items() if k != "pieces"})) < 30_000  # 43,268 when it held all nodes
+    many = df.union(df.select(F.col("key") + 100, "label", "v")).union(df.select(F.col("key") + 200, "label", "v"))
+    found = {r.key: (r.truth, r.proba, r.pred) for r in model.predict(many, "key").collect()}
+    monkeypatch.setattr(trees, "ROUTED", 7)
+    monkeypatch.setattr(trees, "HELD", 500)  # a block's sums leave in several parts
+    parts = {r.key: (r.truth, r.proba, r.pred) for r in model.predict(many.repartition(5), "key").collect()}
+    assert len(found) == 270 and found == parts
+    assert all(found[k] == found[k + 100] == found[k + 200] for k in range(90))
+    none = model.predict(df.where("key < 0"), "key")
+    assert none.columns == ["key", "truth", "proba", "pred"] and none.count() == 0
+
+
 def test_trees_save_and_odd_rows(spark, tmp_path):
     from cairnwork.operators import trees
 
