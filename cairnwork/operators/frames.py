@@ -1,12 +1,13 @@
 """Series to frames, and frame features of the waveform.
 
-samples(series_id, t, x) become frames(series_id, frame, x array) by one shuffle on (series_id, frame); what follows
+samples(series_id, t, x) become frames(series_id, frame, x array) by one shuffle on (series_id, chunk of frames); what follows
 works on the arrays, a frame's length of numbers each, so that no series has to fit in a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from cairnwork.sources.shipping import ship
 
 #: More lags than this go through numpy's FFT in Arrow batches instead of an expression each.
 LITERAL_LAGS = 32
+#: Frames of a series that go together.
+CHUNK = 512
 
 
 def by_frame():
@@ -36,10 +39,63 @@ def frame_series(samples: DataFrame, length: int, hop: int) -> DataFrame:
     return placed.select("series_id", F.col("frame").cast("long").alias("frame"), (F.col("t") - F.col("frame") * hop).cast("int").alias("i"), "x")
 
 
+def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole groups of equal keys, and where groups start. What is held over is the last group of a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is not None:
+            held.append(batch)
+        if not held:
+            return
+        if batch is not None and len(held) > 1 and all(batch.column(k)[-1] == held[0].column(k)[-1] for k in keys):
+            continue  # still the same group
+        table = pa.Table.from_batches(held).combine_chunks()
+        changes = np.zeros(table.num_rows, bool)
+        changes[0] = True
+        for k in keys:
+            column = table.column(k).chunk(0)
+            changes[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(changes)
+        end = table.num_rows if batch is None else int(starts[-1])
+        held = [] if batch is None else table.slice(end).combine_chunks().to_batches()
+        if end:
+            yield table.slice(0, end), starts[starts < end]
+
+
 def frame_arrays(samples: DataFrame, length: int, hop: int) -> DataFrame:
-    """series_id, frame, x: the frame's values in order, `length` of them."""
-    gathered = frame_series(samples, length, hop).groupBy("series_id", "frame").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
-    return gathered.select("series_id", "frame", F.transform("s", lambda s: s["x"]).alias("x"))
+    """series_id, frame, x: the frame's values in order, `length` of them.
+
+    Values go to chunks of CHUNK frames of their series by one shuffle, where they stand in order; frames are cut from them in Arrow batches.
+    """
+    ship(samples.sparkSession)
+    lengths = samples.groupBy("series_id").agg(F.count("*").alias("n"))  # combined before the shuffle; a row a series joins
+    first = F.greatest(F.lit(0), F.ceil((F.col("t") - (length - 1)) / hop))
+    last = F.least(F.floor(F.col("t") / hop), F.ceil((F.col("n") - length) / hop) - 1)
+    placed = samples.join(lengths, "series_id").where(F.col("n") > length).withColumn("lo", first).withColumn("hi", last).where("lo <= hi")
+    chunk = F.explode(F.sequence(F.floor(F.col("lo") / CHUNK), F.floor(F.col("hi") / CHUNK))).alias("chunk")
+    placed = placed.select("series_id", F.col("t").cast("long").alias("t"), "x", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), chunk)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in groups(batches, ["series_id", "chunk"]):
+            lo, hi, chunk = (table.column(c).to_numpy() for c in ("lo", "hi", "chunk"))
+            group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(lo)]))
+            lo, hi = np.maximum(lo, chunk * CHUNK), np.minimum(hi, chunk * CHUNK + CHUNK - 1)
+            times = np.maximum(hi - lo + 1, 0)
+            row = np.repeat(np.arange(len(lo)), times)
+            frame = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            key = group[row] * CHUNK + (frame - chunk[row] * CHUNK)
+            order = np.argsort(key, kind="stable")  # rows of a frame stay in order
+            key, row = key[order], row[order]
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            values = table.column("x").chunk(0).take(pa.array(row))
+            cut = pa.array(np.r_[begin, len(key)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([table.column("series_id").chunk(0).take(pa.array(row[begin])), pa.array(frame[order][begin]), pa.ListArray.from_arrays(cut, values)], names=["series_id", "frame", "x"])
+
+    kinds = {c: samples.schema[c].dataType.simpleString() for c in ("series_id", "x")}
+    dealt = placed.repartition("series_id", "chunk").sortWithinPartitions("series_id", "chunk", "t")
+    return dealt.mapInArrow(run, f"series_id {kinds['series_id']}, frame long, x array<{kinds['x']}>")
 
 
 def rms(x: Column) -> Column:

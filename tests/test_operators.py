@@ -447,6 +447,29 @@ def test_adf_with_lags_by_chunks(spark, steps):
     assert most <= steps + 17  # no chunk holds more than its steps and the lags before them
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 512])
+def test_frames_and_chroma_by_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(frames, "CHUNK", chunk)
+    rng = np.random.default_rng(14)
+    values = {s: rng.normal(size=n).round(3).tolist() for s, n in enumerate((15, 16, 17, 24, 25, 66, 200, 41))} | {90: [0.0] * 30}
+    df = spark.createDataFrame([(s, t, v) for s, x in values.items() for t, v in enumerate(x)], "series_id long, t long, x double").repartition(3)
+    want = {(s, k): x[8 * k : 8 * k + 16] for s, x in values.items() for k in range(max(0, -(-(len(x) - 16) // 8)))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        f = frames.frame_arrays(df, 16, 8)
+        plan = f._jdf.queryExecution().executedPlan().toString()
+        found = {(r.series_id, r.frame): r.x for r in f.collect()}
+        chroma = {(r.series_id, r.frame): r.chroma for r in spectral.chroma(spectral.power_spectrum(f, 16), 16, 16.0, 1.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == want and "collect_list" not in plan  # a group a frame, sorted by itself
+    classes = spectral.pitch_classes(16, 16.0, 1.0)
+    for key, x in want.items():
+        p = np.abs(np.fft.rfft(np.array(x) * np.array(spectral.hann(16)))) ** 2
+        c = np.array([sum(v for v, at in zip(p, classes, strict=True) if at == k) for k in range(12)])
+        assert np.allclose(chroma[key], c / c.max() if c.max() > 0 else c)
+
+
 def grown_by_hand(x, stats, score, allowed, features, depth):
     """A tree as nested tuples, every split tried row by row: (feature, threshold, left, right) or the node's sums."""
 
