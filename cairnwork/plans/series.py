@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairnwork.operators import clips
 from cairnwork.operators import frames as fr
 from cairnwork.operators import spectral as sp
 from cairnwork.operators import transforms
@@ -313,18 +314,7 @@ DESCRIBED = f"{WAVE}, de AS (SELECT * FROM wave JOIN cen USING (series_id, frame
     [*[two_sql(b) for b in POOLED], *[f"SELECT series_id, '{n}', {n} FROM pitch" for n in PITCHES], *[f"SELECT series_id, '{n}', avg({n}) FROM de GROUP BY ALL" for n in MEANS]], NAMES_411, 4))
 def clip_vector_411(spark, d):
     """The blocks in order: cepstrum with deltas (mean, std each), log-frequency cepstrum likewise, pitch, contrast, chroma, descriptors."""
-    f = frames(spark, d)
-    s = sp.power_spectrum(f, N)
-    c = sp.cepstrum(sp.to_db(sp.mel_bands(s, BANK)), BANDS, CEPS)
-    q = sp.log_freq_cepstrum(s, N, RATE, LOW)
-    blocks = {"mfcc": c, "mfcc_d": sp.delta(c, 1).withColumnRenamed("d", "c"), "mfcc_dd": sp.delta(c, 2).withColumnRenamed("d", "c"), "cqcc": q, "cqcc_d": sp.delta(q, 1).withColumnRenamed("d", "c"), "cqcc_dd": sp.delta(q, 2).withColumnRenamed("d", "c")}
-    pooled = [sp.vector(sp.pool_two(x, "c"), TWO, name) for name, x in blocks.items()]
-    pitch = fr.f0_summary(f, fr.f0_track(f, RATE, *LAGS)).select("series_id", F.array(*PITCHES).alias("pitch"))
-    contrast = sp.vector(sp.pool_two(sp.contrast(s, N, RATE, 2.0), "contrast"), TWO, "contrast")
-    chroma = sp.vector(sp.pool_two(sp.chroma(s, N, RATE, 1.0), "chroma"), TWO, "chroma")
-    means = descriptor_means(f).select("series_id", F.array(*MEANS).alias("descriptors"))
-    whole = joined([*pooled, pitch, contrast, chroma, means])
-    return laid_out(whole.select("series_id", F.concat(*blocks, "pitch", "contrast", "chroma", "descriptors").alias("vector")), NAMES_411, 4)
+    return laid_out(clips.vectors(frames(spark, d), clips.Settings(N, RATE, BANK, CEPS, LOW, 2.0, 1.0, LAGS)), NAMES_411, 4)
 
 
 @query("clip_vector_750", vector_sql(

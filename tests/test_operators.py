@@ -470,6 +470,39 @@ def test_frames_and_chroma_by_chunks(spark, monkeypatch, chunk):
         assert np.allclose(chroma[key], c / c.max() if c.max() > 0 else c)
 
 
+@pytest.mark.parametrize("chunk", [7, 512])
+def test_long_vector_equals_its_operators(spark, monkeypatch, chunk):
+    """Series of many chunks and of fewer frames than a derivative looks at; frames are read once, not once a block."""
+    from cairnwork.operators import clips
+    from cairnwork.plans import series as plans
+
+    monkeypatch.setattr(clips, "CHUNK", chunk)
+    rng = np.random.default_rng(15)
+    tones = {s: (100 * np.sin(np.arange(n) * (0.9 + 0.1 * s)) + rng.normal(0, 60, n)).round(2).tolist() for s, n in enumerate((17, 25, 81, 88, 97, 130, 300, 900))}
+    tones |= {90: [0.0] * 40, 91: [5.0] * 200, 92: [1.0] * 16, 93: rng.normal(size=150).tolist()}
+    df = spark.createDataFrame([(s, t, float(v)) for s, x in tones.items() for t, v in enumerate(x)], "series_id long, t long, x double").repartition(3)
+    f = frames.frame_arrays(df, 16, 8).persist()
+    settings = clips.Settings(16, 16.0, plans.BANK, plans.CEPS, plans.LOW, 2.0, 1.0, plans.LAGS)
+    found = {r.series_id: r.vector for r in clips.vectors(f, settings).collect()}
+    s = spectral.power_spectrum(f, 16)
+    c, q = spectral.cepstrum(spectral.to_db(spectral.mel_bands(s, plans.BANK)), plans.BANDS, plans.CEPS), spectral.log_freq_cepstrum(s, 16, 16.0, plans.LOW)
+    blocks = [x for b in (c, q) for x in (b, spectral.delta(b, 1).withColumnRenamed("d", "c"), spectral.delta(b, 2).withColumnRenamed("d", "c"))]
+    blocks = [spectral.vector(spectral.pool_two(x, "c"), ["mean", "std"], "v") for x in blocks]
+    blocks.append(frames.f0_summary(f, frames.f0_track(f, 16.0, *plans.LAGS)).select("series_id", F.array(*plans.PITCHES).alias("v")))
+    blocks += [spectral.vector(spectral.pool_two(x, column), ["mean", "std"], "v") for x, column in ((spectral.contrast(s, 16, 16.0, 2.0), "contrast"), (spectral.chroma(s, 16, 16.0, 1.0), "chroma"))]
+    blocks.append(plans.descriptor_means(f).select("series_id", F.array(*plans.MEANS).alias("v")))
+    want = {}
+    for b in blocks:
+        for r in b.collect():
+            want.setdefault(r.series_id, []).extend(r.v)
+    f.unpersist()
+    assert set(found) == set(want) == set(tones) - {92} and len(found[0]) == len(plans.NAMES_411)
+    for key in want:
+        assert np.allclose(found[key], want[key], rtol=1e-9, atol=1e-7)
+    plan = plans.clip_vector_411(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2  # once for values, once for lengths
+
+
 def grown_by_hand(x, stats, score, allowed, features, depth):
     """A tree as nested tuples, every split tried row by row: (feature, threshold, left, right) or the node's sums."""
 
